@@ -1 +1 @@
-MODULES = ("views", "groups")
+MODULES = ("views", "groups", "grids", "climates", "tag_rules", "shapes_ops", "requests")

@@ -77,7 +77,7 @@ SELECT osm_id, kind, x0, y0, x0 + w AS x1, y0 + h AS y1, w, h FROM (
   SELECT c_custkey AS osm_id,
          CASE c_custkey % 3 WHEN 0 THEN 'ST_Point' WHEN 1 THEN 'ST_Polygon' ELSE 'ST_LineString' END AS kind,
          -125e0 + (c_custkey * 37 % 1000) / 1e2 AS x0,
-         20e0 + 0.0625e0 * cast(floor(c_custkey / 100) AS bigint) + (c_custkey * 53 % 450) / 1e4 AS y0,
+         20e0 + 0.064e0 * cast(floor(c_custkey / 100) AS bigint) + (c_custkey * 53 % 45) / 1e3 AS y0,
          CASE c_custkey % 3 WHEN 0 THEN 0e0 ELSE 0.03e0 * (1 + c_custkey % 4) END AS w,
          CASE c_custkey % 3 WHEN 0 THEN 0e0 ELSE 0.02e0 * (1 + c_custkey % 5) END AS h
   FROM {customer}) a
@@ -90,25 +90,25 @@ SELECT o_custkey AS fld_ar_id, o_orderkey AS zone_rank, o_orderpriority AS flood
        CASE WHEN o_orderpriority = '5-LOW' OR o_custkey % 11 = 0 THEN NULL
             ELSE cast(o_orderdate AS date) END AS lomr_effective_date,
        -125e0 + (o_custkey * 37 % 1000) / 1e2 - 0.05e0 + (o_orderkey % 7) / 1e2 AS xmin,
-       20e0 + 0.0625e0 * cast(floor(o_custkey / 100) AS bigint) - 0.02e0 + (o_orderkey % 5) / 1e2 AS ymin,
+       20e0 + 0.064e0 * cast(floor(o_custkey / 100) AS bigint) - 0.02e0 + (o_orderkey % 5) / 1e2 AS ymin,
        -125e0 + (o_custkey * 37 % 1000) / 1e2 - 0.05e0 + (o_orderkey % 7) / 1e2 + 0.1e0 AS xmax,
-       20e0 + 0.0625e0 * cast(floor(o_custkey / 100) AS bigint) - 0.02e0 + (o_orderkey % 5) / 1e2 + 0.1e0 AS ymax
+       20e0 + 0.064e0 * cast(floor(o_custkey / 100) AS bigint) - 0.02e0 + (o_orderkey % 5) / 1e2 + 0.1e0 AS ymax
 FROM {orders}
 """
 
 DOMAIN["fx_admin"] = """
 SELECT s_suppkey AS admin_id, s_name AS name, cast(CASE s_suppkey % 2 WHEN 0 THEN 6 ELSE 8 END AS int) AS admin_level,
        -125e0 + (s_suppkey * 555 % 1000) / 1e2 AS xmin,
-       20e0 + 0.0625e0 * cast(floor(s_suppkey * 15 / 100) AS bigint) AS ymin,
+       20e0 + 0.064e0 * cast(floor(s_suppkey * 15 / 100) AS bigint) AS ymin,
        -125e0 + (s_suppkey * 555 % 1000) / 1e2 + CASE s_suppkey % 2 WHEN 0 THEN 0.9e0 ELSE 0.4e0 END AS xmax,
-       20e0 + 0.0625e0 * cast(floor(s_suppkey * 15 / 100) AS bigint)
+       20e0 + 0.064e0 * cast(floor(s_suppkey * 15 / 100) AS bigint)
             + CASE s_suppkey % 2 WHEN 0 THEN 0.5e0 ELSE 0.2e0 END AS ymax
 FROM {supplier}
 """
 
 DOMAIN["fx_stations"] = """
 SELECT s_suppkey AS station_id, -125e0 + (s_suppkey * 555 % 1000) / 1e2 + 0.013e0 AS lon,
-       20e0 + 0.0625e0 * cast(floor(s_suppkey * 15 / 100) AS bigint) + 0.017e0 AS lat FROM {supplier}
+       20e0 + 0.064e0 * cast(floor(s_suppkey * 15 / 100) AS bigint) + 0.017e0 AS lat FROM {supplier}
 """
 
 DOMAIN["fx_tags"] = """

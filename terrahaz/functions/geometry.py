@@ -244,15 +244,20 @@ def clip_ring(ring: Column, axis: str, bound: Column, keep_above: bool) -> Colum
     )[0]
 
 
-def clip_parts(parts: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Polygon parts cut to a rectangle; parts whose shell vanishes are dropped."""
+def clip_parts(parts: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column,
+               axes: str = "xy") -> Column:
+    """Polygon parts cut to a rectangle (or a strip along one axis); vanished parts are dropped."""
     def clip(ring: Column) -> Column:
         # Each stage is bound once through a one-element array, so the next
         # stage refers to it by name instead of repeating its expression.
-        stages = [("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)]
+        def stage(axis: str, bound: Column, above: bool):
+            return lambda r: clip_ring(r, axis, bound, above)
+
         out = F.array(ring)
-        for axis, bound, above in stages:
-            out = F.transform(out, lambda r, ax=axis, bo=bound, ab=above: clip_ring(r, ax, bo, ab))
+        if "x" in axes:
+            out = F.transform(F.transform(out, stage("x", xmin, True)), stage("x", xmax, False))
+        if "y" in axes:
+            out = F.transform(F.transform(out, stage("y", ymin, True)), stage("y", ymax, False))
         return out[0]
 
     def part_rings(part: Column) -> Column:

@@ -272,29 +272,34 @@ def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFra
     large, so vertices clustered in one corner are cut again; area is conserved.
     """
     names = df.columns
+    limit = max(max_vertices, 8)
+
+    def cut(rows: DataFrame, axis: str) -> DataFrame:
+        low, high = F.col(f"{axis}min"), F.col(f"{axis}max")
+        other = "y" if axis == "x" else "x"
+        width = (high - low) / F.col("_k")
+
+        def edge(i: Column) -> Column:
+            return F.when(i >= F.col("_k"), high).otherwise(low + width * i)
+
+        bounds = {f"{axis}min": edge(F.col("_i")), f"{axis}max": edge(F.col("_i") + 1),
+                  f"{other}min": F.lit(None).cast("double"), f"{other}max": F.lit(None).cast("double")}
+        strip = geo.clip_parts(F.col("parts"), *[bounds[c] for c in ENVELOPE], axes=axis)
+        return (
+            rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+            .withColumn("parts", F.when(F.col("_k") == 1, F.col("parts")).otherwise(strip))
+            .filter(F.size("parts") > 0)
+        )
+
     for _ in range(rounds):
         count = F.size(geo.vertices(F.col("parts")))
         k = F.when(
-            (count > max_vertices) & F.col("geom_type").isin(*geo.POLYGONS),
-            F.least(F.ceil(F.sqrt(count / geo.d(max_vertices / 4))), F.lit(64)),
+            (count > limit) & F.col("geom_type").isin(*geo.POLYGONS),
+            F.least(F.ceil(F.sqrt(count / geo.d(limit / 4))), F.lit(64)),
         ).otherwise(1).cast("int")
-        step = (
-            df.withColumn("_k", k)
-            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-            .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        )
-        w, h = (F.col("xmax") - F.col("xmin")) / F.col("_k"), (F.col("ymax") - F.col("ymin")) / F.col("_k")
-
-        def edge(low: str, high: str, width: Column, i: Column) -> Column:
-            return F.when(i >= F.col("_k"), F.col(high)).otherwise(F.col(low) + width * i)
-
-        cut = geo.clip_parts(
-            F.col("parts"),
-            edge("xmin", "xmax", w, F.col("_i")), edge("ymin", "ymax", h, F.col("_j")),
-            edge("xmin", "xmax", w, F.col("_i") + 1), edge("ymin", "ymax", h, F.col("_j") + 1),
-        )
-        step = step.withColumn("parts", F.when(F.col("_k") == 1, F.col("parts")).otherwise(cut))
-        df = geo.with_envelope(step.filter(F.size("parts") > 0)).select(*names)
+        # Strips first, then cells of each strip: the second cut only sees the
+        # vertices left in its strip.
+        df = geo.with_envelope(cut(cut(df.withColumn("_k", k), "x"), "y")).select(*names)
     return df
 
 

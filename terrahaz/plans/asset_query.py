@@ -86,7 +86,7 @@ def filter_hazard(hazard: DataFrame, q: AssetQuery) -> DataFrame:
 
 def admin_names(assets: DataFrame, places: DataFrame, tile_deg: float = 0.5,
                 wanted: Sequence[str] = tuple(ADMIN_LEVELS), city_type_only: bool = False) -> DataFrame:
-    """County and city names per asset: one row per overlapping combination, NULL when none.
+    """Assets with county and city names: one row per overlapping combination, NULL when none.
 
     Both levels ride on one tile join. The names of an asset are gathered into
     two arrays, at most one entry per administrative area, and fan out again.
@@ -101,7 +101,7 @@ def admin_names(assets: DataFrame, places: DataFrame, tile_deg: float = 0.5,
     per_asset = hits.groupBy("osm_id").agg(*[
         F.collect_list(F.when(F.col("admin_level") == ADMIN_LEVELS[w], F.struct("name"))).alias(w)
         for w in wanted])
-    out = assets.select("osm_id").join(per_asset, "osm_id", "left")
+    out = assets.join(per_asset, "osm_id", "left")
     for w in wanted:
         out = out.withColumn(w, F.explode_outer(w)).withColumn(w, F.col(f"{w}.name"))
     return out
@@ -130,7 +130,8 @@ def asset_query(q: AssetQuery, assets: DataFrame, tags: DataFrame, places: DataF
         chosen = filter_hazard(hazard, q).select(
             "osm_id", "ssp", "month", "decade", *hazard_columns(q, hazard))
         rows = rows.join(chosen.select("osm_id"), "osm_id", "left_semi")
-    names = admin_names(rows, places, wanted=q.admin, city_type_only=q.city_type_only) if q.admin else None
+    if q.admin:
+        rows = admin_names(rows, places, wanted=q.admin, city_type_only=q.city_type_only)
     c = geo.centroid(F.col("geom_type"), F.col("parts"))
     rows = rows.withColumn("_c", c).withColumns({
         "geometry_wkt": geo.to_wkt(F.col("geom_type"), F.col("parts"), 3),
@@ -139,8 +140,6 @@ def asset_query(q: AssetQuery, assets: DataFrame, tags: DataFrame, places: DataF
     if q.centroid:
         kind, parts = geo.display_geometry(F.col("geom_type"), F.col("parts"))
         rows = rows.withColumns({"geom_type": kind, "parts": parts})
-    if names is not None:
-        rows = rows.join(names, "osm_id", "left")
     if chosen is not None:
         rows = rows.join(chosen, "osm_id")
     if q.limit:
@@ -172,9 +171,11 @@ def condense(rows: DataFrame, compat: bool = False) -> DataFrame:
     keys = ["osm_id"] if compat else ["osm_id", *times]
     rest = [c for c in rows.columns if c not in (*keys, *names, *DROPPED)]
     order = F.struct(*(times or [F.lit(0).alias("o")]))
+    def unwrapped(n: str) -> Column:
+        return F.transform(F.array_sort(F.collect_set(F.struct(n))), lambda s: s[n]).alias(n)
+
     out = rows.filter(F.col("osm_id").isNotNull()).groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), order).alias("_p"),
-        *[F.transform(F.array_sort(F.collect_set(F.struct(n))), lambda s, k=n: s[k]).alias(n) for n in names])
+        F.min_by(F.struct(*rest), order).alias("_p"), *[unwrapped(n) for n in names])
     return out.select(*keys, "_p.*", *names)
 
 
