@@ -358,19 +358,19 @@ cells AS (
    AND a.y0 < 20e0 + (c.iy + 0.5e0) * 0.25e0 AND a.y1 > 20e0 + (c.iy - 0.5e0) * 0.25e0 WHERE a.kind = 'ST_Polygon' AND NOT tiny),
 e AS (SELECT loc.osm_id, k.decade AS decade, k.month, avg(ensemble_mean) AS ensemble_mean, min(ensemble_min) AS ensemble_min, max(ensemble_max) AS ensemble_max
         FROM loc JOIN keyed k ON k.ix = loc.ix AND k.iy = loc.iy GROUP BY ALL
-      UNION ALL SELECT c.osm_id, k.decade AS decade, k.month, sum(ensemble_mean * w) / sum(w), sum(ensemble_min * w) / sum(w), sum(ensemble_max * w) / sum(w)
+      UNION ALL SELECT c.osm_id, k.decade AS decade, k.month, max(ensemble_mean), max(ensemble_min), max(ensemble_max)
         FROM cells c JOIN keyed k ON k.ix = c.ix AND k.iy = c.iy WHERE w > 1e-12 GROUP BY ALL)
 """
 
 
 def _exposure(t: Tables):
-    spec = E.ExposureSpec("pr", "ssp245", spec_for(t), attrs={"title": "ensemble"})
+    spec = E.ExposureSpec("pr", "ssp245", spec_for(t), method="max", attrs={"title": "ensemble"})
     return E.exposure(t.fx_ensemble, asset_geometry(t.fx_assets), spec)
 
 
 @check("exposure_job", EXPOSURE + """
 SELECT osm_id, month, decade AS decade, cast(245 AS int) AS ssp, round_even(ensemble_min, 2) AS ensemble_min, round_even(ensemble_max, 2) AS ensemble_max,
-  '{{"title":"ensemble","zonal_method":"mean"}}' AS metadata FROM e
+  '{{"title":"ensemble","zonal_method":"max"}}' AS metadata FROM e
 """)
 def exposure_job(t: Tables):
     return _exposure(t).select("osm_id", "month", "decade", "ssp", "ensemble_min", "ensemble_max", "metadata")

@@ -80,7 +80,7 @@ SELECT osm_id, round(CASE kind WHEN 'ST_LineString' THEN (w * (x0 + x1) / 2e0 +
 FROM {fx_assets}
 """)
 def geometry_centroid(t: Tables):
-    c = geo.centroid(F.col("geom_type"), F.col("parts"))
+    c = geo.centroid()
     return r6(assets(t).withColumn("_c", c).select("osm_id", F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat")))
 
 
@@ -97,7 +97,7 @@ SELECT osm_id, CASE kind WHEN 'ST_Point' THEN 'POINT (' || {num('x0')} || ' ' ||
 FROM {{fx_assets}}
 """)
 def geometry_wkt(t: Tables):
-    return assets(t).select("osm_id", geo.to_wkt(F.col("geom_type"), F.col("parts"), 3).alias("wkt"))
+    return assets(t).select("osm_id", geo.to_wkt(digits=3).alias("wkt"))
 
 
 @check("display_geometry", """
@@ -105,7 +105,7 @@ SELECT osm_id, CASE WHEN kind = 'ST_Polygon' THEN 'ST_Point' ELSE kind END AS sh
        CASE WHEN kind = 'ST_LineString' THEN 3 ELSE 1 END AS vertices FROM {fx_assets}
 """)
 def display_geometry(t: Tables):
-    kind, parts = geo.display_geometry(F.col("geom_type"), F.col("parts"))
+    kind, parts = geo.display_geometry()
     return assets(t).select("osm_id", kind.alias("shown"), F.size(geo.vertices(parts)).alias("vertices"))
 
 
@@ -115,7 +115,7 @@ FROM {{fx_assets}}
 """)
 def geometry_area(t: Tables):
     polygon = F.col("geom_type").isin(*geo.POLYGONS)
-    return r6(assets(t).select("osm_id", F.when(polygon, geo.area_km2(F.col("parts"))).otherwise(0.0).alias("km2")), digits=5)
+    return r6(assets(t).select("osm_id", F.when(polygon, geo.area_km2("parts")).otherwise(0.0).alias("km2")), digits=5)
 
 
 @check("approx_box_area", """
@@ -190,24 +190,24 @@ WITH {KEYED}, cells AS (
 
 
 @check("zonal_mean_max", ZONAL + """
-SELECT c.osm_id, k.decade AS decade, k.month, round(sum(k.ensemble_mean * c.w) / sum(c.w), 6) AS ensemble_mean_mean,
+SELECT c.osm_id, k.decade AS decade, k.month, round(sum(k.ensemble_mean * c.w) / sum(c.w), 9) AS ensemble_mean_mean,
        max(k.ensemble_mean) AS ensemble_mean_max
 FROM cells c JOIN keyed k ON k.ix = c.ix AND k.iy = c.iy WHERE c.w > 1e-12 GROUP BY ALL
 """)
 def zonal_mean_max(t: Tables):
     polygons = assets(t).filter("geom_type = 'ST_Polygon'")
     out = G.zonal_pivot(t.fx_ensemble, polygons, spec_for(t), "ensemble_mean", ["decade", "month"])
-    return r6(out, ["ensemble_mean_mean"])
+    return r6(out, ["ensemble_mean_mean"], 9)
 
 
 @check("zonal_statistics", ZONAL + """
-SELECT c.osm_id, k.decade AS decade, k.month, round(sum(k.ensemble_median * c.w) / sum(c.w), 6) AS ensemble_median
+SELECT c.osm_id, k.decade AS decade, k.month, round(sum(k.ensemble_median * c.w) / sum(c.w), 9) AS ensemble_median
 FROM cells c JOIN keyed k ON k.ix = c.ix AND k.iy = c.iy WHERE c.w > 1e-12 GROUP BY ALL
 """)
 def zonal_statistics(t: Tables):
     polygons = assets(t).filter("geom_type = 'ST_Polygon'")
     out = G.zonal_stats(t.fx_ensemble, polygons, spec_for(t), ["ensemble_median"], ["decade", "month"])
-    return r6(out, ["ensemble_median"])
+    return r6(out, ["ensemble_median"], 9)
 
 
 @check("line_exposure", f"""
@@ -308,7 +308,7 @@ SELECT fld_ar_id, round((xmax - xmin) * (ymax - ymin), 6) AS area, true AS small
 def subdivided_area(t: Tables):
     cut = S.subdivide(_ragged(t), 64)
     return r6(cut.groupBy("fld_ar_id").agg(
-        F.sum(geo.area_deg2(F.col("parts"))).alias("area"),
+        F.sum(geo.area_deg2("parts")).alias("area"),
         F.bool_and(F.size(geo.vertices(F.col("parts"))) <= 64).alias("small")), ["area"])
 
 

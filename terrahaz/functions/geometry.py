@@ -4,6 +4,9 @@ A geometry is two columns: ``geom_type`` ('ST_Point', 'ST_LineString',
 'ST_MultiLineString', 'ST_Polygon', 'ST_MultiPolygon') and ``parts``, an array of
 parts, each an array of rings (ring 0 the shell or the line itself, the rest
 holes), each an array of (x, y) vertices. Envelopes are stored beside them.
+
+The long expressions are SQL text over column names (``a: str`` arguments are
+SQL), which Spark parses in one call; the short ones take and return Columns.
 """
 
 from __future__ import annotations
@@ -75,61 +78,49 @@ def with_point(df: DataFrame, x: Column, y: Column) -> DataFrame:
     })
 
 
-def ring_segments(ring: Column) -> Column:
+def ring_segments(ring: str) -> str:
     """Consecutive vertex pairs; a single vertex gives one degenerate segment."""
-    return F.when(
-        F.size(ring) > 1,
-        F.zip_with(
-            F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    ).otherwise(F.transform(ring, lambda p: F.struct(p.alias("a"), p.alias("b"))))
+    return (
+        f"if(size({ring}) > 1, zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), "
+        f"(va, vb) -> named_struct('a', va, 'b', vb)), transform({ring}, vp -> named_struct('a', vp, 'b', vp)))"
+    )
 
 
-def segments(parts: Column) -> Column:
-    return F.flatten(F.transform(rings(parts), ring_segments))
+def segments(parts: str) -> str:
+    return f"flatten(transform(flatten({parts}), sr -> {ring_segments('sr')}))"
 
 
-def _side(a: Column, b: Column, px: Column, py: Column) -> Column:
-    return (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
+def _overlaps(axis: str) -> str:
+    return (f"least(s.a.{axis}, s.b.{axis}) <= greatest(t.a.{axis}, t.b.{axis}) "
+            f"AND least(t.a.{axis}, t.b.{axis}) <= greatest(s.a.{axis}, s.b.{axis})")
 
 
-def _cross(s: Column, t: Column) -> Column:
-    """Closed segments share a point: boxes overlap and each straddles the other."""
-    def over(axis: str) -> Column:
-        return (F.least(s["a"][axis], s["b"][axis]) <= F.greatest(t["a"][axis], t["b"][axis])) & (
-            F.least(t["a"][axis], t["b"][axis]) <= F.greatest(s["a"][axis], s["b"][axis])
-        )
+def _straddles(u: str, v: str) -> str:
+    def side(end: str) -> str:
+        return (f"(({u}.b.x - {u}.a.x) * ({v}.{end}.y - {u}.a.y) - ({u}.b.y - {u}.a.y) * ({v}.{end}.x - {u}.a.x))")
 
-    def straddle(u: Column, v: Column) -> Column:
-        return _side(u["a"], u["b"], v["a"]["x"], v["a"]["y"]) * _side(
-            u["a"], u["b"], v["b"]["x"], v["b"]["y"]) <= d(0)
+    return f"{side('a')} * {side('b')} <= 0D"
 
-    return over("x") & over("y") & straddle(s, t) & straddle(t, s)
 
+# Closed segments share a point: their boxes overlap and each straddles the other.
+_CROSS = f"({_overlaps('x')} AND {_overlaps('y')} AND {_straddles('s', 't')} AND {_straddles('t', 's')})"
 
-def in_polygon(px: Column, py: Column, parts: Column) -> Column:
-    """Even-odd test over shell and holes of each part (interior only)."""
-    def crossings(part: Column) -> Column:
-        edges = F.flatten(F.transform(part, ring_segments))
-        hits = F.filter(
-            edges,
-            lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py))
-            & (px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"])
-               / F.nullif(e["b"]["y"] - e["a"]["y"], d(0)) + e["a"]["x"]),
-        )
-        return F.size(hits) % 2 == 1
 
-    return F.exists(parts, crossings)
+def in_polygon(x: str, y: str, parts: str) -> str:
+    """Even-odd test over shell and holes of each part (interior only)."""
+    edges = f"flatten(transform(ip, ir -> {ring_segments('ir')}))"
+    hit = (f"(e.a.y > {y}) <> (e.b.y > {y}) AND {x} < (e.b.x - e.a.x) * ({y} - e.a.y) "
+           f"/ nullif(e.b.y - e.a.y, 0D) + e.a.x")
+    return f"exists({parts}, ip -> size(filter({edges}, e -> coalesce({hit}, false))) % 2 = 1)"
 
 
-def is_box(geom_type: Column, parts: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def is_box(g: dict[str, str]) -> str:
     """Axis-aligned rectangle or point: its envelope is the geometry itself."""
-    corners = F.forall(
-        vertices(parts), lambda p: p["x"].isin(xmin, xmax) & p["y"].isin(ymin, ymax)
+    return (
+        f"({g['geom_type']} = 'ST_Point' OR ({g['geom_type']} = 'ST_Polygon' AND size({g['parts']}) = 1 "
+        f"AND size({g['parts']}[0]) = 1 AND size({g['parts']}[0][0]) = 5 AND forall({g['parts']}[0][0], "
+        f"q -> q.x IN ({g['xmin']}, {g['xmax']}) AND q.y IN ({g['ymin']}, {g['ymax']}))))"
     )
-    one_ring = (F.size(parts) == 1) & (F.size(parts[0]) == 1) & (F.size(parts[0][0]) == 5)
-    return (geom_type == "ST_Point") | ((geom_type == "ST_Polygon") & one_ring & corners)
 
 
 def envelopes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -139,61 +130,59 @@ def envelopes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
-def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Closed intersection test. Keys: geom_type, parts, xmin, ymin, xmax, ymax."""
-    overlap = envelopes_overlap(a, b)
-    boxes = is_box(**a) & is_box(**b)
-    seg_b = segments(b["parts"])
-    crossing = F.exists(segments(a["parts"]), lambda s: F.exists(seg_b, lambda t: _cross(s, t)))
+def named(prefix: str = "") -> dict[str, str]:
+    """Geometry columns of a row under a name prefix."""
+    return {c: prefix + c for c in ("geom_type", "parts", "xmin", "ymin", "xmax", "ymax")}
 
-    def contains_any(outer: dict[str, Column], inner: dict[str, Column]) -> Column:
-        return outer["geom_type"].isin(*POLYGONS) & F.exists(
-            inner["parts"],
-            lambda part: in_polygon(part[0][0]["x"], part[0][0]["y"], outer["parts"]),
-        )
 
-    return overlap & (boxes | crossing | contains_any(a, b) | contains_any(b, a))
+def box_sql(xmin: float, ymin: float, xmax: float, ymax: float) -> dict[str, str]:
+    """A constant rectangle in the form of :func:`named`."""
+    x0, y0, x1, y1 = (f"({float(v)!r}D)" for v in (xmin, ymin, xmax, ymax))
+    ring = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in (
+        (x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)))
+    return {"geom_type": "'ST_Polygon'", "parts": f"array(array(array({ring})))",
+            "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
 
-def _ring_area(ring: Column, fx, fy) -> Column:
-    """Signed shoelace area after mapping the coordinates."""
-    return F.aggregate(
-        ring_segments(ring), d(0),
-        lambda acc, e: acc + fx(e["a"]) * fy(e["b"]) - fx(e["b"]) * fy(e["a"]),
-    ) / d(2)
+def intersects(a: dict[str, str], b: dict[str, str]) -> Column:
+    """Closed intersection test of two geometries given as in :func:`named`."""
+    def holds(outer: dict[str, str], inner: dict[str, str]) -> str:
+        inside = in_polygon("cp[0][0].x", "cp[0][0].y", outer["parts"])
+        return f"({outer['geom_type']} LIKE '%Polygon' AND exists({inner['parts']}, cp -> {inside}))"
 
+    overlap = (f"{a['xmin']} <= {b['xmax']} AND {b['xmin']} <= {a['xmax']} "
+               f"AND {a['ymin']} <= {b['ymax']} AND {b['ymin']} <= {a['ymax']}")
+    # The second segment list is bound once, outside the loop over the first.
+    crossing = (f"exists(array({segments(b['parts'])}), sb -> exists({segments(a['parts'])}, "
+                f"s -> exists(sb, t -> {_CROSS})))")
+    return F.expr(
+        f"{overlap} AND (({is_box(a)} AND {is_box(b)}) OR {crossing} OR {holds(a, b)} OR {holds(b, a)})")
 
-def _signed_rings(part: Column, fx, fy) -> Column:
-    return F.aggregate(
-        F.transform(part, lambda ring, i: F.when(i == 0, F.abs(_ring_area(ring, fx, fy)))
-                    .otherwise(-F.abs(_ring_area(ring, fx, fy)))),
-        d(0), lambda acc, v: acc + v,
-    )
 
+def _signed_area(ring: str, fx, fy) -> str:
+    return (f"(aggregate({ring_segments(ring)}, 0D, (acc, e) -> acc + {fx('e.a')} * {fy('e.b')} "
+            f"- {fx('e.b')} * {fy('e.a')}) / 2D)")
 
-def area_deg2(parts: Column) -> Column:
-    """Planar area in squared degrees."""
-    return F.aggregate(
-        F.transform(parts, lambda part: _signed_rings(part, lambda p: p["x"], lambda p: p["y"])),
-        d(0), lambda acc, v: acc + v,
-    )
 
+def _area(parts: str, fx, fy) -> Column:
+    """Shells minus holes after mapping the coordinates."""
+    ring = f"if(ri = 0, 1D, -1D) * abs({_signed_area('rg', fx, fy)})"
+    return F.expr(
+        f"aggregate(flatten(transform({parts}, pt -> transform(pt, (rg, ri) -> {ring}))), 0D, (tot, v) -> tot + v)")
 
-def area_km2(parts: Column) -> Column:
-    """Area in a cylindrical equal-area projection of the authalic sphere."""
-    def fx(p: Column) -> Column:
-        return F.radians(p["x"]) * d(EARTH_KM)
 
-    def fy(p: Column) -> Column:
-        return F.sin(F.radians(p["y"])) * d(EARTH_KM)
+def area_deg2(parts: str) -> Column:
+    """Planar area in squared degrees."""
+    return _area(parts, lambda p: f"{p}.x", lambda p: f"{p}.y")
 
-    return F.aggregate(
-        F.transform(parts, lambda part: _signed_rings(part, fx, fy)), d(0), lambda acc, v: acc + v
-    )
+
+def area_km2(parts: str) -> Column:
+    """Area in a cylindrical equal-area projection of the authalic sphere."""
+    return _area(parts, lambda p: f"(radians({p}.x) * {EARTH_KM}D)", lambda p: f"(sin(radians({p}.y)) * {EARTH_KM}D)")
 
 
 def box_area_km2(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Closed form of :func:`area_km2` for a lon/lat rectangle."""
+    """Closed form of the area of a lon/lat rectangle."""
     return (
         F.radians(xmax - xmin) * (F.sin(F.radians(ymax)) - F.sin(F.radians(ymin)))
         * d(EARTH_KM) * d(EARTH_KM)
@@ -217,128 +206,58 @@ def overlap_share_box(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.least(F.greatest(F.try_divide(inter, whole), d(0)), d(1))
 
 
-def clip_ring(ring: Column, axis: str, bound: Column, keep_above: bool) -> Column:
+def clip_ring(ring: str, axis: str, bound: str, keep_above: bool) -> str:
     """Cut a closed ring at one axis-parallel line; the result is closed again."""
     other = "y" if axis == "x" else "x"
-
-    def inside(p: Column) -> Column:
-        return (p[axis] >= bound) if keep_above else (p[axis] <= bound)
-
-    def cut(a: Column, b: Column) -> Column:
-        t = (bound - a[axis]) / (b[axis] - a[axis])
-        o = a[other] + t * (b[other] - a[other])
-        return vertex(bound, o) if axis == "x" else vertex(o, bound)
-
-    def edge(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return (
-            F.when(inside(a) & inside(b), F.array(b))
-            .when(inside(a), F.array(cut(a, b)))
-            .when(inside(b), F.array(cut(a, b), b))
-            .otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-        )
-
-    out = F.flatten(F.transform(ring_segments(ring), edge))
-    return F.transform(
-        F.array(out), lambda r: F.when(F.size(r) > 0, F.concat(F.slice(r, -1, 1), r)).otherwise(r)
-    )[0]
-
-
-def clip_parts(parts: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column,
-               axes: str = "xy") -> Column:
+    sign = ">=" if keep_above else "<="
+    at = (f"(e.a.{other} + (({bound}) - e.a.{axis}) / (e.b.{axis} - e.a.{axis}) * (e.b.{other} - e.a.{other}))")
+    cut = f"named_struct('{axis}', ({bound}), '{other}', {at})"
+    cut = cut if axis == "x" else f"named_struct('x', {at}, 'y', ({bound}))"
+    edge = (f"CASE WHEN e.a.{axis} {sign} ({bound}) AND e.b.{axis} {sign} ({bound}) THEN array(e.b) "
+            f"WHEN e.a.{axis} {sign} ({bound}) THEN array({cut}) "
+            f"WHEN e.b.{axis} {sign} ({bound}) THEN array({cut}, e.b) "
+            f"ELSE cast(array() AS array<struct<x:double,y:double>>) END")
+    return (f"transform(array(flatten(transform({ring_segments(ring)}, e -> {edge}))), "
+            f"o -> if(size(o) > 0, concat(slice(o, -1, 1), o), o))[0]")
+
+
+def clip_sql(parts: str, xmin: str, ymin: str, xmax: str, ymax: str, axes: str = "xy") -> str:
     """Polygon parts cut to a rectangle (or a strip along one axis); vanished parts are dropped."""
-    def clip(ring: Column) -> Column:
-        # Each stage is bound once through a one-element array, so the next
-        # stage refers to it by name instead of repeating its expression.
-        def stage(axis: str, bound: Column, above: bool):
-            return lambda r: clip_ring(r, axis, bound, above)
-
-        out = F.array(ring)
-        if "x" in axes:
-            out = F.transform(F.transform(out, stage("x", xmin, True)), stage("x", xmax, False))
-        if "y" in axes:
-            out = F.transform(F.transform(out, stage("y", ymin, True)), stage("y", ymax, False))
-        return out[0]
-
-    def part_rings(part: Column) -> Column:
-        return F.filter(F.transform(part, clip), lambda r, i: (i == 0) | (F.size(r) >= 4))
-
-    return F.filter(F.transform(parts, part_rings), lambda part: F.size(part[0]) >= 4)
-
-
-def _ring_moment(ring: Column) -> Column:
-    """(area, x moment, y moment) of a ring relative to its first vertex, area made positive."""
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    zero = F.struct(d(0).alias("a"), d(0).alias("mx"), d(0).alias("my"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ax, ay = e["a"]["x"] - ox, e["a"]["y"] - oy
-        bx, by = e["b"]["x"] - ox, e["b"]["y"] - oy
-        w = ax * by - bx * ay
-        return F.struct(
-            (acc["a"] + w / d(2)).alias("a"),
-            (acc["mx"] + (ax + bx) * w / d(6)).alias("mx"),
-            (acc["my"] + (ay + by) * w / d(6)).alias("my"),
-        )
-
-    def finish(acc: Column) -> Column:
-        s = F.when(acc["a"] < d(0), d(-1)).otherwise(d(1))
-        return F.struct(
-            (s * acc["a"]).alias("a"),
-            (s * (acc["mx"] + ox * acc["a"])).alias("mx"),
-            (s * (acc["my"] + oy * acc["a"])).alias("my"),
-        )
-
-    return F.aggregate(ring_segments(ring), zero, step, finish)
-
-
-def _polygon_centroid(parts: Column) -> Column:
-    zero = F.struct(d(0).alias("a"), d(0).alias("mx"), d(0).alias("my"))
-
-    def add(acc: Column, m: Column) -> Column:
-        return F.struct(*[(acc[k] + m[k]).alias(k) for k in ("a", "mx", "my")])
-
-    def part_moments(part: Column) -> Column:
-        return F.transform(part, lambda ring, i: F.transform(
-            F.array(_ring_moment(ring)),
-            lambda m: F.struct(*[(m[k] * F.when(i == 0, d(1)).otherwise(d(-1))).alias(k)
-                                 for k in ("a", "mx", "my")]),
-        )[0])
-
-    moments = F.flatten(F.transform(parts, part_moments))
-    return F.aggregate(
-        moments, zero, add,
-        lambda t: vertex(F.try_divide(t["mx"], t["a"]), F.try_divide(t["my"], t["a"])),
-    )
-
+    steps = [("x", xmin, True), ("x", xmax, False)] * ("x" in axes)
+    steps += [("y", ymin, True), ("y", ymax, False)] * ("y" in axes)
+    out = "array(rg)"
+    for i, (axis, bound, above) in enumerate(steps):
+        # Each stage is bound once by its lambda, so text and work grow linearly.
+        out = f"transform({out}, c{i} -> {clip_ring(f'c{i}', axis, bound, above)})"
+    part = f"filter(transform(pt, rg -> {out}[0]), (kr, ki) -> ki = 0 OR size(kr) >= 4)"
+    return f"filter(transform({parts}, pt -> {part}), kp -> size(kp[0]) >= 4)"
 
-def _line_centroid(parts: Column) -> Column:
-    zero = F.struct(d(0).alias("l"), d(0).alias("mx"), d(0).alias("my"))
 
-    def step(acc: Column, e: Column) -> Column:
-        length = F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
-        return F.struct(
-            (acc["l"] + length).alias("l"),
-            (acc["mx"] + length * (e["a"]["x"] + e["b"]["x"]) / d(2)).alias("mx"),
-            (acc["my"] + length * (e["a"]["y"] + e["b"]["y"]) / d(2)).alias("my"),
-        )
+def clip_parts(parts: str, xmin: str, ymin: str, xmax: str, ymax: str, axes: str = "xy") -> Column:
+    return F.expr(clip_sql(parts, xmin, ymin, xmax, ymax, axes))
 
-    return F.aggregate(
-        segments(parts), zero, step,
-        lambda t: vertex(F.try_divide(t["mx"], t["l"]), F.try_divide(t["my"], t["l"])),
-    )
 
-
-def centroid(geom_type: Column, parts: Column) -> Column:
+def centroid(geom_type: str = "geom_type", parts: str = "parts") -> Column:
     """Struct (x, y): area centroid, length-weighted line midpoint, or the point."""
-    first = parts[0][0][0]
-    return (
-        F.when(geom_type == "ST_Point", first)
-        .when(geom_type.isin(*LINES), F.coalesce(
-            F.when(_line_centroid(parts)["x"].isNotNull(), _line_centroid(parts)), first))
-        .when(geom_type.isin(*POLYGONS), F.coalesce(
-            F.when(_polygon_centroid(parts)["x"].isNotNull(), _polygon_centroid(parts)), first))
-    )
+    zero = "named_struct('w', 0D, 'mx', 0D, 'my', 0D)"
+    finish = (f"m -> if(m.w = 0D, {parts}[0][0][0], named_struct('x', m.mx / m.w, 'y', m.my / m.w))")
+    # Ring moments are taken relative to the first vertex to keep digits.
+    w = "((e.a.x - g[0].x) * (e.b.y - g[0].y) - (e.b.x - g[0].x) * (e.a.y - g[0].y))"
+    ring = (f"aggregate({ring_segments('g')}, {zero}, (acc, e) -> named_struct('w', acc.w + {w} / 2D, "
+            f"'mx', acc.mx + (e.a.x + e.b.x - 2D * g[0].x) * {w} / 6D, "
+            f"'my', acc.my + (e.a.y + e.b.y - 2D * g[0].y) * {w} / 6D), "
+            f"r -> named_struct('w', abs(r.w) * k, 'mx', sign(r.w) * k * (r.mx + g[0].x * r.w), "
+            f"'my', sign(r.w) * k * (r.my + g[0].y * r.w)))")
+    moments = (f"flatten(transform({parts}, pt -> transform(pt, (g, gi) -> "
+               f"transform(array(if(gi = 0, 1D, -1D)), k -> {ring})[0])))")
+    total = (f"aggregate({moments}, {zero}, (t, v) -> named_struct('w', t.w + v.w, 'mx', t.mx + v.mx, "
+             f"'my', t.my + v.my), {finish})")
+    length = "hypot(e.b.x - e.a.x, e.b.y - e.a.y)"
+    line = (f"aggregate({segments(parts)}, {zero}, (acc, e) -> named_struct('w', acc.w + {length}, "
+            f"'mx', acc.mx + {length} * (e.a.x + e.b.x) / 2D, 'my', acc.my + {length} * (e.a.y + e.b.y) / 2D), {finish})")
+    return F.expr(
+        f"CASE WHEN {geom_type} = 'ST_Point' THEN {parts}[0][0][0] WHEN {geom_type} LIKE '%LineString' THEN {line} "
+        f"WHEN {geom_type} LIKE '%Polygon' THEN {total} END")
 
 
 def haversine_miles(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -351,63 +270,50 @@ def haversine_miles(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return metres * d(MILES_PER_METRE)
 
 
-def _number(value: Column, digits: int | None) -> Column:
+def _number(value: str, digits: int | None) -> str:
     """Fixed digits without trailing zeros, or the plain double text when None."""
     if digits is None:
-        return value.cast("string")
-    text = F.round(value, digits).cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"\.0$", ""), "^-0$", "0")
-
-
-def to_wkt(geom_type: Column, parts: Column, digits: int | None = None) -> Column:
-    """Well-known text; holes stay separate rings, an unknown type gives ''."""
-    def vert(p: Column) -> Column:
-        return F.concat_ws(" ", _number(p["x"], digits), _number(p["y"], digits))
+        return f"cast({value} AS string)"
+    return (f"regexp_replace(regexp_replace(cast(round({value}, {digits}) AS string), '[.]0$', ''), "
+            f"'^-0$', '0')")
 
-    def ring(r: Column) -> Column:
-        return F.concat(F.lit("("), F.array_join(F.transform(r, vert), ", "), F.lit(")"))
 
-    def part(p: Column) -> Column:
-        return F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
+def _nested(kinds: dict[str, str], geom_type: str) -> str:
+    return "CASE " + " ".join(f"WHEN {geom_type} = '{k}' THEN {v}" for k, v in kinds.items())
 
-    lines = F.transform(parts, lambda p: ring(p[0]))
-    polys = F.transform(parts, part)
-    return (
-        F.when(geom_type == "ST_Point", F.concat(F.lit("POINT "), ring(parts[0][0])))
-        .when(geom_type == "ST_MultiPoint", F.concat(
-            F.lit("MULTIPOINT ("), F.array_join(F.transform(parts, lambda p: vert(p[0][0])), ", "), F.lit(")")))
-        .when(geom_type == "ST_LineString", F.concat(F.lit("LINESTRING "), lines[0]))
-        .when(geom_type == "ST_MultiLineString",
-              F.concat(F.lit("MULTILINESTRING ("), F.array_join(lines, ", "), F.lit(")")))
-        .when(geom_type == "ST_Polygon", F.concat(F.lit("POLYGON "), polys[0]))
-        .when(geom_type == "ST_MultiPolygon",
-              F.concat(F.lit("MULTIPOLYGON ("), F.array_join(polys, ", "), F.lit(")")))
-        .otherwise(F.lit(""))
-    )
 
-
-def to_geojson_geometry(geom_type: Column, parts: Column) -> Column:
+def to_wkt(geom_type: str = "geom_type", parts: str = "parts", digits: int | None = None) -> Column:
+    """Well-known text; holes stay separate rings, an unknown type gives ''."""
+    def joined(array: str, head: str = "(", tail: str = ")") -> str:
+        return f"concat('{head}', array_join({array}, ', '), '{tail}')"
+
+    vert = f"concat({_number('v.x', digits)}, ' ', {_number('v.y', digits)})"
+    ring = joined(f"transform(r, v -> {vert})")
+    lines = f"transform({parts}, p -> transform(slice(p, 1, 1), r -> {ring})[0])"
+    polys = f"transform({parts}, p -> {joined(f'transform(p, r -> {ring})')})"
+    bare = f"transform({parts}, p -> transform(slice(p[0], 1, 1), v -> {vert})[0])"
+    return F.expr(_nested({
+        "ST_Point": joined(bare, "POINT ("), "ST_MultiPoint": joined(bare, "MULTIPOINT ("),
+        "ST_LineString": joined(lines, "LINESTRING ", ""), "ST_MultiLineString": joined(lines, "MULTILINESTRING ("),
+        "ST_Polygon": joined(polys, "POLYGON ", ""), "ST_MultiPolygon": joined(polys, "MULTIPOLYGON ("),
+    }, geom_type) + " ELSE '' END")
+
+
+def to_geojson_geometry(geom_type: str = "geom_type", parts: str = "parts") -> Column:
     """GeoJSON geometry text."""
-    def vert(p: Column) -> Column:
-        return F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))
-
-    def listed(items: Column) -> Column:
-        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    def listed(array: str) -> str:
+        return f"concat('[', array_join({array}, ','), ']')"
 
-    def ring(r: Column) -> Column:
-        return listed(F.transform(r, vert))
-
-    coords = (
-        F.when(geom_type == "ST_Point", vert(parts[0][0][0]))
-        .when(geom_type == "ST_LineString", ring(parts[0][0]))
-        .when(geom_type == "ST_MultiLineString", listed(F.transform(parts, lambda p: ring(p[0]))))
-        .when(geom_type == "ST_Polygon", listed(F.transform(parts[0], ring)))
-        .when(geom_type == "ST_MultiPolygon",
-              listed(F.transform(parts, lambda p: listed(F.transform(p, ring)))))
-    )
-    return F.concat(
-        F.lit('{"type":"'), F.substring(geom_type, 4, 32), F.lit('","coordinates":'), coords, F.lit("}")
-    )
+    vert = "concat('[', cast(v.x AS string), ',', cast(v.y AS string), ']')"
+    ring = listed(f"transform(r, v -> {vert})")
+    lines = f"transform({parts}, p -> transform(slice(p, 1, 1), r -> {ring})[0])"
+    polys = f"transform({parts}, p -> {listed(f'transform(p, r -> {ring})')})"
+    coords = _nested({
+        "ST_Point": f"transform({parts}[0][0], v -> {vert})[0]", "ST_LineString": f"{lines}[0]",
+        "ST_MultiLineString": listed(lines), "ST_Polygon": f"{polys}[0]", "ST_MultiPolygon": listed(polys),
+    }, geom_type) + " END"
+    return F.concat(F.lit('{"type":"'), F.substring(geom_type, 4, 32), F.lit('","coordinates":'),
+                    F.expr(coords), F.lit("}"))
 
 
 def geojson_parts(geometry: Column) -> Column:
@@ -462,11 +368,10 @@ def geojson_valid(feature: Column) -> Column:
     )
 
 
-def display_geometry(geom_type: Column, parts: Column) -> tuple[Column, Column]:
+def display_geometry(geom_type: str = "geom_type", parts: str = "parts") -> tuple[Column, Column]:
     """Centroid in place of the geometry, keeping points and single lines."""
-    keep = geom_type.isin("ST_Point", "ST_LineString")
-    c = centroid(geom_type, parts)
+    keep = F.col(geom_type).isin("ST_Point", "ST_LineString")
     return (
-        F.when(keep, geom_type).otherwise(F.lit("ST_Point")),
-        F.when(keep, parts).otherwise(F.array(F.array(F.array(c)))),
+        F.when(keep, F.col(geom_type)).otherwise(F.lit("ST_Point")),
+        F.when(keep, F.col(parts)).otherwise(F.array(F.array(F.array(centroid(geom_type, parts))))),
     )

@@ -187,13 +187,12 @@ def polygon_cells(polygons: DataFrame, spec: GridSpec, id_col: str = "osm_id") -
     )
     cx0 = geo.d(spec.x0) + (F.col("ix") - geo.d(0.5)) * geo.d(spec.dx)
     cy0 = geo.d(spec.y0) + (F.col("iy") - geo.d(0.5)) * geo.d(spec.dy)
-    cx1, cy1 = cx0 + geo.d(spec.dx), cy0 + geo.d(spec.dy)
-    wide = F.least("xmax", cx1) - F.greatest("xmin", cx0)
-    high = F.least("ymax", cy1) - F.greatest("ymin", cy0)
+    cells = cells.withColumns({"_cx": cx0, "_cy": cy0})
+    wide = F.least(F.col("xmax"), F.col("_cx") + geo.d(spec.dx)) - F.greatest("xmin", "_cx")
+    high = F.least(F.col("ymax"), F.col("_cy") + geo.d(spec.dy)) - F.greatest("ymin", "_cy")
     by_box = F.greatest(wide, geo.d(0)) * F.greatest(high, geo.d(0))
-    by_clip = geo.area_deg2(geo.clip_parts(F.col("parts"), cx0, cy0, cx1, cy1))
-    box = geo.is_box(*[F.col(c) for c in ("geom_type", "parts", "xmin", "ymin", "xmax", "ymax")])
-    weight = F.when(box, by_box).otherwise(by_clip) / geo.d(spec.dx * spec.dy)
+    by_clip = geo.area_deg2(geo.clip_sql("parts", "_cx", "_cy", f"_cx + {spec.dx!r}D", f"_cy + {spec.dy!r}D"))
+    weight = F.when(F.expr(geo.is_box(geo.named())), by_box).otherwise(by_clip) / geo.d(spec.dx * spec.dy)
     return cells.select(id_col, "ix", "iy", weight.alias("weight")).filter("weight > 0")
 
 

@@ -31,27 +31,31 @@ def _cell(v: Column, size: Column | float) -> Column:
 
 def _tiled(df: DataFrame, env: Sequence[str], tile: float) -> DataFrame:
     """One row per covered tile; x and y explode apart so no row holds the full product."""
-    x0, y0, x1, y1 = (F.col(c) for c in env)
-    return (
-        df.withColumn("_tx", F.explode(F.sequence(_cell(x0, tile), _cell(x1, tile))))
-        .withColumn("_ty", F.explode(F.sequence(_cell(y0, tile), _cell(y1, tile))))
-    )
+    def span(low: str, high: str) -> str:
+        return (f"explode(sequence(cast(floor({low} / {float(tile)!r}D) AS bigint), "
+                f"cast(floor({high} / {float(tile)!r}D) AS bigint)))")
 
+    x0, y0, x1, y1 = env
+    return df.selectExpr("*", f"{span(x0, x1)} AS _tx").selectExpr("*", f"{span(y0, y1)} AS _ty")
 
-def _subtiled(df: DataFrame, env: Sequence[str], tile: float, splits: DataFrame) -> DataFrame:
-    x0, y0, x1, y1 = (F.col(c) for c in env)
-    joined = df.join(splits, ["_tx", "_ty"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
 
-    def span(low: Column, high: Column, t: str) -> Column:
-        def index(v: Column) -> Column:
-            raw = F.floor((v / geo.d(tile) - F.col(t)) * F.col("_k")).cast("long")
-            return F.least(F.greatest(raw, F.lit(0).cast("long")), (F.col("_k") - 1).cast("long"))
+def _sub_index(v: str, tile: float, t: str) -> str:
+    """Index of a coordinate inside its tile when the tile is cut into _k slices."""
+    return (f"least(greatest(cast(floor(({v} / {float(tile)!r}D - {t}) * _k) AS bigint), 0L), "
+            f"cast(_k - 1 AS bigint))")
 
-        return F.sequence(index(low), index(high))
 
-    return joined.withColumn("_sx", F.explode(span(x0, x1, "_tx"))).withColumn(
-        "_sy", F.explode(span(y0, y1, "_ty"))
-    )
+def _subtiled(df: DataFrame, env: Sequence[str], tile: float, splits: DataFrame) -> DataFrame:
+    x0, y0, x1, y1 = env
+    own = [c for c in df.columns if c not in ("_tx", "_ty")]
+    joined = df.join(splits, ["_tx", "_ty"], "left").selectExpr(
+        *[f"`{c}`" for c in own], "_tx", "_ty", "coalesce(_k, 1) AS _k")
+
+    def span(low: str, high: str, t: str) -> str:
+        return f"explode(sequence({_sub_index(low, tile, t)}, {_sub_index(high, tile, t)}))"
+
+    return joined.selectExpr("*", f"{span(x0, x1, '_tx')} AS _sx").selectExpr(
+        "*", f"{span(y0, y1, '_ty')} AS _sy")
 
 
 def hot_tiles(left: DataFrame, right: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -87,28 +91,19 @@ def tile_candidates(
         lt = _subtiled(lt, ENVELOPE, tile_deg, splits)
         rt = _subtiled(rt, renv, tile_deg, splits).drop("_k")
         keys += ["_sx", "_sy"]
-    corner_x, corner_y = F.greatest("xmin", "r_xmin"), F.greatest("ymin", "r_ymin")
-    owner = (_cell(corner_x, tile_deg) == F.col("_tx")) & (_cell(corner_y, tile_deg) == F.col("_ty"))
+    corner = {"x": "greatest(xmin, r_xmin)", "y": "greatest(ymin, r_ymin)"}
+    owner = " AND ".join(
+        f"cast(floor({corner[c]} / {float(tile_deg)!r}D) AS bigint) = _t{c}" for c in "xy")
     if split_hot:
-        def sub(v: Column, t: str) -> Column:
-            raw = F.floor((v / geo.d(tile_deg) - F.col(t)) * F.col("_k")).cast("long")
-            return F.least(F.greatest(raw, F.lit(0).cast("long")), (F.col("_k") - 1).cast("long"))
-
-        owner = owner & (sub(corner_x, "_tx") == F.col("_sx")) & (sub(corner_y, "_ty") == F.col("_sy"))
-    overlap = geo.envelopes_overlap(
-        {c: F.col(c) for c in ENVELOPE}, {c: F.col(f"r_{c}") for c in ENVELOPE}
-    )
-    return lt.join(rt, keys).filter(overlap & owner).drop(*_TILE)
-
-
-def _side(prefix: str) -> dict[str, Column]:
-    return {c: F.col(prefix + c) for c in GEOMETRY_COLUMNS}
+        owner += "".join(f" AND {_sub_index(corner[c], tile_deg, '_t' + c)} = _s{c}" for c in "xy")
+    overlap = "xmin <= r_xmax AND r_xmin <= xmax AND ymin <= r_ymax AND r_ymin <= ymax"
+    return lt.join(rt, keys).filter(f"{overlap} AND {owner}").drop(*_TILE)
 
 
 def intersecting(left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True) -> DataFrame:
     """Pairs of geometries that share at least a boundary point."""
     pairs = tile_candidates(left, right, tile_deg, split_hot)
-    return pairs.filter(geo.intersects(_side(""), _side("r_")))
+    return pairs.filter(geo.intersects(geo.named(), geo.named("r_")))
 
 
 def spatial_join(
@@ -125,10 +120,8 @@ def spatial_join(
 def in_boxes(df: DataFrame, boxes: Sequence[tuple[float, float, float, float]]) -> DataFrame:
     """Rows that touch any user box; the boxes are request parameters, so a plain OR suffices."""
     test = F.lit(False)
-    for xmin, ymin, xmax, ymax in boxes:
-        env = {k: geo.d(v) for k, v in zip(ENVELOPE, (xmin, ymin, xmax, ymax))}
-        box = {"geom_type": F.lit("ST_Polygon"), "parts": geo.box_parts(*env.values()), **env}
-        test = test | geo.intersects(_side(""), box)
+    for box in boxes:
+        test = test | geo.intersects(geo.named(), geo.box_sql(*box))
     return df.filter(test)
 
 
@@ -259,8 +252,8 @@ def polygon_overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -
     left polygons are cut to it and measured in equal-area coordinates.
     """
     pairs = tile_candidates(left, right, tile_deg)
-    cut = geo.clip_parts(F.col("parts"), *[F.col(f"r_{c}") for c in ENVELOPE])
-    share = F.try_divide(geo.area_km2(cut), geo.area_km2(F.col("parts")))
+    cut = geo.clip_sql("parts", *[f"r_{c}" for c in ENVELOPE])
+    share = F.try_divide(geo.area_km2(cut), geo.area_km2("parts"))
     return pairs.withColumn("overlap_share", F.least(F.greatest(share, geo.d(0)), geo.d(1))).filter(
         "overlap_share > 0")
 
@@ -275,16 +268,13 @@ def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFra
     limit = max(max_vertices, 8)
 
     def cut(rows: DataFrame, axis: str) -> DataFrame:
-        low, high = F.col(f"{axis}min"), F.col(f"{axis}max")
-        other = "y" if axis == "x" else "x"
-        width = (high - low) / F.col("_k")
+        low, high = f"{axis}min", f"{axis}max"
 
-        def edge(i: Column) -> Column:
-            return F.when(i >= F.col("_k"), high).otherwise(low + width * i)
+        def edge(i: str) -> str:
+            return f"if({i} >= _k, {high}, {low} + ({high} - {low}) / _k * {i})"
 
-        bounds = {f"{axis}min": edge(F.col("_i")), f"{axis}max": edge(F.col("_i") + 1),
-                  f"{other}min": F.lit(None).cast("double"), f"{other}max": F.lit(None).cast("double")}
-        strip = geo.clip_parts(F.col("parts"), *[bounds[c] for c in ENVELOPE], axes=axis)
+        bounds = {c: "NULL" for c in ENVELOPE} | {low: edge("_i"), high: edge("(_i + 1)")}
+        strip = geo.clip_parts("parts", *[bounds[c] for c in ENVELOPE], axes=axis)
         return (
             rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
             .withColumn("parts", F.when(F.col("_k") == 1, F.col("parts")).otherwise(strip))
@@ -305,8 +295,8 @@ def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFra
 
 def collapse_small(df: DataFrame, km2: float = 20.0) -> DataFrame:
     """Polygons below the area threshold become their centroid."""
-    small = F.col("geom_type").isin(*geo.POLYGONS) & (geo.area_km2(F.col("parts")) < km2)
-    c = geo.centroid(F.col("geom_type"), F.col("parts"))
+    small = F.col("geom_type").isin(*geo.POLYGONS) & (geo.area_km2("parts") < km2)
+    c = geo.centroid()
     flagged = df.withColumn("_c", F.when(small, c))
     hit = F.col("_c").isNotNull()
     return flagged.withColumns({

@@ -132,13 +132,13 @@ def asset_query(q: AssetQuery, assets: DataFrame, tags: DataFrame, places: DataF
         rows = rows.join(chosen.select("osm_id"), "osm_id", "left_semi")
     if q.admin:
         rows = admin_names(rows, places, wanted=q.admin, city_type_only=q.city_type_only)
-    c = geo.centroid(F.col("geom_type"), F.col("parts"))
+    c = geo.centroid()
     rows = rows.withColumn("_c", c).withColumns({
-        "geometry_wkt": geo.to_wkt(F.col("geom_type"), F.col("parts"), 3),
+        "geometry_wkt": geo.to_wkt(digits=3),
         "longitude": F.col("_c.x"), "latitude": F.col("_c.y"),
     }).drop("_c", *spatial.ENVELOPE)
     if q.centroid:
-        kind, parts = geo.display_geometry(F.col("geom_type"), F.col("parts"))
+        kind, parts = geo.display_geometry()
         rows = rows.withColumns({"geom_type": kind, "parts": parts})
     if chosen is not None:
         rows = rows.join(chosen, "osm_id")
@@ -186,7 +186,7 @@ def features(rows: DataFrame) -> DataFrame:
         "osm_id",
         F.concat(
             F.lit('{"type":"Feature","geometry":'),
-            geo.to_geojson_geometry(F.col("geom_type"), F.col("parts")),
+            geo.to_geojson_geometry(),
             F.lit(',"properties":'), F.to_json(F.struct(*props), {"ignoreNullFields": "false"}), F.lit("}"),
         ).alias("feature"),
     )

@@ -182,7 +182,7 @@ def line_asset_report(
         F.max("burn_probability").alias("burn_probability"))
     fw = sample_points(weather, vertices, weather_spec).groupBy("osm_id", "decade", "month").agg(
         F.avg("ensemble_mean").alias("ensemble_mean"))
-    c = geo.centroid(F.col("geom_type"), F.col("parts"))
+    c = geo.centroid()
     middles = near.withColumn("_c", c).select("osm_id", F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"))
     fire = spatial.nearest(middles, fires, "osm_id", "fire_id")
     return left_chain(near.select("osm_id"), [

@@ -60,7 +60,7 @@ def csv_columns(columns: Sequence[str]) -> list[str]:
 
 def csv_table(rows: DataFrame) -> DataFrame:
     if {"geom_type", "parts"} <= set(rows.columns):
-        rows = rows.withColumn("geometry_wkt", geo.to_wkt(F.col("geom_type"), F.col("parts")))
+        rows = rows.withColumn("geometry_wkt", geo.to_wkt())
     complex_types = {f.name for f in rows.schema.fields
                      if f.dataType.typeName() in ("array", "map", "struct") and f.name not in ("parts",)}
     return rows.select(*[
