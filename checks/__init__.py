@@ -1 +1 @@
-MODULES = ("views", "groups", "grids", "climates", "tag_rules", "shapes_ops", "requests")
+MODULES = ("views", "groups", "grids", "climates", "tag_rules", "shapes_ops", "requests", "feeds")

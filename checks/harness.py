@@ -32,13 +32,22 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in RAW:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = self._spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             elif name in DOMAIN:
                 self._made[name] = self.sql(DOMAIN[name])
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Give a table of fewer files than cores to all cores; others stay as they are.
+
+        The small test tables are one row group each, which would keep the
+        following stage in one task.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in references(text)})
 

@@ -144,19 +144,29 @@ def box_sql(xmin: float, ymin: float, xmax: float, ymax: float) -> dict[str, str
             "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
 
-def intersects(a: dict[str, str], b: dict[str, str]) -> Column:
-    """Closed intersection test of two geometries given as in :func:`named`."""
+def intersects(a: dict[str, str], b: dict[str, str], boxes: str | None = None) -> Column:
+    """Closed intersection test of two geometries given as in :func:`named`.
+
+    ``boxes`` is a condition known to hold only if both are their own envelopes.
+    """
     def holds(outer: dict[str, str], inner: dict[str, str]) -> str:
         inside = in_polygon("cp[0][0].x", "cp[0][0].y", outer["parts"])
         return f"({outer['geom_type']} LIKE '%Polygon' AND exists({inner['parts']}, cp -> {inside}))"
 
     overlap = (f"{a['xmin']} <= {b['xmax']} AND {b['xmin']} <= {a['xmax']} "
                f"AND {a['ymin']} <= {b['ymax']} AND {b['ymin']} <= {a['ymax']}")
+
+    def near(shape: dict[str, str], other: dict[str, str]) -> str:
+        """Segments that reach the other envelope; only they can cross."""
+        return (f"filter({segments(shape['parts'])}, n -> greatest(n.a.x, n.b.x) >= {other['xmin']} "
+                f"AND least(n.a.x, n.b.x) <= {other['xmax']} AND greatest(n.a.y, n.b.y) >= {other['ymin']} "
+                f"AND least(n.a.y, n.b.y) <= {other['ymax']})")
+
     # The second segment list is bound once, outside the loop over the first.
-    crossing = (f"exists(array({segments(b['parts'])}), sb -> exists({segments(a['parts'])}, "
+    crossing = (f"exists(array({near(b, a)}), sb -> exists({near(a, b)}, "
                 f"s -> exists(sb, t -> {_CROSS})))")
-    return F.expr(
-        f"{overlap} AND (({is_box(a)} AND {is_box(b)}) OR {crossing} OR {holds(a, b)} OR {holds(b, a)})")
+    boxes = boxes or f"({is_box(a)} AND {is_box(b)})"
+    return F.expr(f"{overlap} AND ({boxes} OR {crossing} OR {holds(a, b)} OR {holds(b, a)})")
 
 
 def _signed_area(ring: str, fx, fy) -> str:

@@ -144,6 +144,19 @@ def codes_for_block(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 
 # ------------------------------------------------------------ drought quantile
 
+def _gamma_ratio_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) for a > 100 by the uniform expansion (DLMF 8.12), two terms."""
+    mu = x / a - 1.0
+    with np.errstate(all="ignore"):
+        eta = np.sign(mu) * np.sqrt(np.maximum(2.0 * (mu - np.log1p(mu)), 0.0))
+        c0 = np.where(np.abs(eta) < 0.02, -1.0 / 3.0 + eta / 12.0 - 2.0 * eta**2 / 135.0 + eta**3 / 864.0,
+                      1.0 / mu - 1.0 / eta)
+        c1 = np.where(np.abs(eta) < 0.02, -1.0 / 540.0 - eta / 288.0 + eta**2 / 378.0,
+                      1.0 / eta**3 - 1.0 / mu**3 - 1.0 / mu**2 - 1.0 / (12.0 * mu))
+        rest = np.exp(-0.5 * a * eta**2) / np.sqrt(2.0 * np.pi * a) * (c0 + c1 / a)
+    return np.clip(1.0 - normal_cdf(-eta * np.sqrt(a)) - rest, 0.0, 1.0)
+
+
 def lower_gamma_ratio(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma P(a, x)."""
     from math import lgamma
@@ -152,7 +165,10 @@ def lower_gamma_ratio(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.full(a.shape, np.nan)
     good = np.isfinite(a) & np.isfinite(x) & (a > 0)
     out[good & (x <= 0)] = 0.0
-    todo = good & (x > 0)
+    large = good & (x > 0) & (a > 100)
+    if large.any():
+        out[large] = _gamma_ratio_large(a[large], x[large])
+    todo = good & (x > 0) & (a <= 100)
     if not todo.any():
         return out
     aa, xx = a[todo], x[todo]

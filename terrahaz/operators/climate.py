@@ -281,42 +281,71 @@ def pearson3_parameters(moments: DataFrame) -> DataFrame:
     )
 
 
+def _with_drought_parameters(scaled: DataFrame, keys: Sequence[str], first: int, last: int,
+                             value: str) -> DataFrame:
+    """Every month with the Pearson III parameters of its cell and calendar month.
+
+    All windows partition by the cell (or the cell and month within it), so the
+    whole chain runs on one exchange by cell and needs no join. A window spans
+    one cell's calendar, at most a few thousand months.
+    """
+    year, v = F.year("month_start"), F.col(value)
+    cell = Window.partitionBy(*keys)
+    group = Window.partitionBy(*keys, "month")
+    rows = scaled.repartition(*keys).withColumns({
+        "month": F.month("month_start").cast("int"),
+        "_whole": (F.min(year).over(cell) > first) | (F.max(year).over(cell) + 1 < last),
+    }).withColumn("_cal", (F.col("_whole") | year.between(first, last)) & v.isNotNull())
+    cal = F.col("_cal")
+    rows = rows.withColumns({
+        "n": F.count_if(cal).over(group),
+        "_zeros": F.count_if(cal & (v == 0)).over(group),
+        "_j": F.row_number().over(Window.partitionBy(*keys, "month", "_cal").orderBy(value)) - lit(1),
+    })
+    n, j = F.col("n"), F.col("_j")
+
+    def mean(weight: Column) -> Column:
+        return F.avg(F.when(cal, v * weight)).over(group)
+
+    rows = rows.withColumns({
+        "_b0": mean(lit(1)),
+        "_b1": mean(F.try_divide(j, n - lit(1))),
+        "_b2": mean(F.try_divide(j * (j - lit(1)), (n - lit(1)) * (n - lit(2)))),
+    })
+    b0, b1, b2 = F.col("_b0"), F.col("_b1"), F.col("_b2")
+    l2 = lit(2) * b1 - b0
+    usable = n - F.col("_zeros") >= 4
+    rows = rows.withColumns({
+        "p_zero": F.when(usable, F.col("_zeros") / n), "l1": F.when(usable, b0), "l2": F.when(usable, l2),
+        "t3": F.when(usable, F.try_divide(lit(6) * b2 - lit(6) * b1 + b0, l2)),
+    }).drop("_whole", "_cal", "_zeros", "_j", "_b0", "_b1", "_b2")
+    return pearson3_parameters(rows)
+
+
 def drought_parameters(scaled: DataFrame, keys: Sequence[str], first: int, last: int,
                        value: str = "scaled") -> DataFrame:
     """Probability of zero and Pearson III parameters per cell and calendar month.
 
     Years first..last calibrate; a cell whose record does not cover them uses its
-    whole record.
+    whole record. Months with fewer than four non-zero values have none.
     """
-    year = F.year("month_start")
-    w = Window.partitionBy(*keys)
-    rows = scaled.withColumns({
-        "month": F.month("month_start").cast("int"),
-        "_whole": (F.min(year).over(w) > first) | (F.max(year).over(w) + 1 < last),
-    }).filter((F.col("_whole") | year.between(first, last)) & F.col(value).isNotNull())
-    group = [*keys, "month"]
-    zeros = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(value) == 0).alias("_z"))
-    fitted = pearson3_parameters(l_moments(rows.select(*group, value), group, value))
-    return zeros.join(fitted, group).filter(F.col("_n") - F.col("_z") >= 4).select(
-        *group, (F.col("_z") / F.col("_n")).alias("p_zero"), "n", "l1", "l2", "t3", "loc", "scale", "skew")
+    rows = _with_drought_parameters(scaled, keys, first, last, value).filter(F.col("l1").isNotNull())
+    names = ["p_zero", "n", "l1", "l2", "t3", "loc", "scale", "skew"]
+    return rows.groupBy(*keys, "month").agg(*[F.max(c).alias(c) for c in names])
 
 
 def spei(daily: DataFrame, keys: Sequence[str], scale: int, first: int, last: int,
          min_months: int = 60) -> DataFrame:
     """Monthly SPEI per cell. ``daily`` carries pr and pet over the joined record."""
     monthly = water_balance(daily, keys)
-    scaled = sliding_sum(monthly, keys, "balance", scale)
-    enough = monthly.filter(F.year("month_start").between(first, last)).groupBy(*keys).agg(
-        F.count("pr").alias("_m")).filter(F.col("_m") >= min_months).select(*keys)
-    params = drought_parameters(scaled, keys, first, last).join(enough, list(keys), "left_semi")
+    counted = F.count(F.when(F.year("month_start").between(first, last), F.col("pr"))).over(
+        Window.partitionBy(*keys))
+    scaled = sliding_sum(monthly.withColumn("_months", counted), keys, "balance", scale)
+    fitted = _with_drought_parameters(scaled, keys, first, last, "scaled")
     score = kernels.spei_score_udf()
-    return (
-        scaled.withColumn("month", F.month("month_start").cast("int"))
-        .join(params, [*keys, "month"], "left")
-        .withColumn("spei", score("scaled", "p_zero", "loc", "scale", "skew"))
-        .select(*keys, "month_start", "scaled", "spei")
-    )
+    value = F.when(F.col("_months") >= min_months, F.col("scaled"))
+    return fitted.withColumn("spei", score(value, "p_zero", "loc", "scale", "skew")).select(
+        *keys, "month_start", "scaled", "spei")
 
 
 def monthly_onto_days(monthly: DataFrame, days: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -102,8 +102,11 @@ def tile_candidates(
 
 def intersecting(left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True) -> DataFrame:
     """Pairs of geometries that share at least a boundary point."""
-    pairs = tile_candidates(left, right, tile_deg, split_hot)
-    return pairs.filter(geo.intersects(geo.named(), geo.named("r_")))
+    # Whether a row is its own envelope is decided once per row, not once per pair.
+    box = F.expr(geo.is_box(geo.named()))
+    pairs = tile_candidates(left.withColumn("_box", box), right.withColumn("_box", box), tile_deg, split_hot)
+    exact = geo.intersects(geo.named(), geo.named("r_"), "(_box AND r__box)")
+    return pairs.filter(exact).drop("_box", "r__box")
 
 
 def spatial_join(

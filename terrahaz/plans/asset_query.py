@@ -218,3 +218,19 @@ def flood_risk_class(rows: DataFrame) -> DataFrame:
 
 def metadata_lookup(table: DataFrame, variable: str, ssp: int) -> DataFrame:
     return table.filter((F.col("variable") == variable) & (F.col("ssp") == ssp)).select("metadata").distinct()
+
+
+# Fixed value: largest area a download may cover.
+MAX_DOWNLOAD_KM2 = 1000.0
+
+
+def downloadable(boxes: DataFrame, keys: list[str], limit: float = MAX_DOWNLOAD_KM2) -> DataFrame:
+    """Total approximate area of the boxes of each request and whether it may be downloaded."""
+    area = geo.approx_box_km2(*[F.col(c) for c in spatial.ENVELOPE])
+    return boxes.groupBy(*keys).agg(F.sum(area).alias("area_km2")).withColumn(
+        "allowed", (F.col("area_km2") > 0) & (F.col("area_km2") <= limit))
+
+
+def asset_scan(unexposed: DataFrame) -> DataFrame:
+    """Un-exposed ids with their geometry as text."""
+    return unexposed.select("osm_id", geo.to_wkt().alias("geometry"))

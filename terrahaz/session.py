@@ -11,6 +11,9 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Geometry and per-cell work costs far more per byte than a scan: keep small
+    # shuffles spread over the cores instead of coalescing them by size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -37,7 +37,8 @@ def _walk_codes(names: list[str]) -> Callable:
         last, codes = "", [kernels.START[c] for c in kernels.START]
         if state.exists:
             last, *codes = state.get
-        rows = pd.concat(list(frames)).sort_values("date")
+        rows = pd.concat([f for f in frames if len(f)])
+        rows = rows.sort_values(["date", "tasmax", "pr", "hurs", "sfcwind"])
         rows = rows[rows["date"].astype(str) > last].drop_duplicates("date")
         if rows.empty:
             return
@@ -98,3 +99,23 @@ def exposure_stream(assets: DataFrame, table: str, expose: Callable[[DataFrame],
         append_new(expose(fresh), table, key)
 
     return assets.writeStream.foreachBatch(handle)
+
+
+def shared_folder(spark, name: str) -> str:
+    """A fresh folder under the cluster's checkpoint folder, or a temporary one in tests."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root}/{name}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def drain_to_table(stream: DataFrame, folder: str, schema=None) -> DataFrame:
+    """Run a stream over what is available now into a Parquet table and read it back."""
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/table")
+        .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(schema or stream.schema).parquet(f"{folder}/table")
