@@ -98,8 +98,7 @@ def sql_pool(groups, named_only: bool) -> str:
 
 
 def pool(t: Tables, groups=G.ACTIVE_GROUPS, named_only: bool = True):
-    made = {g: G.asset_group(g, features(t), tags(t)) for g in groups}
-    return G.all_groups(made, named_only)
+    return G.asset_pool(G.asset_groups(groups, features(t), tags(t)), named_only)
 
 
 # Exposure tables cover the parts sold in some month or of some type; the rest is un-exposed.

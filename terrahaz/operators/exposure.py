@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from terrahaz.functions import geometry as geo
 from terrahaz.functions import values as V
 from terrahaz.operators import spatial
-from terrahaz.operators.grid import GridSpec, sample_points, zonal_stats
-from terrahaz.operators.relational import first_per, union_all
+from terrahaz.operators.grid import GridSpec, polygon_cells
+from terrahaz.operators.relational import first_per
 
 
 def line_aggregate(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,22 +24,48 @@ def line_aggregate(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
                                         for s in V.STATISTICS])
 
 
+def _weighted_mean(v: str):
+    return F.try_divide(F.sum(F.col(v) * F.col("weight")), F.sum(F.when(F.col(v).isNotNull(), F.col("weight"))))
+
+
+# How sampled line vertices combine per statistic; others take the mean.
+LINE_RULES = {"ensemble_min": F.min, "ensemble_q1": F.min, "ensemble_max": F.max, "ensemble_q3": F.max}
+
+
 def zonal_by_kind(grid: DataFrame, assets: DataFrame, spec: GridSpec, time_keys: Sequence[str],
                   values: Sequence[str] = V.ENSEMBLE_COLUMNS, method: str = "mean",
                   tolerance: float = 0.0) -> DataFrame:
-    """Dispatch assets by geometry kind: points sample, lines sample and aggregate, polygons weigh."""
-    points = assets.filter(F.col("geom_type") == "ST_Point").select(
-        "osm_id", F.col("xmin").alias("lon"), F.col("ymin").alias("lat"))
-    by_point = sample_points(grid, points, spec).select("osm_id", *time_keys, *values)
-    vertices = spatial.line_vertices(assets.select("osm_id", *spatial.GEOMETRY_COLUMNS), tolerance)
-    sampled = sample_points(grid, vertices, spec)
-    if set(values) == set(V.ENSEMBLE_COLUMNS):
-        by_line = line_aggregate(sampled, ["osm_id", *time_keys])
-    else:
-        by_line = sampled.groupBy("osm_id", *time_keys).agg(*[F.avg(v).alias(v) for v in values])
-    polygons = assets.filter(F.col("geom_type").isin(*geo.POLYGONS))
-    by_area = zonal_stats(grid, polygons, spec, values, time_keys, method)
-    return union_all([by_point, by_line, by_area])
+    """Exposure by geometry kind: points sample, lines sample and combine, polygons weigh.
+
+    An asset inside one grid cell takes the values of that cell whatever its kind,
+    so it needs the join only; that is nearly every asset, and its rows (assets x
+    time keys, the bulk of the output) are not shuffled again. Assets over several
+    cells become (id, cell, weight) lists, meet the grid in one join and are
+    aggregated together.
+    """
+    if method not in ("mean", "max"):
+        raise ValueError(f"unknown zonal method {method!r}")
+    keyed = spec.keyed(grid).select("ix", "iy", *time_keys, *values)
+    ix0, iy0 = spec.index(F.col("xmin"), F.col("ymin"))
+    ix1, iy1 = spec.index(F.col("xmax"), F.col("ymax"))
+    is_polygon = F.col("geom_type").isin(*geo.POLYGONS)
+    has_area = (F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin"))
+    one_cell = (ix0 == ix1) & (iy0 == iy1) & (~is_polygon | (has_area & spec.covers(
+        F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))))
+    placed = assets.select("osm_id", *spatial.GEOMETRY_COLUMNS, one_cell.alias("_one"), ix0.alias("ix"), iy0.alias("iy"))
+    single = placed.filter("_one").select("osm_id", "ix", "iy").join(keyed, ["ix", "iy"]).select(
+        "osm_id", *time_keys, *values)
+    spread = placed.filter(~F.col("_one")).drop("_one", "ix", "iy")
+    vertices = spatial.line_vertices(spread, tolerance)
+    vx, vy = spec.index(F.col("lon"), F.col("lat"))
+    line_cells = vertices.groupBy("osm_id", vx.alias("ix"), vy.alias("iy")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")).withColumn("_line", F.lit(True))
+    area_cells = polygon_cells(spread.filter(is_polygon), spec).withColumn("_line", F.lit(False))
+    met = line_cells.unionByName(area_cells).join(keyed, ["ix", "iy"])
+    whole = _weighted_mean if method == "mean" else F.max
+    combined = met.groupBy("osm_id", "_line", *time_keys).agg(*[
+        F.when(F.col("_line"), LINE_RULES.get(v, _weighted_mean)(v)).otherwise(whole(v)).alias(v) for v in values])
+    return single.unionByName(combined.drop("_line"))
 
 
 @dataclass(frozen=True)

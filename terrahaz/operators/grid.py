@@ -151,6 +151,12 @@ class GridSpec:
 
         return near(lon, self.x0, self.dx, self.nx), near(lat, self.y0, self.dy, self.ny)
 
+    def covers(self, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+        """The envelope lies inside the outline of the grid."""
+        left, low = self.x0 - self.dx / 2, self.y0 - self.dy / 2
+        return ((xmin >= geo.d(left)) & (xmax <= geo.d(left + self.dx * self.nx))
+                & (ymin >= geo.d(low)) & (ymax <= geo.d(low + self.dy * self.ny)))
+
     def keyed(self, grid: DataFrame) -> DataFrame:
         ix, iy = self.index(F.col("lon"), F.col("lat"))
         return grid.withColumns({"ix": ix, "iy": iy})

@@ -297,19 +297,19 @@ def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFra
 
 
 def collapse_small(df: DataFrame, km2: float = 20.0) -> DataFrame:
-    """Polygons below the area threshold become their centroid."""
-    small = F.col("geom_type").isin(*geo.POLYGONS) & (geo.area_km2("parts") < km2)
-    c = geo.centroid()
-    flagged = df.withColumn("_c", F.when(small, c))
-    hit = F.col("_c").isNotNull()
-    return flagged.withColumns({
-        "geom_type": F.when(hit, F.lit("ST_Point")).otherwise(F.col("geom_type")),
-        "parts": F.when(hit, F.array(F.array(F.array("_c")))).otherwise(F.col("parts")),
-        "xmin": F.when(hit, F.col("_c.x")).otherwise(F.col("xmin")),
-        "xmax": F.when(hit, F.col("_c.x")).otherwise(F.col("xmax")),
-        "ymin": F.when(hit, F.col("_c.y")).otherwise(F.col("ymin")),
-        "ymax": F.when(hit, F.col("_c.y")).otherwise(F.col("ymax")),
-    }).drop("_c")
+    """Polygons below the area threshold become their centroid.
+
+    The generator binds the centroid once per row; as a plain projection it would
+    be copied into every filter that later reads the envelope.
+    """
+    rest = [f"`{c}`" for c in df.columns if c not in GEOMETRY_COLUMNS]
+    point = ("named_struct('geom_type', 'ST_Point', 'parts', array(array(array(c))), "
+             "'xmin', c.x, 'ymin', c.y, 'xmax', c.x, 'ymax', c.y)")
+    same = "named_struct(" + ", ".join(f"'{c}', {c}" for c in GEOMETRY_COLUMNS) + ")"
+    found = df.withColumn("_c", F.when(
+        F.col("geom_type").isin(*geo.POLYGONS) & (geo.area_km2("parts") < km2), geo.centroid()))
+    return found.selectExpr(
+        *rest, f"inline(transform(array(_c), c -> if(c IS NULL, {same}, {point})))").select(*df.columns)
 
 
 def line_vertices(df: DataFrame, tolerance: float = 0.0, dedup: bool = False) -> DataFrame:

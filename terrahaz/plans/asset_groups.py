@@ -103,36 +103,46 @@ GROUPS: dict[str, AssetGroup] = {
 ACTIVE_GROUPS = ("power_grid", "data_center", "administrative", "agriculture", "commercial_real_estate")
 
 
-def asset_group(name: str, features: DataFrame, tags: DataFrame) -> DataFrame:
-    """Build one asset group. ``tags``: osm_id, tags map.
+def asset_groups(names: Sequence[str], features: DataFrame, tags: DataFrame) -> DataFrame:
+    """Several asset groups in one pass over the layers and tags (column ``asset_group``).
 
-    Among branches that hold the same id the earliest wins, then type, subtype
-    and geometry text order, so the result does not depend on partitioning.
+    Among branches of a group that hold the same id the earliest wins, then type,
+    subtype and geometry order, so the result does not depend on partitioning.
     """
-    group = GROUPS[name]
-    layers = sorted({layer for b in group.branches for layer in b.layers})
-    how = "inner" if all(b.needs_tags for b in group.branches) else "left"
-    joined = features.filter(F.col("layer").isin(*layers)).join(tags, "osm_id", how)
+    branches = [(g, rank, b) for g in names for rank, b in enumerate(GROUPS[g].branches)]
+    layers = sorted({layer for _, _, b in branches for layer in b.layers})
+    how = "inner" if all(b.needs_tags for _, _, b in branches) else "left"
+    joined = features.filter(F.col("layer").isin(*layers)).join(tags.select("osm_id", "tags"), "osm_id", how)
     t = F.col("tags")
     choices = []
-    for rank, b in enumerate(group.branches):
+    for g, rank, b in branches:
         subtype = F.lit(b.osm_subtype) if b.osm_subtype else (
             tag(t, b.subtype_tag) if b.subtype_tag else F.col("osm_subtype"))
         hit = F.col("layer").isin(*b.layers) & b.where(t)
         if b.needs_tags:
             hit = hit & t.isNotNull()
         choices.append(F.when(hit, F.struct(
-            F.lit(rank).alias("rank"),
+            F.lit(g).alias("asset_group"), F.lit(rank).alias("rank"),
             (F.lit(b.osm_type) if b.osm_type else F.col("osm_type")).alias("osm_type"),
             subtype.alias("osm_subtype"))))
-    matched = joined.withColumn("_b", F.explode(F.array_compact(F.array(*choices))))
-    columns = ["osm_id", "osm_type", "osm_subtype", *group.extra, *GEOMETRY_COLUMNS, "tags"]
-    labelled = matched.withColumns({
-        "osm_type": F.col("_b.osm_type"), "osm_subtype": F.col("_b.osm_subtype"), "_rank": F.col("_b.rank"),
-    }).select("_rank", *columns)
-    order = ["_rank", "osm_type", "osm_subtype", "geom_type", "xmin", "ymin", "xmax", "ymax",
-             F.col("parts")]
-    return first_per(labelled, ["osm_id"], order).drop("_rank")
+    extra = list(dict.fromkeys(c for g in names for c in GROUPS[g].extra))
+    matched = joined.withColumn("_b", F.explode(F.array_compact(F.array(*choices)))).select(
+        "_b.asset_group", F.col("_b.rank").alias("_rank"), "osm_id", "_b.osm_type", "_b.osm_subtype",
+        *extra, *GEOMETRY_COLUMNS, "tags")
+    order = ["_rank", "osm_type", "osm_subtype", "geom_type", "xmin", "ymin", "xmax", "ymax", "parts"]
+    return first_per(matched, ["asset_group", "osm_id"], order).drop("_rank")
+
+
+def asset_group(name: str, features: DataFrame, tags: DataFrame) -> DataFrame:
+    """One asset group."""
+    return asset_groups([name], features, tags).drop("asset_group")
+
+
+def asset_pool(groups: DataFrame, named_commercial_only: bool = True) -> DataFrame:
+    """Geometries of the long group table; unnamed commercial rows stay out if asked."""
+    if named_commercial_only:
+        groups = groups.filter((F.col("asset_group") != "commercial_real_estate") | F.col("osm_subtype").isNotNull())
+    return groups.select("osm_id", *GEOMETRY_COLUMNS)
 
 
 def all_groups(groups: dict[str, DataFrame], named_commercial_only: bool = True) -> DataFrame:
