@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.harness import Tables, check
+from checks.recurrence import codes_sql
 from checks.rounding import r6
 from terrahaz.operators import climate as C
 from terrahaz.operators import grid as G
@@ -161,15 +162,26 @@ def fire_weather_indices(t: Tables):
     return r6(C.with_indices(codes).select(*CELL, "date", "isi", "bui", "fwi"), ["isi", "bui", "fwi"])
 
 
-@check("fire_weather_recurrence")
+SERIES = "model, scenario, member, lat, lon"
+CODES = "WITH RECURSIVE " + codes_sql(SERIES, f"SELECT {SERIES}, date, tasmax, pr, hurs, sfcwind FROM {{fx_grid}}")
+
+
+@check("fire_weather_recurrence", CODES + f"""
+SELECT {SERIES}, date, round(ffmc, 5) AS ffmc, round(dmc, 5) AS dmc, round(dc, 5) AS dc FROM codes WHERE rn > 0
+""")
 def fire_weather_recurrence(t: Tables):
-    return C.fwi(t.fx_grid, block_deg=10.0)
+    out = C.fwi(t.fx_grid, block_deg=10.0)
+    return r6(out.select(*C.SERIES, "lat", "lon", "date", "ffmc", "dmc", "dc"), ["ffmc", "dmc", "dc"], 5)
 
 
-@check("fire_weather_last_state")
+@check("fire_weather_last_state", CODES + f"""
+SELECT {SERIES}, cast(year(date) AS int) AS year, round(ffmc, 5) AS ffmc, round(dmc, 5) AS dmc, round(dc, 5) AS dc FROM (
+  SELECT *, row_number() OVER (PARTITION BY {SERIES}, year(date) ORDER BY date DESC) AS pick FROM codes WHERE rn > 0) q WHERE pick = 1
+""")
 def fire_weather_last_state(t: Tables):
     codes = C.moisture_codes(t.fx_grid, block_deg=10.0)
-    return C.last_state(codes, [*C.SERIES, "lat", "lon"])
+    return r6(C.last_state(codes, [*C.SERIES, "lat", "lon"]).withColumn("year", F.col("year").cast("int")),
+              ["ffmc", "dmc", "dc"], 5)
 
 
 @check("last_state_per_year", """
@@ -218,19 +230,34 @@ def water_balance_sliding_sum(t: Tables):
     return r6(_scaled(t).select("lat", "lon", "month_start", "scaled"), ["scaled"], 5)
 
 
-@check("drought_l_moments", f"""
-WITH {SCALED}, cal AS (
+CALIBRATED = SCALED + f""", cal AS (
   SELECT lat, lon, cast(month(month_start) AS int) AS month, scaled FROM (
     SELECT *, min(year(month_start)) OVER (PARTITION BY lat, lon) AS y0, max(year(month_start)) OVER (PARTITION BY lat, lon) AS y1
     FROM scaled) q WHERE scaled IS NOT NULL AND (y0 > 1995 OR y1 + 1 < 2000 OR year(month_start) BETWEEN 1995 AND 2000)),
 {moments_sql('cal', 'lat, lon, month', 'scaled')}
-SELECT lat, lon, month, n, round(l1, 4) AS l1, round(l2, 4) AS l2, round(t3, 4) AS t3 FROM moments WHERE n >= 4
+"""
+
+
+@check("drought_l_moments", f"""
+WITH {CALIBRATED} SELECT lat, lon, month, n, round(l1, 4) AS l1, round(l2, 4) AS l2, round(t3, 4) AS t3 FROM moments WHERE n >= 4
 """)
 def drought_l_moments(t: Tables):
     params = C.drought_parameters(_scaled(t), ["lat", "lon"], 1995, 2000)
     return r6(params.select("lat", "lon", "month", "n", "l1", "l2", "t3"), ["l1", "l2", "t3"], 4)
 
 
+@check("drought_parameters", f"""
+WITH {CALIBRATED}, f AS (SELECT *, CASE WHEN abs(t3) < 0.333333333e0 THEN (1e0 + 0.2906e0 * tl) / (tl * (1e0 + tl * (0.1882e0 + tl * 0.0442e0)))
+    ELSE th * (0.36067e0 + th * (-0.59567e0 + th * 0.25361e0)) / (1e0 + th * (-2.78861e0 + th * (2.56096e0 + th * -0.77045e0))) END AS a
+  FROM (SELECT *, pi() * 3e0 * t3 * t3 AS tl, 1e0 - abs(t3) AS th FROM moments WHERE n >= 4 AND l2 > 0 AND abs(t3) > 1e-3) m)
+SELECT lat, lon, month, 0e0 AS p_zero, round(l1, 3) AS loc, round(sqrt(pi()) * l2 * exp(lgamma(a) - lgamma(a + 0.5e0)) * sqrt(a), 3) AS scale,
+       round(CASE WHEN t3 < 0 THEN -2e0 ELSE 2e0 END / sqrt(a), 3) AS skew FROM f
+""")
+def drought_parameters(t: Tables):
+    params = C.drought_parameters(_scaled(t), ["lat", "lon"], 1995, 2000).filter("abs(t3) > 1e-3")
+    return r6(params.select("lat", "lon", "month", "p_zero", "loc", "scale", "skew"), ["loc", "scale", "skew"], 3)
+
+
 @check("spei_three_months")
 def spei_three_months(t: Tables):
     return C.spei(C.pet_hargreaves(t.fx_cell_daily), ["lat", "lon"], 3, 1995, 2000)

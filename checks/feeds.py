@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.groups import SQL_GROUPS, pick
 from checks.harness import Tables, check
+from checks.recurrence import codes_sql
 from checks.rounding import r6
 from checks.requests import features, tags
 from terrahaz.functions.values import STATISTICS
@@ -30,7 +31,18 @@ def stream_monthly_mean(t: Tables):
     return r6(out.withColumn("month_start", F.col("month_start").cast("date")), ["pr"])
 
 
-@check("stream_fire_weather")
+FEED = """
+SELECT 'm' AS model, lat, lon, date, tasmax, pr, hurs, sfcwind FROM (
+ SELECT *, row_number() OVER (PARTITION BY lat, lon, date ORDER BY tasmax, pr, hurs, sfcwind) AS k FROM (
+  SELECT floor(l_suppkey / 40) * 0.25e0 + 20e0 AS lat, (l_suppkey % 40) * 0.25e0 - 125e0 AS lon, cast(l_shipdate AS date) AS date,
+    cast(cast(floor(l_extendedprice) AS bigint) % 30 + 10 AS double) AS tasmax, l_quantity AS pr,
+    l_linenumber * 12e0 AS hurs, l_linenumber * 3e0 AS sfcwind FROM {lineitem}) a) b WHERE k = 1
+"""
+
+
+@check("stream_fire_weather", "WITH RECURSIVE " + codes_sql("model, lat, lon", FEED) + """
+SELECT model, lat, lon, date, round(ffmc, 5) AS ffmc, round(dmc, 5) AS dmc, round(dc, 5) AS dc FROM codes WHERE rn > 0
+""")
 def stream_fire_weather(t: Tables):
     feed = _lineitem_stream(t).select(
         F.lit("m").alias("model"), F.lit("ssp245").alias("scenario"), F.lit("r1").alias("member"),
@@ -39,7 +51,8 @@ def stream_fire_weather(t: Tables):
         (F.pmod(F.floor("l_extendedprice"), F.lit(30)) + 10).cast("double").alias("tasmax"),
         F.col("l_quantity").alias("pr"), (F.col("l_linenumber") * 12.0).alias("hurs"),
         (F.col("l_linenumber") * 3.0).alias("sfcwind"))
-    return feeds.drain_to_table(feeds.fwi_stream(feed), feeds.shared_folder(t.spark, "fwi"))
+    out = feeds.drain_to_table(feeds.fwi_stream(feed), feeds.shared_folder(t.spark, "fwi"))
+    return r6(out.select("model", "lat", "lon", "date", "ffmc", "dmc", "dc"), ["ffmc", "dmc", "dc"], 5)
 
 
 @check("stream_asset_exposure", """

@@ -40,13 +40,13 @@ class Tables:
         return self._made[name]
 
     def _spread(self, df: DataFrame) -> DataFrame:
-        """Give a table of fewer files than cores to all cores; others stay as they are.
+        """Give a table of fewer splits than cores to all cores; others stay as they are.
 
         The small test tables are one row group each, which would keep the
         following stage in one task.
         """
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in references(text)})
@@ -68,9 +68,9 @@ def oracle_text(text: str) -> str:
     body = text.format(**names).strip()
     if not ctes:
         return body
-    extra = re.match(r"WITH\s+(.*)", body, re.S | re.I)
-    head = "WITH " + ",\n".join(ctes)
-    return f"{head},\n{extra.group(1)}" if extra else f"{head}\n{body}"
+    extra = re.match(r"WITH\s+(RECURSIVE\s+)?(.*)", body, re.S | re.I)
+    head = ("WITH RECURSIVE " if extra and extra.group(1) else "WITH ") + ",\n".join(ctes)
+    return f"{head},\n{extra.group(2)}" if extra else f"{head}\n{body}"
 
 
 def check(name: str, oracle: str | None = None):

@@ -145,7 +145,11 @@ def line_vertices(t: Tables):
     return S.line_vertices(assets(t).select("osm_id", *S.GEOMETRY_COLUMNS))
 
 
-@check("line_vertices_simplified")
+@check("line_vertices_simplified", """
+SELECT osm_id, x0 AS lon, y0 AS lat FROM {fx_assets} WHERE kind = 'ST_LineString'
+UNION ALL SELECT osm_id, x1, y0 FROM {fx_assets} WHERE kind = 'ST_LineString' AND w * h / sqrt(w * w + h * h) > 0.03e0
+UNION ALL SELECT osm_id, x1, y1 FROM {fx_assets} WHERE kind = 'ST_LineString'
+""")
 def line_vertices_simplified(t: Tables):
     return S.line_vertices(assets(t).select("osm_id", *S.GEOMETRY_COLUMNS), tolerance=0.03)
 

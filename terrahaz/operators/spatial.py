@@ -148,7 +148,9 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: flo
     points = right.withColumns({
         "xmin": F.col("lon"), "xmax": F.col("lon"), "ymin": F.col("lat"), "ymax": F.col("lat"),
     })
-    pairs = tile_candidates(env, points, tile_deg or max(reach, 0.05))
+    # A radius envelope spans its whole tile, so finer tiles would only copy the
+    # left rows; a crowded tile is left to the skew split of the join.
+    pairs = tile_candidates(env, points, tile_deg or max(reach, 0.05), split_hot=False)
     return (
         pairs.withColumn("distance_miles", geo.haversine_miles(
             F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
@@ -173,7 +175,8 @@ def counts_within(left: DataFrame, right: DataFrame, miles: Sequence[float], id_
     return left.select(id_col).join(counts, id_col, "left").na.fill(0, list(names.values()))
 
 
-NEAREST_LEVELS = (0.25, 1.0, 4.0, 16.0, 64.0, 512.0)
+# Nested tile sides in degrees; the finest ones keep dense places cheap.
+NEAREST_LEVELS = (1 / 64, 1 / 16, 0.25, 1.0, 4.0, 16.0, 64.0, 512.0)
 
 
 def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
