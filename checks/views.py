@@ -70,7 +70,7 @@ SELECT a.osm_id, flood_zone, flood_zone_subtype, is_sfha, flood_depth
 FROM {fx_assets} a LEFT JOIN hit ON a.osm_id = hit.osm_id
 """)
 def asset_latest_zone(t: Tables):
-    zones = hazards.latest_zones(zone_geometry(t.fx_zones))
+    zones = zone_geometry(hazards.latest_zones(t.fx_zones))
     return hazards.asset_latest_zone(_assets(t), zones)
 
 
@@ -88,5 +88,5 @@ JOIN (SELECT unnest(generate_series(2000, 2110, 10)) AS d) g
   ON g.d BETWEEN ceil(start_year / 1e1) * 10 AND floor(end_year / 1e1) * 10
 """)
 def flood(t: Tables):
-    zones = hazards.latest_zones(zone_geometry(t.fx_zones))
+    zones = zone_geometry(hazards.latest_zones(t.fx_zones))
     return hazards.flood(hazards.extreme_precip(t.fx_pfe, t.fx_pcf), _assets(t), zones)
