@@ -161,7 +161,7 @@ def grid_load_join(t: Tables):
 
 
 @check("grid_missing_keys", """
-SELECT m.model, c.lat, c.lon FROM (SELECT DISTINCT model FROM {fx_grid}) m
+SELECT m.model, c.lat, c.lon FROM (SELECT 'M' || unnest(range(12)) AS model) m
 CROSS JOIN (SELECT DISTINCT lat, lon FROM {fx_grid}) c
 WHERE NOT EXISTS (SELECT 1 FROM {fx_grid} g WHERE g.model = m.model AND g.lat = c.lat AND g.lon = c.lon
                   AND g.scenario = 'historical' AND month(g.date) = 1)
