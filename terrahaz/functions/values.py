@@ -109,9 +109,10 @@ def exposure_contract(df: DataFrame, time_type: str, return_period: bool = False
 
 
 def metadata_json(attrs: Column, extra: dict[str, str | Column]) -> Column:
-    """JSON text of the source attributes plus derived entries, keys in order."""
+    """JSON text of the source attributes plus derived entries (which win), keys in order."""
     pairs = [x for k, v in extra.items() for x in (F.lit(k), F.lit(v) if isinstance(v, str) else v)]
-    merged = F.map_concat(attrs, F.create_map(*pairs)) if pairs else attrs
+    own = F.map_filter(attrs, lambda k, _: ~k.isin(*extra)) if extra else attrs
+    merged = F.map_concat(own, F.create_map(*pairs)) if pairs else own
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged))))
 
 

@@ -94,6 +94,12 @@ def test_contract_rejects_missing_columns(spark):
         V.exposure_contract(spark.range(1).withColumnRenamed("id", "osm_id"), "decade_month")
 
 
+def test_derived_metadata_wins(spark):
+    attrs = F.create_map(F.lit("zonal_method"), F.lit("old"), F.lit("a"), F.lit("b"))
+    r = spark.range(1).select(V.metadata_json(attrs, {"zonal_method": "mean"}).alias("m")).first()
+    assert json.loads(r["m"]) == {"a": "b", "zonal_method": "mean"}
+
+
 def test_coordinate_range():
     with pytest.raises(ValueError):
         V.check_lon_lat(-190, 0, 10, 10)
