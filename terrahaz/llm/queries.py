@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe
+from terrahaz.llm import byte_bpe, page_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = byte_bpe.encode(docs, ranks, pattern).drop("text")
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
+
+
+@query("op7_page_text")
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
