@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe, cover_tree, page_text
+from terrahaz.llm import byte_bpe, cover_tree, page_text, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,10 @@ def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_cover_tree")
 def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_token_shards")
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_shards.new_folder(spark, "token-shards")
+    token_shards.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_shards.read_documents(spark, folder)
