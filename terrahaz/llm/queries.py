@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe, cover_tree, page_text, token_shards
+from terrahaz.llm import byte_bpe, cover_tree, page_text, token_shards, toxicity
+from terrahaz.llm.frames import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_shards.new_folder(spark, "token-shards")
     token_shards.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_shards.read_documents(spark, folder)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels.select("doc_id", "toxic"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
