@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe, cover_tree, page_text, token_shards, toxicity
+from terrahaz.llm import byte_bpe, cover_tree, group_join, page_text, token_shards, toxicity
 from terrahaz.llm.frames import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.select("doc_id", "toxic"), ~held_out)
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op8_group_join")
+def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_documents(table(spark, sf_dir, "documents"))

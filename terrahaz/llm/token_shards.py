@@ -18,11 +18,11 @@ from terrahaz.llm.byte_bpe import Pieces
 from terrahaz.llm.frames import text_slices
 from terrahaz.llm.words import mix
 
-PAYLOAD_BYTES = 4_000_000
+PAYLOAD_BYTES = 2_000_000
 """Payload of one shard; a longer document is a shard of its own."""
 SHARD_TEXT_BYTES = 32_000_000
 """Text behind one range of documents, which one task writes."""
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 _TRIES = 64
 _LEAST = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -227,20 +227,23 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
     wanted = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     (wanted.mapInArrow(encoded, "shard int, doc_id long, ids binary")
      .repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(packed, _SHARD)
-     .write.mode("overwrite").option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder))
+     .write.mode("overwrite").option("compression", "none").option("parquet.block.size", 8 << 20).parquet(folder))
 
 
-def _opened(spark: SparkSession, folder: str) -> DataFrame:
-    """The shards with ``start``: the number of ids in all shards before."""
-    shards = spark.read.parquet(folder)
-    totals = shards.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    starts = np.cumsum([0] + [r["n"] for r in totals]).tolist()
-    base = spark.createDataFrame([(r["shard"], s) for r, s in zip(totals, starts)], "shard int, base long")
-    return shards.join(base, "shard").withColumn("start", F.expr("base + before"))
+def _starts(shards: DataFrame) -> np.ndarray:
+    """For each range the number of ids in all ranges before: eight bytes per 32 MB of text."""
+    totals = shards.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    sizes = np.zeros(max([r["shard"] for r in totals], default=-1) + 1, np.int64)
+    for r in totals:
+        sizes[r["shard"]] = r["n"]
+    return np.cumsum(sizes) - sizes
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, each found through the index of its shard."""
+    shards = spark.read.parquet(folder)
+    starts = _starts(shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
@@ -251,12 +254,12 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 found = shard.find(hash_keys(shard.keys, copies, shard.missing))
                 sums = [zlib.crc32(shard.ids(s).astype("<u4").tobytes()) for s in found.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.keys, mask=shard.missing), pa.array(row["start"] + shard.slots["place"][found]),
+                    [pa.array(shard.keys, mask=shard.missing), pa.array(starts[row["shard"]] + row["before"] + shard.slots["place"][found]),
                      pa.array(shard.slots["size"][found]), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _opened(spark, folder).select(
-        "n_docs", "width", "keys", "missing", "seeds", "slots", "payload", "start").mapInArrow(
+    return shards.select(
+        "shard", "before", "n_docs", "width", "keys", "missing", "seeds", "slots", "payload").mapInArrow(
             run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
