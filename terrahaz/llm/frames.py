@@ -48,6 +48,33 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+FILTER_BITS = 23
+
+
+def slot(*columns: str):
+    """A place in a bitmap of ``2 ** FILTER_BITS`` bits (the bitmap functions count from 1)."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS)) + 1
+
+
+def bitmap(slots: DataFrame):
+    """The slots in use, as packed bits of fixed size: a first sieve before an exact join, never the answer."""
+    import numpy as np
+
+    pieces = slots.toDF("p").groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for piece in pieces:
+        low = (piece["b"] - 1) * 4096
+        bits[low:low + 4096] = np.frombuffer(piece["bits"], np.uint8)
+    return bits
+
+
+def in_bitmap(bits, slots):
+    """Whether each slot (from 1 on) is in use."""
+    at = slots - 1
+    return (bits[at >> 3] >> (at & 7).astype(bits.dtype)) & 1 == 1
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 

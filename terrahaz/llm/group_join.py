@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrahaz.llm import words
 from terrahaz.llm.components import components
-from terrahaz.llm.frames import checkpointed, flat, text_slices, total_bytes
+from terrahaz.llm.frames import FILTER_BITS, bitmap, checkpointed, flat, in_bitmap, text_slices, total_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -25,7 +25,6 @@ GROUP = 64
 """Documents behind one token union."""
 HUB = 2000
 """Documents compared with one leader in one task."""
-_FILTER_BITS = 23
 
 
 def sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
@@ -166,24 +165,15 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, tokens) of the wanted nodes: texts pass a bitmap of fixed size first, then a join."""
-    position = F.pmod("node", F.lit(1 << _FILTER_BITS)) + 1  # the bitmap functions count from 1
-    pieces = wanted.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    for piece in pieces:
-        low = (piece["b"] - 1) * 32768
-        bits[low:low + 32768] = np.unpackbits(np.frombuffer(piece["bits"], np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(wanted.select(F.pmod("node", F.lit(1 << FILTER_BITS)) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(shared.value).astype(bool), set()
+        bits, seen = shared.value, set()
         for _, texts in text_slices(batches):
             found, keys = sets(texts, shingle)
-            kept = []
-            for i, key in enumerate(keys.tolist()):
-                if key and bits[key % (1 << _FILTER_BITS)] and key not in seen:
-                    seen.add(key)
-                    kept.append(i)
+            maybe = (keys != 0) & in_bitmap(bits, keys % (1 << FILTER_BITS) + 1)
+            kept = [i for i in np.flatnonzero(maybe).tolist() if keys[i] not in seen and not seen.add(keys[i])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[kept]), pa.array([found[i].tobytes() for i in kept], pa.binary())], names=["node", "tokens"])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe, cover_tree, group_join, page_text, token_shards, toxicity
+from terrahaz.llm import byte_bpe, cover_tree, group_join, page_text, substring_dedup, token_shards, toxicity
 from terrahaz.llm.frames import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_group_join")
 def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
