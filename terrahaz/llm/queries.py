@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm import byte_bpe, cover_tree, group_join, page_text, substring_dedup, token_shards, toxicity
+from terrahaz.llm import (
+    byte_bpe, cover_tree, decontamination, group_join, licenses, page_text, substring_dedup, token_shards, toxicity,
+)
 from terrahaz.llm.frames import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +75,15 @@ def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_template_leaks")
+def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_license_rules", licenses.oracle())
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("license_sentences").cast("long").alias("n_sentences"),
+        F.array_join("license_sentences", "|").alias("sentences"), F.array_join("licenses", "|").alias("licenses"))
