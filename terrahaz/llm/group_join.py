@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrahaz.llm import words
 from terrahaz.llm.components import components
-from terrahaz.llm.frames import FILTER_BITS, bitmap, checkpointed, flat, in_bitmap, text_slices, total_bytes
+from terrahaz.llm.frames import FILTER_BITS, bitmap, checkpointed, flat, in_bitmap, slot, text_slices, total_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -83,13 +84,18 @@ def _signatures(own: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """n_shingles and node of each row beside its other columns; the text goes."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             found, keys = sets(texts, shingle)
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(keys)], names=["doc_id", "n_shingles", "node"])
+                [*columns, pa.array([len(s) for s in found], pa.int64()), pa.array(keys)],
+                names=[*(f.name for f in kept), "n_shingles", "node"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]))
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -98,7 +104,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     Signatures travel packed, many to a row. The leader of a signature is the
     set that shares most with others.
     """
-    buckets = max(1, -(-int(0.7 * total_bytes(docs)) // BUCKET_BYTES))
+    size = 12 * (100 - percent) / (100 + percent) * total_bytes(docs)  # of all signatures, about
+    buckets = max(1, -(-int(size) // BUCKET_BYTES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -291,7 +298,14 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     names a component unless it is alone. Other columns are left out, an
     empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    named = _named(docs.select("doc_id", "text"), shingle, percent)
+    least = named.where("node <> 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The columns of ``docs`` but text, n_shingles, node and root (the node that stands for the component)."""
     profiles = checkpointed(_profiles(docs, shingle))
     grouped = checkpointed(_grouped(docs, shingle, percent))
     tokens = checkpointed(_wanted_sets(docs, grouped.select("node").distinct(), shingle))
@@ -306,7 +320,43 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     families = checkpointed(loose.join(main, "signature").select("family", "node", "root", (F.col("root") != F.col("family")).alias("asks")).distinct())
     links = led.union(_opened(families, tokens, percent))
     final = components(links)
-    named = profiles.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where("node <> 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return profiles.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component (see ``similar_documents``): that of the smallest doc_id.
+
+    Among rows of that doc_id the one of least row hash stays, of equal rows one. A null
+    doc_id comes last. Texts without words are in no component and all stay. Only the
+    rows that may go are joined; the others are passed on where they are read.
+    """
+    hashed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    named = _named(hashed.select("doc_id", "text", "__row"), shingle, percent).where("node <> 0")
+    groups = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).where("n > 1")
+    inside = checkpointed(named.join(groups, "root").select(
+        "doc_id", "__row", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__row") == F.col("first.__row"))).alias("first")))
+    kept = inside.where("first").groupBy("doc_id", "__row").count().where("count > 1")
+    gone = inside.where("NOT first").select("doc_id", "__row").distinct()
+    several = not kept.isEmpty()
+    if several:
+        gone = gone.union(kept.select("doc_id", "__row"))
+    gone = checkpointed(gone)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(slot("doc_id", "__row"))))
+    placed = hashed.withColumn("__slot", slot("doc_id", "__row"))
+
+    def sieve(inverse: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                inside = in_bitmap(shared.value, batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(inside != inverse))
+
+        return placed.mapInArrow(run, placed.schema)
+
+    right = gone.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
+    left = sieve(True).union(sieve(False).join(right, same, "left_anti"))
+    if several:
+        again = kept.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hash"))
+        left = left.union(sieve(False).join(again, same, "left_semi").dropDuplicates(["doc_id", "__row"]))
+    return left.select(*docs.columns)

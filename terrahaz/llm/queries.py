@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrahaz.llm import (
     byte_bpe, cover_tree, decontamination, group_join, licenses, page_text, substring_dedup, token_shards, toxicity,
 )
-from terrahaz.llm.frames import crc_mod
+from terrahaz.llm.frames import crc_mod, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +52,7 @@ def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_token_shards")
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_shards.new_folder(spark, "token-shards")
+    folder = new_folder(spark, "token-shards")
     token_shards.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_shards.read_documents(spark, folder)
 

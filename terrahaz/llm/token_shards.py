@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -299,9 +298,3 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame, doc_id: str = "doc
 
     return wanted.join(shards, ["shard", "part"]).select(
         "n_docs", "width", "keys", "missing", "seeds", "slots", "payload", "wanted").mapInArrow(run, "doc_id long, ids array<int>")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder, or its warehouse where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
