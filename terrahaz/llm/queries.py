@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import (
-    byte_bpe, cover_tree, decontamination, group_join, licenses, page_text, substring_dedup, token_shards, toxicity,
+    byte_bpe, cover_tree, decontamination, group_join, language_model, licenses, page_text, substring_dedup, token_shards, toxicity,
 )
 from terrahaz.llm.frames import crc_mod, new_folder
 
@@ -87,3 +87,11 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.size("license_sentences").cast("long").alias("n_sentences"),
         F.array_join("license_sentences", "|").alias("sentences"), F.array_join("licenses", "|").alias("licenses"))
+
+
+@query("op3_pitman_yor")
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = language_model.score(docs, ~held_out)
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
