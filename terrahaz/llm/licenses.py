@@ -56,21 +56,32 @@ RULES = [
 ]
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text in their order.
+_SIGNS = "licen|permi|right|software|warrant|redistrib|cc0|neither"
+_LEAST, _MOST = min(map(len, SENTENCES.values())), 2 * max(map(len, SENTENCES.values()))
 
-    Sentences end at line ends and at . ! ? ; : before white space.
-    """
+
+def _recognised(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    lines = F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\n"), "\n")
-    least, most = min(map(len, SENTENCES.values())), 2 * max(map(len, SENTENCES.values()))
-    # a known sentence has these letters somewhere: the others are not normalised at all
-    likely = F.filter(lines, lambda s: (F.length(s) >= least) & (F.length(s) <= most) & F.lower(s).rlike("licen|permi|right|software|warrant|redistrib|cc0|neither"))
+    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
+    # every known sentence has one of these signs: the others are not normalised at all
+    likely = F.filter(parts, lambda s: (F.length(s) >= _LEAST) & (F.length(s) <= _MOST) & F.lower(s).rlike(_SIGNS))
     plain = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.regexp_replace(
         F.lower(s), "[^a-z0-9.+]+", " "), r"[. ]+( |$)|(^| )[. ]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
 
 
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text in their order.
+
+    Sentences end at . ! ? before white space. A text is read twice, with line ends
+    as ends of sentences (notices on a line of their own) and as blanks (wrapped licence
+    texts); the reading that knows more sentences counts, the first one if both know as many.
+    """
+    lines, running = _recognised(text), _recognised(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return F.transform(F.array(F.struct(lines.alias("a"), running.alias("b"))),
+                       lambda r: F.when(F.size(r["b"]) > F.size(r["a"]), r["b"]).otherwise(r["a"]))[0]
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with license_sentences (array of identifiers in order) and licenses (sorted array).
 
@@ -90,19 +101,22 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB's SQL, per document as text."""
-    least, most = min(map(len, SENTENCES.values())), 2 * max(map(len, SENTENCES.values()))
     keys = ", ".join(f"'{s}'" for s in SENTENCES.values())
     names = ", ".join(f"'{n}'" for n in SENTENCES)
     rules = ", ".join(f"CASE WHEN contains(j, '|{'|'.join(rule)}|') THEN '{name}' END" for name, rule in RULES)
+
+    def recognised(text: str) -> str:
+        return rf"""list_filter(list_transform(list_transform(list_filter(
+      string_split(regexp_replace({text}, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda s: length(s) BETWEEN {_LEAST} AND {_MOST} AND regexp_matches(lower(s), '{_SIGNS}')),
+      lambda s: trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '[. ]+( |$)|(^| )[. ]+', ' ', 'g'))),
+      lambda s: map([{keys}], [{names}])[s]), lambda s: s IS NOT NULL)"""
+
     return rf"""
-WITH lines AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)),
-    lambda s: length(s) BETWEEN {least} AND {most} AND regexp_matches(lower(s), 'licen|permi|right|software|warrant|redistrib|cc0|neither')) AS likely
-  FROM documents),
-plain AS (
-  SELECT doc_id, list_transform(likely, lambda s: trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '[. ]+( |$)|(^| )[. ]+', ' ', 'g'))) AS p FROM lines),
-ids AS (
-  SELECT doc_id, list_filter(list_transform(p, lambda s: map([{keys}], [{names}])[s]), lambda s: s IS NOT NULL) AS i FROM plain),
+WITH readings AS (
+  SELECT doc_id, {recognised("coalesce(text, '')")} AS a,
+    {recognised("regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')")} AS b FROM documents),
+ids AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS i FROM readings),
 joined AS (SELECT doc_id, i, '|' || array_to_string(i, '|') || '|' AS j FROM ids),
 found AS (SELECT doc_id, i, list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL)) AS n FROM joined)
 SELECT doc_id, CAST(len(i) AS BIGINT) AS n_sentences, array_to_string(i, '|') AS sentences,

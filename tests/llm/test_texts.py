@@ -213,10 +213,10 @@ def test_op9_equals_its_sql(spark, small):
 def test_licence_rules_need_their_order(spark):
     grant, notice, as_is = (licenses.SENTENCES[k].capitalize() + "." for k in ("mit_grant", "mit_notice", "mit_as_is"))
     texts = [f"Intro.\n{grant} {notice}\n\nUnknown words. {as_is}", f"{as_is} {grant} {notice}", "SPDX-License-Identifier: Apache-2.0", None, "",
-             "Licensed under the Apache License, Version 2.0. All rights reserved!"]
+             "Licensed under the Apache License, Version 2.0. All rights reserved!", f"Intro. {grant} {notice} {as_is}".replace(" to ", "\n  to ")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("licenses", F.lit("clash"))
     found = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
-    assert found == {0: ["MIT"], 1: [], 2: ["Apache-2.0"], 3: [], 4: [], 5: ["Apache-2.0", "Proprietary"]}
+    assert found == {0: ["MIT"], 1: [], 2: ["Apache-2.0"], 3: [], 4: [], 5: ["Apache-2.0", "Proprietary"], 6: ["MIT"]}
     assert licenses.scan(df.limit(0)).collect() == []
 
 
