@@ -88,10 +88,11 @@ k AS (SELECT *, 7.8590e0 * c + 2.9554e0 * c * c AS k FROM shape),
 a AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 / ln(2e0) ELSE l2 * k / ((1e0 - pow(2e0, -k)) * gamma(1e0 + k)) END AS alpha FROM k),
 x AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN l1 - 0.5772156649015329e0 * alpha
                      ELSE l1 - alpha * (1e0 - gamma(1e0 + k)) / k END AS xi FROM a),
-levels AS (SELECT {MONTH_KEYS}, cast(rp AS int) AS return_period,
+levels AS (SELECT m.lat, m.lon, m.scenario, m.month, cast(rp AS int) AS return_period,
    CASE WHEN abs(k) < 1e-6 THEN xi - alpha * ln(-ln(1e0 - 1e0 / rp))
         ELSE xi + alpha / k * (1e0 - pow(-ln(1e0 - 1e0 / rp), k)) END AS return_level
-  FROM x CROSS JOIN (SELECT unnest([2, 5, 20, 100, 500]) AS rp) p)
+  FROM moments m CROSS JOIN (SELECT unnest([2, 5, 20, 100, 500]) AS rp) p
+  LEFT JOIN x ON x.lat = m.lat AND x.lon = m.lon AND x.scenario = m.scenario AND x.month = m.month)
 """
 
 
@@ -103,17 +104,17 @@ def _levels(t: Tables):
 SELECT {MONTH_KEYS}, return_period, round(return_level, 5) AS return_level FROM levels
 """)
 def return_levels(t: Tables):
-    # Groups too small or flat to fit carry a NULL level; the SQL side lists fitted ones.
-    return r6(_levels(t).filter("return_level IS NOT NULL"), ["return_level"], 5)
+    # Groups too small or flat to fit carry a NULL level.
+    return r6(_levels(t), ["return_level"], 5)
 
 
 @check("pluvial_change_factor", LEVELS + """
-SELECT f.lat, f.lon, f.month, f.return_period, round(f.return_level / nullif(h.return_level, 0), 5) AS change_factor
-FROM levels f JOIN levels h ON f.lat = h.lat AND f.lon = h.lon AND f.month = h.month AND f.return_period = h.return_period
-WHERE f.scenario = 'ssp245' AND h.scenario = 'historical'
+SELECT lat, lon, month, return_period, round(max(CASE WHEN scenario = 'ssp245' THEN return_level END)
+  / nullif(max(CASE WHEN scenario = 'historical' THEN return_level END), 0), 5) AS change_factor
+FROM levels GROUP BY ALL HAVING count(CASE WHEN scenario = 'ssp245' THEN 1 END) > 0 AND count(CASE WHEN scenario = 'historical' THEN 1 END) > 0
 """)
 def pluvial_change_factor(t: Tables):
-    levels = _levels(t).filter("return_level IS NOT NULL")
+    levels = _levels(t)
     keys = ["lat", "lon", "month", "return_period"]
     future = levels.filter("scenario = 'ssp245'").drop("scenario")
     past = levels.filter("scenario = 'historical'")
@@ -216,7 +217,7 @@ SCALED = PET + """,
 monthly AS (SELECT lat, lon, cast(date_trunc('month', date) AS date) AS month_start,
                    greatest(sum(pr), 0e0) - sum(pet) + 1000e0 AS balance FROM pet GROUP BY 1, 2, 3),
 scaled AS (SELECT *, CASE WHEN count(balance) OVER w = 3 THEN sum(balance) OVER w END AS scaled FROM monthly
-           WINDOW w AS (PARTITION BY lat, lon ORDER BY month_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+           WINDOW w AS (PARTITION BY lat, lon ORDER BY year(month_start) * 12 + month(month_start) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
 """
 
 

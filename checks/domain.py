@@ -84,7 +84,7 @@ SELECT osm_id, kind, x0, y0, x0 + w AS x1, y0 + h AS y1, w, h FROM (
 """
 
 DOMAIN["fx_zones"] = """
-SELECT o_custkey AS fld_ar_id, o_orderkey AS zone_rank, o_orderpriority AS flood_zone,
+SELECT concat('53033C_', cast(o_custkey AS string)) AS fld_ar_id, o_orderkey AS zone_rank, o_orderpriority AS flood_zone,
        o_orderstatus AS flood_zone_subtype, CASE WHEN o_orderstatus = 'F' THEN 'T' ELSE 'F' END AS is_sfha,
        cast(floor(o_totalprice / 1e3) AS double) AS flood_depth,
        CASE WHEN o_orderpriority = '5-LOW' OR o_custkey % 11 = 0 THEN NULL

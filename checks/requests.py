@@ -488,7 +488,7 @@ fut AS (SELECT lat, lon, month, max(ensemble_min) / 64e0 AS p FROM {{fx_ensemble
 rad AS (SELECT a.osm_id, s.month, coalesce(max(CASE WHEN {NEAR} <= 5 THEN s.p END), 0e0) AS m5, coalesce(max(CASE WHEN {NEAR} <= 25 THEN s.p END), 0e0) AS m25
    FROM {{fx_assets}} a JOIN fut s ON abs(s.lat - a.y0) < 0.5e0 AND abs(s.lon - a.x0) < 1e0 WHERE {NEAR} <= 25 GROUP BY 1, 2)
 SELECT a.osm_id, near.station_id AS nearest_station_id, round(near.d, 6) AS station_miles, near.station_id AS nearest_substation_id, coalesce(cnt.c5, 0) AS count_5mi,
-  coalesce(cnt.c25, 0) AS count_25mi, g.p AS burn_probability, rad.month, rad.m5 AS burn_probability_max_5mi, rad.m25 AS burn_probability_max_25mi
+  coalesce(cnt.c25, 0) AS count_25mi, coalesce(g.p, 0e0) AS burn_probability, rad.month, coalesce(rad.m5, 0e0) AS burn_probability_max_5mi, coalesce(rad.m25, 0e0) AS burn_probability_max_25mi
 FROM {{fx_assets}} a LEFT JOIN near ON near.osm_id = a.osm_id LEFT JOIN cnt ON cnt.osm_id = a.osm_id
 LEFT JOIN pts ON pts.osm_id = a.osm_id LEFT JOIN g ON g.ix = pts.ix AND g.iy = pts.iy LEFT JOIN rad ON rad.osm_id = a.osm_id
 """)

@@ -333,10 +333,10 @@ CELL_MEANS = "cm AS (SELECT lat, lon, max(pr) AS v FROM {fx_grid} GROUP BY 1, 2)
 WITH {CELL_MEANS},
 target AS (SELECT x.j AS jx, y.j AS jy, -125e0 + x.j * 0.1875e0 AS lon, 20e0 + y.j * 0.1875e0 AS lat
   FROM (SELECT unnest(range(0, 53)) AS j) x CROSS JOIN (SELECT unnest(range(0, cast(floor({LAST} * 4 / 3 + 0.5) + 1 AS bigint))) AS j) y),
-corner AS (SELECT t.lon, t.lat, c.v, greatest(1e0 - abs((t.lon - c.lon) / 0.25e0), 0e0) * greatest(1e0 - abs((t.lat - c.lat) / 0.25e0), 0e0) AS w
-  FROM target t JOIN cm c ON abs(t.lon - c.lon) < 0.25e0 AND abs(t.lat - c.lat) < 0.25e0)
+corner AS (SELECT t.lon, t.lat, c.v, CASE WHEN c.v IS NOT NULL THEN greatest(1e0 - abs((t.lon - c.lon) / 0.25e0), 0e0) * greatest(1e0 - abs((t.lat - c.lat) / 0.25e0), 0e0) END AS w
+  FROM target t LEFT JOIN cm c ON abs(t.lon - c.lon) < 0.25e0 AND abs(t.lat - c.lat) < 0.25e0)
 SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, round(CASE WHEN sum(w) > 1 - 1e-9 THEN sum(v * w) / sum(w) END, 6) AS v
-FROM corner WHERE w > 1e-12 GROUP BY 1, 2
+FROM corner GROUP BY 1, 2
 """)
 def resample_linear(t: Tables):
     cells = t.fx_grid.groupBy("lat", "lon").agg(F.max("pr").alias("v"))
@@ -347,7 +347,7 @@ def resample_linear(t: Tables):
 WITH {CELL_MEANS},
 target AS (SELECT -125e0 + x.j * 0.5e0 AS lon, 20e0 + y.j * 0.5e0 AS lat
   FROM (SELECT unnest(range(0, 20)) AS j) x CROSS JOIN (SELECT unnest(range(0, cast(floor({LAST} / 2) + 1 AS bigint))) AS j) y)
-SELECT t.lat, t.lon, c.v FROM target t JOIN cm c ON c.lat = t.lat AND c.lon = t.lon
+SELECT t.lat, t.lon, c.v FROM target t LEFT JOIN cm c ON c.lat = t.lat AND c.lon = t.lon
 """)
 def resample_nearest(t: Tables):
     cells = t.fx_grid.groupBy("lat", "lon").agg(F.max("pr").alias("v"))

@@ -253,8 +253,9 @@ def water_balance(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sliding_sum(df: DataFrame, keys: Sequence[str], value: str, scale: int, order: str = "month_start") -> DataFrame:
-    """Sum over ``scale`` months ending at each row; NULL at the start or over a gap."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(scale - 1), 0)
+    """Sum over the ``scale`` calendar months that end at each row; NULL at the start or over a missing or NULL month."""
+    month = F.year(order) * 12 + F.month(order)
+    w = Window.partitionBy(*keys).orderBy(month).rangeBetween(-(scale - 1), 0)
     return df.withColumn("scaled", F.when(F.count(value).over(w) == scale, F.sum(value).over(w)))
 
 

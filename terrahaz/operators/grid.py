@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,13 +144,20 @@ class GridSpec:
     nx: int
     ny: int
 
+    def place(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """Index of the cell square around a coordinate, also beyond the grid; ties go to the larger coordinate."""
+        def near(v: Column, first: float, step: float) -> Column:
+            return F.floor((v - geo.d(first)) / geo.d(step) + geo.d(0.5)).cast("long")
+
+        return near(lon, self.x0, self.dx), near(lat, self.y0, self.dy)
+
     def index(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        """Nearest cell, no tolerance: outside points take the edge, ties the larger coordinate."""
-        def near(v: Column, first: float, step: float, n: int) -> Column:
-            raw = F.floor((v - geo.d(first)) / geo.d(step) + geo.d(0.5)).cast("long")
-            return F.least(F.greatest(raw, F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
+        """Nearest cell of a point, no tolerance: outside points take the edge."""
+        def held(v: Column, n: int) -> Column:
+            return F.least(F.greatest(v, F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
 
-        return near(lon, self.x0, self.dx, self.nx), near(lat, self.y0, self.dy, self.ny)
+        ix, iy = self.place(lon, lat)
+        return held(ix, self.nx), held(iy, self.ny)
 
     def covers(self, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
         """The envelope lies inside the outline of the grid."""
@@ -158,8 +166,15 @@ class GridSpec:
                 & (ymin >= geo.d(low)) & (ymax <= geo.d(low + self.dy * self.ny)))
 
     def keyed(self, grid: DataFrame) -> DataFrame:
-        ix, iy = self.index(F.col("lon"), F.col("lat"))
-        return grid.withColumns({"ix": ix, "iy": iy})
+        """Grid rows with their cell; rows beside the spec are not cells of it and go."""
+        ix, iy = self.place(F.col("lon"), F.col("lat"))
+        return grid.withColumns({"ix": ix, "iy": iy}).filter(
+            F.col("ix").between(0, self.nx - 1) & F.col("iy").between(0, self.ny - 1))
+
+    def cells(self, df: DataFrame) -> DataFrame:
+        """Each row of ``df`` with every cell index (jx, jy) of the grid, column by column."""
+        return df.withColumn("jx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.nx - 1).cast("long")))).withColumn(
+            "jy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.ny - 1).cast("long"))))
 
 
 def sample_points(grid: DataFrame, points: DataFrame, spec: GridSpec) -> DataFrame:
@@ -239,7 +254,7 @@ def clip_region(grid: DataFrame, regions: DataFrame, spec: GridSpec) -> DataFram
     """Cells whose box touches any region polygon."""
     from terrahaz.operators import spatial
 
-    cells = spec.keyed(grid).select("ix", "iy").distinct()
+    cells = spec.cells(grid.sparkSession.range(1)).select(F.col("jx").alias("ix"), F.col("jy").alias("iy"))
     half_x, half_y = geo.d(spec.dx / 2), geo.d(spec.dy / 2)
     cx = geo.d(spec.x0) + F.col("ix") * geo.d(spec.dx)
     cy = geo.d(spec.y0) + F.col("iy") * geo.d(spec.dy)
@@ -275,7 +290,7 @@ def resample(grid: DataFrame, spec: GridSpec, res: float, value: str, method: st
 
 def align(grid: DataFrame, spec: GridSpec, target: GridSpec, value: str, method: str = "linear",
           keys: Sequence[str] = ()) -> DataFrame:
-    """Values of ``grid`` at the coordinates of ``target`` (bilinear or nearest)."""
+    """Values of ``grid`` at all coordinates of ``target`` (bilinear or nearest), NULL where the source has none."""
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
     source = spec.keyed(grid).select(*keys, "ix", "iy", value)
@@ -308,4 +323,9 @@ def align(grid: DataFrame, spec: GridSpec, target: GridSpec, value: str, method:
             F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_sw"),
             F.sum(F.col(value) * F.col("_w")).alias("_sv"),
         ).withColumn(value, F.when(F.col("_sw") > 1 - 1e-9, F.col("_sv") / F.col("_sw"))).drop("_sw", "_sv")
-    return met.select(*keys, lat.alias("lat"), lon.alias("lon"), value)
+    frame = source.select(*keys).distinct() if keys else grid.sparkSession.range(1).drop("id")
+    met = met.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    mets = met.withColumnsRenamed({"jx": "_jx", "jy": "_jy"})
+    on = reduce(lambda a, b: a & b, [*same, F.col("jx") == F.col("_jx"), F.col("jy") == F.col("_jy")])
+    return target.cells(frame).join(mets, on, "left").select(*keys, lat.alias("lat"), lon.alias("lon"), value)

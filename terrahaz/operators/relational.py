@@ -1,8 +1,8 @@
-"""Row selection per key, built on mergeable aggregates.
+"""Row selection per key.
 
-``max_by`` / ``min_by`` combine on the map side, so a key that holds a large
-share of the table is reduced before the shuffle and never lands whole in one
-task, unlike a ``row_number`` window.
+One row per key is a ``row_number`` with a limit of one: Spark keeps at most one row
+per key and task before the shuffle, so a key that holds a large share of the
+table does not travel whole.
 """
 
 from __future__ import annotations
@@ -12,32 +12,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], best) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        best(F.struct(*rest), F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)])).alias("_row")
-    )
-    return picked.select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*df.columns)
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key in ``order`` (sort expressions)."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key: the greatest ``order`` tuple, NULLs counted as smallest.
-
-    The order tuple is compared as a struct, so a group whose leading values are
-    all NULL still yields a row (``ORDER BY .. DESC NULLS LAST LIMIT 1``).
-    """
-    return _pick(df, keys, order, F.max_by)
+    """One row per key: the greatest ``order`` tuple, NULLs counted as smallest (``DESC NULLS LAST``)."""
+    return top_per(df, keys, [_col(c).desc_nulls_last() for c in order])
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the smallest ``order`` tuple, NULLs counted as smallest."""
-    return _pick(df, keys, order, F.min_by)
+    return top_per(df, keys, [_col(c).asc_nulls_first() for c in order])
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -1,10 +1,9 @@
 """Spatial joins planned as equi-joins on tiles.
 
 Envelopes are exploded over square tiles and joined on the tile, never by a
-nested loop. A tile that many rows share on both sides is cut into finer tiles
-on both sides before the join, so a dense city (or a third of all rows in one
-place) costs many small groups instead of one quadratic one. A pair is emitted
-only in the tile that holds the lower-left corner of the shared envelope, which
+nested loop. Rows of a crowded tile are dealt into lots on both sides, so a dense city (or a
+third of all rows in one spot) costs many small groups instead of one quadratic one. A pair
+is emitted only in the tile that holds the lower-left corner of the shared envelope, which
 keeps the result duplicate-free without a ``distinct``.
 """
 
@@ -19,10 +18,10 @@ from terrahaz.functions import geometry as geo
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 GEOMETRY_COLUMNS = ("geom_type", "parts", *ENVELOPE)
-HOT_PAIRS = 4_000_000
-MAX_SPLIT = 32
+LOT = 2000
+"""Rows of one side of a tile that meet in one group."""
 
-_TILE = ("_tx", "_ty", "_k", "_sx", "_sy")
+_TILE = ("_tx", "_ty", "_sl", "_sr")
 
 
 def _cell(v: Column, size: Column | float) -> Column:
@@ -39,63 +38,46 @@ def _tiled(df: DataFrame, env: Sequence[str], tile: float) -> DataFrame:
     return df.selectExpr("*", f"{span(x0, x1)} AS _tx").selectExpr("*", f"{span(y0, y1)} AS _ty")
 
 
-def _sub_index(v: str, tile: float, t: str) -> str:
-    """Index of a coordinate inside its tile when the tile is cut into _k slices."""
-    return (f"least(greatest(cast(floor(({v} / {float(tile)!r}D - {t}) * _k) AS bigint), 0L), "
-            f"cast(_k - 1 AS bigint))")
+def crowded_tiles(left: DataFrame, right: DataFrame, lot: int = LOT) -> DataFrame:
+    """Tiles with more than ``lot`` rows on a side, with the number of lots of each side.
 
-
-def _subtiled(df: DataFrame, env: Sequence[str], tile: float, splits: DataFrame) -> DataFrame:
-    x0, y0, x1, y1 = env
-    own = [c for c in df.columns if c not in ("_tx", "_ty")]
-    joined = df.join(splits, ["_tx", "_ty"], "left").selectExpr(
-        *[f"`{c}`" for c in own], "_tx", "_ty", "coalesce(_k, 1) AS _k")
-
-    def span(low: str, high: str, t: str) -> str:
-        return f"explode(sequence({_sub_index(low, tile, t)}, {_sub_index(high, tile, t)}))"
-
-    return joined.selectExpr("*", f"{span(x0, x1, '_tx')} AS _sx").selectExpr(
-        "*", f"{span(y0, y1, '_ty')} AS _sy")
-
-
-def hot_tiles(left: DataFrame, right: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """Tiles whose pair count exceeds the threshold, with their split factor.
-
-    Both sides are counted with map-side combine; the join result only holds
-    tiles above the threshold, and AQE broadcasts it when it is in fact small.
+    Both sides are counted with map-side combine; the result only holds crowded tiles.
     """
     n_left = left.groupBy("_tx", "_ty").agg(F.count(F.lit(1)).alias("_nl"))
     n_right = right.groupBy("_tx", "_ty").agg(F.count(F.lit(1)).alias("_nr"))
-    pairs = F.col("_nl").cast("double") * F.col("_nr")
-    return (
-        n_left.join(n_right, ["_tx", "_ty"])
-        .filter(pairs > hot_pairs)
-        .select(
-            "_tx", "_ty",
-            F.least(F.ceil(F.sqrt(pairs / geo.d(hot_pairs))) + 1, F.lit(MAX_SPLIT)).cast("int").alias("_k"),
-        )
-    )
+    return n_left.join(n_right, ["_tx", "_ty"]).filter((F.col("_nl") > lot) | (F.col("_nr") > lot)).select(
+        "_tx", "_ty", *[F.ceil(F.col(n) / geo.d(lot)).cast("int").alias(k) for n, k in (("_nl", "_kl"), ("_nr", "_kr"))])
+
+
+def _dealt(df: DataFrame, crowded: DataFrame, own: str, other: str, columns: Sequence[str]) -> DataFrame:
+    """Each row in one lot of its own side and in all lots of the other side."""
+    lots = df.join(crowded, ["_tx", "_ty"], "left")
+    mine = F.pmod(F.xxhash64(*columns), F.coalesce(own, F.lit(1)).cast("long")).cast("int")
+    return lots.withColumn(f"_s{own[-1]}", mine).withColumn(
+        f"_s{other[-1]}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_kl", "_kr")
 
 
 def tile_candidates(
-    left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True,
-    hot_pairs: int = HOT_PAIRS,
+    left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True, lot: int = LOT,
 ) -> DataFrame:
-    """Pairs whose envelopes overlap (closed). Clashing right columns get an ``r_`` prefix."""
+    """Pairs whose envelopes overlap (closed). Clashing right columns get an ``r_`` prefix.
+
+    Rows of a crowded tile are dealt into lots on both sides: each pair of lots is a group of
+    its own, with at most about ``lot`` rows a side however many rows lie in one spot.
+    """
     right = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c in left.columns})
     renv = [f"r_{c}" for c in ENVELOPE]
     lt, rt = _tiled(left, ENVELOPE, tile_deg), _tiled(right, renv, tile_deg)
     keys = ["_tx", "_ty"]
     if split_hot:
-        splits = hot_tiles(lt, rt, hot_pairs)
-        lt = _subtiled(lt, ENVELOPE, tile_deg, splits)
-        rt = _subtiled(rt, renv, tile_deg, splits).drop("_k")
-        keys += ["_sx", "_sy"]
+        crowded = crowded_tiles(lt, rt, lot)
+        scalar = lambda df: [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+        lt = _dealt(lt, crowded, "_kl", "_kr", scalar(left))
+        rt = _dealt(rt, crowded, "_kr", "_kl", scalar(right))
+        keys += ["_sl", "_sr"]
     corner = {"x": "greatest(xmin, r_xmin)", "y": "greatest(ymin, r_ymin)"}
     owner = " AND ".join(
         f"cast(floor({corner[c]} / {float(tile_deg)!r}D) AS bigint) = _t{c}" for c in "xy")
-    if split_hot:
-        owner += "".join(f" AND {_sub_index(corner[c], tile_deg, '_t' + c)} = _s{c}" for c in "xy")
     overlap = "xmin <= r_xmax AND r_xmin <= xmax AND ymin <= r_ymax AND r_ymin <= ymax"
     return lt.join(rt, keys).filter(f"{overlap} AND {owner}").drop(*_TILE)
 
@@ -145,12 +127,13 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: flo
         "xmin": F.col("lon") - grow / shrink, "xmax": F.col("lon") + grow / shrink,
         "ymin": F.col("lat") - grow, "ymax": F.col("lat") + grow,
     })
-    points = right.withColumns({
-        "xmin": F.col("lon"), "xmax": F.col("lon"), "ymin": F.col("lat"), "ymax": F.col("lat"),
-    })
-    # A radius envelope spans its whole tile, so finer tiles would only copy the
-    # left rows; a crowded tile is left to the skew split of the join.
-    pairs = tile_candidates(env, points, tile_deg or max(reach, 0.05), split_hot=False)
+    # Points near the antimeridian stand on both sides of it, as far as an envelope of their latitude reaches.
+    far = grow / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + grow * 2, geo.d(89.9)))), geo.d(0.0017)) + geo.d(180)
+    places = F.filter(F.array(*[F.col("lon") + geo.d(t) for t in (0, -360, 360)]), lambda x: (F.abs(x) <= far) | (x == F.col("lon")))
+    points = right.withColumn("_x", F.explode(places)).withColumns({
+        "xmin": F.col("_x"), "xmax": F.col("_x"), "ymin": F.col("lat"), "ymax": F.col("lat"),
+    }).drop("_x")
+    pairs = tile_candidates(env, points, tile_deg or max(reach, 0.05))
     return (
         pairs.withColumn("distance_miles", geo.haversine_miles(
             F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
@@ -187,7 +170,7 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
     which its 3 x 3 neighbourhood holds a right point. Some point is then at most
     two tile diagonals away, so step 2 searches only the occupied tiles within that
     bound. Identical places are collapsed on both sides. Distances are great
-    circles; the window widens with latitude and does not cross the antimeridian.
+    circles; the window widens with latitude and goes round the antimeridian.
     """
     places_l = left.select("lon", "lat").distinct()
     places_r = right.groupBy("lon", "lat").agg(F.min(right_id).alias(right_id))
@@ -197,7 +180,11 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
                 _cell(F.col("lat"), level).alias("_ty")]
 
     level_keys = F.array(*[F.struct(*key(v)) for v in levels])
-    occupied = places_r.select(F.explode(level_keys).alias("_k")).select("_k.*").distinct()
+    # A right place is keyed once more on either side of the antimeridian; its coordinates stay.
+    wrapped = places_r.withColumn("_true", F.col("lon")).withColumn(
+        "lon", F.explode(F.array(*[F.col("lon") + geo.d(t) for t in (0, -360, 360)]))).select(
+            right_id, F.col("_true").alias("lon"), "lat", F.explode(level_keys).alias("_k"))
+    occupied = wrapped.select("_k.*").distinct()
 
     def window(df: DataFrame, x_reach: Column, y_reach: Column) -> DataFrame:
         return (
@@ -230,8 +217,7 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
     keyed_l = places_l.select(
         F.col("lon").alias("_llon"), F.col("lat").alias("_llat"), *base
     ).join(candidates, ["_bx", "_by"])
-    keyed_r = places_r.select(right_id, "lon", "lat", F.explode(level_keys).alias("_k")).select(
-        right_id, "lon", "lat", "_k.*")
+    keyed_r = wrapped.select(right_id, "lon", "lat", "_k.*")
     best = (
         keyed_l.join(keyed_r, ["_lv", "_tx", "_ty"])
         .withColumn("_d", geo.haversine_miles(F.col("_llon"), F.col("_llat"), F.col("lon"), F.col("lat")))
@@ -267,7 +253,8 @@ def polygon_overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -
 def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFrame:
     """Cut polygons with many vertices along a k x k grid of their envelope.
 
-    Rows at or below the limit pass through. Each round splits what is still too
+    Pieces serve areas and drawing: a cut through a concave shape closes its parts along
+    the cut, so an intersection test must use the whole shape. Rows at or below the limit pass through. Each round splits what is still too
     large, so vertices clustered in one corner are cut again; area is conserved.
     """
     names = df.columns

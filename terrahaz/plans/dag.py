@@ -45,7 +45,7 @@ VIEWS: dict[str, View] = {
     **{g: _group(g) for g in asset_groups.GROUPS},
     "extreme_precip": View(("pfe_mm_day", "pluvial_change_factor"), hazards.extreme_precip, ("ssp",)),
     "wildfire": View(("fwi", "burn_probability"), hazards.wildfire, ("ssp",)),
-    "latest_flood_zones": View(("flood_zones",), hazards.latest_zones_subdivided),
+    "latest_flood_zones": View(("flood_zones",), hazards.latest_zones),
     "flood": View((*asset_groups.ACTIVE_GROUPS, "extreme_precip", "latest_flood_zones"), _flood, ("ssp",)),
     "unexposed_fwi": _unexposed("fwi"),
     "unexposed_pfe_mm_day": _unexposed("pfe_mm_day"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrahaz.operators import spatial
-from terrahaz.operators.relational import latest_per
+from terrahaz.operators.relational import latest_per, top_per
 
 PRECIP_KEYS = ("osm_id", "month", "start_year", "end_year", "ssp", "return_period")
 
@@ -58,11 +58,12 @@ def extreme_precip(levels: DataFrame, factors: DataFrame) -> DataFrame:
 
 def latest_zones(zones: DataFrame) -> DataFrame:
     """Newest record of every flood area, undated records last."""
-    ties = [(-F.col("zone_rank")).alias("t")] if "zone_rank" in zones.columns else []
-    return latest_per(zones, ["fld_ar_id"], ["lomr_effective_date", *ties])
+    ties = [F.col("zone_rank").asc()] if "zone_rank" in zones.columns else []
+    return top_per(zones, ["fld_ar_id"], [F.col("lomr_effective_date").desc_nulls_last(), *ties])
 
 
 def latest_zones_subdivided(zones: DataFrame, max_vertices: int = 64) -> DataFrame:
+    """Newest zones in small pieces for drawing and areas; joins take the whole zones (see ``spatial.subdivide``)."""
     return spatial.subdivide(latest_zones(zones), max_vertices)
 
 
@@ -70,24 +71,20 @@ ZONE_COLUMNS = ("flood_zone", "flood_zone_subtype", "is_sfha", "flood_depth")
 
 
 def asset_latest_zone(assets: DataFrame, zones: DataFrame, tile_deg: float = 0.25) -> DataFrame:
-    """Every asset with the newest zone it touches, or NULLs.
+    """Every asset with the newest zone it touches (least id on ties), or NULLs.
 
-    Pairs stream from the tile join straight into a map-side ``max_by``, so no
-    list of zones per asset is ever held.
+    Pairs go from the tile join into a ranking with a limit of one, which each
+    task applies before the shuffle, so no list of zones per asset is ever held.
     """
     zone = zones.select(
         "fld_ar_id", "lomr_effective_date", *ZONE_COLUMNS,
         *spatial.GEOMETRY_COLUMNS,
     )
     hits = spatial.intersecting(assets.select("osm_id", *spatial.GEOMETRY_COLUMNS), zone, tile_deg)
-    newest = hits.groupBy("osm_id").agg(
-        F.max_by(
-            F.struct(*ZONE_COLUMNS), F.struct("lomr_effective_date", -F.col("fld_ar_id"))
-        ).alias("_z")
-    )
-    return assets.select("osm_id").join(newest, "osm_id", "left").select(
-        "osm_id", *[F.col("_z").getField(c).alias(c) for c in ZONE_COLUMNS]
-    )
+    newest = top_per(
+        hits.select("osm_id", "fld_ar_id", "lomr_effective_date", *ZONE_COLUMNS), ["osm_id"],
+        [F.col("lomr_effective_date").desc_nulls_last(), F.col("fld_ar_id").asc()])
+    return assets.select("osm_id").join(newest.select("osm_id", *ZONE_COLUMNS), "osm_id", "left")
 
 
 def decades_starting_in(start: Column, end: Column) -> Column:

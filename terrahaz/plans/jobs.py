@@ -158,10 +158,11 @@ def facility_exposure(
         {"distance_miles": "substation_miles"})
     counts = spatial.counts_within(base, substations, miles, "osm_id")
     around = max_within(base, future_burn, miles, "burn_probability", "osm_id", ["month"])
-    return left_chain(base, [
+    joined = left_chain(base, [
         (near_station, ["osm_id"]), (near_sub, ["osm_id"]), (counts, ["osm_id"]),
         (at_point, ["osm_id"]), (around, ["osm_id"]),
     ])
+    return joined.na.fill(0.0, ["burn_probability", *[f"burn_probability_max_{m:g}mi" for m in miles]])
 
 
 def line_asset_report(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -22,13 +23,17 @@ def write_keyed(df: DataFrame, path: str, keys: Sequence[str], partition_by: Seq
     """Parquet table with a unique key.
 
     Rows are clustered by key range, so files carry tight min/max statistics and
-    a hot partition value spreads over many files. Only partitions present in
-    ``df`` are replaced. The key is checked on the written batch.
+    a hot partition value spreads over many files. ``df`` is computed once, into a staging
+    folder beside the table; the key is checked on the staged rows, then the partitions present in
+    them are replaced. A batch with a repeated key changes nothing.
     """
     spark = df.sparkSession
-    staged = df.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
+    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    batch = spark.read.schema(df.schema).parquet(staging)
+    assert_unique(batch, keys)
+    staged = batch.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
     writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    assert_unique(df, keys)
     writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
     spark.catalog.refreshByPath(path)
 
@@ -74,7 +79,20 @@ def write_csv(rows: DataFrame, path: str) -> None:
     csv_table(rows).write.mode("overwrite").csv(path, header=True, compression="gzip", emptyValue="", nullValue="")
 
 
-def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("variable", "scenario")) -> None:
-    """Grid table, one folder per slice key, cells in order inside each file."""
+SLICE = ("variable", "indicator", "model", "scenario", "member", "year")
+
+
+def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
+    """Grid table, one folder per slice, cells in order inside each file.
+
+    A slice is every column of ``SLICE`` that ``df`` has; the year comes from
+    ``month_start`` or ``date`` where there is no such column. Only slices in ``df`` are
+    replaced: other models, members and years of a variable stay.
+    """
+    if partition_by is None:
+        day = next((c for c in ("month_start", "date") if c in df.columns), None)
+        if "year" not in df.columns and day:
+            df = df.withColumn("year", F.year(day))
+        partition_by = [c for c in SLICE if c in df.columns]
     df.repartitionByRange(*partition_by, "lat", "lon").sortWithinPartitions(*partition_by, "lat", "lon").write.mode(
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

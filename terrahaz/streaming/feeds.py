@@ -102,12 +102,11 @@ def exposure_stream(assets: DataFrame, table: str, expose: Callable[[DataFrame],
 
 
 def shared_folder(spark, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder, or a temporary one in tests."""
-    import tempfile
+    """A fresh folder under the cluster's checkpoint folder, or under the session's warehouse where that is unset."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/{name}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"{name}-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def drain_to_table(stream: DataFrame, folder: str, schema=None) -> DataFrame:

@@ -129,11 +129,11 @@ def shapes(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("hot", [S.HOT_PAIRS, 3])
-def test_general_intersections(spark, hot):
+@pytest.mark.parametrize("lot", [S.LOT, 3])
+def test_general_intersections(spark, lot):
     left, right = shapes(1, 45), shapes(2, 45)
     want = {(a[0], b[0]) for a in left for b in right if touches(a, b)}
-    pairs = S.tile_candidates(frame(spark, left), frame(spark, right), 1.0, hot_pairs=hot).filter(
+    pairs = S.tile_candidates(frame(spark, left), frame(spark, right), 1.0, lot=lot).filter(
         geo.intersects(geo.named(), geo.named("r_")))
     got = [(r["osm_id"], r["r_osm_id"]) for r in pairs.select("osm_id", "r_osm_id").collect()]
     assert len(got) == len(set(got))
@@ -144,10 +144,10 @@ def test_hot_tile_is_split(spark):
     pts = spark.range(400).select(F.col("id").alias("osm_id"), ((F.col("id") % 20) / 100).alias("x"),
                                   F.floor(F.col("id") / 20).cast("double").alias("y0"))
     pts = geo.with_point(pts, F.col("x"), F.col("y0") / 100)
-    tiles = S.hot_tiles(S._tiled(pts, S.ENVELOPE, 1.0), S._tiled(pts, S.ENVELOPE, 1.0), 1000)
-    assert tiles.first()["_k"] > 1
+    tiles = S.crowded_tiles(S._tiled(pts, S.ENVELOPE, 1.0), S._tiled(pts, S.ENVELOPE, 1.0), 100)
+    assert tiles.first()["_kl"] == tiles.first()["_kr"] == 4
     plain = S.tile_candidates(pts, pts, 1.0, split_hot=False).count()
-    assert plain == S.tile_candidates(pts, pts, 1.0, hot_pairs=1000).count() == 400
+    assert plain == S.tile_candidates(pts, pts, 1.0, lot=50).count() == 400
 
 
 def test_contact_counts_as_intersection(spark):
