@@ -101,8 +101,9 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(signature, node, leader) of the signatures that several sets have.
 
-    Signatures travel packed, many to a row. The leader of a signature is the
-    set that shares most with others.
+    Signatures travel packed, many to a row, with 32 bits each beside their bucket: two that fall
+    together bring sets to a comparison that fails. The leader of a signature is the set that shares most
+    with others.
     """
     size = 12 * (100 - percent) / (100 + percent) * total_bytes(docs)  # of all signatures, about
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
@@ -116,17 +117,24 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if key and key not in seen:
                     seen.add(key)
                     made.append(_signatures(own, percent))
-                    of.append(np.full(len(made[-1]), key))
+                    of.append(key)
             if made:
-                rows = np.stack([np.concatenate(made).view(np.int64), np.concatenate(of)], 1)
-                bucket = ((rows[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                rows, bucket = rows[order], bucket[order]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                ends = np.append(cut[1:], len(bucket))
+                mark = np.concatenate(made)
+                owner = np.repeat(np.arange(len(of)), [len(m) for m in made])
+                bucket = (mark % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((owner, bucket))
+                owner, bucket, short = owner[order], bucket[order], (mark[order] >> np.uint64(32)).astype("<u4")
+                # of each bucket: the nodes, how many signatures each has, and 32 bits of every signature
+                run = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])))
+                width = np.diff(np.append(run, len(owner))).astype("<u4")
+                node = np.array(of, "<i8")[owner[run]]
+                cut = np.flatnonzero(np.append(True, bucket[run][1:] != bucket[run][:-1]))
+                ends = np.append(cut[1:], len(run))
+                first = np.append(run, len(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut]), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
-                    names=["bucket", "packed"])
+                    [pa.array(bucket[run[cut]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (node, width)),
+                     pa.array([short[first[i]:first[j]].tobytes() for i, j in zip(cut, ends)], pa.binary())],
+                    names=["bucket", "nodes", "widths", "marks"])
 
     def groups(parts: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(parts)
@@ -153,12 +161,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, held, base = None, [], 0, 0
         for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for bucket, nodes, widths, marks in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != current and parts:
                     yield emit(groups(parts))
                     parts, held, base = [], 0, 0
                 current = bucket
-                parts.append(np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2))
+                mark = np.frombuffer(marks, "<u4").astype(np.int64) | bucket << 32
+                parts.append(np.stack([mark, np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(widths, "<u4"))], 1))
                 held += len(parts[-1])
                 if held > 2 * base + BUCKET_BYTES // 8:  # repeated rows go early
                     parts = [groups(parts)]
@@ -166,7 +175,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         if parts:
             yield emit(groups(parts))
 
-    return (docs.mapInArrow(spread, "bucket int, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return (docs.mapInArrow(spread, "bucket int, nodes binary, widths binary, marks binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(gather, "signature long, node long, leader long"))
 
 
