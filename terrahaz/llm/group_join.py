@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +22,8 @@ QUERIES = 256
 """Query documents of one task."""
 GROUP = 64
 """Documents behind one token union."""
+CELLS, SLABS = 1 << 20, 64
+"""Counters of token frequencies (any hash order gives the right result, this one the fewest comparisons)."""
 HUB = 2000
 """Documents compared with one leader in one task."""
 
@@ -55,57 +55,74 @@ def sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[list[np.ndarray], np.
     return found, keys
 
 
-@lru_cache(maxsize=4096)
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+def _signatures(own: np.ndarray, percent: int, cells: np.ndarray) -> np.ndarray:
+    """The rarest tokens of a set, as many as any set similar enough must share one of.
 
-
-def _signatures(own: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set, such that any set similar enough has one of them.
-
-    Sets of sizes a <= b that are similar enough differ in at most
-    (100 - p) / (100 + p) * (a + b) tokens and lie in the same size band
-    or in neighbouring ones (bands grow by 100 / p). A class joins a
-    band and the next one and cuts the range of hashes into one part more than
-    sets of these sizes may differ in, so one part at least is the same.
+    A similar set holds at least percent / 100 of the tokens. Tokens are ranked by the count of their cell,
+    then by hash: the same order for all sets, with frequent passages at its end.
     """
-    ratio = 100 / percent
-    band = int(math.floor(math.log(len(own)) / math.log(ratio) + 1e-9)) if percent < 100 else len(own)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(own ^ np.uint64(0x5851F42D4C957F2D)))])
-    found = []
-    for kind in (band - 1, band) if percent < 100 else (band,):
-        most = ratio ** (kind + 2) if percent < 100 else 0
-        parts = int((100 - percent) / (100 + percent) * 2 * most + 1e-9) + 1
-        cut = np.concatenate([[0], np.searchsorted(own, _edges(parts)), [len(own)]])
-        size = np.diff(cut).astype(np.uint64)
-        place = np.arange(parts, dtype=np.uint64) + np.uint64((kind + 2) << 32)
-        found.append(words.mix(sums[cut[1:]] - sums[cut[:-1]] + words.mix(place * np.uint64(0x9E3779B97F4A7C15) + size)))
-    return np.concatenate(found)
+    size = len(own) - -(-percent * len(own) // 100) + 1
+    return own[np.lexsort((own, cells[(own & np.uint64(CELLS - 1)).astype(np.int64)]))[:size]]
 
 
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """n_shingles and node of each row beside its other columns; the text goes."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    """n_shingles and node of each row beside its other columns; the text goes.
+
+    Rows with a ``slab`` count tokens: of a part of the ``CELLS`` cells, the tokens one task has seen.
+    """
+    kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()),
+                           T.StructField("slab", T.IntegerType()), T.StructField("cells", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        cells = np.zeros(CELLS, np.int64)
         for batch, texts in text_slices(batches):
             found, keys = sets(texts, shingle)
+            tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            cells += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([len(s) for s in found], pa.int64()), pa.array(keys)],
-                names=[*(f.name for f in kept), "n_shingles", "node"])
+                [*columns, pa.array([len(s) for s in found], pa.int64()), pa.array(keys), pa.nulls(len(found), pa.int32()),
+                 pa.nulls(len(found), pa.binary())], names=kinds.names)
+        slabs = np.split(np.minimum(cells, 0xFFFF).astype("<u2"), SLABS)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(SLABS, kinds.field(f.name).type) for f in kept), pa.nulls(SLABS, pa.int64()), pa.nulls(SLABS, pa.int64()),
+             pa.array(range(SLABS), pa.int32()), pa.array([x.tobytes() for x in slabs], pa.binary())], names=kinds.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _cells(profiles: DataFrame) -> np.ndarray:
+    """Counts of all cells; two bytes each, whatever the corpus."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slab, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[slab] = total.get(slab, 0) + np.frombuffer(raw, "<u2").astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in total.values()], pa.binary())],
+            names=["slab", "cells"])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]))
+    found = profiles.where("slab IS NOT NULL").select("slab", "cells").repartition(SLABS, "slab").mapInArrow(
+        run, "slab int, cells binary").collect()
+    cells = np.zeros((SLABS, CELLS // SLABS), np.uint16)
+    for row in found:
+        cells[row["slab"]] = np.frombuffer(row["cells"], "<u2")
+    return cells.ravel()
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, shingle: int, percent: int, cells: np.ndarray) -> DataFrame:
     """(signature, node, leader) of the signatures that several sets have.
 
     Signatures travel packed, many to a row, with 32 bits each beside their bucket: two that fall
     together bring sets to a comparison that fails. The leader of a signature is the set that shares most
     with others.
     """
-    size = 12 * (100 - percent) / (100 + percent) * total_bytes(docs)  # of all signatures, about
+    size = 2.5 * (100 - percent) / 100 * total_bytes(docs)  # of all signatures with their sets, about
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +133,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             for own, key in zip(found, keys.tolist()):
                 if key and key not in seen:
                     seen.add(key)
-                    made.append(_signatures(own, percent))
+                    made.append(_signatures(own, percent, shared.value))
                     of.append(key)
             if made:
                 mark = np.concatenate(made)
@@ -295,8 +312,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     one shingle, texts without words (empty, null) link with nothing. component_id is the
     smallest doc_id reachable by links. Equal sets are one node from the start.
 
-    1. Parts of each set that similar sets must share bring documents together
-       (see ``_signatures``); every document is compared with the leader of each
+    1. The rarest tokens of each set, one of which similar sets must share, bring documents together
+       (see ``_signatures``; frequencies come from counters of fixed size); every document is compared with the leader of each
        signature, in lots, and linked ones form groups.
     2. Where a signature still joins several groups, the documents outside its
        largest group query that family: token unions decide which groups of 64 are
@@ -316,7 +333,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
 def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The columns of ``docs`` but text, n_shingles, node and root (the node that stands for the component)."""
     profiles = checkpointed(_profiles(docs, shingle))
-    grouped = checkpointed(_grouped(docs, shingle, percent))
+    grouped = checkpointed(_grouped(docs.select("text"), shingle, percent, _cells(profiles)))
+    profiles = profiles.where("slab IS NULL").drop("slab", "cells")
     tokens = checkpointed(_wanted_sets(docs, grouped.select("node").distinct(), shingle))
     pairs = grouped.select("node", "leader").where("node <> leader").distinct()
     led = checkpointed(_led(pairs, tokens, percent))

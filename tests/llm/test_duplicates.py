@@ -129,7 +129,8 @@ def test_every_similar_pair_shares_a_signature():
     for percent in (80, 90, 100):
         rows = family_rows(5)[:-8]
         sets, _ = group_join.sets(pa.array([x for _, x in rows], pa.large_string()))
-        marks = [set(group_join._signatures(s, percent).tolist()) for s in sets]
+        cells = np.random.default_rng(percent).integers(0, 5, group_join.CELLS)
+        marks = [set(group_join._signatures(s, percent, cells).tolist()) for s in sets]
         for i in range(0, len(rows), 7):
             for j in range(i):
                 if group_join._similar(sets[i], sets[j], percent):
