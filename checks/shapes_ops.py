@@ -271,6 +271,34 @@ def overlap_share(t: Tables):
     return r6(out.select("fld_ar_id", "zone_rank", "admin_id", "overlap_share"), ["overlap_share"])
 
 
+def _ell(t: Tables):
+    """Zones without their upper right quarter."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    outline = F.array(*[geo.vertex(x, y) for x, y in ((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0))])
+    return zone_geometry(t.fx_zones).withColumn("parts", F.array(F.array(outline)))
+
+
+def _covered(x1: str, y0: str, y1: str) -> str:
+    """Covered area of one of the two rectangles of such a zone."""
+    return (f"greatest(least({x1}, b.xmax) - greatest(a.xmin, b.xmin), 0e0) * greatest(sin(radians(least({y1}, b.ymax)))"
+            f" - sin(radians(greatest({y0}, b.ymin))), 0e0)")
+
+
+XM, YM = "(a.xmin + a.xmax) / 2e0", "(a.ymin + a.ymax) / 2e0"
+
+
+@check("overlap_share_concave", f"""
+WITH s AS (SELECT a.zone_rank, b.admin_id, ({_covered('a.xmax', 'a.ymin', YM)} + {_covered(XM, YM, 'a.ymax')})
+    / ((a.xmax - a.xmin) * (sin(radians({YM})) - sin(radians(a.ymin))) + ({XM} - a.xmin) * (sin(radians(a.ymax)) - sin(radians({YM})))) AS share
+  FROM {{fx_zones}} a JOIN {{fx_admin}} b ON a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax)
+SELECT zone_rank, admin_id, round(share, 6) AS overlap_share FROM s WHERE round(share, 6) > 0
+""")
+def overlap_share_concave(t: Tables):
+    out = S.overlap_shares(_ell(t), admin_geometry(t.fx_admin), 0.5)
+    return r6(out.select("zone_rank", "admin_id", "overlap_share"), ["overlap_share"]).filter("overlap_share > 0")
+
+
 @check("weighted_income", f"""
 WITH {SHARES}
 SELECT s.admin_id AS utility_id, i.year, round(sum(i.agi * 1000e0 * s.overlap_share) / sum(i.returns * s.overlap_share), 4) AS income_per_return

@@ -230,24 +230,9 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
 
 
 def overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -> DataFrame:
-    """Pairs of rectangles with the share of the left one that the right one covers."""
+    """Pairs of polygons with the share of the left one that the right one covers (see ``geometry.overlap_share``)."""
     pairs = tile_candidates(left, right, tile_deg)
-    a = {c: F.col(c) for c in ENVELOPE}
-    b = {c: F.col(f"r_{c}") for c in ENVELOPE}
-    return pairs.withColumn("overlap_share", geo.overlap_share_box(a, b)).filter("overlap_share > 0")
-
-
-def polygon_overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -> DataFrame:
-    """Share of a left polygon inside the right one's envelope-clipped shape.
-
-    The right side must be convex in envelope form (rectangles, tiles); general
-    left polygons are cut to it and measured in equal-area coordinates.
-    """
-    pairs = tile_candidates(left, right, tile_deg)
-    cut = geo.clip_sql("parts", *[f"r_{c}" for c in ENVELOPE])
-    share = F.try_divide(geo.area_km2(cut), geo.area_km2("parts"))
-    return pairs.withColumn("overlap_share", F.least(F.greatest(share, geo.d(0)), geo.d(1))).filter(
-        "overlap_share > 0")
+    return pairs.withColumn("overlap_share", geo.overlap_share(geo.named(), geo.named("r_"))).filter("overlap_share > 0")
 
 
 def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFrame:

@@ -206,8 +206,42 @@ def test_simplify_ring_keeps_worst_vertex():
     assert len(kernels.simplify_ring(xy, 3.0)) == 2
 
 
-def test_polygon_overlap_share_of_triangle(spark):
-    tri = frame(spark, [(1, "ST_Polygon", [[ring((0, 0), (2, 0), (0, 2), (0, 0))]])])
-    box = frame(spark, [(2, "ST_Polygon", [[ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]])])
-    share = S.polygon_overlap_shares(tri, box, 1.0).first()["overlap_share"]
-    assert share == pytest.approx(0.5, rel=1e-3)
+def test_overlap_share_of_general_polygons(spark):
+    """Shares against a fine count of points in the equal-area plane."""
+    import math
+
+    ell = [ring((0, 0), (4, 0), (4, 1), (1, 1), (1, 3), (0, 3), (0, 0))]
+    comb = [ring((0, 0), (0, 3), (1, 3), (1, 1), (2, 1), (2, 3), (3, 3), (3, 0), (0, 0))]
+    holed = [ring((0, 0), (3, 0), (3, 3), (0, 3), (0, 0)), ring((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))]
+    tri = [ring((0.5, 0.2), (3.5, 0.7), (1.2, 2.9), (0.5, 0.2))]
+    shapes_ = {1: [ell], 2: [comb], 3: [holed], 4: [tri], 5: [tri, [ring((5, 5), (6, 5), (6, 6), (5, 5))]]}
+
+    def inside(p, parts):
+        def odd(edges):
+            hits = 0
+            for (ax, ay), (bx, by) in edges:
+                if (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax:
+                    hits += 1
+            return hits % 2
+        return any(odd([e for r in part for e in zip(r, r[1:])]) for part in parts)
+
+    flat = {k: [[[(q[0] if isinstance(q, tuple) else q["x"], math.sin(math.radians(q[1] if isinstance(q, tuple) else q["y"]))) for q in r]
+                 for r in part] for part in v] for k, v in shapes_.items()}
+    top = math.sin(math.radians(6.01))
+    grid = [(6.01 * (i + 0.5) / 240, top * (j + 0.5) / 240) for i in range(240) for j in range(240)]
+    held = {k: {n for n, p in enumerate(grid) if inside(p, v)} for k, v in flat.items()}
+    df = frame(spark, [(k, "ST_MultiPolygon" if len(v) > 1 else "ST_Polygon", v) for k, v in shapes_.items()])
+    got = {(r["osm_id"], r["r_osm_id"]): r["overlap_share"] for r in S.overlap_shares(df, df, 1.0).select("osm_id", "r_osm_id", "overlap_share").collect()}
+    for a in shapes_:
+        for b in shapes_:
+            assert got.get((a, b), 0.0) == pytest.approx(len(held[a] & held[b]) / len(held[a]), abs=0.02)
+        assert got[a, a] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_neighbours_across_the_antimeridian(spark):
+    left = spark.createDataFrame([(1, 179.99, 10.0), (2, -179.99, -5.0), (3, 0.0, 0.0)], "osm_id long, lon double, lat double")
+    right = spark.createDataFrame([(7, -179.99, 10.0), (8, 179.98, -5.0), (9, 170.0, 10.0), (10, 1.0, 0.0)], "station_id long, lon double, lat double")
+    near = {r["osm_id"]: (r["nearest_station_id"], r["distance_miles"]) for r in S.nearest(left, right, "osm_id", "station_id").collect()}
+    assert {k: v[0] for k, v in near.items()} == {1: 7, 2: 8, 3: 10} and near[1][1] < 2
+    counts = {r["osm_id"]: r["count_5mi"] for r in S.counts_within(left, right, [5], "osm_id").collect()}
+    assert counts == {1: 1, 2: 1, 3: 0}
