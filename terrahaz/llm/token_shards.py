@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,8 @@ PAYLOAD_BYTES = 2_000_000
 """Payload of one shard; a longer document is a shard of its own."""
 SHARD_TEXT_BYTES = 32_000_000
 """Text behind one range of documents, which one task writes."""
-CACHED_PIECES = 300_000
+CACHED_PIECES = 180_000
+"""Pieces a worker remembers in each of two generations; results do not depend on it."""
 _TRIES = 64
 _LEAST = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,11 +111,13 @@ class Encoder:
         self.by_piece = (said.get("normalizer") is None and split.get("type") == "ByteLevel"
                          and not split.get("add_prefix_space") and split.get("use_regex", True))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.cache = Pieces(SPLIT), {}
+        self.pieces, self.cache, self.old = Pieces(SPLIT), {}, {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -121,8 +125,12 @@ class Encoder:
         split = [self.pieces(text) for text in texts]
         wanted = set().union(*split)
         if len(self.cache) + len(wanted) > CACHED_PIECES:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         fresh = [piece for piece in wanted if piece not in self.cache]
+        again = [piece for piece in fresh if piece in self.old]
+        if again:
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            fresh = [piece for piece in fresh if piece not in self.old]
         for k in range(0, len(fresh), 4096):
             self.cache.update(zip(fresh[k:k + 4096], self._library(fresh[k:k + 4096])))
         get = self.cache.__getitem__
