@@ -22,6 +22,8 @@ QUERIES = 256
 """Query documents of one task."""
 GROUP = 64
 """Documents behind one token union."""
+BITS = 2048
+"""Positions of the sketches that stand for a set until it has to be compared."""
 CELLS, SLABS = 1 << 20, 64
 """Counters of token frequencies (any hash order gives the right result, this one the fewest comparisons)."""
 HUB = 2000
@@ -115,7 +117,7 @@ def _cells(profiles: DataFrame) -> np.ndarray:
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, cells: np.ndarray) -> DataFrame:
-    """(signature, node, leader) of the signatures that several sets have.
+    """(signature, node, leader, comparable) of the signatures that several sets of similar sizes have.
 
     Signatures travel packed, many to a row, with 32 bits each beside their bucket: two that fall
     together bring sets to a comparison that fails. The leader of a signature is the set that shares most
@@ -129,12 +131,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, cells: np.ndarray) ->
         seen: set[int] = set()
         for _, texts in text_slices(batches):
             found, keys = sets(texts, shingle)
-            made, of = [], []
+            made, of, sizes = [], [], []
             for own, key in zip(found, keys.tolist()):
                 if key and key not in seen:
                     seen.add(key)
                     made.append(_signatures(own, percent, shared.value))
                     of.append(key)
+                    sizes.append(len(own))
             if made:
                 mark = np.concatenate(made)
                 owner = np.repeat(np.arange(len(of)), [len(m) for m in made])
@@ -144,56 +147,64 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, cells: np.ndarray) ->
                 # of each bucket: the nodes, how many signatures each has, and 32 bits of every signature
                 run = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])))
                 width = np.diff(np.append(run, len(owner))).astype("<u4")
-                node = np.array(of, "<i8")[owner[run]]
+                node, size = np.array(of, "<i8")[owner[run]], np.array(sizes, "<u4")[owner[run]]
                 cut = np.flatnonzero(np.append(True, bucket[run][1:] != bucket[run][:-1]))
                 ends = np.append(cut[1:], len(run))
                 first = np.append(run, len(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[run[cut]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (node, width)),
+                    [pa.array(bucket[run[cut]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (node, size, width)),
                      pa.array([short[first[i]:first[j]].tobytes() for i, j in zip(cut, ends)], pa.binary())],
-                    names=["bucket", "nodes", "widths", "marks"])
+                    names=["bucket", "nodes", "sizes", "widths", "marks"])
 
     def groups(parts: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(parts)
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        order = np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))
         rows = rows[order]
         return rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
 
     def emit(rows: np.ndarray) -> pa.RecordBatch:
-        start = np.append(True, rows[1:, 0] != rows[:-1, 0])
+        # a group ends where the next larger set is too large to be similar
+        mark, size = rows[:, 0], rows[:, 2]
+        start = np.append(True, (mark[1:] != mark[:-1]) | (100 * size[:-1] < percent * size[1:]))
         number = np.cumsum(start) - 1
-        size = np.bincount(number)
-        several = size[number] > 1
-        rows, number, size = rows[several], number[several], size[number[several]]
+        count = np.bincount(number)
+        several = count[number] > 1
+        rows, number, count = rows[several], number[several], count[number[several]]
+        names = ["signature", "node", "leader", "comparable"]
         if not len(rows):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["signature", "node", "leader"])
+            return pa.RecordBatch.from_arrays([*[pa.array([], pa.int64())] * 3, pa.array([], pa.bool_())], names=names)
         node, place = np.unique(rows[:, 1], return_inverse=True)
-        weight = np.bincount(place, size)[place]
+        weight = np.bincount(place, count)[place]
         order = np.lexsort((rows[:, 1], -weight, number))
         rows, number = rows[order], number[order]
         first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-        leader = np.repeat(rows[first, 1], np.diff(np.append(first, len(rows))))
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(leader)], names=["signature", "node", "leader"])
+        head = np.repeat(first, np.diff(np.append(first, len(rows))))
+        size, most = rows[:, 2], rows[head, 2]
+        signature = words.mix(rows[:, 0].astype(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signature), pa.array(rows[:, 1]), pa.array(rows[head, 1]),
+             pa.array(100 * np.minimum(size, most) >= percent * np.maximum(size, most))], names=names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, held, base = None, [], 0, 0
         for batch in batches:
-            for bucket, nodes, widths, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, nodes, sizes, widths, marks in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != current and parts:
                     yield emit(groups(parts))
                     parts, held, base = [], 0, 0
                 current = bucket
                 mark = np.frombuffer(marks, "<u4").astype(np.int64) | bucket << 32
-                parts.append(np.stack([mark, np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(widths, "<u4"))], 1))
+                width = np.frombuffer(widths, "<u4")
+                parts.append(np.stack([mark, np.repeat(np.frombuffer(nodes, "<i8"), width), np.repeat(np.frombuffer(sizes, "<u4"), width)], 1))
                 held += len(parts[-1])
-                if held > 2 * base + BUCKET_BYTES // 8:  # repeated rows go early
+                if held > 2 * base + BUCKET_BYTES // 12:  # repeated rows go early
                     parts = [groups(parts)]
                     held = base = len(parts[0])
         if parts:
             yield emit(groups(parts))
 
-    return (docs.mapInArrow(spread, "bucket int, nodes binary, widths binary, marks binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(gather, "signature long, node long, leader long"))
+    return (docs.mapInArrow(spread, "bucket int, nodes binary, sizes binary, widths binary, marks binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(gather, "signature long, node long, leader long, comparable boolean"))
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -249,6 +260,103 @@ def _led(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("leader", "lot").sortWithinPartitions("leader", "lot", "kind").mapInArrow(run, "a long, b long")
 
 
+def _sketches(tokens: DataFrame) -> DataFrame:
+    """(node, size, parity, presence): of ``BITS`` hashed positions those with an odd number of tokens, and those with any.
+
+    Positions that differ in parity are at most as many as tokens that differ, and each
+    position of a set that a union lacks stands for a token it lacks: both bounds are exact.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, odd, some = [], [], []
+            for raw in batch.column(1):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                count = np.bincount((own >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+                sizes.append(len(own))
+                odd.append(np.packbits(count & 1 == 1).tobytes())
+                some.append(np.packbits(count > 0).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(some, pa.binary())],
+                names=["node", "size", "parity", "presence"])
+
+    return tokens.select("node", "tokens").mapInArrow(run, "node long, size long, parity binary, presence binary")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+
+
+def _near(apart: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``total`` tokens together that differ in at least ``apart`` may be similar."""
+    return apart.astype(np.int64) * (100 + percent) <= (100 - percent) * total
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, leader) that their sketches allow to be similar."""
+    heads = sketches.select(F.col("node").alias("leader"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(4))).sum(1)
+                near = _near(apart, batch.column(3).to_numpy() + batch.column(5).to_numpy(), percent)
+                yield batch.select([0, 1]).filter(pa.array(near))
+
+    return pairs.join(sketches.select("node", "size", "parity"), "node").join(heads, "leader").select(
+        "node", "leader", "parity", "size", "parity_b", "size_b").mapInArrow(run, "node long, leader long")
+
+
+def _blocks(families: DataFrame) -> DataFrame:
+    """(family, block, kind, node, root): the queries of a family in blocks (kind 0), each with all its documents (kind 1)."""
+    blocks = families.where("asks").groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {QUERIES}) as int)").alias("blocks"))
+    asking = families.where("asks").join(blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    others = families.join(blocks, "family").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "root")
+    return others.union(asking.select("family", "block", F.lit(0).alias("kind"), "node", "root"))
+
+
+def _grouped_likely(families: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``families`` that have a partner in another group of it, as far as sketches can tell."""
+    rows = _blocks(families).join(sketches, "node").select("family", "block", "kind", "root", "node", "size", "parity", "presence")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, queries, group = None, [], []
+
+        def close():
+            hit: set[int] = set()
+            if queries and group:
+                (root, node, size, odd, some), (root_b, node_b, size_b, odd_b, some_b) = (
+                    (*(np.array([r[k] for r in rows]) for k in range(3)), *(np.frombuffer(b"".join(r[k] for r in rows), np.uint8).reshape(len(rows), -1)
+                                                                              for k in (3, 4))) for rows in (queries, group))
+                lacks = np.bitwise_count(some & ~np.bitwise_or.reduce(some_b)).sum(1)
+                asks = np.flatnonzero(100 * (size - lacks) >= percent * size)  # the others cannot find enough in the union
+                for i in asks.tolist():
+                    near = _near(np.bitwise_count(odd[i] ^ odd_b).sum(1), size[i] + size_b, percent) & (root_b != root[i])
+                    if near.any():
+                        hit.add(int(node[i]))
+                        hit.update(node_b[near].tolist())
+            group.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current[0] if current else 0] * len(hit), pa.int64()), pa.array(list(hit), pa.int64())], names=["family", "node"])
+
+        for batch in batches:
+            for family, block, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (family, block) != current:
+                    yield close()
+                    current, queries = (family, block), []
+                if kind == 0:
+                    queries.append(row)
+                    continue
+                group.append(row)
+                if len(group) >= GROUP:
+                    yield close()
+        yield close()
+
+    found = rows.repartition("family", "block").sortWithinPartitions("family", "block", "kind", "root", "node").mapInArrow(
+        run, "family long, node long").distinct()
+    return families.join(found, ["family", "node"])
+
+
 def _opened(families: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between the queries of a family and its other documents.
 
@@ -256,12 +364,7 @@ def _opened(families: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     family's documents in groups of similar ones: a query opens a group only
     when the union of its tokens covers enough of the query.
     """
-    blocks = families.where("asks").groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {QUERIES}) as int)").alias("blocks"))
-    asking = families.where("asks").join(blocks, "family").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    others = families.join(blocks, "family").select(
-        "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "root")
-    rows = others.union(asking.select("family", "block", F.lit(0).alias("kind"), "node", "root")).join(tokens, "node").select(
-        "family", "block", "kind", "root", "node", "tokens")
+    rows = _blocks(families).join(tokens, "node").select("family", "block", "kind", "root", "node", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, queries, group = None, [], []
@@ -319,7 +422,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
        largest group query that family: token unions decide which groups of 64 are
        opened, and the opened ones are compared exactly.
 
-    Only documents that share a signature send their sets. Rows are never dropped
+    Both steps ask sketches of 256 bytes first, whose bounds are exact; only documents that these leave over send their sets. Rows are never dropped
     or sampled; repeated doc_ids are rows of their own; a null doc_id takes part and never
     names a component unless it is alone. Other columns are left out, an
     empty table gives an empty result.
@@ -336,8 +439,9 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     grouped = checkpointed(_grouped(docs.select("text"), shingle, percent, _cells(profiles)))
     profiles = profiles.where("slab IS NULL").drop("slab", "cells")
     tokens = checkpointed(_wanted_sets(docs, grouped.select("node").distinct(), shingle))
-    pairs = grouped.select("node", "leader").where("node <> leader").distinct()
-    led = checkpointed(_led(pairs, tokens, percent))
+    pairs = grouped.where("node <> leader AND comparable").select("node", "leader").distinct()
+    sketches = checkpointed(_sketches(tokens))
+    led = checkpointed(_led(checkpointed(_likely(pairs, sketches, percent)), tokens, percent))
     roots = checkpointed(components(led))
     placed = grouped.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("signature").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("signature")
@@ -345,7 +449,7 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sizes = loose.groupBy("signature", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("m")).select("signature", F.col("m.root").alias("family"))
     families = checkpointed(loose.join(main, "signature").select("family", "node", "root", (F.col("root") != F.col("family")).alias("asks")).distinct())
-    links = led.union(_opened(families, tokens, percent))
+    links = led.union(_opened(checkpointed(_grouped_likely(families, sketches, percent)), tokens, percent))
     final = components(links)
     return profiles.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
