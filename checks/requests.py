@@ -394,8 +394,8 @@ def burn_exposure(t: Tables):
 
 @check("burn_grid_job", """
 SELECT (((m.lon % 360e0) + 360e0) % 360e0) AS lon, m.lat AS lat, m.burn_probability FROM (
- SELECT max_by({{'lon': lon, 'lat': lat, 'burn_probability': p}}, p * 1e9 + lon * 1e4 + lat) AS m FROM (
-  SELECT lon, lat, max(pr) - 40e0 AS p FROM {fx_grid} GROUP BY 1, 2) r GROUP BY floor(lon), floor(lat)) s WHERE m.burn_probability > 0
+ SELECT (min(lon) + max(lon)) / 2e0 AS lon, (min(lat) + max(lat)) / 2e0 AS lat, max(p) AS burn_probability FROM (
+  SELECT lon, lat, max(pr) - 40e0 AS p FROM {fx_grid} GROUP BY 1, 2) r GROUP BY floor(lon), floor(lat)) m WHERE m.burn_probability > 0
 """)
 def burn_grid_job(t: Tables):
     raster = t.fx_grid.groupBy("lat", "lon").agg((F.max("pr") - 40.0).alias("burn_probability")).withColumns(

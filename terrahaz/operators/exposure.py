@@ -87,12 +87,17 @@ class ExposureSpec:
         return [k for k in V.TIME_KEYS[self.time_type] if k != "ssp"]
 
 
+def _distinct_assets(assets: DataFrame) -> DataFrame:
+    """One geometry per asset: with it a row per asset and time is unique, and no row of the result is shuffled for that."""
+    return first_per(assets.select("osm_id", *spatial.GEOMETRY_COLUMNS), ["osm_id"], ["geom_type", *spatial.ENVELOPE])
+
+
 def exposure(grid: DataFrame, assets: DataFrame, spec: ExposureSpec) -> DataFrame:
     """Exposure rows of one variable and scenario as a single lazy plan."""
     keys = spec.time_keys
     if spec.return_period is not None:
         grid = grid.filter(F.col("return_period") == spec.return_period)
-    small = spatial.collapse_small(assets.select("osm_id", *spatial.GEOMETRY_COLUMNS), spec.area_threshold_km2)
+    small = spatial.collapse_small(_distinct_assets(assets), spec.area_threshold_km2)
     rows = zonal_by_kind(
         grid.select("lon", "lat", *keys, *V.ENSEMBLE_COLUMNS), small, spec.grid, keys,
         method=spec.method, tolerance=spec.tolerance,
@@ -104,14 +109,11 @@ def exposure(grid: DataFrame, assets: DataFrame, spec: ExposureSpec) -> DataFram
     if spec.return_period is not None:
         rows = rows.withColumn("return_period", F.lit(spec.return_period))
     rows = rows.withColumn("metadata", V.metadata_json(attrs, {"zonal_method": spec.method}))
-    unique = [*keys, "osm_id"]
-    rows = first_per(rows, unique, list(V.ENSEMBLE_COLUMNS))
     return V.exposure_contract(rows, spec.time_type, spec.return_period is not None)
 
 
 def burn_exposure(grid: DataFrame, assets: DataFrame, spec: GridSpec, method: str = "mean",
                   area_threshold_km2: float = 20.0) -> DataFrame:
     """Burn probability per asset: no time axis, no rounding, key osm_id."""
-    small = spatial.collapse_small(assets.select("osm_id", *spatial.GEOMETRY_COLUMNS), area_threshold_km2)
-    rows = zonal_by_kind(grid, small, spec, [], ["burn_probability"], method)
-    return first_per(rows.na.drop(), ["osm_id"], ["burn_probability"])
+    small = spatial.collapse_small(_distinct_assets(assets), area_threshold_km2)
+    return zonal_by_kind(grid, small, spec, [], ["burn_probability"], method).na.drop()

@@ -35,14 +35,13 @@ def burn_grid(raster: DataFrame, res: float = 500.0) -> DataFrame:
     """Burn-probability raster to lon/lat cells: block maximum, 0..360 longitudes, positive only.
 
     ``raster``: x, y (projected metres), lon, lat of the pixel, burn_probability.
-    The coarse cell takes the place of its strongest pixel.
+    A coarse cell lies in the middle of its pixels, so the result is regular where the raster is.
     """
     block = [F.floor(F.col("x") / lit(res)).alias("_bx"), F.floor(F.col("y") / lit(res)).alias("_by")]
     best = raster.groupBy(*block).agg(
-        F.max(F.struct("burn_probability", "lon", "lat")).alias("_m"))
+        F.max("burn_probability").alias("_p"), *[((F.min(c) + F.max(c)) / lit(2)).alias(c) for c in ("lon", "lat")])
     return best.select(
-        unwrap_lon(F.col("_m.lon")).alias("lon"), F.col("_m.lat").alias("lat"),
-        positive_only(F.col("_m.burn_probability")).alias("burn_probability"),
+        unwrap_lon(F.col("lon")).alias("lon"), "lat", positive_only(F.col("_p")).alias("burn_probability"),
     ).filter(F.col("burn_probability").isNotNull())
 
 

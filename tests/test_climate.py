@@ -145,3 +145,36 @@ def test_future_periods(spark):
 def test_slope_default(spark):
     df = spark.createDataFrame([(1, 0.0, 3.0)], "m int, p double, x double")
     assert C.log_odds_slope(df, ["m"], "p", "x").first()["beta1"] == 0.1
+
+
+def test_sliding_sum_stops_at_missing_months(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from terrahaz.operators import climate
+
+    months = [(2000, 1), (2000, 2), (2000, 3), (2000, 4), (2005, 7), (2005, 8)]
+    df = spark.createDataFrame([(1, datetime.date(y, m, 1), 1.0) for y, m in months], "cell int, month_start date, v double")
+    got = [r["scaled"] for r in climate.sliding_sum(df, ["cell"], "v", 3).orderBy(F.col("month_start")).collect()]
+    assert got == [None, None, 3.0, 3.0, None, None]
+
+
+def test_grid_rows_beside_the_spec_are_left_out(spark):
+    from terrahaz.operators import grid
+
+    cells = spark.createDataFrame([(float(i), 0.0, float(i)) for i in range(10)], "lon double, lat double, v double")
+    spec = grid.GridSpec(0.0, 0.0, 1.0, 1.0, 3, 1)
+    point = spark.createDataFrame([(7, 8.0, 0.0)], "osm_id int, lon double, lat double")
+    assert [r["v"] for r in grid.sample_points(cells, point, spec).collect()] == [2.0]
+    assert spec.keyed(cells).count() == 3
+
+
+def test_targets_beside_the_source_are_null(spark):
+    from terrahaz.operators import grid
+
+    cells = spark.createDataFrame([("a", float(i), 0.0, float(i)) for i in range(3)], "k string, lon double, lat double, v double")
+    source, target = grid.GridSpec(0.0, 0.0, 1.0, 1.0, 3, 1), grid.GridSpec(-2.0, 0.0, 1.0, 1.0, 7, 1)
+    for method in ("nearest", "linear"):
+        got = {r["lon"]: r["v"] for r in grid.align(cells, source, target, "v", method, ["k"]).collect()}
+        assert len(got) == 7 and [got[x] for x in (0.0, 1.0, 2.0)] == [0.0, 1.0, 2.0] and got[-2.0] is None and got[4.0] is None

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import harness
 from tests.compare import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = harness.QUERIES, harness.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -26,4 +27,4 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -5,9 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from checks import harness
 
 SF = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in harness.QUERIES if not n.startswith("stream_"))
 
 
 def plan(df) -> str:
@@ -20,6 +21,18 @@ def test_no_nested_loops_or_row_udfs(spark, name):
     assert not re.search(r"BroadcastNestedLoopJoin|CartesianProduct|BatchEvalPython\b", text), text[:2000]
 
 
+@pytest.mark.parametrize("name", ["latest_flood_zones", "asset_latest_zone", "exposure_job"])
+def test_rows_are_picked_without_sort_aggregates(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "SortAggregate" not in text and "WindowGroupLimit" in text
+
+
+def test_drought_index_needs_two_exchanges_after_the_scan(spark):
+    text = plan(entry.queries()["drought_l_moments"](spark, SF))
+    by_cell = re.findall(r"Exchange hashpartitioning\([^)]*\)[^\n]*", text)
+    assert not any("REPARTITION" in line for line in by_cell)
+
+
 def test_columns_are_pruned_at_the_scan(spark):
     text = plan(entry.queries()["hazard_extreme_precip"](spark, SF))
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", text):

@@ -1,5 +1,6 @@
 """Views, requests, files, sinks and streaming."""
 
+import datetime
 import json
 import tempfile
 
@@ -209,6 +210,53 @@ def test_keyed_sink_replaces_only_its_partitions(spark, t):
         sinks.write_keyed(t.fx_fwi, root, ["osm_id"])
 
 
+def test_keyed_sink_leaves_the_table_when_a_key_repeats(spark):
+    root = folder() + "/t"
+    good = spark.createDataFrame([(1, 245, 0.5)], "osm_id long, ssp int, v double")
+    sinks.write_keyed(good, root, ["osm_id", "ssp"])
+    with pytest.raises(ValueError):
+        sinks.write_keyed(good.union(good), root, ["osm_id", "ssp"])
+    assert spark.read.parquet(root).count() == 1
+
+
+def test_grid_sink_replaces_only_its_slices(spark):
+    root = folder() + "/g"
+    schema = "indicator string, model string, scenario string, member string, lat double, lon double, month_start date, value double"
+
+    def frame(model, year, value):
+        return spark.createDataFrame([("fwi", model, "ssp245", "r1", 1.0, 2.0, datetime.date(year, 1, 1), value)], schema)
+
+    for model, year, value in (("A", 2020, 1.0), ("B", 2020, 2.0), ("A", 2021, 3.0), ("A", 2020, 4.0)):
+        sinks.write_grid(frame(model, year, value), root)
+    got = {(r["model"], r["year"]): r["value"] for r in spark.read.parquet(root).collect()}
+    assert got == {("A", 2020): 4.0, ("B", 2020): 2.0, ("A", 2021): 3.0}
+
+
+def test_every_tag_key_gets_a_column(spark):
+    df = spark.createDataFrame([(1, "x", {"id": "i", "type": "t", "power": "plant", "a:b": "c", "a_b": "d"})],
+                               "osm_id long, osm_type string, tags map<string,string>")
+    row = T.infrastructure_attributes(df, "power", extra_keys=["id", "type", "osm_type", "power", "a:b", "a_b", "id"]).first()
+    assert (row["id"], row["type"], row["tag_osm_type"], row["power_type"], row["a_b"], row["tag_a_b"]) == ("i", "t", None, "plant", "c", "d")
+
+
+def test_wide_and_long_tags_have_no_limit(spark):
+    df = spark.range(2500).select(F.col("id").alias("osm_id"), F.lit("s").alias("osm_subtype"),
+                                  F.create_map(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit("v")).alias("tags"))
+    assert len(T.tag_columns(df)) == 2500 and T.long_tags(df).count() == 2500
+
+
+def test_text_ids_of_flood_zones(spark):
+    from terrahaz.functions import geometry as geo
+
+    point = geo.with_point(spark.createDataFrame([(1, 0.5, 0.5), (2, 9.0, 9.0)], "osm_id long, x double, y double"), F.col("x"), F.col("y"))
+    zones = spark.createDataFrame([("53033C_12", None, "A"), ("53033C_2", "2001-01-01", "B"), ("53033C_10", "2001-01-01", "C")],
+                                  "fld_ar_id string, lomr_effective_date string, flood_zone string").withColumns(
+        {"flood_zone_subtype": F.lit("s"), "is_sfha": F.lit("T"), "flood_depth": F.lit(1.0)})
+    zones = geo.with_box(zones, F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
+    got = {r["osm_id"]: r["flood_zone"] for r in hazards.asset_latest_zone(point, zones).collect()}
+    assert got == {1: "C", 2: None}
+
+
 def test_feature_sink(spark, t):
     root = folder() + "/f"
     sinks.write_features(admin_geometry(t.fx_admin).withColumn("osm_id", F.col("admin_id")), root)
