@@ -178,10 +178,17 @@ SELECT osm_id, month, decade AS decade, ssp, ensemble_mean * burn_probability AS
 ORDER BY risk DESC, osm_id, month, decade, ssp LIMIT 25
 """)
 def top_combined_risk(t: Tables):
-    df = hazards.wildfire(t.fx_fwi, t.fx_burn).filter("burn_probability IS NOT NULL").withColumn(
-        "risk", F.col("ensemble_mean") * F.col("burn_probability"))
-    return df.orderBy(F.desc("risk"), "osm_id", "month", "decade", "ssp").limit(25).select(
-        "osm_id", "month", "decade", "ssp", "risk")
+    return Q.combined_fire_risk(hazards.wildfire(t.fx_fwi, t.fx_burn), 25).select("osm_id", "month", "decade", "ssp", "risk")
+
+
+@check("ranked_emerging_risk", """
+SELECT zone_rank, flood_depth - 200e0 AS q3_change FROM {fx_zones} WHERE coalesce(is_sfha <> 'T', true) AND flood_depth > 200
+ORDER BY q3_change DESC, zone_rank LIMIT 20
+""")
+def ranked_emerging_risk(t: Tables):
+    df = t.fx_zones.select("zone_rank", "is_sfha", F.col("flood_depth").alias("ensemble_q3"),
+                           F.lit(200.0).alias("ensemble_q3_historical_baseline"))
+    return Q.ranked_flood_risk(df, "emerging", 20, ("zone_rank",)).select("zone_rank", "q3_change")
 
 
 @check("flood_risk_classes", """

@@ -179,9 +179,14 @@ def content_hash(representations: Sequence[Column]) -> Column:
 
 
 def typed_text(value: Column, kind: str) -> Column:
-    """Type prefix: s text, d object, l list, n number, x null."""
+    """Type prefix: s text, d object, l list (both given as JSON), n number or boolean, x null.
+
+    Objects and lists are written compactly with sorted keys at every depth, booleans as true and false.
+    """
     if kind == "x":
         return F.lit("x:null")
+    if kind in ("d", "l"):
+        value = F.to_json(F.parse_json(value))
     return F.concat(F.lit(kind + ":"), value.cast("string"))
 
 

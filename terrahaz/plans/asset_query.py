@@ -216,6 +216,23 @@ def flood_risk_class(rows: DataFrame) -> DataFrame:
         .otherwise("stable"))
 
 
+def largest(rows: DataFrame, measure: str, k: int, ties: Sequence[str] = ("osm_id",)) -> DataFrame:
+    """The ``k`` rows of greatest ``measure`` (rows without one are left out), ties in the order of ``ties``."""
+    return rows.filter(F.col(measure).isNotNull()).orderBy(F.desc(measure), *ties).limit(k)
+
+
+def ranked_flood_risk(rows: DataFrame, kind: str, k: int, ties: Sequence[str] = ("osm_id",)) -> DataFrame:
+    """Rows of the greatest rise in extreme rain: ``emerging`` ones outside, ``compounding`` ones inside the mapped hazard area."""
+    if kind not in ("emerging", "compounding"):
+        raise ValueError(f"unknown kind of risk {kind!r}")
+    return largest(flood_risk_class(rows).filter(F.col("risk_class") == kind), "q3_change", k, ties)
+
+
+def combined_fire_risk(rows: DataFrame, k: int, ties: Sequence[str] = ("osm_id", "month", "decade", "ssp")) -> DataFrame:
+    """Rows of the greatest product of fire weather and burn probability."""
+    return largest(rows.withColumn("risk", F.col("ensemble_mean") * F.col("burn_probability")), "risk", k, ties)
+
+
 def metadata_lookup(table: DataFrame, variable: str, ssp: int) -> DataFrame:
     return table.filter((F.col("variable") == variable) & (F.col("ssp") == ssp)).select("metadata").distinct()
 

@@ -327,3 +327,12 @@ def test_exposure_stream_is_idempotent(spark, t):
         q.awaitTermination(180)
         assert q.exception() is None
         assert spark.read.parquet(table).count() == assets.count()
+
+
+def test_content_hash_of_objects_lists_and_booleans(spark):
+    import hashlib
+
+    df = spark.createDataFrame([('{"b": [1, 2], "a": {"d": "x", "c": null}}', '["u", {"z": 1, "y": false}]', True)], "o string, l string, f boolean")
+    parts = [V.typed_text(F.col("o"), "d"), V.typed_text(F.col("l"), "l"), V.typed_text(F.col("f"), "n"), V.typed_text(F.col("f"), "x")]
+    want = sorted(['d:{"a":{"c":null,"d":"x"},"b":[1,2]}', 'l:["u",{"y":false,"z":1}]', "n:true", "x:null"])
+    assert df.select(V.content_hash(parts).alias("h")).first()["h"] == hashlib.sha256(("|".join(want) + "|").encode()).hexdigest()
