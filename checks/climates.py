@@ -171,7 +171,7 @@ CODES = "WITH RECURSIVE " + codes_sql(SERIES, f"SELECT {SERIES}, date, tasmax, p
 SELECT {SERIES}, date, round(ffmc, 5) AS ffmc, round(dmc, 5) AS dmc, round(dc, 5) AS dc FROM codes WHERE rn > 0
 """)
 def fire_weather_recurrence(t: Tables):
-    out = C.fwi(t.fx_grid, block_deg=10.0)
+    out = C.fwi(t.fx_grid)
     return r6(out.select(*C.SERIES, "lat", "lon", "date", "ffmc", "dmc", "dc"), ["ffmc", "dmc", "dc"], 5)
 
 
@@ -180,7 +180,7 @@ SELECT {SERIES}, cast(year(date) AS int) AS year, round(ffmc, 5) AS ffmc, round(
   SELECT *, row_number() OVER (PARTITION BY {SERIES}, year(date) ORDER BY date DESC) AS pick FROM codes WHERE rn > 0) q WHERE pick = 1
 """)
 def fire_weather_last_state(t: Tables):
-    codes = C.moisture_codes(t.fx_grid, block_deg=10.0)
+    codes = C.moisture_codes(t.fx_grid)
     return r6(C.last_state(codes, [*C.SERIES, "lat", "lon"]).withColumn("year", F.col("year").cast("int")),
               ["ffmc", "dmc", "dc"], 5)
 

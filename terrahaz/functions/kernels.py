@@ -6,7 +6,7 @@ only do the arithmetic inside a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,46 +100,79 @@ def carry_codes(lat, months, temp, rain, humid, wind, start):
     state = np.stack(start)
     out = np.full((3, *temp.shape), np.nan)
     for day, month in enumerate(months):
-        t, r, h, w = temp[day], rain[day], humid[day], wind[day]
-        ok = ~(np.isnan(t) | np.isnan(r) | np.isnan(h) | np.isnan(w))
-        if not ok.any():
-            continue
-        with np.errstate(all="ignore"):
-            new = np.stack([
-                next_ffmc(state[0], t, r, h, w),
-                next_dmc(state[1], t, r, h, day_length(lat, month)),
-                next_dc(state[2], t, r, drying_term(lat, month)),
-            ])
-        state = np.where(ok, new, state)
-        out[:, day] = np.where(ok, new, np.nan)
+        state, out[:, day] = next_codes(state, lat, month, temp[day], rain[day], humid[day], wind[day])
     return out
 
 
-def codes_for_block(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """All cells of one block, walked together one day at a time."""
-    cells, cell_no = np.unique(pdf[["lat", "lon"]].to_numpy(), axis=0, return_inverse=True)
-    days, day_no = np.unique(pdf["date"].to_numpy(), return_inverse=True)
-    cell_no, day_no = cell_no.ravel(), day_no.ravel()
-
-    def grid(name: str) -> np.ndarray:
-        a = np.full((len(days), len(cells)), np.nan)
-        a[day_no, cell_no] = pdf[name].to_numpy(dtype=float)
-        return a
-
-    start = []
-    for name, default in START.items():
-        first = np.full(len(cells), default)
-        if f"{name}_start" in pdf:
-            given = pdf[f"{name}_start"].to_numpy(dtype=float)
-            known = ~np.isnan(given)
-            first[cell_no[known]] = given[known]
-        start.append(first)
-    months = pd.DatetimeIndex(pd.to_datetime(days)).month
-    codes = carry_codes(cells[:, 0], months, grid("tasmax"), grid("pr"), grid("hurs"), grid("sfcwind"), start)
-    result = pdf[[*keys, "date", "sfcwind"]].copy()
-    for i, name in enumerate(START):
-        result[name] = codes[i, day_no, cell_no]
-    return result
+def next_codes(state: np.ndarray, lat: np.ndarray, month: int, t: np.ndarray, r: np.ndarray, h: np.ndarray, w: np.ndarray):
+    """State after one day of many cells, and the day's codes (NaN, and no change of state, where an input is missing)."""
+    ok = ~(np.isnan(t) | np.isnan(r) | np.isnan(h) | np.isnan(w))
+    if not ok.any():
+        return state, np.full(state.shape, np.nan)
+    with np.errstate(all="ignore"):
+        new = np.stack([
+            next_ffmc(state[0], t, r, h, w),
+            next_dmc(state[1], t, r, h, day_length(lat, month)),
+            next_dc(state[2], t, r, drying_term(lat, month)),
+        ])
+    return np.where(ok, new, state), np.where(ok, new, np.nan)
+
+
+class BlockWalk:
+    """The codes of one block of cells, day by day; a cell keeps its state over days it lacks."""
+
+    def __init__(self):
+        self.cells, self.state, self.rest = np.zeros((0, 2)), np.zeros((3, 0)), {}
+
+    def day(self, cells: np.ndarray, month: int, weather: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Codes of the cells (lat, lon) of a day; ``start`` holds the codes of cells seen for the first time."""
+        if not np.array_equal(cells, self.cells):
+            self.rest.update(zip(map(tuple, self.cells.tolist()), self.state.T))
+            self.state = np.stack([self.rest.get(cell, start[:, i]) for i, cell in enumerate(map(tuple, cells.tolist()))], 1)
+            self.cells = cells
+        self.state, out = next_codes(self.state, cells[:, 0], month, *weather)
+        return out
+
+
+def walk_sorted(frames: Iterator[pd.DataFrame], block: list[str]) -> Iterator[pd.DataFrame]:
+    """Codes of rows that come sorted by block, date, lat and lon; holds one batch and the last day before it."""
+    held, current, walk = None, None, BlockWalk()
+
+    def walked(frame: pd.DataFrame) -> pd.DataFrame:
+        """All rows of ``frame``, whose last day is complete."""
+        nonlocal current, walk
+        number = frame.groupby(block, sort=False, dropna=False).ngroup().to_numpy()
+        date = frame["date"].to_numpy().astype("datetime64[D]")
+        edges = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (date[1:] != date[:-1])) + 1).tolist(), len(frame)]
+        months = (date.astype("datetime64[M]").astype(int) % 12 + 1).tolist()
+        cells = frame[["lat", "lon"]].to_numpy(dtype=float)
+        weather = frame[["tasmax", "pr", "hurs", "sfcwind"]].to_numpy(dtype=float).T
+        start = np.repeat(np.array(list(START.values()))[:, None], len(frame), 1)
+        for i, name in enumerate(START):
+            if f"{name}_start" in frame:
+                given = frame[f"{name}_start"].to_numpy(dtype=float)
+                start[i] = np.where(np.isnan(given), start[i], given)
+        out = np.empty((3, len(frame)))
+        for a, b in zip(edges, edges[1:]):
+            if a == 0 or number[a] != number[a - 1]:
+                key = tuple(frame[block].iloc[a])
+                if key != current:
+                    current, walk = key, BlockWalk()
+            out[:, a:b] = walk.day(cells[a:b], months[a], weather[:, a:b], start[:, a:b])
+        return frame.assign(**dict(zip(START, out)))
+
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = frame[[*block, "date"]].iloc[-1]
+        whole = (frame[[*block, "date"]] != last).any(axis=1).to_numpy()
+        cut = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
+        if cut:
+            yield walked(frame.iloc[:cut])
+        held = frame.iloc[cut:]
+    if held is not None and len(held):
+        yield walked(held)
 
 
 # ------------------------------------------------------------ drought quantile

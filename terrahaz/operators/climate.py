@@ -48,9 +48,9 @@ def moisture_codes(daily: DataFrame, init: DataFrame | None = None, block_deg: f
                    series: Sequence[str] = SERIES) -> DataFrame:
     """Daily FFMC, DMC and DC carried through time for every cell.
 
-    Spark groups by series and a square block of cells; one task walks the days
-    of a block once, all its cells together. A block is bounded by cells per
-    block times days of the calendar because (series, cell, date) is unique.
+    Rows are dealt by series and a square block of cells and sorted by day; a task
+    walks the days of a block once, all its cells together, and holds one day of a
+    block at a time, however long the record is.
     ``init`` holds start codes per cell (ffmc, dmc, dc), for instance the last
     state of the year before, so years can be processed one after another.
     """
@@ -69,10 +69,13 @@ def moisture_codes(daily: DataFrame, init: DataFrame | None = None, block_deg: f
         + [T.StructField(c, T.DoubleType()) for c in kernels.START]
     )
 
-    def walk(pdf):
-        return kernels.codes_for_block(pdf, keys)[schema.names]
+    block = [*series, "_bx", "_by"]
 
-    out = inputs.groupBy(*series, "_bx", "_by").applyInPandas(walk, schema)
+    def walk(frames):
+        for frame in kernels.walk_sorted(frames, block):
+            yield frame[schema.names]
+
+    out = inputs.repartition(*block).sortWithinPartitions(*block, "date", "lat", "lon").mapInPandas(walk, schema)
     return out.select(*keys, "date", "sfcwind", *[
         F.when(~F.isnan(c), F.col(c)).alias(c) for c in kernels.START])
 
