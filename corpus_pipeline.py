@@ -7,22 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import byte_bpe, decontamination, group_join, substring_dedup, toxicity
-from terrahaz.llm.frames import new_folder
+from terrahaz.llm.frames import bounded_batches, new_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples do not mark as toxic; columns and texts stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    labels = bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    bounded_batches(spark)
     return group_join.keep_one(docs, shingle=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that stand earlier; n_chars follows, documents stay."""
+    bounded_batches(spark)
     cut = substring_dedup.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     return cut.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -30,12 +32,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    benchmark = bounded_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontamination.decontaminate(docs, benchmark).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens, ids and round_trip (whether the ids decode to the text)."""
+    bounded_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
     return decoded.select(

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from terrahaz.llm.frames import text_slices
 
-CACHED_PIECES = 400_000
-"""Pieces a worker remembers; the memory starts afresh when it is full, results do not change."""
+CACHED_PIECES = 150_000
+"""Pieces a worker remembers in each of two generations; results do not depend on it."""
 
 # Characters on which ``re`` and the Unicode classes of the pattern agree; other texts take the slower library.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ſ‘-”–—…€]")
@@ -99,6 +99,7 @@ class ByteBpe:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens joined, or -1."""
@@ -172,8 +173,12 @@ class ByteBpe:
         split = [self.pieces(text) for text in texts]
         wanted = set().union(*split)
         if len(self.cache) + len(wanted) > CACHED_PIECES:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         fresh = [piece for piece in wanted if piece not in self.cache]
+        again = [piece for piece in fresh if piece in self.old]
+        if again:
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            fresh = [piece for piece in fresh if piece not in self.old]
         whole = [piece.encode() for piece in fresh]
         known = [self.ranks.get(piece) for piece in whole]
         self.cache.update((p, np.uint32(r).tobytes()) for p, r in zip(fresh, known) if r is not None)

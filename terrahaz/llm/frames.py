@@ -76,6 +76,16 @@ def in_bitmap(bits, slots):
     return (bits[at >> 3] >> (at & 7).astype(bits.dtype)) & 1 == 1
 
 
+ARROW_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most 8 MB where it has Spark's default of 64 MB (Python workers hold several)."""
+    if spark.conf.get(ARROW_BATCHES, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(ARROW_BATCHES, "8m")
+    return spark
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrahaz.llm import (
     byte_bpe, cover_tree, decontamination, group_join, language_model, licenses, page_text, substring_dedup, token_shards, toxicity,
 )
-from terrahaz.llm.frames import crc_mod, new_folder
+from terrahaz.llm.frames import bounded_batches, crc_mod, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op4_byte_bpe")
