@@ -27,6 +27,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             total += int(size)
         if len(sizes) > start:
             yield batch.slice(start), texts.slice(start)
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back at the end of a task: the worker stays, beside those of other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def flat(texts: pa.Array):

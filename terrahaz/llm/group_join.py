@@ -207,8 +207,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, cells: np.ndarray) ->
             .mapInArrow(gather, "signature long, node long, leader long, comparable boolean"))
 
 
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes: texts pass a bitmap of fixed size first, then a join."""
+def _wanted(docs: DataFrame, wanted: DataFrame, shingle: int, sketch: bool) -> DataFrame:
+    """(node, tokens) or sketches of the wanted nodes: texts pass a bitmap of fixed size first, then a join.
+
+    A sketch is (node, size, parity, presence): of ``BITS`` hashed positions those with an odd number of tokens, and
+    those with any. Positions that differ in parity are at most as many as tokens that differ, and each
+    position of a set that a union lacks stands for a token it lacks: both bounds are exact.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap(wanted.select(F.pmod("node", F.lit(1 << FILTER_BITS)) + 1)))
 
@@ -218,11 +223,19 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found, keys = sets(texts, shingle)
             maybe = (keys != 0) & in_bitmap(bits, keys % (1 << FILTER_BITS) + 1)
             kept = [i for i in np.flatnonzero(maybe).tolist() if keys[i] not in seen and not seen.add(keys[i])]
+            if not sketch:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[kept]), pa.array([found[i].tobytes() for i in kept], pa.binary())], names=["node", "tokens"])
+                continue
+            counts = [np.bincount((found[i] >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) for i in kept]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[kept]), pa.array([found[i].tobytes() for i in kept], pa.binary())], names=["node", "tokens"])
+                [pa.array(keys[kept]), pa.array([len(found[i]) for i in kept], pa.int64()),
+                 pa.array([np.packbits(c & 1 == 1).tobytes() for c in counts], pa.binary()),
+                 pa.array([np.packbits(c > 0).tobytes() for c in counts], pa.binary())], names=["node", "size", "parity", "presence"])
 
-    return docs.mapInArrow(run, "node long, tokens binary").join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("tokens").alias("tokens"))
+    schema = "node long, size long, parity binary, presence binary" if sketch else "node long, tokens binary"
+    made = docs.mapInArrow(run, schema).join(wanted, "node", "left_semi")
+    return made.groupBy("node").agg(*[F.min(c).alias(c) for c in made.columns[1:]])
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -260,28 +273,6 @@ def _led(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("leader", "lot").sortWithinPartitions("leader", "lot", "kind").mapInArrow(run, "a long, b long")
 
 
-def _sketches(tokens: DataFrame) -> DataFrame:
-    """(node, size, parity, presence): of ``BITS`` hashed positions those with an odd number of tokens, and those with any.
-
-    Positions that differ in parity are at most as many as tokens that differ, and each
-    position of a set that a union lacks stands for a token it lacks: both bounds are exact.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, odd, some = [], [], []
-            for raw in batch.column(1):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                count = np.bincount((own >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-                sizes.append(len(own))
-                odd.append(np.packbits(count & 1 == 1).tobytes())
-                some.append(np.packbits(count > 0).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(some, pa.binary())],
-                names=["node", "size", "parity", "presence"])
-
-    return tokens.select("node", "tokens").mapInArrow(run, "node long, size long, parity binary, presence binary")
-
-
 def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
@@ -438,10 +429,12 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     profiles = checkpointed(_profiles(docs, shingle))
     grouped = checkpointed(_grouped(docs.select("text"), shingle, percent, _cells(profiles)))
     profiles = profiles.where("slab IS NULL").drop("slab", "cells")
-    tokens = checkpointed(_wanted_sets(docs, grouped.select("node").distinct(), shingle))
+    texts = docs.select("text")
+    sketches = checkpointed(_wanted(texts, grouped.select("node").distinct(), shingle, sketch=True))
     pairs = grouped.where("node <> leader AND comparable").select("node", "leader").distinct()
-    sketches = checkpointed(_sketches(tokens))
-    led = checkpointed(_led(checkpointed(_likely(pairs, sketches, percent)), tokens, percent))
+    likely = checkpointed(_likely(pairs, sketches, percent))
+    ends = likely.select("node").union(likely.select("leader")).distinct()
+    led = checkpointed(_led(likely, checkpointed(_wanted(texts, ends, shingle, sketch=False)), percent))
     roots = checkpointed(components(led))
     placed = grouped.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("signature").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("signature")
@@ -449,7 +442,8 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sizes = loose.groupBy("signature", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("m")).select("signature", F.col("m.root").alias("family"))
     families = checkpointed(loose.join(main, "signature").select("family", "node", "root", (F.col("root") != F.col("family")).alias("asks")).distinct())
-    links = led.union(_opened(checkpointed(_grouped_likely(families, sketches, percent)), tokens, percent))
+    families = checkpointed(_grouped_likely(families, sketches, percent))
+    links = led.union(_opened(families, _wanted(texts, families.select("node").distinct(), shingle, sketch=False), percent))
     final = components(links)
     return profiles.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
