@@ -22,7 +22,7 @@ PAYLOAD_BYTES = 2_000_000
 """Payload of one shard; a longer document is a shard of its own."""
 SHARD_TEXT_BYTES = 32_000_000
 """Text behind one range of documents, which one task writes."""
-CACHED_PIECES = 180_000
+CACHED_PIECES = 400_000
 """Pieces a worker remembers in each of two generations; results do not depend on it."""
 _TRIES = 64
 _LEAST = -(1 << 63)
@@ -112,6 +112,9 @@ class Encoder:
                          and not split.get("add_prefix_space") and split.get("use_regex", True))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces, self.cache, self.old = Pieces(SPLIT), {}, {}
+        # fixed value: the sign that stands for the blank byte in byte-level vocabularies
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -119,6 +122,26 @@ class Encoder:
         code = self.code
         return [array(code, e.ids).tobytes() for e in found]
 
+    def _words(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids; blank-and-letters pieces go through the library in rows of many.
+
+        Behind one another they split into themselves again, and a token that starts with a blank starts a
+        piece; a row with another number of such tokens than pieces is taken piece by piece.
+        """
+        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        other = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        rows = [plain[k:k + 256] for k in range(0, len(plain), 256)]
+        for row, found in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            first = np.flatnonzero(self.blank[ids])
+            if len(first) == len(row) and first[0] == 0:
+                raw, cut = ids.tobytes(), (np.append(first, len(ids)) * self.dtype.itemsize).tolist()
+                yield from zip(row, [raw[a:b] for a, b in zip(cut, cut[1:])])
+            else:
+                other += row
+        for k in range(0, len(other), 4096):
+            yield from zip(other[k:k + 4096], self._library(other[k:k + 4096]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
@@ -131,8 +154,7 @@ class Encoder:
         if again:
             self.cache.update(zip(again, map(self.old.__getitem__, again)))
             fresh = [piece for piece in fresh if piece not in self.old]
-        for k in range(0, len(fresh), 4096):
-            self.cache.update(zip(fresh[k:k + 4096], self._library(fresh[k:k + 4096])))
+        self.cache.update(self._words(fresh))
         get = self.cache.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
