@@ -239,3 +239,46 @@ def test_pipeline_keeps_clean_rows(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, small)
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(30))
+
+
+def test_every_stage_against_brute_force(spark, small):
+    """Each stage on what the one before kept, beside a plain version of its rule."""
+    import tiktoken
+    import public_tokenizers
+
+    from tests.llm.test_duplicates import linked_texts, without_repeats
+    from terrahaz.llm import byte_bpe
+    from terrahaz.llm.frames import new_folder
+
+    docs, seen = spark.read.parquet(f"{small}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        folder = new_folder(spark, "stage")
+        stage(spark, docs, small).write.parquet(folder)
+        after = spark.read.parquet(folder)
+        seen.append((name, {r["doc_id"]: r for r in docs.collect()}, {r["doc_id"]: r for r in after.collect()}))
+        docs = after
+    (_, before, kept), (_, _, single), (_, _, cut), (_, _, clean), (_, _, coded) = seen
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    gone = set(before) - set(kept)
+    assert all(truth.get(d, 1) == 1 for d in gone)  # few labels here: what toxicity finds is tested above
+    rows = [(d, r["text"]) for d, r in kept.items()]
+    assert set(single) == {d for d, _, least in linked_texts(rows, 5, 80) if d == least}
+    expected = {d: (n, removed, digest) for d, n, removed, digest in without_repeats([(d, r["text"]) for d, r in single.items()])}
+    assert set(cut) == set(single)
+    for d, r in cut.items():
+        n, removed, digest = expected[d]
+        words = WORD.findall(r["text"] or "")
+        assert len(words) == n - removed and r["n_chars"] == len(r["text"] or "")
+        if not removed:
+            assert r == single[d]
+
+    def plain(x):
+        return f" {' '.join(re.findall(r'[^\W_]+', (x or '').lower()))} "
+
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    assert not any(i in plain(r["text"]) for r in clean.values() for i in items)
+    assert set(cut) - set(clean) <= {d for d, r in cut.items() if any(plain(i)[:60].strip() in plain(r["text"]) or i[-60:].strip() in plain(r["text"]) for i in items)}
+    ranks = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks
+    library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert set(coded) == set(clean)
+    assert all(r["ids"] == library.encode_ordinary(r["text"] or "") and r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in coded.values())
