@@ -22,7 +22,7 @@ PAYLOAD_BYTES = 2_000_000
 """Payload of one shard; a longer document is a shard of its own."""
 SHARD_TEXT_BYTES = 32_000_000
 """Text behind one range of documents, which one task writes."""
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 """Pieces a worker remembers in each of two generations; results do not depend on it."""
 _TRIES = 64
 _LEAST = -(1 << 63)
