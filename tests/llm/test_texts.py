@@ -220,6 +220,96 @@ def test_licence_rules_need_their_order(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+MIT_TEXT = """MIT License
+{}
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+APACHE_TEXT = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+BSD_TEXT = """Copyright (c) 2020, X
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2{0} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3{0} Neither the name of {1} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+ISC_TEXT = """ISC License
+
+Copyright (c) 2020 X
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+
+
+def test_wrapped_licence_texts(spark):
+    def comment(text, mark):
+        return "\n".join((mark + line).rstrip() for line in text.split("\n"))
+
+    mit, bsd = MIT_TEXT.format("\nCopyright (c) 2020 X\n"), BSD_TEXT.format(".", "the copyright holder")
+    cases = [
+        (mit, ["MIT"]), (MIT_TEXT.format("Copyright (c) 2020 X").replace("\n\n", "\n"), ["MIT"]), (MIT_TEXT.format(""), ["MIT"]),
+        (mit.replace("\n", "\r\n"), ["MIT"]), (comment(mit, " * "), ["MIT"]), (comment(mit, "# "), ["MIT"]),
+        (APACHE_TEXT, ["Apache-2.0"]), (APACHE_TEXT.replace("\n\n", "\n"), ["Apache-2.0"]), (comment(APACHE_TEXT, "// "), ["Apache-2.0"]),
+        (bsd, ["BSD-3-Clause"]), (BSD_TEXT.format(")", "the University of X").replace("\n\n", "\n"), ["BSD-3-Clause"]),
+        (comment(bsd, " * "), ["BSD-3-Clause"]), (bsd[:bsd.index("3.")] + bsd[bsd.index("THIS"):], ["BSD-2-Clause"]), (ISC_TEXT, ["ISC"]),
+        ("- licensed under the\n  MIT license\n- written in haste", ["MIT"]),
+        # each part of a text by itself: a notice on its line does not decide how the rest is read
+        (f"All rights reserved\nReleased under the MIT license\nLicensed under CC BY 4.0\n\nno end\n\n{bsd}", ["BSD-3-Clause", "CC-BY-4.0", "MIT", "Proprietary"]),
+        ("This work is licensed under" + " " * 5000 + "the GNU General Public License version 3", ["GPL-3.0"]),
+        ("Redistribution and use of these texts are permitted:\n1. never\n2. at night", []),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert found == {i: names for i, (_, names) in enumerate(cases)}
+    for sentence in licenses._KNOWN:
+        assert re.search(licenses._SIGNS, sentence) and len(sentence) >= licenses._LEAST
+
+
 def test_pipeline_stage_by_stage(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
