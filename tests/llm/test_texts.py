@@ -197,6 +197,31 @@ def test_changed_numbers_and_names_are_caught_when_consistent(spark):
     assert sorted(r["doc_id"] for r in kept) == [2, 4, 6, 6]
 
 
+def test_leaks_with_names_that_open_sentences_and_dense_slots(spark):
+    items = [
+        "Tom has 5 apples. Sara buys 3 more apples. How many apples does Tom have now?",
+        "What is 12 plus 30 plus 41?",
+        "Scores of 3 4 5 6 7 went to Anna Berg on May 2 1999 and 8 9 10 11 to nobody",
+        "The river that Alice Brown crossed near Paris was wide and cold at night",
+    ]
+    cases = [
+        ("Ben has 7 apples. Lily buys 4 more apples. How many apples does Ben have now?", {0}),
+        ("x y. \"Ben has 7 apples.\nLily buys 4 more apples. How many apples does\nBen have now?\"", {0}),
+        ("Ben has 7 apples. Lily buys 4 more apples. How many apples does Lily have now?", set()),
+        ("well, what is 7 plus 44 plus 6 then", {1}), ("what is 7 plus 44 minus 6 then", set()), ("what is 7 plus 7 plus 6", set()),
+        ("scores of 13 14 15 16 17 went to Carl Dorn on June 22 2001 and 18 19 20 21 to nobody", {2}),
+        ("the river that\nCarol\nGreen crossed near\nRome was wide and cold at night", {3}),
+        # a part with other names does not undo equal words
+        ("The river that Alice Brown crossed near Paris was wide and cold at day", {3}),
+        ("the river that alice brown crossed near paris was wide and cold at night", {3}),
+        ("1 2 3 4 5 6 7 8 9 10 11 12", set()), ("Who has the river? Where is it?", set()),
+    ]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert found == {(i, item) for i, (_, held) in enumerate(cases) for item in held}
+
+
 def test_leaks_of_empty_tables(spark):
     docs, benchmark = leak_frames(spark)
     assert decontamination.leaks(docs.limit(0), benchmark).collect() == []
