@@ -25,11 +25,16 @@ DROPPED = frozenset(
     "aside button canvas dialog footer form head iframe input map math menu nav noembed noframes noscript object script select "
     "style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
-PART = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|"
-    r"disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|popup|promo|promos|related|"
-    r"responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-HEADER_PART = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-?header|page-?header)(?:$|[\s_-])", re.I)
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
+    "gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo promos related responses share sharing "
+    "sidebar signup social sponsor sponsored subscribe toolbar widget header topbar siteheader pageheader".split())
+# what such names are put together with; another word makes a name that may come from a heading
+JOINED = PARTS | frozenset(
+    "area bar block bottom box button buttons container content element form global icons inner item items left links list main media "
+    "mobile outer page panel post posts primary right secondary section site slot top unit widgets wrap wrapper".split())
+NAMELESS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre dt dd td th tr tbody thead tfoot caption figcaption".split())
+HALF = 0.5
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}),
@@ -38,14 +43,16 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
             "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+NAMED = re.compile(r"""(?<![\w:-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, False
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -64,15 +71,29 @@ def _dropped(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and (PART.search(value) or not inside and HEADER_PART.search(value)):
-            return True
+    return False
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """Whether class or id is the name of a page part: a known word, alone or joined with words that say nothing else.
+
+    Headings, paragraphs and parts of tables have no such names, nor have sections by their id, which is often made from a heading.
+    """
+    if not attributes or tag in NAMELESS:
+        return False
+    for name, a, b, c in NAMED.findall(attributes):
+        if name.lower() == "class" or name.lower() == "id" and tag != "section":
+            for token in (a or b or c).lower().split():
+                parts = [x.rstrip("0123456789") for x in re.split("[_-]+", token)]
+                if not PARTS.isdisjoint(parts) and all(x in JOINED or not x for x in parts):
+                    return True
     return False
 
 
 def parse(html: str) -> Node:
     """The element tree, with the implied ends of p, li, table parts and the like."""
     root = Node("#root", None, False)
-    node, at, raw = root, 0, ""
+    node, at = root, 0
     for token in TOKEN.finditer(html):
         start = token.start()
         if start < at:
@@ -114,13 +135,13 @@ def parse(html: str) -> Node:
                 node.children.append(" ")
             continue
         child = Node(tag, node, node.dropped or _dropped(tag, token[3], node.inside))
+        child.named = not child.dropped and _named(tag, token[3])
         node.children.append(child)
         if tag in VOID or token[3].endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
         if tag in RAW:
-            raw = html.lower() if not raw else raw
-            end = raw.find(f"</{tag}", at)
-            end = len(html) if end < 0 else end
+            ended_at = RAW_END[tag].search(html, at)
+            end = ended_at.start() if ended_at else len(html)
             child.children.append(html[at:end])
             at = end
             close = html.find(">", at)
@@ -157,6 +178,27 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _drop_named(order: list[Node], body: Node) -> bool:
+    """Drop measured elements with the name of a page part; the name alone does not decide.
+
+    In an article or main element more than half of the text must be links. Elsewhere the element stays when it
+    holds the main element or the longest article or, on pages without these, more than half of the text of the body and few links.
+    """
+    named = [n for n in order if n.named and n.chars]
+    if not named:
+        return False
+    around = set()
+    longest = max((n for n in order if n.tag == "article"), key=lambda n: n.chars, default=None)
+    for node in [longest, *(n for n in order if n.tag == "main")]:
+        while node is not None:
+            around.add(id(node))
+            node = node.parent
+    for node in named:
+        linked = node.link_chars > HALF * node.chars
+        node.dropped = linked if node.inside else id(node) not in around and (bool(around) or linked or node.chars <= HALF * body.chars)
+    return any(n.dropped for n in named)
+
+
 def _densities(order: list[Node], body: Node) -> None:
     """Characters per tag, lowered by the share of links, and its sum over the children.
 
@@ -205,9 +247,13 @@ def main_text(html: str) -> str:
     """Text blocks of the densest subtree, joined by line ends ('' when there is none)."""
     root = parse(html)
     order = _measure(root)
+    body = next((n for n in reversed(order) if n.tag == "body"), root)
+    if _drop_named(order, body):
+        for node in order:
+            node.chars = node.tags = node.link_chars = node.link_tags = 0
+        order = _measure(root)
     if not root.chars:
         return ""
-    body = next((n for n in reversed(order) if n.tag == "body"), root)
     _densities(order, body)
     best = max(reversed(order), key=lambda n: n.total)
     # the path to the body: what is at least as dense as its thinnest node belongs to the same content
@@ -228,7 +274,8 @@ def main_text(html: str) -> str:
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` without ``html`` and with the main text of each page as ``out``.
 
-    Boilerplate elements (by tag, role, class or id) never count as content;
+    Boilerplate elements (by tag or role, and by class or id where text and links
+    do not speak against it) never count as content;
     among the rest the node whose children have the greatest sum of composite
     densities is taken, widened to its article (or main) element or, where
     there is none, along the path to the body while siblings reach the

@@ -164,6 +164,24 @@ def test_page_shapes(page, text):
     assert page_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>first words</p><section id='related-work'><h2 id='navigation-systems'>Navigation</h2><p class='share-price'>second words</p></section>"
+     "<div id='social-impact'>third</div><section id='share-of-market'>fourth</section><div class='comment'>fifth <a href=x>l</a> words</div></article>",
+     "first words\nNavigation\nsecond words\nthird\nfourth\nfifth l words"),
+    ("<body><div><h1>T</h1><section id='notice'><p>one long part of the text</p></section><div id='share-price'><p>another part of the text</p></div></div></body>",
+     "T\none long part of the text\nanother part of the text"),
+    ("<body><div class='widget'><h1>T</h1><p>all of the text is in here</p></div></body>", "T\nall of the text is in here"),
+    ("<article><p>kept words here</p><ul class='share-buttons'><li><a href=x>one site</a><li><a href=y>other</a></ul></article>", "kept words here"),
+    ("<body><div><p>kept words in a long line</p></div><div class='site-footer'><p>all about us</p></div><div id=comments2>x y</div></body>",
+     "kept words in a long line"),
+    # lower case of some letters is longer
+    ("<article>" + "\u0130" * 30 + "<SCRIPT>x = 1</Script><p>after it</p><style>y</STYLE ><p>end</p></article>", "\u0130" * 30 + "\nafter it\nend"),
+    ("<article><script>a = '</scripts>' + b</script><p>after it</p></article>", "after it"),
+])
+def test_names_alone_do_not_drop_text(page, text):
+    assert page_text.main_text(page) == text
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (None, "<p>x</p>", None)], "page_id long, html string, text string")
     assert sorted(r["text"] for r in page_text.extract(df).collect()) == ["", "", "x"]
