@@ -96,7 +96,8 @@ class Encoder:
 
     The library's byte-level files split a text before they merge; with such a
     file each distinct piece goes through the library once and is remembered.
-    Any other file gets the whole texts.
+    Texts that hold an added token, which the library takes out before the split,
+    go whole; so do all texts of any other file.
     """
 
     def __init__(self, path: str):
@@ -104,9 +105,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.added = [token["content"] for token in said.get("added_tokens") or []]
         split = said.get("pre_tokenizer") or {}
         self.by_piece = (said.get("normalizer") is None and split.get("type") == "ByteLevel"
                          and not split.get("add_prefix_space") and split.get("use_regex", True))
@@ -145,7 +146,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
-        split = [self.pieces(text) for text in texts]
+        held = [any(token in text for token in self.added) for text in texts]
+        split = [[] if whole else self.pieces(text) for text, whole in zip(texts, held)]
         wanted = set().union(*split)
         if len(self.cache) + len(wanted) > CACHED_PIECES:
             self.cache, self.old = {}, self.cache
@@ -156,7 +158,8 @@ class Encoder:
             fresh = [piece for piece in fresh if piece not in self.old]
         self.cache.update(self._words(fresh))
         get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        found = iter(self._library([text for text, whole in zip(texts, held) if whole]) if any(held) else ())
+        return [next(found) if whole else b"".join(map(get, pieces)) for pieces, whole in zip(split, held)]
 
 
 @lru_cache(maxsize=2)

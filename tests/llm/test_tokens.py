@@ -82,6 +82,15 @@ def expected_shards(rows):
     return sorted(out, key=str)
 
 
+def test_added_tokens_as_the_library_reads_them():
+    tokenizer = Tokenizer.from_file(FILE)
+    texts = ["one two", "one <|endoftext|> two", "<|endoftext|><|endoftext|>", "", "<|endoftext|", "x<|endoftext|>\n y one"]
+    expected = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    encoder = token_shards.Encoder(FILE)
+    found = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(texts)]
+    assert found == expected and found[2] == [50256, 50256]
+
+
 def test_op10_against_the_library(spark, small, documents, monkeypatch):
     monkeypatch.setattr(token_shards, "SHARD_TEXT_BYTES", 100_000)
     monkeypatch.setattr(token_shards, "PAYLOAD_BYTES", 20_000)
