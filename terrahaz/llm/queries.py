@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import (
-    byte_bpe, cover_tree, decontamination, group_join, language_model, licenses, page_text, substring_dedup, token_shards, toxicity,
+    byte_bpe, cover_tree, decontamination, group_join, language_model, licenses, merkle, page_text, substring_dedup, token_shards, toxicity,
 )
 from terrahaz.llm.frames import bounded_batches, crc_mod, new_folder
 
@@ -95,3 +95,17 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     scored = language_model.score(docs, ~held_out)
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "manifest")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(crc_mod(F.col("doc_id"), 5) == 0, merkle.leaf(
+        *(merkle.lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in fields)))
+    merkle.build(docs, folder, fields, presented=tampered)
+    found = merkle.proofs(spark, folder)
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.joined(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("presented", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
