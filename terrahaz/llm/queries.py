@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import (
-    byte_bpe, cover_tree, decontamination, group_join, language_model, licenses, merkle, page_text, substring_dedup, token_shards, toxicity,
+    byte_bpe, conversations, cover_tree, decontamination, group_join, language_model, licenses, merkle, page_text, substring_dedup, token_shards, toxicity,
 )
-from terrahaz.llm.frames import bounded_batches, crc_mod, new_folder
+from terrahaz.llm.frames import bounded_batches, checkpointed, crc_mod, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.joined(F.col("path")), 256).alias("proof_sha256"),
         merkle.folded(F.coalesce("presented", "leaf"), F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    found = checkpointed(conversations.reports(rows))
+    sums = conversations.digests(rows, found).withColumnRenamed("conv_id", "of")
+    return found.join(sums, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
