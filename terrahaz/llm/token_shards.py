@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrahaz.llm.byte_bpe import Pieces
-from terrahaz.llm.frames import text_slices
+from terrahaz.llm.encoder import load
+from terrahaz.llm.frames import flat, text_slices
 from terrahaz.llm.words import mix
 
 PAYLOAD_BYTES = 2_000_000
 """Payload of one shard; a longer document is a shard of its own."""
 SHARD_TEXT_BYTES = 32_000_000
 """Text behind one range of documents, which one task writes."""
-CACHED_PIECES = 250_000
-"""Pieces a worker remembers in each of two generations; results do not depend on it."""
 _TRIES = 64
 _LEAST = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-# fixed value: the split that byte-level tokenizer files apply before merging
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys by buckets and displacements.
@@ -91,82 +82,6 @@ def hash_keys(ids: np.ndarray, copies: np.ndarray, missing: np.ndarray) -> np.nd
     return mix(mix(ids.astype(np.uint64)) + number * np.uint64(0xD1342543DE82EF95))
 
 
-class Encoder:
-    """Ids of whole texts from a tokenizer file.
-
-    The library's byte-level files split a text before they merge; with such a
-    file each distinct piece goes through the library once and is remembered.
-    Texts that hold an added token, which the library takes out before the split,
-    go whole; so do all texts of any other file.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        self.added = [token["content"] for token in said.get("added_tokens") or []]
-        split = said.get("pre_tokenizer") or {}
-        self.by_piece = (said.get("normalizer") is None and split.get("type") == "ByteLevel"
-                         and not split.get("add_prefix_space") and split.get("use_regex", True))
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.cache, self.old = Pieces(SPLIT), {}, {}
-        # fixed value: the sign that stands for the blank byte in byte-level vocabularies
-        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in found]
-
-    def _words(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces with their ids; blank-and-letters pieces go through the library in rows of many.
-
-        Behind one another they split into themselves again, and a token that starts with a blank starts a
-        piece; a row with another number of such tokens than pieces is taken piece by piece.
-        """
-        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        other = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        rows = [plain[k:k + 256] for k in range(0, len(plain), 256)]
-        for row, found in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
-            ids = np.array(found.ids, self.dtype)
-            first = np.flatnonzero(self.blank[ids])
-            if len(first) == len(row) and first[0] == 0:
-                raw, cut = ids.tobytes(), (np.append(first, len(ids)) * self.dtype.itemsize).tolist()
-                yield from zip(row, [raw[a:b] for a, b in zip(cut, cut[1:])])
-            else:
-                other += row
-        for k in range(0, len(other), 4096):
-            yield from zip(other[k:k + 4096], self._library(other[k:k + 4096]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._library(texts)
-        held = [any(token in text for token in self.added) for text in texts]
-        split = [[] if whole else self.pieces(text) for text, whole in zip(texts, held)]
-        wanted = set().union(*split)
-        if len(self.cache) + len(wanted) > CACHED_PIECES:
-            self.cache, self.old = {}, self.cache
-        fresh = [piece for piece in wanted if piece not in self.cache]
-        again = [piece for piece in fresh if piece in self.old]
-        if again:
-            self.cache.update(zip(again, map(self.old.__getitem__, again)))
-            fresh = [piece for piece in fresh if piece not in self.old]
-        self.cache.update(self._words(fresh))
-        get = self.cache.__getitem__
-        found = iter(self._library([text for text, whole in zip(texts, held) if whole]) if any(held) else ())
-        return [next(found) if whole else b"".join(map(get, pieces)) for pieces, whole in zip(split, held)]
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 _SHARD = ("shard int, part int, before long, n_docs int, n_ids long, width int, "
           "keys binary, missing binary, seeds binary, slots binary, payload binary")
 
@@ -230,16 +145,18 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
     edges = np.array(sorted(set(cuts)), np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = load(path)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch, texts in text_slices(batches, "text"):
             ids = batch.column(0)
             shard = np.searchsorted(edges, ids.fill_null(_LEAST).to_numpy(), "right").astype(np.int32)
-            rows = [r + end for r in encode(texts.to_pylist())]
+            found, counts = encode.flat(*flat(texts))
+            packed, cut = found.tobytes(), (np.append(0, np.cumsum(counts)) * encode.dtype.itemsize).tolist()
+            rows = [packed[a:b] + end for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(rows, pa.binary())], names=["shard", "doc_id", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _encoder(path).dtype.itemsize
+        width = load(path).dtype.itemsize
         shard, part, before, size = None, 0, 0, 0
         ids, rows, copies = [], [], []
         for batch in batches:

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from terrahaz.llm import byte_bpe, queries, token_shards
+from terrahaz.llm import byte_bpe, encoder, queries, token_shards
 from terrahaz.llm.frames import new_folder
 
 RANKS, FILE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -72,7 +72,6 @@ def test_encode_keeps_rows_and_replaces_a_clashing_column(spark, library):
 
 def expected_shards(rows):
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     encoded = [(d, tokenizer.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in rows]
     encoded.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
     out, place = [], 0
@@ -86,11 +85,26 @@ def test_added_tokens_as_the_library_reads_them():
     tokenizer = Tokenizer.from_file(FILE)
     texts = ["one two", "one <|endoftext|> two", "<|endoftext|><|endoftext|>", "", "<|endoftext|", "x<|endoftext|>\n y one"]
     expected = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
-    encoder = token_shards.Encoder(FILE)
-    found = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(texts)]
+    own = encoder.Encoder(FILE)
+    found = [np.frombuffer(x, own.dtype).tolist() for x in own(texts)]
     assert found == expected and found[2] == [50256, 50256]
 
 
+def test_array_encoder_equals_the_library(monkeypatch):
+    rng, tokenizer = random.Random(5), Tokenizer.from_file(FILE)
+    letters = ["ab<éß 1\n\t ²\x1c\x85\xa0\u3000", "aaab ", "the a²½Ⅷ́ 한", "thiscanot '’sdl,.revm", "'s 'll've'd're'm't x'"]
+    texts = ["".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    points = [lambda: rng.randrange(0xD800), lambda: rng.randrange(0xE000, 0x110000), lambda: rng.choice(b" 's1a\n")]
+    texts += ["".join(chr(rng.choice(points)()) for _ in range(40)) for _ in range(3000)]
+    texts += ["a" * 5001, "ab" * 3000, " " * 4000 + "x", "don't've", "'", "'l", "x'", "''s", " 's", "\u088f a", ""]
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    own = encoder.Encoder(FILE)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own(texts)] == expected
+    monkeypatch.setattr(encoder, "REMEMBERED", 50)
+    for k in range(0, 400, 20):
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own(texts[k:k + 20])] == expected[k:k + 20]
+
+
 def test_op10_against_the_library(spark, small, documents, monkeypatch):
     monkeypatch.setattr(token_shards, "SHARD_TEXT_BYTES", 100_000)
     monkeypatch.setattr(token_shards, "PAYLOAD_BYTES", 20_000)
@@ -98,7 +112,7 @@ def test_op10_against_the_library(spark, small, documents, monkeypatch):
 
 
 def test_shards_of_odd_rows_and_lookup(spark):
-    rows = [(5, "a b"), (5, "a b"), (5, "c"), (None, "x"), (None, None), (7, None), (3, ""), (-4, "zß²")]
+    rows = [(5, "a b"), (5, "a b"), (5, "c"), (None, "x"), (None, None), (7, None), (3, ""), (-4, "zß²"), (9, "a <|endoftext|> b")]
     folder = new_folder(spark, "shards")
     token_shards.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, FILE, 2)
     assert sorted(map(tuple, token_shards.read_documents(spark, folder).collect()), key=str) == expected_shards(rows)
