@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import (
-    byte_bpe, conversations, cover_tree, decontamination, group_join, language_model, licenses, merkle, page_text, substring_dedup, token_shards, toxicity,
+    byte_bpe, conversations, cover_tree, decontamination, group_join, language_model, licenses, merkle, packing, page_text,
+    substring_dedup, token_shards, toxicity,
 )
 from terrahaz.llm.frames import bounded_batches, checkpointed, crc_mod, new_folder
 
@@ -117,3 +118,12 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpointed(conversations.reports(rows))
     sums = conversations.digests(rows, found).withColumnRenamed("conv_id", "of")
     return found.join(sums, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+@query("op12_best_two_fit")
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "pieces")
+    packing.write_pieces(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    pieces = spark.read.parquet(folder)
+    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
