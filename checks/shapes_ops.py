@@ -214,6 +214,34 @@ def zonal_statistics(t: Tables):
     return r6(out, ["ensemble_median"], 9)
 
 
+def _ell_parts():
+    """A rectangle without its upper right quarter, clockwise."""
+    x0, y0, x1, y1 = (F.col(c) for c in S.ENVELOPE)
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    return F.array(F.array(F.array(*[geo.vertex(x, y) for x, y in ((x0, y0), (x0, y1), (xm, y1), (xm, ym), (x1, ym), (x1, y0), (x0, y0))])))
+
+
+def _shared(x1: str, y0: str, y1: str) -> str:
+    return (f"greatest(least({x1}, -125e0 + (c.ix + 0.5e0) * 0.25e0) - greatest(a.x0, -125e0 + (c.ix - 0.5e0) * 0.25e0), 0e0)"
+            f" * greatest(least({y1}, 20e0 + (c.iy + 0.5e0) * 0.25e0) - greatest({y0}, 20e0 + (c.iy - 0.5e0) * 0.25e0), 0e0)")
+
+
+@check("zonal_concave", f"""
+WITH {KEYED}, cells AS (
+  SELECT a.osm_id, c.ix, c.iy, {_shared('a.x1', 'a.y0', '(a.y0 + a.y1) / 2e0')} + {_shared('(a.x0 + a.x1) / 2e0', '(a.y0 + a.y1) / 2e0', 'a.y1')} AS w
+  FROM {{fx_assets}} a JOIN (SELECT DISTINCT ix, iy FROM keyed) c
+   ON a.x0 < -125e0 + (c.ix + 0.5e0) * 0.25e0 AND a.x1 > -125e0 + (c.ix - 0.5e0) * 0.25e0
+   AND a.y0 < 20e0 + (c.iy + 0.5e0) * 0.25e0 AND a.y1 > 20e0 + (c.iy - 0.5e0) * 0.25e0
+  WHERE a.kind = 'ST_Polygon')
+SELECT c.osm_id, k.decade AS decade, k.month, round(sum(k.ensemble_mean * c.w) / sum(c.w), 9) AS ensemble_mean_mean,
+       max(k.ensemble_mean) AS ensemble_mean_max
+FROM cells c JOIN keyed k ON k.ix = c.ix AND k.iy = c.iy WHERE c.w > 1e-10 GROUP BY ALL
+""")
+def zonal_concave(t: Tables):
+    polygons = assets(t).filter("geom_type = 'ST_Polygon'").withColumn("parts", _ell_parts())
+    return r6(G.zonal_pivot(t.fx_ensemble, polygons, spec_for(t), "ensemble_mean", ["decade", "month"]), ["ensemble_mean_mean"], 9)
+
+
 @check("line_exposure", f"""
 WITH {KEYED}, v AS (
   SELECT osm_id, x0 AS lon, y0 AS lat FROM {{fx_assets}} WHERE kind = 'ST_LineString'

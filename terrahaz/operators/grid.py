@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrahaz.functions import geometry as geo
@@ -184,15 +184,23 @@ def sample_points(grid: DataFrame, points: DataFrame, spec: GridSpec) -> DataFra
     return points.withColumns({"ix": ix, "iy": iy}).join(keyed, ["ix", "iy"]).drop("ix", "iy")
 
 
+LEAST_SHARE = 1e-9
+"""Covered share of a cell below which a general polygon does not count as being in it (rounding of running sums)."""
+
+
 def polygon_cells(polygons: DataFrame, spec: GridSpec, id_col: str = "osm_id") -> DataFrame:
     """(id, ix, iy, weight): cells a polygon touches with the covered share of the cell.
 
-    Cells are centred on their coordinates. Rectangles use the closed form;
-    other polygons are clipped to the cell. Columns and rows of cells explode one
-    after the other, so a polygon over the whole grid streams instead of
-    materialising its cell list, and heavy polygons spread over tasks after the
-    exchange on the cell index.
+    Cells are centred on their coordinates. Rectangles use the closed form; their columns and
+    rows of cells explode one after the other, so one over the whole grid streams. Other
+    polygons go edge by edge through :func:`edge_shares`.
     """
+    shapes = polygons.select(id_col, "geom_type", "parts", "xmin", "ymin", "xmax", "ymax").withColumn(
+        "_box", F.expr(geo.is_box(geo.named())))
+    return _box_shares(shapes.filter("_box"), spec, id_col).unionByName(edge_shares(shapes.filter("NOT _box"), spec, id_col))
+
+
+def _box_shares(boxes: DataFrame, spec: GridSpec, id_col: str) -> DataFrame:
     def span(low: Column, high: Column, first: float, step: float, n: int) -> Column:
         def idx(v: Column, up: bool) -> Column:
             pos = (v - geo.d(first)) / geo.d(step) + geo.d(0.5)
@@ -202,21 +210,66 @@ def polygon_cells(polygons: DataFrame, spec: GridSpec, id_col: str = "osm_id") -
         return F.sequence(idx(low, False), F.greatest(idx(low, False), idx(high, True)))
 
     cells = (
-        polygons.select(id_col, "geom_type", "parts", "xmin", "ymin", "xmax", "ymax")
+        boxes.select(id_col, "xmin", "ymin", "xmax", "ymax")
         .withColumn("ix", F.explode(span(F.col("xmin"), F.col("xmax"), spec.x0, spec.dx, spec.nx)))
         .withColumn("iy", F.explode(span(F.col("ymin"), F.col("ymax"), spec.y0, spec.dy, spec.ny)))
     )
-    cx0 = geo.d(spec.x0) + (F.col("ix") - geo.d(0.5)) * geo.d(spec.dx)
-    cy0 = geo.d(spec.y0) + (F.col("iy") - geo.d(0.5)) * geo.d(spec.dy)
-    cells = cells.withColumns({"_cx": cx0, "_cy": cy0})
-    wide = F.least(F.col("xmax"), F.col("_cx") + geo.d(spec.dx)) - F.greatest("xmin", "_cx")
-    high = F.least(F.col("ymax"), F.col("_cy") + geo.d(spec.dy)) - F.greatest("ymin", "_cy")
-    by_box = F.greatest(wide, geo.d(0)) * F.greatest(high, geo.d(0))
-    by_clip = geo.area_deg2(geo.clip_sql("parts", "_cx", "_cy", f"_cx + {spec.dx!r}D", f"_cy + {spec.dy!r}D"))
-    weight = F.when(F.expr(geo.is_box(geo.named())), by_box).otherwise(by_clip) / geo.d(spec.dx * spec.dy)
+    cx = geo.d(spec.x0) + (F.col("ix") - geo.d(0.5)) * geo.d(spec.dx)
+    cy = geo.d(spec.y0) + (F.col("iy") - geo.d(0.5)) * geo.d(spec.dy)
+    wide = F.least(F.col("xmax"), cx + geo.d(spec.dx)) - F.greatest(F.col("xmin"), cx)
+    high = F.least(F.col("ymax"), cy + geo.d(spec.dy)) - F.greatest(F.col("ymin"), cy)
+    weight = F.greatest(wide, geo.d(0)) * F.greatest(high, geo.d(0)) / geo.d(spec.dx * spec.dy)
     return cells.select(id_col, "ix", "iy", weight.alias("weight")).filter("weight > 0")
 
 
+def edge_shares(polygons: DataFrame, spec: GridSpec, id_col: str = "osm_id") -> DataFrame:
+    """(id, ix, iy, weight) of general polygons, by adding up what each edge changes.
+
+    In cell units, an edge changes the covered area of the cells it crosses by the area to its
+    right, and of all cells further right in those rows of cells by its height there. Both are changes
+    at the crossed cell and the next one; their running sum along a row of cells is the covered
+    share, and between two changes it is constant, so whole runs of inner cells need one
+    row until they are listed. Shells and holes are signed by their turn, so their direction is
+    free. Work grows with the cells that edges cross plus the cells covered, not with
+    vertices times cells; changes are added before the shuffle, and a polygon of many
+    vertices spreads by rows of cells. Parts outside the grid count as far as they cover it.
+    """
+    turn = (f"if(ri = 0, 1D, -1D) * sign(aggregate({geo.ring_segments('rg')}, 0D, "
+            "(acc, e) -> acc + (e.a.x - rg[0].x) * (e.b.y - rg[0].y) - (e.b.x - rg[0].x) * (e.a.y - rg[0].y)))")
+    places = {f"{axis}{end}": f"(e.{end}.{axis} - ({first!r}D)) / ({step!r}D) + 0.5D"
+              for axis, first, step in (("x", spec.x0, spec.dx), ("y", spec.y0, spec.dy)) for end in "ab"}
+    edges = (
+        polygons.selectExpr(id_col, "explode(parts) AS pt").selectExpr(id_col, "posexplode(pt) AS (ri, rg)")
+        # The generator binds the turn once per ring; as a plain column it would be worked out again for every edge.
+        .selectExpr(id_col, f"inline(array(named_struct('turn', {turn}, 'es', {geo.ring_segments('rg')})))")
+        .selectExpr(id_col, "turn", "explode(es) AS e").filter("e.a.y <> e.b.y")
+        .selectExpr(id_col, "turn", *[f"{v} AS {k}" for k, v in places.items()])
+        .selectExpr(id_col, "if(ya < yb, -turn, turn) AS s", "if(ya < yb, xa, xb) AS x0", "least(ya, yb) AS y0",
+                    "if(ya < yb, xb, xa) AS x1", "greatest(ya, yb) AS y1")
+        .filter(f"y1 > 0D AND y0 < {spec.ny}D AND y1 > y0"))
+    rows = (
+        edges.selectExpr("*", f"explode(sequence(cast(greatest(floor(y0), 0) AS bigint), "
+                              f"cast(least(ceil(y1), {spec.ny}) AS bigint) - 1)) AS iy")
+        .selectExpr(id_col, "s", "iy", "least(y1, iy + 1D) - greatest(y0, cast(iy AS double)) AS h",
+                    "x0 + (x1 - x0) * ((greatest(y0, cast(iy AS double)) - y0) / (y1 - y0)) AS u0",
+                    "x0 + (x1 - x0) * ((least(y1, iy + 1D) - y0) / (y1 - y0)) AS u1")
+        .selectExpr(id_col, "s", "iy", "h", "least(u0, u1) AS low", "greatest(u0, u1) AS high").filter(f"low < {spec.nx}D"))
+    # Column -1 stands for everything left of the grid: it changes the first column as a whole.
+    parts = (
+        rows.selectExpr("*", f"explode(sequence(cast(greatest(floor(low), -1) AS bigint), cast(least(greatest(floor(low), "
+                             f"ceil(high) - 1, -1), {spec.nx - 1}) AS bigint))) AS c")
+        .selectExpr(id_col, "iy", "c", "if(c < 0, low, greatest(low, cast(c AS double))) AS a", "least(high, c + 1D) AS b", "s", "h", "low", "high")
+        .selectExpr(id_col, "iy", "c", "s * if(high > low, h * ((b - a) / (high - low)), h) AS g", "if(c < 0, 1D, (a + b) / 2D - c) AS m"))
+    changes = parts.selectExpr(id_col, "iy", "inline(array(named_struct('ix', c, 'g', g * (1D - m)), named_struct('ix', c + 1, 'g', g * m)))").filter(
+        "g <> 0D")
+    along = Window.partitionBy(id_col, "iy").orderBy("ix")
+    runs = changes.groupBy(id_col, "iy", "ix").agg(F.sum("g").alias("g")).select(
+        id_col, "iy", "ix", F.sum("g").over(along).alias("weight"),
+        F.coalesce(F.lead("ix").over(along), F.lit(spec.nx).cast("long")).alias("_end"))
+    return runs.filter((F.col("weight") > LEAST_SHARE) & (F.col("_end") > F.col("ix"))).select(
+        id_col, F.explode(F.sequence(F.col("ix"), F.col("_end") - 1)).alias("ix"), "iy", "weight")
+
+
 def zonal_stats(
     grid: DataFrame, polygons: DataFrame, spec: GridSpec, values: Sequence[str],
     time_keys: Sequence[str], method: str = "mean", id_col: str = "osm_id",

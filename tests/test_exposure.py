@@ -1,5 +1,8 @@
 """Point, polygon and line exposure on the 5 x 5 fixture grid, with literal results."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,44 @@ def test_zonal_general_polygon_matches_hand_share(spark, grid):
         f"osm_id bigint, geom_type string, parts {geo.PARTS_TYPE}")
     cells = {(r["ix"], r["iy"]): r["weight"] for r in G.polygon_cells(geo.with_envelope(tri), SPEC).collect()}
     assert cells == {(1, 1): pytest.approx(1.0), (2, 1): pytest.approx(0.5), (1, 2): pytest.approx(0.5)}
+
+
+def star(rng, cx, cy, n, reach, back):
+    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    pts = [(cx + r * math.cos(t), cy + r * math.sin(t)) for t, r in ((t, reach * rng.uniform(0.4, 1)) for t in angles)]
+    pts = pts[::-1] if back else pts
+    return [{"x": x, "y": y} for x, y in [*pts, pts[0]]]
+
+
+def clipped_shares(df, spec):
+    """Shares by cutting the whole polygon to every cell."""
+    cells = spec.cells(df).withColumns({"_cx": F.lit(spec.x0) + (F.col("jx") - 0.5) * spec.dx, "_cy": F.lit(spec.y0) + (F.col("jy") - 0.5) * spec.dy})
+    share = geo.area_deg2(geo.clip_sql("parts", "_cx", "_cy", f"_cx + {spec.dx!r}D", f"_cy + {spec.dy!r}D")) / (spec.dx * spec.dy)
+    return {(r["osm_id"], r["jx"], r["jy"]): r["w"] for r in cells.select("osm_id", "jx", "jy", share.alias("w")).filter("w > 1e-9").collect()}
+
+
+def test_edge_shares_equal_clipping(spark):
+    """Stars, holes, several parts, either turn, over the edges of the grid and outside it."""
+    rng, spec, rows = random.Random(1), G.GridSpec(0.0, 0.0, 0.5, 0.25, 20, 30), []
+    for i in range(14):
+        parts = [[star(rng, rng.uniform(-1, 11), rng.uniform(-1, 8), rng.choice([3, 5, 40]), rng.choice([0.1, 1, 4]), i % 2)]]
+        if i % 3 == 0:
+            parts = [[star(rng, 4, 4, 30, 3.0, i % 2), star(rng, 4, 4, 9, 0.8, i % 4)], [star(rng, 9.5, 1, 5, 1.0, 0)]]
+        rows.append((i, "ST_MultiPolygon", parts))
+    rows.append((20, "ST_Polygon", [[[{"x": float(x), "y": float(y)} for x, y in ((2.25, 1.125), (2.25, 3.125), (6.75, 3.125), (4, 2), (6.75, 1.125), (2.25, 1.125))]]]))
+    df = geo.with_envelope(spark.createDataFrame(rows, f"osm_id bigint, geom_type string, parts {geo.PARTS_TYPE}"))
+    got = {(r["osm_id"], r["ix"], r["iy"]): r["weight"] for r in G.polygon_cells(df, spec).collect()}
+    want = clipped_shares(df, spec)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_edge_shares_of_a_polygon_of_many_vertices(spark):
+    n, spec = 100_000, G.GridSpec(0.0, 0.0, 1.0, 1.0, 60, 60)
+    wave = [(30 + (20 + math.sin(t * 50)) * math.cos(t), 30 + (20 + math.sin(t * 50)) * math.sin(t)) for t in (2 * math.pi * k / n for k in range(n))]
+    row = [(1, "ST_Polygon", [[[{"x": x, "y": y} for x, y in [*wave, wave[0]]]]])]
+    df = geo.with_envelope(spark.createDataFrame(row, f"osm_id bigint, geom_type string, parts {geo.PARTS_TYPE}"))
+    cells = {(r["ix"], r["iy"]): r["weight"] for r in G.polygon_cells(df, spec).collect()}
+    area = sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(wave, [*wave[1:], wave[0]])) / 2
+    assert sum(cells.values()) == pytest.approx(area, rel=1e-9)
+    assert cells[30, 30] == pytest.approx(1.0) and max(cells.values()) < 1 + 1e-9 and (55, 55) not in cells
