@@ -292,10 +292,10 @@ shares AS (SELECT a.fld_ar_id, a.zone_rank, b.admin_id, least(greatest({SHARE},
 
 
 @check("overlap_share", f"""
-WITH {SHARES} SELECT fld_ar_id, zone_rank, admin_id, round(overlap_share, 6) AS overlap_share FROM shares WHERE overlap_share > 1e-7
+WITH {SHARES} SELECT fld_ar_id, zone_rank, admin_id, round(overlap_share, 6) AS overlap_share FROM shares WHERE overlap_share > 1e-9
 """)
 def overlap_share(t: Tables):
-    out = S.overlap_shares(zone_geometry(t.fx_zones), admin_geometry(t.fx_admin), 0.5).filter("overlap_share > 1e-7")
+    out = S.overlap_shares(zone_geometry(t.fx_zones), admin_geometry(t.fx_admin), 0.5)
     return r6(out.select("fld_ar_id", "zone_rank", "admin_id", "overlap_share"), ["overlap_share"])
 
 
@@ -320,18 +320,18 @@ XM, YM = "(a.xmin + a.xmax) / 2e0", "(a.ymin + a.ymax) / 2e0"
 WITH s AS (SELECT a.zone_rank, b.admin_id, ({_covered('a.xmax', 'a.ymin', YM)} + {_covered(XM, YM, 'a.ymax')})
     / ((a.xmax - a.xmin) * (sin(radians({YM})) - sin(radians(a.ymin))) + ({XM} - a.xmin) * (sin(radians(a.ymax)) - sin(radians({YM})))) AS share
   FROM {{fx_zones}} a JOIN {{fx_admin}} b ON a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax)
-SELECT zone_rank, admin_id, round(share, 6) AS overlap_share FROM s WHERE round(share, 6) > 0
+SELECT zone_rank, admin_id, round(share, 6) AS overlap_share FROM s WHERE share > 1e-9
 """)
 def overlap_share_concave(t: Tables):
     out = S.overlap_shares(_ell(t), admin_geometry(t.fx_admin), 0.5)
-    return r6(out.select("zone_rank", "admin_id", "overlap_share"), ["overlap_share"]).filter("overlap_share > 0")
+    return r6(out.select("zone_rank", "admin_id", "overlap_share"), ["overlap_share"])
 
 
 @check("weighted_income", f"""
 WITH {SHARES}
 SELECT s.admin_id AS utility_id, i.year, round(sum(i.agi * 1000e0 * s.overlap_share) / sum(i.returns * s.overlap_share), 4) AS income_per_return
 FROM (SELECT o_orderkey AS zone_rank, cast(year(o_orderdate) AS int) AS year, o_totalprice AS agi, 1e0 + o_custkey % 7 AS returns FROM {{orders}}) i
-JOIN shares s ON s.zone_rank = i.zone_rank WHERE s.overlap_share > 0 GROUP BY 1, 2
+JOIN shares s ON s.zone_rank = i.zone_rank WHERE s.overlap_share > 1e-9 GROUP BY 1, 2
 """)
 def weighted_income(t: Tables):
     zips = zone_geometry(t.fx_zones).withColumnRenamed("zone_rank", "zipcode")

@@ -144,10 +144,24 @@ def box_sql(xmin: float, ymin: float, xmax: float, ymax: float) -> dict[str, str
             "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
 
-def intersects(a: dict[str, str], b: dict[str, str], boxes: str | None = None) -> Column:
+def _touches_box(shape: dict[str, str], box: dict[str, str]) -> str:
+    """Some segment of ``shape`` reaches the rectangle, or a polygon ``shape`` holds a corner of it.
+
+    A segment and a rectangle are apart only along x, y or across the segment, so three comparisons decide.
+    """
+    corners = [f"(s.b.x - s.a.x) * ({box[y]} - s.a.y) - (s.b.y - s.a.y) * ({box[x]} - s.a.x)" for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    met = (f"least(s.a.x, s.b.x) <= {box['xmax']} AND greatest(s.a.x, s.b.x) >= {box['xmin']} AND least(s.a.y, s.b.y) <= {box['ymax']} "
+           f"AND greatest(s.a.y, s.b.y) >= {box['ymin']} AND least({', '.join(corners)}) <= 0D AND greatest({', '.join(corners)}) >= 0D")
+    holds = in_polygon(box["xmin"], box["ymin"], shape["parts"])
+    return f"(exists({segments(shape['parts'])}, s -> {met}) OR ({shape['geom_type']} LIKE '%Polygon' AND {holds}))"
+
+
+def intersects(a: dict[str, str], b: dict[str, str], box_a: str | None = None, box_b: str | None = None) -> Column:
     """Closed intersection test of two geometries given as in :func:`named`.
 
-    ``boxes`` is a condition known to hold only if both are their own envelopes.
+    ``box_a`` and ``box_b`` tell which sides are their own envelopes, where that is already known. Two such
+    sides need their envelopes only, one of them a pass over the segments of the other; only
+    two general shapes compare segments with segments, and of those the near ones.
     """
     def holds(outer: dict[str, str], inner: dict[str, str]) -> str:
         inside = in_polygon("cp[0][0].x", "cp[0][0].y", outer["parts"])
@@ -165,8 +179,9 @@ def intersects(a: dict[str, str], b: dict[str, str], boxes: str | None = None) -
     # The second segment list is bound once, outside the loop over the first.
     crossing = (f"exists(array({near(b, a)}), sb -> exists({near(a, b)}, "
                 f"s -> exists(sb, t -> {_CROSS})))")
-    boxes = boxes or f"({is_box(a)} AND {is_box(b)})"
-    return F.expr(f"{overlap} AND ({boxes} OR {crossing} OR {holds(a, b)} OR {holds(b, a)})")
+    box_a, box_b = box_a or is_box(a), box_b or is_box(b)
+    return F.expr(f"{overlap} AND CASE WHEN {box_a} AND {box_b} THEN true WHEN {box_a} THEN {_touches_box(b, a)} "
+                  f"WHEN {box_b} THEN {_touches_box(a, b)} ELSE {crossing} OR {holds(a, b)} OR {holds(b, a)} END")
 
 
 def _signed_area(ring: str, fx, fy) -> str:
@@ -229,33 +244,9 @@ def _slopes(parts: str) -> str:
     return f"flatten(transform({parts}, pt -> flatten(transform(pt, (rg, ri) -> {ring}))))"
 
 
-def overlap_share(a: dict[str, str], b: dict[str, str]) -> Column:
-    """Share of polygon ``a`` that polygon ``b`` covers, in the equal-area plane of :func:`area_km2`.
-
-    A polygon is the signed sum of the areas below its edges, so the shared area is the
-    signed sum, over pairs of edges, of the area below the lower of the two. Exact for
-    concave shapes, holes and several parts. Two rectangles take the closed form.
-    """
-    base = f"sin(radians(least({a['ymin']}, {b['ymin']})))"
-
-    def at(e: str, x: str) -> str:
-        return f"({e}.y0 + ({e}.y1 - {e}.y0) * ({x} - {e}.x0) / ({e}.x1 - {e}.x0) - h)"
-
-    ends = (f"named_struct('w', least(e.x1, f.x1) - greatest(e.x0, f.x0), 's', e.s * f.s, "
-            f"'e0', {at('e', 'greatest(e.x0, f.x0)')}, 'e1', {at('e', 'least(e.x1, f.x1)')}, "
-            f"'f0', {at('f', 'greatest(e.x0, f.x0)')}, 'f1', {at('f', 'least(e.x1, f.x1)')})")
-    cross = "(q.e0 - q.f0) / ((q.e0 - q.f0) - (q.e1 - q.f1))"
-    below = (f"q.s * q.w * if((q.e0 - q.f0) * (q.e1 - q.f1) < 0D, "
-             f"({cross} * (least(q.e0, q.f0) - least(q.e1, q.f1)) + q.e0 + (q.e1 - q.e0) * {cross} + least(q.e1, q.f1)) / 2D, "
-             f"(least(q.e0, q.f0) + least(q.e1, q.f1)) / 2D)")
-    pairs = f"transform(filter(other, f -> f.x0 < e.x1 AND e.x0 < f.x1), f -> {ends})"
-    inner = f"aggregate(own, 0D, (t, e) -> t + aggregate({pairs}, 0D, (u, q) -> u + {below}))"
-    whole = "aggregate(own, 0D, (t, e) -> t + e.s * (e.x1 - e.x0) * ((e.y0 + e.y1) / 2D - h))"
-    share = (f"transform(array({base}), h -> transform(array({_slopes(a['parts'])}), own -> transform(array({_slopes(b['parts'])}), "
-             f"other -> try_divide({inner}, {whole})))[0][0])[0]")
-    boxes = overlap_share_box(*({c: F.expr(g[c]) for c in ("xmin", "ymin", "xmax", "ymax")} for g in (a, b)))
-    general = F.least(F.greatest(F.expr(share), d(0)), d(1))
-    return F.when(F.expr(f"{is_box(a)} AND {is_box(b)}"), boxes).otherwise(general)
+def edge_list(parts: str) -> Column:
+    """Five numbers per edge that is not vertical, as ``overlay`` takes them, in (lon, sin lat)."""
+    return F.expr(f"flatten(transform({_slopes(parts)}, e -> array(e.x0, e.y0, e.x1, e.y1, e.s)))")
 
 
 def clip_ring(ring: str, axis: str, bound: str, keep_above: bool) -> str:

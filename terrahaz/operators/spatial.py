@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrahaz.functions import geometry as geo
+from terrahaz.functions import overlay
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 GEOMETRY_COLUMNS = ("geom_type", "parts", *ENVELOPE)
@@ -39,13 +40,15 @@ def _tiled(df: DataFrame, env: Sequence[str], tile: float) -> DataFrame:
 
 
 def crowded_tiles(left: DataFrame, right: DataFrame, lot: int = LOT) -> DataFrame:
-    """Tiles with more than ``lot`` rows on a side, with the number of lots of each side.
+    """Tiles of both sides with more than ``lot`` rows on one, with the number of lots of each side.
 
-    Both sides are counted with map-side combine; the result only holds crowded tiles.
+    Both sides are counted in one aggregate with map-side combine; the result only holds
+    crowded tiles, so attaching it is a broadcast unless there are very many of them.
     """
-    n_left = left.groupBy("_tx", "_ty").agg(F.count(F.lit(1)).alias("_nl"))
-    n_right = right.groupBy("_tx", "_ty").agg(F.count(F.lit(1)).alias("_nr"))
-    return n_left.join(n_right, ["_tx", "_ty"]).filter((F.col("_nl") > lot) | (F.col("_nr") > lot)).select(
+    both = left.select("_tx", "_ty", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        right.select("_tx", "_ty", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = both.groupBy("_tx", "_ty").agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    return counts.filter((F.greatest("_nl", "_nr") > lot) & (F.least("_nl", "_nr") > 0)).select(
         "_tx", "_ty", *[F.ceil(F.col(n) / geo.d(lot)).cast("int").alias(k) for n, k in (("_nl", "_kl"), ("_nr", "_kr"))])
 
 
@@ -75,6 +78,10 @@ def tile_candidates(
         lt = _dealt(lt, crowded, "_kl", "_kr", scalar(left))
         rt = _dealt(rt, crowded, "_kr", "_kl", scalar(right))
         keys += ["_sl", "_sr"]
+    # Testing pairs costs far more than moving rows: both sides are dealt by tile and lot to as many tasks
+    # as the session shuffles with, whatever the files or a broadcast of one side would give.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lt, rt = lt.repartition(tasks, *keys), rt.repartition(tasks, *keys)
     corner = {"x": "greatest(xmin, r_xmin)", "y": "greatest(ymin, r_ymin)"}
     owner = " AND ".join(
         f"cast(floor({corner[c]} / {float(tile_deg)!r}D) AS bigint) = _t{c}" for c in "xy")
@@ -87,7 +94,7 @@ def intersecting(left: DataFrame, right: DataFrame, tile_deg: float, split_hot:
     # Whether a row is its own envelope is decided once per row, not once per pair.
     box = F.expr(geo.is_box(geo.named()))
     pairs = tile_candidates(left.withColumn("_box", box), right.withColumn("_box", box), tile_deg, split_hot)
-    exact = geo.intersects(geo.named(), geo.named("r_"), "(_box AND r__box)")
+    exact = geo.intersects(geo.named(), geo.named("r_"), "_box", "r__box")
     return pairs.filter(exact).drop("_box", "r__box")
 
 
@@ -229,10 +236,28 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
     return left.select(id_col, "lon", "lat").join(best, ["lon", "lat"], "left").drop("lon", "lat")
 
 
+LEAST_SHARE = 1e-9
+"""Share below which two polygons only touch (rounding)."""
+
+
 def overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -> DataFrame:
-    """Pairs of polygons with the share of the left one that the right one covers (see ``geometry.overlap_share``)."""
-    pairs = tile_candidates(left, right, tile_deg)
-    return pairs.withColumn("overlap_share", geo.overlap_share(geo.named(), geo.named("r_"))).filter("overlap_share > 0")
+    """Pairs of polygons with the share of the left one that the right one covers, as ``overlap_share``.
+
+    Exact in the equal-area plane, also for concave shapes, holes and several parts. Each
+    row makes its list of edges once, before it meets any other; two rectangles take the closed
+    form in the JVM, all other pairs go through ``overlay.shared_areas`` in Arrow batches.
+    """
+    box = F.expr(geo.is_box(geo.named()))
+    edges = F.when(F.col("_box"), overlay.box_edges(*ENVELOPE)).otherwise(geo.edge_list("parts"))
+    sides = [df.withColumn("_box", box).withColumn("_edges", edges) for df in (left, right)]
+    pairs = tile_candidates(*sides, tile_deg)
+    boxes = F.col("_box") & F.col("r__box")
+    closed = geo.overlap_share_box({c: F.col(c) for c in ENVELOPE}, {c: F.col(f"r_{c}") for c in ENVELOPE})
+    # Empty lists, not nulls: Arrow's list writer walks back over every null of a batch.
+    none = F.expr("cast(array() AS array<double>)")
+    general = overlay.share_udf()(*[F.when(boxes, none).otherwise(F.col(c)) for c in ("_edges", "r__edges")])
+    return pairs.withColumn("overlap_share", F.when(boxes, closed).otherwise(general)).filter(
+        F.col("overlap_share") > LEAST_SHARE).drop("_box", "r__box", "_edges", "r__edges")
 
 
 def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFrame:

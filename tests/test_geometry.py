@@ -241,3 +241,40 @@ def test_neighbours_across_the_antimeridian(spark):
     assert {k: v[0] for k, v in near.items()} == {1: 7, 2: 8, 3: 10} and near[1][1] < 2
     counts = {r["osm_id"]: r["count_5mi"] for r in S.counts_within(left, right, [5], "osm_id").collect()}
     assert counts == {1: 1, 2: 1, 3: 0}
+
+
+def edges_of(pts):
+    import numpy as np
+
+    a, b = np.array(pts), np.array(pts[1:] + pts[:1])
+    turn = np.sign(((b[:, 0] - a[:, 0]) * (a[:, 1] + b[:, 1])).sum())
+    right = b[:, 0] > a[:, 0]
+    first, last = np.where(right[:, None], a, b), np.where(right[:, None], b, a)
+    out = np.column_stack([first, last, np.where(right, 1, -1) * turn])
+    return out[first[:, 0] != last[:, 0]]
+
+
+def test_shared_areas_of_large_polygons_follow_their_edges():
+    """Two circles of 40,000 edges and a comb of 20,000, against closed forms."""
+    import time
+
+    import numpy as np
+
+    from terrahaz.functions import overlay
+
+    def circle(cx, n):
+        return [(cx + math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    n = 5_000
+    comb = [(0.0, -1.0)] + [p for k in range(n) for p in ((k / n, 1.0), ((k + 0.5) / n, 1.0), ((k + 0.5) / n, 0.0), ((k + 1) / n, 0.0))] + [(1.0, -1.0)]
+    box = [(0.25, -0.5), (0.25, 0.5), (0.75, 0.5), (0.75, -0.5)]
+    pairs = [(circle(0, 40_000), circle(1, 40_000)), (comb, box), (box, comb), (box, circle(5, 8))]
+    sides = []
+    for k in (0, 1):
+        parts = [edges_of(p[k]) for p in pairs]
+        sides.append((np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+    began = time.time()
+    shared, whole = overlay.shared_areas(*sides, len(pairs))
+    assert time.time() - began < 20
+    assert shared == pytest.approx([2 * math.pi / 3 - math.sqrt(3) / 2, 0.375, 0.375, 0], abs=1e-6)
+    assert whole == pytest.approx([math.pi, 1.5, 0.5, 0.5], abs=1e-6)
