@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.harness import Tables, check
 from checks.shapes import asset_geometry, zone_geometry
+from terrahaz.functions import geometry as geo
 from terrahaz.plans import hazards
 
 
@@ -90,3 +93,23 @@ JOIN (SELECT unnest(generate_series(2000, 2110, 10)) AS d) g
 def flood(t: Tables):
     zones = zone_geometry(hazards.latest_zones(t.fx_zones))
     return hazards.flood(hazards.extreme_precip(t.fx_pfe, t.fx_pcf), _assets(t), zones)
+
+
+def _outlined(zones):
+    """Zones as outlines of 160 vertices, so that joins go through pieces."""
+    def side(x0, y0, x1, y1):
+        return F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: geo.vertex(
+            F.col(x0) + (F.col(x1) - F.col(x0)) * i / 40.0, F.col(y0) + (F.col(y1) - F.col(y0)) * i / 40.0))
+
+    ring = F.concat(side("xmin", "ymin", "xmax", "ymin"), side("xmax", "ymin", "xmax", "ymax"), side("xmax", "ymax", "xmin", "ymax"),
+                    side("xmin", "ymax", "xmin", "ymin"), F.array(geo.vertex(F.col("xmin"), F.col("ymin"))))
+    return zones.withColumns({"geom_type": F.lit("ST_Polygon"), "parts": F.array(F.array(ring))})
+
+
+@check("flood_zone_pieces", ZONE_PICK + """
+SELECT a.osm_id, flood_zone, flood_zone_subtype, is_sfha, flood_depth
+FROM {fx_assets} a LEFT JOIN hit ON a.osm_id = hit.osm_id
+""")
+def flood_zone_pieces(t: Tables):
+    pieces = hazards.latest_zones_subdivided(_outlined(t.fx_zones), 64)
+    return hazards.asset_latest_zone(_assets(t), pieces)

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrahaz.functions import cutting, overlay
 from terrahaz.functions import geometry as geo
-from terrahaz.functions import overlay
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 GEOMETRY_COLUMNS = ("geom_type", "parts", *ENVELOPE)
@@ -260,40 +260,25 @@ def overlap_shares(left: DataFrame, right: DataFrame, tile_deg: float) -> DataFr
         F.col("overlap_share") > LEAST_SHARE).drop("_box", "r__box", "_edges", "r__edges")
 
 
-def subdivide(df: DataFrame, max_vertices: int = 64, rounds: int = 3) -> DataFrame:
-    """Cut polygons with many vertices along a k x k grid of their envelope.
+def subdivide(df: DataFrame, max_vertices: int = 64) -> DataFrame:
+    """Polygons of more than ``max_vertices`` vertices as several rows, one per piece; other rows pass through.
 
-    Pieces serve areas and drawing: a cut through a concave shape closes its parts along
-    the cut, so an intersection test must use the whole shape. Rows at or below the limit pass through. Each round splits what is still too
-    large, so vertices clustered in one corner are cut again; area is conserved.
+    Cuts go through the middle of a piece's longer side until every piece is within the limit
+    (at least 8). Pieces of a concave shape come apart at a cut, holes stay holes or open into
+    the outline, so pieces cover the same points as the whole: they serve joins as well
+    as areas. A pair found in several pieces is one pair: rank or aggregate by its ids. Parts of
+    a cut row become pieces of their own, without rings that have no area. Only polygons over the
+    limit leave the JVM.
     """
-    names = df.columns
     limit = max(max_vertices, 8)
-
-    def cut(rows: DataFrame, axis: str) -> DataFrame:
-        low, high = f"{axis}min", f"{axis}max"
-
-        def edge(i: str) -> str:
-            return f"if({i} >= _k, {high}, {low} + ({high} - {low}) / _k * {i})"
-
-        bounds = {c: "NULL" for c in ENVELOPE} | {low: edge("_i"), high: edge("(_i + 1)")}
-        strip = geo.clip_parts("parts", *[bounds[c] for c in ENVELOPE], axes=axis)
-        return (
-            rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-            .withColumn("parts", F.when(F.col("_k") == 1, F.col("parts")).otherwise(strip))
-            .filter(F.size("parts") > 0)
-        )
-
-    for _ in range(rounds):
-        count = F.size(geo.vertices(F.col("parts")))
-        k = F.when(
-            (count > limit) & F.col("geom_type").isin(*geo.POLYGONS),
-            F.least(F.ceil(F.sqrt(count / geo.d(limit / 4))), F.lit(64)),
-        ).otherwise(1).cast("int")
-        # Strips first, then cells of each strip: the second cut only sees the
-        # vertices left in its strip.
-        df = geo.with_envelope(cut(cut(df.withColumn("_k", k), "x"), "y")).select(*names)
-    return df
+    big = F.col("geom_type").isin(*geo.POLYGONS) & (F.size(geo.vertices(F.col("parts"))) > limit)
+    marked = df.withColumn("_big", F.coalesce(big, F.lit(False)))
+    cut = cutting.pieces_udf(limit)(F.when(F.col("_big"), F.col("parts")).otherwise(F.expr(f"cast(array() AS {geo.PARTS_TYPE})")))
+    found = marked.withColumn("_cut", cut).withColumn("_p", F.explode(
+        F.when(F.size("_cut") > 0, F.col("_cut")).otherwise(F.array("parts"))))
+    pieces = geo.with_envelope(found.withColumn("parts", F.col("_p")).withColumn(
+        "geom_type", F.when(F.size("_cut") > 0, "ST_Polygon").otherwise(F.col("geom_type"))))
+    return pieces.select(*df.columns)
 
 
 def collapse_small(df: DataFrame, km2: float = 20.0) -> DataFrame:

@@ -13,6 +13,7 @@ from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrahaz.operators import spatial
 from terrahaz.plans import asset_groups, hazards
 
 
@@ -46,7 +47,8 @@ VIEWS: dict[str, View] = {
     "extreme_precip": View(("pfe_mm_day", "pluvial_change_factor"), hazards.extreme_precip, ("ssp",)),
     "wildfire": View(("fwi", "burn_probability"), hazards.wildfire, ("ssp",)),
     "latest_flood_zones": View(("flood_zones",), hazards.latest_zones),
-    "flood": View((*asset_groups.ACTIVE_GROUPS, "extreme_precip", "latest_flood_zones"), _flood, ("ssp",)),
+    "flood_zone_pieces": View(("latest_flood_zones",), lambda zones: spatial.subdivide(zones, 64)),
+    "flood": View((*asset_groups.ACTIVE_GROUPS, "extreme_precip", "flood_zone_pieces"), _flood, ("ssp",)),
     "unexposed_fwi": _unexposed("fwi"),
     "unexposed_pfe_mm_day": _unexposed("pfe_mm_day"),
     "unexposed_pluvial_change_factor": _unexposed("pluvial_change_factor"),

@@ -63,7 +63,7 @@ def latest_zones(zones: DataFrame) -> DataFrame:
 
 
 def latest_zones_subdivided(zones: DataFrame, max_vertices: int = 64) -> DataFrame:
-    """Newest zones in small pieces for drawing and areas; joins take the whole zones (see ``spatial.subdivide``)."""
+    """Newest zones in pieces of at most ``max_vertices`` vertices, one row per piece: a table for joins and drawing."""
     return spatial.subdivide(latest_zones(zones), max_vertices)
 
 
@@ -74,7 +74,8 @@ def asset_latest_zone(assets: DataFrame, zones: DataFrame, tile_deg: float = 0.2
     """Every asset with the newest zone it touches (least id on ties), or NULLs.
 
     Pairs go from the tile join into a ranking with a limit of one, which each
-    task applies before the shuffle, so no list of zones per asset is ever held.
+    task applies before the shuffle, so no list of zones per asset is ever held, and a
+    zone may come in pieces (``latest_zones_subdivided``): met in several, it counts once.
     """
     zone = zones.select(
         "fld_ar_id", "lomr_effective_date", *ZONE_COLUMNS,

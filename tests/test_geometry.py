@@ -278,3 +278,65 @@ def test_shared_areas_of_large_polygons_follow_their_edges():
     assert time.time() - began < 20
     assert shared == pytest.approx([2 * math.pi / 3 - math.sqrt(3) / 2, 0.375, 0.375, 0], abs=1e-6)
     assert whole == pytest.approx([math.pi, 1.5, 0.5, 0.5], abs=1e-6)
+
+
+def random_polygon(rng, n, reach=4.0):
+    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    return [(r * math.cos(t), r * math.sin(t)) for t, r in ((t, reach * rng.uniform(0.3, 1)) for t in angles)]
+
+
+def in_rings(p, rings):
+    hits = 0
+    for r in rings:
+        for (ax, ay), (bx, by) in zip(r, [*r[1:], r[0]]):
+            hits += (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax
+    return hits % 2 == 1
+
+
+def test_pieces_hold_the_same_points_as_the_whole():
+    """Combs both ways, stars and shapes with holes: no point gained or lost, no piece over the limit, area kept."""
+    import numpy as np
+
+    from terrahaz.functions import cutting
+
+    rng = random.Random(9)
+    comb = [(-4, -4)] + [p for k in range(40) for p in ((-4 + k * 0.2, 4.0), (-4 + k * 0.2 + 0.1, 4.0), (-4 + k * 0.2 + 0.1, -3.0), (-4 + (k + 1) * 0.2, -3.0))] + [(4, -4)]
+    shapes_ = [[comb], [[(y, x) for x, y in comb]], [random_polygon(rng, 200)], [random_polygon(rng, 60)[::-1]],
+               [[(-4, -4), (4, -4), (4, 4), (-4, 4)], [(x * 0.7, y * 0.7) for x, y in random_polygon(rng, 90)]],
+               [[(-4, -4), (4, -4), (4, 4), (-4, 4)], [(-3, -3), (-2, -3), (-2, -2), (-3, -2)], [(x * 0.3 + 1, y * 0.3) for x, y in random_polygon(rng, 40)]]]
+    for rings in shapes_:
+        shape = cutting.turned([np.array(r, float) for r in rings])
+        made = cutting.pieces(shape, 16)
+        assert len(made) > 1 and max(map(cutting.size, made)) <= 16
+        area = sum(cutting.turn_area(r) for r in shape)
+        assert sum(cutting.turn_area(r) for one in made for r in one) == pytest.approx(area, rel=1e-9)
+        plain = [[[tuple(v) for v in r.tolist()] for r in one] for one in made]
+        for _ in range(600):
+            p = (rng.uniform(-4.2, 4.2), rng.uniform(-4.2, 4.2))
+            assert any(in_rings(p, one) for one in plain) == in_rings(p, [list(r) for r in rings])
+
+
+def test_many_vertices_in_one_place_end_the_cutting():
+    import numpy as np
+
+    from terrahaz.functions import cutting
+
+    near = [(1 + 1e-16 * (k % 3), 1.0) for k in range(100)]
+    (shape,) = [cutting.turned([np.array([(0, 0), (1, 0), *near, (0, 1)], float)])]
+    assert sum(cutting.turn_area(r) for one in cutting.pieces(shape, 16) for r in one) == pytest.approx(1.0)
+
+
+def test_joins_through_pieces_find_the_same_pairs(spark):
+    """A comb against points and small boxes between and in its teeth."""
+    rng = random.Random(4)
+    comb = ring((0, 0), *[p for k in range(60) for p in ((k / 10, 5), (k / 10 + 0.05, 5), (k / 10 + 0.05, 0.5), ((k + 1) / 10, 0.5))], (6, 0), (0, 0))
+    zones = frame(spark, [(1, "ST_Polygon", [[comb]]), (2, "ST_MultiPolygon", [[polygon(rng, 300)], [polygon(rng, 20)]])])
+    things = [(i, "ST_Point", [[ring((rng.uniform(0, 6), rng.uniform(0, 6)))]]) for i in range(300)]
+    for i in range(300, 500):
+        x, y = rng.uniform(0, 6), rng.uniform(0, 6)
+        things.append((i, "ST_Polygon", [[ring((x, y), (x + 0.03, y), (x + 0.03, y + 0.2), (x, y + 0.2), (x, y))]]))
+    assets = frame(spark, things)
+    cut = S.subdivide(zones, 16)
+    assert cut.agg(F.max(F.size(geo.vertices(F.col("parts"))))).first()[0] <= 16
+    found = [{(r["osm_id"], r["r_osm_id"]) for r in S.intersecting(assets, z, 1.0).select("osm_id", "r_osm_id").collect()} for z in (zones, cut)]
+    assert found[0] == found[1] and 0 < len({a for a, z in found[0] if z == 1}) < 400
