@@ -181,7 +181,7 @@ SELECT {SERIES}, cast(year(date) AS int) AS year, round(ffmc, 5) AS ffmc, round(
 """)
 def fire_weather_last_state(t: Tables):
     codes = C.moisture_codes(t.fx_grid)
-    return r6(C.last_state(codes, [*C.SERIES, "lat", "lon"]).withColumn("year", F.col("year").cast("int")),
+    return r6(C.last_state(codes, [*C.SERIES, "lat", "lon"]).withColumn("year", F.col("year").cast("int")).drop("date"),
               ["ffmc", "dmc", "dc"], 5)
 
 
@@ -193,7 +193,7 @@ SELECT model, lat, lon, year, ffmc, dmc, dc FROM (
 def last_state_per_year(t: Tables):
     codes = t.fx_grid.select(*CELL, "date", F.col("pr").alias("ffmc"), F.col("tasmax").alias("dmc"),
                              F.col("tasmin").alias("dc"))
-    return C.last_state(codes, CELL).withColumn("year", F.col("year").cast("int"))
+    return C.last_state(codes, CELL).withColumn("year", F.col("year").cast("int")).drop("date")
 
 
 PET = """

@@ -10,6 +10,7 @@ from checks.recurrence import codes_sql
 from checks.rounding import r6
 from checks.requests import features, tags
 from terrahaz.functions.values import STATISTICS
+from terrahaz.operators import climate as C
 from terrahaz.operators import indicators as I
 from terrahaz.plans import asset_groups, asset_query as Q
 from terrahaz.streaming import feeds
@@ -89,6 +90,24 @@ def indicator_job(t: Tables):
     return r6(out, ["value"])
 
 
+SERIES = "model, scenario, member, lat, lon"
+
+
+@check("indicator_job_state", "WITH RECURSIVE " + codes_sql(SERIES, f"SELECT {SERIES}, date, tasmax, pr, hurs, sfcwind FROM {{fx_grid}}") + f"""
+SELECT indicator, {SERIES}, month_start, round(avg(value), 5) AS value FROM (
+  SELECT {SERIES}, cast(date_trunc('month', date) AS date) AS month_start, unnest(['ffmc', 'dmc', 'dc']) AS indicator, unnest([ffmc, dmc, dc]) AS value
+  FROM codes WHERE rn > 0 AND year(date) IN (1993, 1996, 1997)) c GROUP BY ALL
+""")
+def indicator_job_state(t: Tables):
+    """Fire weather of years 1993, 1996 and 1997, the others being written: each run starts from the store's year before it."""
+    keys = [*C.SERIES, "lat", "lon"]
+    store = C.last_state(C.moisture_codes(t.fx_grid), keys).filter("year NOT IN (1993, 1996, 1997)")
+    written = t.fx_grid.select(F.lit("fwi").alias("indicator"), *C.SERIES, F.year("date").alias("year")).distinct().filter(
+        "year NOT IN (1993, 1996, 1997)")
+    out = I.monthly_indicators(t.fx_grid, ["fwi"], {"init": store}, written)
+    return r6(out.filter("indicator IN ('ffmc', 'dmc', 'dc')"), ["value"], 5)
+
+
 @check("ensemble_by_variable", """
 WITH long AS (SELECT 'pr' AS variable, lat, lon, scenario, model, pr AS v FROM {fx_grid}
               UNION ALL SELECT 'hurs', lat, lon, scenario, model, hurs FROM {fx_grid}),

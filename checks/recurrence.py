@@ -18,6 +18,11 @@ def codes_sql(keys: str, source: str) -> str:
     key_list = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"d.{k} = s.{k}" for k in key_list)
     d_keys = ", ".join(f"d.{k}" for k in key_list)
+
+    def fresh(code: str, start: str) -> str:
+        """A whole year without days ends a run."""
+        return f"(CASE WHEN year(s.date) < year(d.date) - 1 THEN {start} ELSE s.{code} END)"
+
     rate = ("(0.424e0 * (1e0 - pow({h}, 1.7e0)) + 0.0694e0 * sqrt(w) * (1e0 - pow({h}, 8e0))) * 0.581e0 * exp(0.0365e0 * t)")
     return f"""
 days AS ({source}),
@@ -41,7 +46,7 @@ codes AS (
          0.618e0 * pow(least(h, 100e0), 0.753e0) + 10e0 * exp((least(h, 100e0) - 100e0) / 10e0) + 0.18e0 * (21.1e0 - t) * (1e0 - exp(-0.115e0 * least(h, 100e0))) AS ew,
          CASE WHEN p0 <= 33e0 THEN 100e0 / (0.5e0 + 0.3e0 * p0) WHEN p0 <= 65e0 THEN 14e0 - 1.3e0 * ln(p0) ELSE 6.2e0 * ln(p0) - 17.2e0 END AS slope
    FROM (SELECT {d_keys}, d.rn, d.date, d.tasmax AS t, d.pr AS r, d.hurs AS h, d.sfcwind AS w,
-           147.2e0 * (101e0 - s.ffmc) / (59.5e0 + s.ffmc) AS m0, greatest(s.dmc, 0e0) AS p0, greatest(s.dc, 0e0) AS d0,
+           147.2e0 * (101e0 - {fresh('ffmc', '85e0')}) / (59.5e0 + {fresh('ffmc', '85e0')}) AS m0, greatest({fresh('dmc', '6e0')}, 0e0) AS p0, greatest({fresh('dc', '15e0')}, 0e0) AS d0,
            CASE WHEN d.lat < 30e0 THEN {_listed(DAY_LENGTHS['north_near'])} ELSE {_listed(DAY_LENGTHS['north_far'])} END[month(d.date)] AS len,
            {_listed(DRYING['north'])}[month(d.date)] AS dry
          FROM codes s JOIN seq d ON {on} AND d.rn = s.rn + 1) a) b) c)

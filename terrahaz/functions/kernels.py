@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terrahaz.functions.geometry import PARTS_TYPE
@@ -118,61 +119,104 @@ def next_codes(state: np.ndarray, lat: np.ndarray, month: int, t: np.ndarray, r:
     return np.where(ok, new, state), np.where(ok, new, np.nan)
 
 
-class BlockWalk:
-    """The codes of one block of cells, day by day; a cell keeps its state over days it lacks."""
+class DayWalk:
+    """The codes of many cells, day by day, all cells of a day as one vector.
+
+    Cells are known by a 64-bit key. State that is older than the end of the year before is
+    not carried on: a cell that lacks a whole year starts anew. A cell keeps its state over shorter gaps.
+    """
 
     def __init__(self):
-        self.cells, self.state, self.rest = np.zeros((0, 2)), np.zeros((3, 0)), {}
-
-    def day(self, cells: np.ndarray, month: int, weather: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Codes of the cells (lat, lon) of a day; ``start`` holds the codes of cells seen for the first time."""
-        if not np.array_equal(cells, self.cells):
-            self.rest.update(zip(map(tuple, self.cells.tolist()), self.state.T))
-            self.state = np.stack([self.rest.get(cell, start[:, i]) for i, cell in enumerate(map(tuple, cells.tolist()))], 1)
-            self.cells = cells
-        self.state, out = next_codes(self.state, cells[:, 0], month, *weather)
+        self.keys, self.lat = np.zeros(0, np.int64), np.zeros(0)
+        self.codes, self.last = np.zeros((3, 0)), np.zeros(0, np.int64)
+
+    def _places(self, keys: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        fresh = np.setdiff1d(keys, self.keys)
+        if len(fresh):
+            at = np.searchsorted(self.keys, fresh)
+            self.keys = np.insert(self.keys, at, fresh)
+            self.lat = np.insert(self.lat, at, _first_of(keys, lat, fresh))
+            self.codes = np.insert(self.codes, at, np.array(list(START.values()))[:, None], axis=1)
+            self.last = np.insert(self.last, at, NEVER)
+        places = np.searchsorted(self.keys, keys)
+        if not np.array_equal(self.lat[places], lat, equal_nan=True):
+            raise ValueError("two cells share a key")
+        return places
+
+    def start(self, date: int, keys: np.ndarray, lat: np.ndarray, codes: np.ndarray) -> None:
+        """Known codes at the end of a day, for cells that were not walked in that year themselves."""
+        places = self._places(keys, lat)
+        use = (_year(self.last[places]) < _year(date)) & ~np.isnan(codes).any(0)
+        self.codes[:, places[use]], self.last[places[use]] = codes[:, use], date
+
+    def day(self, date: int, keys: np.ndarray, lat: np.ndarray, weather: np.ndarray) -> np.ndarray:
+        """The day's codes (NaN where an input is missing); of repeated rows of a cell the last one leaves its state."""
+        places = self._places(keys, lat)
+        old = _year(self.last[places]) < _year(date) - 1
+        state = np.where(old, np.array(list(START.values()))[:, None], self.codes[:, places])
+        after, out = next_codes(state, lat, int(np.datetime64(date, "D").astype("datetime64[M]").astype(int)) % 12 + 1, *weather)
+        self.codes[:, places], self.last[places] = after, date
         return out
 
 
-def walk_sorted(frames: Iterator[pd.DataFrame], block: list[str]) -> Iterator[pd.DataFrame]:
-    """Codes of rows that come sorted by block, date, lat and lon; holds one batch and the last day before it."""
-    held, current, walk = None, None, BlockWalk()
-
-    def walked(frame: pd.DataFrame) -> pd.DataFrame:
-        """All rows of ``frame``, whose last day is complete."""
-        nonlocal current, walk
-        number = frame.groupby(block, sort=False, dropna=False).ngroup().to_numpy()
-        date = frame["date"].to_numpy().astype("datetime64[D]")
-        edges = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (date[1:] != date[:-1])) + 1).tolist(), len(frame)]
-        months = (date.astype("datetime64[M]").astype(int) % 12 + 1).tolist()
-        cells = frame[["lat", "lon"]].to_numpy(dtype=float)
-        weather = frame[["tasmax", "pr", "hurs", "sfcwind"]].to_numpy(dtype=float).T
-        start = np.repeat(np.array(list(START.values()))[:, None], len(frame), 1)
-        for i, name in enumerate(START):
-            if f"{name}_start" in frame:
-                given = frame[f"{name}_start"].to_numpy(dtype=float)
-                start[i] = np.where(np.isnan(given), start[i], given)
-        out = np.empty((3, len(frame)))
+NEVER = -(10 ** 8)
+
+
+def _year(days):
+    """Calendar year of days since 1970."""
+    return np.asarray(days, np.int64).astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64)
+
+
+def _first_of(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys, kind="stable")
+    return values[order[np.searchsorted(keys, wanted, sorter=order)]]
+
+
+WEATHER = ("tasmax", "pr", "hurs", "sfcwind")
+
+
+def walk_days(batches: Iterator[pa.RecordBatch], walk: DayWalk, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Codes of rows that come sorted by date and kind; holds one batch and the last day before it.
+
+    Rows of kind 0 are days and come out with the columns ``kept`` and their codes; rows of kind 1 hold known codes.
+    """
+    held = None
+
+    def walked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All rows of ``table``, whose last day is complete."""
+        def numbers(name: str) -> np.ndarray:
+            return table.column(name).cast(pa.float64()).to_numpy()
+
+        date = table.column("date").cast(pa.int32()).to_numpy().astype(np.int64)
+        kind, keys, lat = table.column("_kind").to_numpy(), table.column("_key").to_numpy(), numbers("lat")
+        weather = np.stack([numbers(c) for c in WEATHER])
+        known = np.stack([numbers(c) for c in START])
+        out = np.full((3, len(date)), np.nan)
+        edges = [0, *(np.flatnonzero((date[1:] != date[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(date)]
         for a, b in zip(edges, edges[1:]):
-            if a == 0 or number[a] != number[a - 1]:
-                key = tuple(frame[block].iloc[a])
-                if key != current:
-                    current, walk = key, BlockWalk()
-            out[:, a:b] = walk.day(cells[a:b], months[a], weather[:, a:b], start[:, a:b])
-        return frame.assign(**dict(zip(START, out)))
-
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if not len(frame):
+            if kind[a]:
+                walk.start(int(date[a]), keys[a:b], lat[a:b], known[:, a:b])
+            else:
+                out[:, a:b] = walk.day(int(date[a]), keys[a:b], lat[a:b], weather[:, a:b])
+        days = pa.array(kind == 0)
+        codes = [pa.array(v, mask=np.isnan(v)).filter(days) for v in out]
+        rows = table.select(kept).filter(days)
+        for name, column in zip(START, codes):
+            rows = rows.append_column(name, column)
+        yield from rows.to_batches()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
             continue
-        last = frame[[*block, "date"]].iloc[-1]
-        whole = (frame[[*block, "date"]] != last).any(axis=1).to_numpy()
-        cut = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
+        date = table.column("date").cast(pa.int32()).to_numpy()
+        cut = int(np.searchsorted(date, date[-1]))
         if cut:
-            yield walked(frame.iloc[:cut])
-        held = frame.iloc[cut:]
-    if held is not None and len(held):
-        yield walked(held)
+            yield from walked(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield from walked(held)
 
 
 # ------------------------------------------------------------ drought quantile

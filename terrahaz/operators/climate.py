@@ -48,36 +48,35 @@ def moisture_codes(daily: DataFrame, init: DataFrame | None = None, block_deg: f
                    series: Sequence[str] = SERIES) -> DataFrame:
     """Daily FFMC, DMC and DC carried through time for every cell.
 
-    Rows are dealt by series and a square block of cells and sorted by day; a task
-    walks the days of a block once, all its cells together, and holds one day of a
-    block at a time, however long the record is.
-    ``init`` holds start codes per cell (ffmc, dmc, dc), for instance the last
-    state of the year before, so years can be processed one after another.
+    Rows are dealt by series and a square block of cells and sorted by day; a task walks the
+    days once, all its cells of all its series as one vector a day, and holds one day at a
+    time besides a few numbers per cell, however long the record is.
+
+    A cell without any day in the year before starts anew: a gap of years ends a run. ``init``, the
+    state store, holds codes per cell at the end of a ``date`` (without that column: of a ``year``).
+    It joins as of each run by lying among the days: a run takes the store's codes of the year before it
+    unless it has walked that year itself, so any set of years can be computed later.
     """
     keys = [*series, "lat", "lon"]
-    inputs = daily.select(*keys, "date", *[F.col(c).cast("double").alias(c)
-                                           for c in ("tasmax", "pr", "hurs", "sfcwind")])
-    inputs = inputs.withColumn("date", F.col("date").cast("date"))
+    rows = daily.select(*keys, F.col("date").cast("date").alias("date"), F.lit(0).cast("byte").alias("_kind"),
+                        *[F.col(c).cast("double").alias(c) for c in kernels.WEATHER],
+                        *[F.lit(None).cast("double").alias(c) for c in kernels.START])
     if init is not None:
-        start = init.select(*keys, *[F.col(c).alias(f"{c}_start") for c in kernels.START])
-        inputs = inputs.join(start, keys, "left")
-    inputs = inputs.withColumns({
-        "_bx": F.floor(F.col("lon") / lit(block_deg)), "_by": F.floor(F.col("lat") / lit(block_deg)),
-    })
-    schema = T.StructType(
-        [f for f in inputs.schema.fields if f.name in (*keys, "date", "sfcwind")]
-        + [T.StructField(c, T.DoubleType()) for c in kernels.START]
-    )
-
-    block = [*series, "_bx", "_by"]
+        day = F.col("date").cast("date") if "date" in init.columns else F.make_date(F.col("year").cast("int"), F.lit(12), F.lit(31))
+        rows = rows.unionByName(init.select(
+            *keys, day.alias("date"), F.lit(1).cast("byte").alias("_kind"), *[F.lit(None).cast("double").alias(c) for c in kernels.WEATHER],
+            *[F.col(c).cast("double").alias(c) for c in kernels.START]))
+    block = [F.floor(F.col("lon") / lit(block_deg)), F.floor(F.col("lat") / lit(block_deg))]
+    kept = [*keys, "date", "sfcwind"]
+    schema = T.StructType([f for f in rows.schema.fields if f.name in kept] + [T.StructField(c, T.DoubleType()) for c in kernels.START])
+    names = [f.name for f in schema.fields if f.name in kept]
 
-    def walk(frames):
-        for frame in kernels.walk_sorted(frames, block):
-            yield frame[schema.names]
+    def walk(batches):
+        return kernels.walk_days(batches, kernels.DayWalk(), names)
 
-    out = inputs.repartition(*block).sortWithinPartitions(*block, "date", "lat", "lon").mapInPandas(walk, schema)
-    return out.select(*keys, "date", "sfcwind", *[
-        F.when(~F.isnan(c), F.col(c)).alias(c) for c in kernels.START])
+    return (rows.filter(F.col("date").isNotNull()).withColumn("_key", F.xxhash64(*keys)).repartition(*series, *block)
+            .sortWithinPartitions("date", "_kind", "_key", *kernels.WEATHER).mapInArrow(walk, schema)
+            .select(*keys, "date", "sfcwind", *kernels.START))
 
 
 def fwi(daily: DataFrame, init: DataFrame | None = None, block_deg: float = 2.0,
@@ -95,15 +94,16 @@ def with_indices(codes: DataFrame) -> DataFrame:
 
 
 def last_state(codes: DataFrame, keys: Sequence[str], seed: str = "daily") -> DataFrame:
-    """Start codes for the next year: the last daily state, or the last month's mean."""
+    """Start codes for the year after: the last daily state, or the last month's mean; with the ``date`` they hold for."""
     names = list(kernels.START)
     year = F.year("date").alias("year")
+    codes = codes.filter(F.col("ffmc").isNotNull())
     if seed == "daily":
-        picked = codes.groupBy(*keys, year).agg(F.max_by(F.struct(*names), "date").alias("_s"))
+        picked = codes.groupBy(*keys, year).agg(F.max(F.struct("date", *names)).alias("_s"))
     elif seed == "monthly_mean":
         monthly = codes.groupBy(*keys, F.trunc("date", "month").alias("date")).agg(
             *[F.avg(c).alias(c) for c in names])
-        picked = monthly.groupBy(*keys, year).agg(F.max_by(F.struct(*names), "date").alias("_s"))
+        picked = monthly.groupBy(*keys, year).agg(F.max(F.struct(F.last_day("date").alias("date"), *names)).alias("_s"))
     else:
         raise ValueError(f"unknown seed {seed!r}")
     return picked.select(*keys, "year", "_s.*")

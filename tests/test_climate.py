@@ -41,6 +41,46 @@ def test_fire_weather_carries_state_over_a_split(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def years(spark, *chosen):
+    rows = [("m", "s", r, lat, 0.0, f"{y}-{m:02d}-10", 12.0 + m, 30.0 + y % 7, 10.0, float(m % 3))
+            for y in chosen for m in (3, 6, 9) for r in ("r1", "r2") for lat in (46.0, 47.0)]
+    return spark.createDataFrame(
+        rows, "model string, scenario string, member string, lat double, lon double, date string, tasmax double, "
+              "hurs double, sfcwind double, pr double").withColumn("date", F.to_date("date"))
+
+
+def codes_by_day(df):
+    return {(r["member"], r["lat"], str(r["date"])): (r["ffmc"], r["dmc"], r["dc"]) for r in df.collect()}
+
+
+def test_pending_years_start_from_the_store(spark):
+    """Each pending run equals the whole record, a run without a year before it starts anew."""
+    keys = [*C.SERIES, "lat", "lon"]
+    whole = C.moisture_codes(years(spark, 2000, 2001, 2002, 2003, 2004))
+    store = C.last_state(whole, keys).filter("year IN (2000, 2002)").select(*keys, "year", "ffmc", "dmc", "dc")
+    want = codes_by_day(whole)
+    got = codes_by_day(C.moisture_codes(years(spark, 2001, 2003, 2004), store))
+    assert got == {k: pytest.approx(want[k]) for k in got} and len(got) == 36
+    # 2001 is walked in this run: the store's older value of it has no say
+    stale = store.withColumn("year", F.lit(2003)).withColumn("dc", F.lit(999.0))
+    got = codes_by_day(C.moisture_codes(years(spark, 2003, 2004), store.unionByName(stale)))
+    assert got == {k: pytest.approx(want[k]) for k in got}
+
+
+def test_a_year_without_days_ends_a_run(spark):
+    fresh, after = codes_by_day(C.moisture_codes(years(spark, 2005))), codes_by_day(C.moisture_codes(years(spark, 2002, 2003, 2005)))
+    assert {k: v for k, v in after.items() if "2005" in k[2]} == {k: pytest.approx(v) for k, v in fresh.items()}
+    joined = codes_by_day(C.moisture_codes(years(spark, 2004, 2005)))
+    assert joined["r1", 46.0, "2005-03-10"] != pytest.approx(fresh["r1", 46.0, "2005-03-10"])
+
+
+def test_repeated_rows_null_dates_and_empty_input(spark):
+    df = years(spark, 2001)
+    twice = df.unionByName(df).unionByName(df.limit(1).withColumn("date", F.lit(None).cast("date")))
+    assert codes_by_day(C.moisture_codes(twice)) == {k: pytest.approx(v) for k, v in codes_by_day(C.moisture_codes(df)).items()}
+    assert C.moisture_codes(df.limit(0)).collect() == []
+
+
 def test_fire_weather_gap_keeps_state(spark):
     df = daily(spark).withColumn("hurs", F.when(F.col("date") != "2001-04-14", F.col("hurs")))
     rows = C.moisture_codes(df).orderBy("date").collect()
