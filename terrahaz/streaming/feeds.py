@@ -8,14 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from terrahaz.functions import kernels
 from terrahaz.operators.climate import SERIES, with_indices
 from terrahaz.plans.asset_groups import unexposed
 
-STATE = "last_date string, ffmc double, dmc double, dc double"
-
 
 def monthly_stream(feed: DataFrame, keys: Sequence[str], value: str, date: str = "date",
                    delay: str = "40 days") -> DataFrame:
@@ -32,48 +30,83 @@ def monthly_stream(feed: DataFrame, keys: Sequence[str], value: str, date: str =
     )
 
 
-def _walk_codes(names: list[str]) -> Callable:
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, codes = "", [kernels.START[c] for c in kernels.START]
-        if state.exists:
-            last, *codes = state.get
-        rows = pd.concat([f for f in frames if len(f)])
-        rows = rows.sort_values(["date", "tasmax", "pr", "hurs", "sfcwind"])
-        rows = rows[rows["date"].astype(str) > last].drop_duplicates("date")
-        if rows.empty:
+class BlockCodes(StatefulProcessor):
+    """Fire weather of one block of cells: its state is one row of arrays, its cells advance as one vector a day.
+
+    A row dated at or before the last day of its cell arrives too late and is dropped, of several rows
+    of a cell and day the first by its values counts. A block without rows for ``idle_days`` of
+    event time gives its state back by a timer; a run would start anew by then anyway.
+    """
+
+    STATE = "cells array<bigint>, lat array<double>, last array<bigint>, ffmc array<double>, dmc array<double>, dc array<double>"
+
+    def __init__(self, names: list[str], idle_days: int):
+        self.names, self.idle_days = names, idle_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("codes", self.STATE)
+
+    def _walk(self) -> kernels.DayWalk:
+        walk = kernels.DayWalk()
+        if self.state.exists():
+            cells, lat, last, *codes = self.state.get()
+            walk.keys, walk.lat, walk.last = np.array(cells, np.int64), np.array(lat, float), np.array(last, np.int64)
+            walk.codes = np.array(codes, float)
+        return walk
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        walk = self._walk()
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame = frame.sort_values(["walk_day", "walk_key", *kernels.WEATHER]).drop_duplicates(["walk_day", "walk_key"])
+        day, cells = frame["walk_day"].to_numpy(np.int64), frame["walk_key"].to_numpy(np.int64)
+        if len(walk.keys):
+            at = np.searchsorted(walk.keys, cells).clip(max=len(walk.keys) - 1)
+            fresh = (walk.keys[at] != cells) | (walk.last[at] < day)
+            frame, day, cells = frame[fresh], day[fresh], cells[fresh]
+        if not len(frame):
             return
-        lat = np.array([float(rows["lat"].iloc[0])])
-        months = pd.DatetimeIndex(pd.to_datetime(rows["date"])).month
-
-        def column(c: str) -> np.ndarray:
-            return rows[c].to_numpy(dtype=float)[:, None]
-
-        out = kernels.carry_codes(
-            lat, months, column("tasmax"), column("pr"), column("hurs"), column("sfcwind"),
-            [np.array([c]) for c in codes])
-        seen = ~np.isnan(out[0, :, 0])
-        if seen.any():
-            codes = [float(c) for c in out[:, np.flatnonzero(seen)[-1], 0]]
-        state.update((str(rows["date"].iloc[-1]), *codes))
-        result = rows[[*names, "date", "sfcwind"]].copy()
-        for i, c in enumerate(kernels.START):
-            result[c] = out[i, :, 0]
+        lat = frame["lat"].to_numpy(float)
+        weather = frame[list(kernels.WEATHER)].to_numpy(float).T
+        edges = [0, *(np.flatnonzero(day[1:] != day[:-1]) + 1).tolist(), len(day)]
+        out = np.concatenate([walk.day(int(day[a]), cells[a:b], lat[a:b], weather[:, a:b]) for a, b in zip(edges, edges[1:])], axis=1)
+        self.state.update((walk.keys.tolist(), walk.lat.tolist(), walk.last.tolist(), *walk.codes.tolist()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((int(day[-1]) + self.idle_days) * 86_400_000)
+        result = frame[[*self.names, "date", "sfcwind"]].copy()
+        for name, values in zip(kernels.START, out):
+            result[name] = values
         yield result
 
-    return step
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def fwi_stream(feed: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
-    """Fire weather of a daily feed; per cell the state is the last date and three codes.
+def fwi_stream(feed: DataFrame, series: Sequence[str] = SERIES, block_deg: float = 2.0, idle_days: int = 800) -> DataFrame:
+    """Fire weather of a daily feed, keyed by series and block of cells like the batch (see :class:`BlockCodes`).
 
-    A row dated at or before the state's date arrives too late and is dropped.
-    A micro-batch holds a few days per cell, so the rows of one key stay few.
+    One call per block and micro-batch, however many cells the block has. Sets the session's state store to
+    RocksDB, which this kind of state needs.
     """
+    spark = feed.sparkSession
+    if spark.conf.get(STORE, "") != ROCKS:
+        spark.conf.set(STORE, ROCKS)
     names = [*series, "lat", "lon"]
     schema = ", ".join([*(f"{s} string" for s in series), "lat double", "lon double", "date date",
                         "sfcwind double", "ffmc double", "dmc double", "dc double"])
-    codes = feed.groupBy(*names).applyInPandasWithState(
-        _walk_codes(names), schema, STATE, "append", "NoTimeout")
+    rows = feed.select(*names, F.col("date").cast("date").alias("date"), *kernels.WEATHER).filter(F.col("date").isNotNull()).select(
+        "*", F.unix_date("date").cast("bigint").alias("walk_day"), F.xxhash64(*names).alias("walk_key"), F.col("date").cast("timestamp").alias("walk_time"),
+        F.floor(F.col("lon") / block_deg).alias("walk_bx"), F.floor(F.col("lat") / block_deg).alias("walk_by"))
+    codes = rows.withWatermark("walk_time", f"{idle_days} days").groupBy(*series, "walk_bx", "walk_by").transformWithStateInPandas(
+        BlockCodes(names, idle_days), schema, "append", "EventTime")
     codes = codes.select(*names, "date", "sfcwind", *[
         F.when(~F.isnan(c), F.col(c)).alias(c) for c in kernels.START])
     return with_indices(codes).drop("sfcwind")

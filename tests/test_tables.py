@@ -302,6 +302,29 @@ def test_fire_weather_stream_equals_batch(spark, t):
     assert got == {k: (v if v is None else pytest.approx(v)) for k, v in want.items()}
 
 
+def test_fire_weather_stream_goes_on_after_a_restart(spark, t):
+    """Two runs over one checkpoint give what one batch gives; late rows are dropped."""
+    feed = grid_feed(t).filter("model = 'M1'")
+    root, place = folder(), folder()
+    cut = feed.agg(F.expr("percentile_approx(date, 0.5)")).first()[0]
+    late = feed.filter(F.col("date") <= cut).limit(5)
+
+    def once(df, name):
+        df.coalesce(1).write.mode("append").parquet(f"{root}/feed")
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+        q = feeds.fwi_stream(stream, block_deg=100.0).writeStream.format("parquet").option("path", f"{place}/out").option(
+            "checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+
+    once(feed.filter(F.col("date") <= cut), "a")
+    once(feed.filter(F.col("date") > cut).unionByName(late), "b")
+    found = spark.read.parquet(f"{place}/out")
+    got = {(r["scenario"], r["lat"], r["lon"], str(r["date"])): r["dc"] for r in found.collect()}
+    want = {(r["scenario"], r["lat"], r["lon"], str(r["date"])): r["dc"] for r in C.fwi(feed).collect()}
+    assert found.count() == len(got) and got == {k: (v if v is None else pytest.approx(v)) for k, v in want.items()}
+
+
 def test_monthly_stream_equals_batch(spark, t):
     feed = t.fx_grid.groupBy("lat", "lon", "date").agg(F.avg("pr").alias("pr"))
     drain(feeds.monthly_stream(stream_of(spark, feed, ["date", "lat", "lon"], 3), ["lat", "lon"], "pr"), "mm")
