@@ -278,8 +278,8 @@ SELECT o_orderpriority AS DFIRM_ID, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey
 
 @check("flood_zone_projection", f"""
 SELECT DFIRM_ID AS dfirm_id, FLD_AR_ID AS fld_ar_id, cast(NULL AS varchar) AS version_id, FLD_ZONE AS flood_zone,
-  cast(NULL AS varchar) AS flood_zone_subtype, cast(NULL AS varchar) AS is_sfha, cast(NULL AS varchar) AS static_bfe,
-  cast(NULL AS varchar) AS flood_depth, lomr AS lomr_effective_date, 'u' || o_orderkey AS source_url FROM ({RAW_ZONES}) r
+  cast(NULL AS varchar) AS flood_zone_subtype, cast(NULL AS varchar) AS is_sfha, cast(NULL AS double) AS static_bfe,
+  cast(NULL AS double) AS flood_depth, lomr AS lomr_effective_date, 'u' || o_orderkey AS source_url FROM ({RAW_ZONES}) r
 """)
 def flood_zone_projection(t: Tables):
     raw = t.sql(RAW_ZONES)

@@ -14,6 +14,7 @@ from terrahaz.operators import spatial as S
 from terrahaz.operators.grid import GridSpec
 from terrahaz.plans import jobs
 from terrahaz.sources import files
+from terrahaz.streaming import feeds
 
 # An asset line runs (x0,y0) -> (x1,y0) -> (x1,y1); it misses a box only when the
 # box lies in the open corner above its first leg and left of its second.
@@ -435,11 +436,18 @@ def geojson_validity(t: Tables):
 
 
 @check("geojson_assets", """
-SELECT o_orderkey, 'ST_Point' AS geom_type, cast(o_custkey AS double) AS xmin, 1.5e0 AS ymax, o_orderstatus AS status FROM {orders}
+SELECT 'orders' AS asset_name, 'ST_Point' AS geom_type, cast(o_custkey AS double) AS xmin, 1.5e0 AS ymax, o_orderstatus AS status,
+  cast(o_orderkey AS varchar) AS key FROM {orders}
 """)
 def geojson_assets(t: Tables):
-    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.col("o_custkey"),
-                    F.lit(',1.5]},"properties":{"status":"'), F.col("o_orderstatus"), F.lit('"}}'))
-    rows = t.orders.select("o_orderkey", text.alias("feature"))
-    return files.geojson_features(rows).select(
-        "o_orderkey", "geom_type", "xmin", "ymax", F.col("properties")["status"].alias("status"))
+    """Every order as a feature of one of four collections, written and read back in splits."""
+    text = F.concat(F.lit('{ "geometry": {"type":"Point","coordinates":['), F.col("o_custkey"), F.lit(',1.5]}, "type": "Feature",'
+                    '"properties":{"note":"a }, {\\"type\\": [","status":"'), F.col("o_orderstatus"), F.lit('","key":"'), F.col("o_orderkey"), F.lit('"}}'))
+    documents = t.orders.select(F.pmod("o_orderkey", F.lit(4)).alias("d"), text.alias("feature")).groupBy("d").agg(
+        F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"x"}},"features":['),
+                 F.array_join(F.collect_list("feature"), ",\n"), F.lit("]}")).alias("value"))
+    folder = feeds.shared_folder(t.spark, "collections")
+    documents.select("value").repartition(4).write.option("lineSep", " ").text(folder)
+    names = {r["file"]: "orders" for r in t.spark.read.text(folder).select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+    return files.read_geojson_assets(t.spark, names).select(
+        "asset_name", "geom_type", "xmin", "ymax", F.col("properties")["status"].alias("status"), F.col("properties")["key"].alias("key"))

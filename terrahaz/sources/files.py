@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.functions import geometry as geo
+from terrahaz.sources import geojson
 from terrahaz.operators.relational import first_per
 
 DAY_FILE = r"^([^_]+)_day_([^_]+)_([^_]+)_([^_]+)_g[^_]+_(\d{4})(?:_v\d+\.\d+)?\.nc$"
@@ -126,12 +127,14 @@ ZONE_ATTRIBUTES = {
     "FLD_ZONE": "flood_zone", "ZONE_SUBTY": "flood_zone_subtype", "SFHA_TF": "is_sfha",
     "STATIC_BFE": "static_bfe", "DEPTH": "flood_depth",
 }
+NUMERIC_ATTRIBUTES = ("STATIC_BFE", "DEPTH")
 
 
 def project_zones(raw: DataFrame, source_url: Column, lomr: Column) -> DataFrame:
-    """Table columns of a flood layer; attributes a file lacks become NULL."""
+    """Table columns of a flood layer in their declared types; attributes a file lacks become NULL, numbers that are none, too."""
     cols = [
-        (F.col(a) if a in raw.columns else F.lit(None).cast("string")).alias(b)
+        (F.col(a).cast("string") if a in raw.columns else F.lit(None).cast("string")).alias(b) if a not in NUMERIC_ATTRIBUTES
+        else (F.col(a).cast("string").try_cast("double") if a in raw.columns else F.lit(None).cast("double")).alias(b)
         for a, b in ZONE_ATTRIBUTES.items()
     ]
     geometry = [F.col(c) for c in ("geom_type", "parts", "xmin", "ymin", "xmax", "ymax") if c in raw.columns]
@@ -139,18 +142,13 @@ def project_zones(raw: DataFrame, source_url: Column, lomr: Column) -> DataFrame
 
 
 def read_geojson_assets(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """Features of several GeoJSON files tagged with their asset name.
+    """Features of several GeoJSON collections tagged with their asset name; an unreadable one is skipped.
 
-    Files hold one document each; an unreadable one is skipped. Reading whole
-    documents is inherent to the format, so the features are parsed as text rows
-    and spread before any further work.
+    A document is read in splits (see ``sources.geojson``), so one of any size spreads over tasks.
     """
     names = F.create_map(*[F.lit(x) for path, asset in files.items() for x in (path.split("/")[-1], asset)])
-    text = spark.read.option("wholetext", "true").text(list(files)).withColumn(
-        "_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    rows = text.select(
-        F.try_element_at(names, F.col("_name")).alias("asset_name"),
-        F.explode(F.from_json("value", "struct<features:array<string>>")["features"]).alias("feature"))
+    rows = geojson.read_features(spark, list(files)).select(
+        F.try_element_at(names, F.element_at(F.split("file", "/"), -1)).alias("asset_name"), "feature")
     return geojson_features(rows)
 
 

@@ -17,6 +17,7 @@ from terrahaz.operators import climate as C
 from terrahaz.operators import relational as R
 from terrahaz.plans import asset_groups, asset_query as Q, dag, hazards
 from terrahaz.sources import files, registry, sinks
+from terrahaz.sources import geojson
 from terrahaz.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -359,3 +360,32 @@ def test_content_hash_of_objects_lists_and_booleans(spark):
     parts = [V.typed_text(F.col("o"), "d"), V.typed_text(F.col("l"), "l"), V.typed_text(F.col("f"), "n"), V.typed_text(F.col("f"), "x")]
     want = sorted(['d:{"a":{"c":null,"d":"x"},"b":[1,2]}', 'l:["u",{"y":false,"z":1}]', "n:true", "x:null"])
     assert df.select(V.content_hash(parts).alias("h")).first()["h"] == hashlib.sha256(("|".join(want) + "|").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("split", [64, 300, 5000])
+def test_one_document_is_read_in_splits(spark, split):
+    """Strings with brackets and escapes, nested features, border in every place, a broken and an empty file."""
+    import random
+
+    rng = random.Random(split)
+    notes = ['}', '{"a', '\\', '\\"', ']}, {"type": "Feature"', "é}ß{", "", '"features":[{"type":"Feature"}]']
+    feats = []
+    for i in range(120):
+        props = {"note": "".join(rng.choice(notes) for _ in range(rng.randint(0, 4))), "n": i, "deep": {"l": [{"q": [1, {"type": "Feature"}]}] * rng.randint(0, 3)}}
+        feats.append({"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1.5]}, "properties": props})
+    feats[60]["properties"]["note"] = "x}" * 400
+    root = folder()
+    docs = {"a": json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "}"}}, "features": feats}, ensure_ascii=False),
+            "b": json.dumps({"features": feats[:7], "bbox": [[1], [2]]}, indent=2) + "\n", "bad": json.dumps({"features": feats})[:-40], "none": '{"features":[]}'}
+    for name, text in docs.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", " ").text(f"{root}/{name}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [(r["file"].split("/")[-2], json.loads(r["feature"])) for r in geojson.read_features(spark, [f"{root}/{n}" for n in docs]).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for name, want in (("a", feats), ("b", feats[:7]), ("bad", []), ("none", [])):
+        assert sorted(json.dumps(f, sort_keys=True) for n, f in got if n == name) == sorted(json.dumps(f, sort_keys=True) for f in want)
