@@ -131,9 +131,9 @@ NUMERIC_ATTRIBUTES = ("STATIC_BFE", "DEPTH")
 
 
 def project_zones(raw: DataFrame, source_url: Column, lomr: Column) -> DataFrame:
-    """Table columns of a flood layer in their declared types; attributes a file lacks become NULL, numbers that are none, too."""
+    """Table columns of a flood layer; attributes a file lacks become NULL, and elevation and depth are numbers in any case."""
     cols = [
-        (F.col(a).cast("string") if a in raw.columns else F.lit(None).cast("string")).alias(b) if a not in NUMERIC_ATTRIBUTES
+        (F.col(a) if a in raw.columns else F.lit(None).cast("string")).alias(b) if a not in NUMERIC_ATTRIBUTES
         else (F.col(a).cast("string").try_cast("double") if a in raw.columns else F.lit(None).cast("double")).alias(b)
         for a, b in ZONE_ATTRIBUTES.items()
     ]
