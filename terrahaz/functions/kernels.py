@@ -355,40 +355,57 @@ def gamma_score_udf():
 
 # ------------------------------------------------------------- simplification
 
-def simplify_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on one vertex list; first and last vertex stay."""
+def kept_vertices(xy: np.ndarray, offsets: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker on all vertex lists of a batch at once: which vertices stay; first and last ones do.
+
+    ``offsets`` are the borders of the lists in ``xy``. A round looks at every stretch that is still open
+    in any list: its farthest vertex, if farther than ``tolerance``, stays and splits it.
+    """
     keep = np.zeros(len(xy), bool)
-    keep[[0, -1]] = True
-    stack = [(0, len(xy) - 1)]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo < 2:
-            continue
-        a, b = xy[lo], xy[hi]
-        mid = xy[lo + 1:hi]
-        ab = b - a
-        length2 = float(ab @ ab)
-        t = np.clip((mid - a) @ ab / length2, 0.0, 1.0) if length2 > 0 else np.zeros(len(mid))
-        dist = np.hypot(*(mid - (a + t[:, None] * ab)).T)
-        worst = int(dist.argmax())
-        if dist[worst] > tolerance:
-            k = lo + 1 + worst
-            keep[k] = True
-            stack += [(lo, k), (k, hi)]
-    return xy[keep]
+    some = offsets[1:] > offsets[:-1]
+    low, high = offsets[:-1][some], offsets[1:][some] - 1
+    keep[low], keep[high] = True, True
+    while True:
+        inner = high - low > 1
+        low, high = low[inner], high[inner]
+        if not len(low):
+            return keep
+        sizes = high - low - 1
+        first = np.cumsum(sizes) - sizes
+        stretch = np.repeat(np.arange(len(low)), sizes)
+        at = low[stretch] + 1 + np.arange(len(stretch)) - first[stretch]
+        start, chord = xy[low], xy[high] - xy[low]
+        length2 = (chord * chord).sum(1)
+        away = xy[at] - start[stretch]
+        t = np.divide((away * chord[stretch]).sum(1), length2[stretch], out=np.zeros(len(at)), where=length2[stretch] > 0).clip(0, 1)
+        distance = np.hypot(*(away - t[:, None] * chord[stretch]).T)
+        farthest = np.maximum.reduceat(distance, first)
+        split = farthest > tolerance
+        is_farthest = np.flatnonzero((distance == farthest[stretch]) & split[stretch])
+        _, one = np.unique(stretch[is_farthest], return_index=True)
+        middle = at[is_farthest[one]]
+        keep[middle] = True
+        low, high = np.concatenate([low[split], middle]), np.concatenate([middle, high[split]])
 
 
 def simplify_udf(tolerance: float) -> Callable:
-    @F.pandas_udf(PARTS_TYPE)
-    def simplify(parts: pd.Series) -> pd.Series:
-        def one(geometry):
-            if geometry is None:
-                return None
-            return [[
-                [{"x": x, "y": y} for x, y in simplify_ring(
-                    np.array([(p["x"], p["y"]) for p in ring], float), tolerance).tolist()]
-                for ring in part] for part in geometry]
-
-        return parts.map(one)
+    """Geometries with every ring or line simplified; all vertices of an Arrow batch are one flat array."""
+    @F.arrow_udf(PARTS_TYPE)
+    def simplify(parts: pa.Array) -> pa.Array:
+        def borders(lists: pa.ListArray) -> np.ndarray:
+            if not len(lists):  # an empty list array may come without its offsets
+                return np.zeros(1, np.int32)
+            at = lists.offsets.to_numpy()
+            return at - at[0]
+
+        rings = parts.flatten().flatten()
+        points = rings.flatten()
+        offsets = borders(rings).astype(np.int64)
+        xy = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
+        keep = kept_vertices(xy, offsets, tolerance)
+        left = np.append(0, np.cumsum(keep))[offsets].astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(left), points.filter(pa.array(keep)))
+        out = pa.ListArray.from_arrays(pa.array(borders(parts.flatten())), out)
+        return pa.ListArray.from_arrays(pa.array(borders(parts)), out)
 
     return simplify

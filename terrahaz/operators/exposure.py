@@ -68,6 +68,10 @@ def zonal_by_kind(grid: DataFrame, assets: DataFrame, spec: GridSpec, time_keys:
     return single.unionByName(combined.drop("_line"))
 
 
+LINE_TOLERANCE = 0.0001
+"""Degrees by which jobs simplify lines before they sample their vertices."""
+
+
 @dataclass(frozen=True)
 class ExposureSpec:
     """One exposure job."""
@@ -79,7 +83,7 @@ class ExposureSpec:
     method: str = "mean"
     area_threshold_km2: float = 20.0
     return_period: int | None = None
-    tolerance: float = 0.0
+    tolerance: float = LINE_TOLERANCE
     attrs: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -116,4 +120,4 @@ def burn_exposure(grid: DataFrame, assets: DataFrame, spec: GridSpec, method: st
                   area_threshold_km2: float = 20.0) -> DataFrame:
     """Burn probability per asset: no time axis, no rounding, key osm_id."""
     small = spatial.collapse_small(_distinct_assets(assets), area_threshold_km2)
-    return zonal_by_kind(grid, small, spec, [], ["burn_probability"], method).na.drop()
+    return zonal_by_kind(grid, small, spec, [], ["burn_probability"], method, LINE_TOLERANCE).na.drop()

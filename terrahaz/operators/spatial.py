@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrahaz.functions import cutting, overlay
+from terrahaz.functions import cutting, kernels, overlay
 from terrahaz.functions import geometry as geo
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
@@ -298,13 +298,13 @@ def collapse_small(df: DataFrame, km2: float = 20.0) -> DataFrame:
 
 
 def line_vertices(df: DataFrame, tolerance: float = 0.0, dedup: bool = False) -> DataFrame:
-    """One row (lon, lat) per line vertex after optional simplification."""
+    """One row (lon, lat) per line vertex after optional simplification (0: none), which only longer lines need."""
     source = df.filter(F.col("geom_type").isin(*geo.LINES))
     parts = F.col("parts")
     if tolerance > 0:
-        from terrahaz.functions.kernels import simplify_udf
-
-        parts = simplify_udf(tolerance)(parts)
+        long = F.coalesce(F.exists(geo.rings(parts), lambda r: F.size(r) > 2), F.lit(False))
+        none = F.expr(f"cast(array() AS {geo.PARTS_TYPE})")
+        parts = F.when(long, kernels.simplify_udf(tolerance)(F.when(long, parts).otherwise(none))).otherwise(parts)
     rest = [c for c in df.columns if c not in GEOMETRY_COLUMNS]
     points = source.select(*rest, F.explode(geo.vertices(parts)).alias("_v")).select(
         *rest, F.col("_v.x").alias("lon"), F.col("_v.y").alias("lat"))

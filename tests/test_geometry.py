@@ -194,12 +194,43 @@ def test_simplify_keeps_ends_and_corners(spark):
     assert got == [(0, 0), (2, 0), (2, 1)]
 
 
-def test_simplify_ring_keeps_worst_vertex():
+def peucker(xy, tolerance):
+    """Douglas-Peucker as it is usually written."""
+    if len(xy) < 3:
+        return list(xy)
+    (ax, ay), (bx, by) = xy[0], xy[-1]
+    dx, dy = bx - ax, by - ay
+
+    def off(p):
+        t = min(max(((p[0] - ax) * dx + (p[1] - ay) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+        return math.hypot(p[0] - ax - t * dx, p[1] - ay - t * dy)
+
+    far = max(range(1, len(xy) - 1), key=lambda i: off(xy[i]))
+    if off(xy[far]) <= tolerance:
+        return [xy[0], xy[-1]]
+    return peucker(xy[:far + 1], tolerance)[:-1] + peucker(xy[far:], tolerance)
+
+
+def test_simplification_of_many_lists_at_once():
     import numpy as np
 
-    xy = np.array([(0.0, 0.0), (1.0, 2.0), (2.0, 0.0)])
-    assert len(kernels.simplify_ring(xy, 0.5)) == 3
-    assert len(kernels.simplify_ring(xy, 3.0)) == 2
+    rng = random.Random(8)
+    lists = [[(float(i), rng.gauss(0, 1)) for i in range(rng.choice([1, 2, 3, 50, 400]))] for _ in range(60)] + [[], [(1.0, 1.0)] * 5]
+    lists.append([(0.0, 0.0), (1.0, 2.0), (2.0, 0.0), (0.0, 0.0)])
+    xy = np.array([p for one in lists for p in one], float)
+    offsets = np.append(0, np.cumsum([len(one) for one in lists]))
+    for tolerance in (0.5, 3.0):
+        keep = kernels.kept_vertices(xy, offsets, tolerance)
+        got = [[tuple(p) for p in xy[a:b][keep[a:b]].tolist()] for a, b in zip(offsets, offsets[1:])]
+        assert got == [one if len(one) < 2 else peucker(one, tolerance) for one in lists]
+
+
+def test_simplified_rows_keep_their_nesting(spark):
+    bent = [ring((0, 0), (1, 0.5), (2, 0)), ring((5, 5), (6, 5.00001), (7, 5))]
+    rows = [(1, "ST_MultiLineString", [[r] for r in bent]), (2, "ST_LineString", [[ring((0, 0), (1, 1))]]), (3, "ST_MultiLineString", [])]
+    df = frame(spark, rows).select("osm_id", *S.GEOMETRY_COLUMNS)
+    got = sorted((r["osm_id"], r["lon"], r["lat"]) for r in S.line_vertices(df, tolerance=0.0001).collect())
+    assert got == [(1, 0, 0), (1, 1, 0.5), (1, 2, 0), (1, 5, 5), (1, 7, 5), (2, 0, 0), (2, 1, 1)]
 
 
 def test_overlap_share_of_general_polygons(spark):
