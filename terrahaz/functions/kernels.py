@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from terrahaz.functions.geometry import PARTS_TYPE
@@ -388,24 +389,27 @@ def kept_vertices(xy: np.ndarray, offsets: np.ndarray, tolerance: float) -> np.n
         low, high = np.concatenate([low[split], middle]), np.concatenate([middle, high[split]])
 
 
+def simplified(parts: pa.Array, tolerance: float) -> pa.Array:
+    """Geometries with every ring or line simplified; all vertices of the array are one flat one."""
+    def borders(lists: pa.Array) -> np.ndarray:
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int64)
+        return np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+    def nested(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+    lists = parts.flatten()
+    rings = lists.flatten() if len(lists) else pa.array([], lists.type.value_type)
+    points = rings.flatten() if len(rings) else pa.array([], rings.type.value_type)
+    xy = np.column_stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) if len(points) else np.zeros((0, 2))
+    keep = kept_vertices(xy, borders(rings), tolerance)
+    kept = pa.StructArray.from_arrays([pa.array(xy[keep, 0]), pa.array(xy[keep, 1])], names=["x", "y"])
+    return nested(borders(parts), nested(borders(lists), nested(np.append(0, np.cumsum(keep))[borders(rings)], kept)))
+
+
 def simplify_udf(tolerance: float) -> Callable:
-    """Geometries with every ring or line simplified; all vertices of an Arrow batch are one flat array."""
     @F.arrow_udf(PARTS_TYPE)
     def simplify(parts: pa.Array) -> pa.Array:
-        def borders(lists: pa.ListArray) -> np.ndarray:
-            if not len(lists):  # an empty list array may come without its offsets
-                return np.zeros(1, np.int32)
-            at = lists.offsets.to_numpy()
-            return at - at[0]
-
-        rings = parts.flatten().flatten()
-        points = rings.flatten()
-        offsets = borders(rings).astype(np.int64)
-        xy = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
-        keep = kept_vertices(xy, offsets, tolerance)
-        left = np.append(0, np.cumsum(keep))[offsets].astype(np.int32)
-        out = pa.ListArray.from_arrays(pa.array(left), points.filter(pa.array(keep)))
-        out = pa.ListArray.from_arrays(pa.array(borders(parts.flatten())), out)
-        return pa.ListArray.from_arrays(pa.array(borders(parts)), out)
+        return simplified(parts, tolerance)
 
     return simplify
