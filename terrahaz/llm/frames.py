@@ -27,10 +27,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             total += int(size)
         if len(sizes) > start:
             yield batch.slice(start), texts.slice(start)
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back at the end of a task: the worker stays, beside those of other stages."""
     import ctypes
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrahaz.llm import words
-from terrahaz.llm.frames import bitmap, checkpointed, flat, in_bitmap, slot, text_slices, total_bytes
+from terrahaz.llm.frames import bitmap, checkpointed, flat, in_bitmap, release, slot, text_slices, total_bytes
 
 WINDOW = 20
 """Words of a passage that counts as repeated."""
@@ -26,53 +27,75 @@ _LEAST = -(1 << 63)
 
 
 class SuffixAutomaton:
-    """All substrings of the sequences added so far."""
+    """All substrings of the sequences added so far.
+
+    States are rows of flat arrays with one edge each, which is all that nearly every state has;
+    only the further edges of branching states lie in dicts. A state takes some 24 bytes.
+    """
 
     def __init__(self):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
+        self.word, self.to = array("Q", [0]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.size = array("i", [-1]), array("i", [0])
+
+    def _get(self, state: int, c: int) -> int:
+        if self.word[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(c, -1)
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.to[state] < 0 or self.word[state] == c:
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def _state(self, link: int, size: int) -> int:
+        self.word.append(0)
+        self.to.append(-1)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        clone = len(self.size)
-        self.next.append(self.next[q].copy())
-        self.link.append(self.link[q])
-        self.size.append(self.size[p] + 1)
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        clone = self._state(self.link[q], self.size[p] + 1)
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = self.more[q].copy()
+        while p >= 0 and self._get(p, c) == q:
+            self._set(p, c, clone)
             p = self.link[p]
         self.link[q] = clone
         return clone
 
     def extend(self, last: int, c: int) -> tuple[int, int]:
         """Add ``c`` behind the state ``last``; the new state and the length of the longest suffix seen before."""
-        q = self.next[last].get(c)
-        if q is not None:
+        q = self._get(last, c)
+        if q >= 0:
             state = q if self.size[q] == self.size[last] + 1 else self._clone(last, c, q)
             return state, self.size[state]
-        state = len(self.size)
-        self.next.append({})
-        self.link.append(0)
-        self.size.append(self.size[last] + 1)
+        state = self._state(0, self.size[last] + 1)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = state
+        while p >= 0 and self._get(p, c) < 0:
+            self._set(p, c, state)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self._get(p, c)
             self.link[state] = q if self.size[q] == self.size[p] + 1 else self._clone(p, c, q)
         return state, self.size[self.link[state]]
 
     def statistics(self, sequence: list[int]) -> list[int]:
         """For each place the length of the longest substring that ends there and is known."""
-        after, link, size = self.next, self.link, self.size
+        word, after, more, link, size = self.word, self.to, self.more, self.link, self.size
         state, length, found = 0, 0, []
         for c in sequence:
-            to = after[state].get(c)
-            while to is None and state:
+            while True:
+                to = after[state] if word[state] == c else more[state].get(c, -1) if state in more else -1
+                if to >= 0 or not state:
+                    break
                 state = link[state]
                 length = size[state]
-                to = after[state].get(c)
-            if to is None:
+            if to < 0:
                 length = 0
             else:
                 state = to
@@ -272,6 +295,8 @@ def _matched(pieces: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                 names=["doc", "copy", "begin", "end"])
+        shard = None
+        release()
 
     return pieces.repartition("shard").sortWithinPartitions("shard", "doc", "copy", "start").mapInArrow(
         run, "doc long, copy int, begin int, end int")
