@@ -494,7 +494,7 @@ cnt AS (SELECT a.osm_id, count(CASE WHEN {NEAR} <= 5 THEN 1 END) AS c5, count(CA
 fut AS (SELECT lat, lon, month, max(ensemble_min) / 64e0 AS p FROM {{fx_ensemble}} GROUP BY 1, 2, 3),
 rad AS (SELECT a.osm_id, s.month, coalesce(max(CASE WHEN {NEAR} <= 5 THEN s.p END), 0e0) AS m5, coalesce(max(CASE WHEN {NEAR} <= 25 THEN s.p END), 0e0) AS m25
    FROM {{fx_assets}} a JOIN fut s ON abs(s.lat - a.y0) < 0.5e0 AND abs(s.lon - a.x0) < 1e0 WHERE {NEAR} <= 25 GROUP BY 1, 2)
-SELECT a.osm_id, near.station_id AS nearest_station_id, round(near.d, 6) AS station_miles, near.station_id AS nearest_substation_id, coalesce(cnt.c5, 0) AS count_5mi,
+SELECT a.osm_id, near.station_id AS nearest_station_id, round(near.d, 6) AS station_miles, near.station_id AS nearest_substation_id, round(near.d, 6) AS substation_miles, coalesce(cnt.c5, 0) AS count_5mi,
   coalesce(cnt.c25, 0) AS count_25mi, coalesce(g.p, 0e0) AS burn_probability, rad.month, coalesce(rad.m5, 0e0) AS burn_probability_max_5mi, coalesce(rad.m25, 0e0) AS burn_probability_max_25mi
 FROM {{fx_assets}} a LEFT JOIN near ON near.osm_id = a.osm_id LEFT JOIN cnt ON cnt.osm_id = a.osm_id
 LEFT JOIN pts ON pts.osm_id = a.osm_id LEFT JOIN g ON g.ix = pts.ix AND g.iy = pts.iy LEFT JOIN rad ON rad.osm_id = a.osm_id
@@ -506,8 +506,8 @@ def facility_exposure(t: Tables):
     subs = t.fx_stations.withColumnRenamed("station_id", "substation_id")
     out = jobs.facility_exposure(facilities, burn, spec_for(t), t.fx_stations, subs, future, (5, 25))
     return r6(out.select(
-        "osm_id", "nearest_station_id", "station_miles", "nearest_substation_id", "count_5mi", "count_25mi",
-        "burn_probability", "month", "burn_probability_max_5mi", "burn_probability_max_25mi"), ["station_miles"])
+        "osm_id", "nearest_station_id", "station_miles", "nearest_substation_id", "substation_miles", "count_5mi", "count_25mi",
+        "burn_probability", "month", "burn_probability_max_5mi", "burn_probability_max_25mi"), ["station_miles", "substation_miles"])
 
 
 @check("line_asset_report", f"""
@@ -518,15 +518,24 @@ near AS (SELECT DISTINCT osm_id FROM v WHERE {haversine('v.lon', 'v.lat', '-120e
 p AS (SELECT osm_id, {CELL_SQL.format(lon='lon', lat='lat', last=LAST)} FROM v WHERE osm_id IN (SELECT osm_id FROM near)),
 b AS (SELECT ix, iy, max(ensemble_max) / 64e0 AS q FROM keyed GROUP BY 1, 2),
 pm AS (SELECT osm_id, max(q) AS q FROM p JOIN b ON b.ix = p.ix AND b.iy = p.iy GROUP BY 1),
-fw AS (SELECT osm_id, k.decade AS decade, k.month, avg(ensemble_mean) AS m FROM p JOIN keyed k ON k.ix = p.ix AND k.iy = p.iy GROUP BY ALL)
-SELECT n.osm_id, pm.q AS burn_probability, fw.decade AS decade, fw.month, round(fw.m, 6) AS ensemble_mean
-FROM near n LEFT JOIN pm ON pm.osm_id = n.osm_id LEFT JOIN fw ON fw.osm_id = n.osm_id
+fw AS (SELECT osm_id, k.decade AS decade, k.month, avg(ensemble_mean) AS m FROM p JOIN keyed k ON k.ix = p.ix AND k.iy = p.iy GROUP BY ALL),
+mid AS (SELECT a.osm_id, (w * (x0 + x1) / 2e0 + h * x1) / (w + h) AS mx, (w * y0 + h * (y0 + y1) / 2e0) / (w + h) AS my
+        FROM {{fx_assets}} a WHERE osm_id IN (SELECT osm_id FROM near)),
+fire AS (SELECT osm_id, station_id, d FROM (
+  SELECT osm_id, station_id, d, row_number() OVER (PARTITION BY osm_id ORDER BY d, station_id) AS rn FROM (
+    SELECT mid.osm_id, s.station_id, {haversine('mid.mx', 'mid.my', 's.lon', 's.lat')} AS d FROM mid CROSS JOIN {{fx_stations}} s
+    WHERE s.station_id % 4 <> 1) q) r WHERE rn = 1)
+SELECT n.osm_id, pm.q AS burn_probability, fw.decade AS decade, fw.month, round(fw.m, 6) AS ensemble_mean,
+  fire.station_id AS nearest_fire_id, round(fire.d, 6) AS distance_miles
+FROM near n LEFT JOIN pm ON pm.osm_id = n.osm_id LEFT JOIN fw ON fw.osm_id = n.osm_id LEFT JOIN fire ON fire.osm_id = n.osm_id
 """)
 def line_asset_report(t: Tables):
     burn = t.fx_ensemble.groupBy("lat", "lon").agg((F.max("ensemble_max") / 64.0).alias("burn_probability"))
     lines = asset_geometry(t.fx_assets).select("osm_id", *S.GEOMETRY_COLUMNS)
-    fires = t.fx_stations.withColumnRenamed("station_id", "fire_id")
+    fires = t.fx_stations.withColumnRenamed("station_id", "fire_id").withColumn(
+        "ignition_date", F.when(F.pmod("fire_id", F.lit(4)) == 1, "2004-07-01").otherwise("1999-07-01").cast("date"))
     out = jobs.line_asset_report(
         lines, (-120.0, 20.5), 100, burn, spec_for(t),
-        t.fx_ensemble.select("lon", "lat", "decade", "month", "ensemble_mean"), spec_for(t), fires)
-    return r6(out.select("osm_id", "burn_probability", "decade", "month", "ensemble_mean"), ["ensemble_mean"])
+        t.fx_ensemble.select("lon", "lat", "decade", "month", "ensemble_mean"), spec_for(t), fires, "2000-01-01")
+    return r6(out.select("osm_id", "burn_probability", "decade", "month", "ensemble_mean", "nearest_fire_id", "distance_miles"),
+              ["ensemble_mean", "distance_miles"])

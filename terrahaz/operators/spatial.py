@@ -10,12 +10,14 @@ keeps the result duplicate-free without a ``distinct``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrahaz.functions import cutting, kernels, overlay
 from terrahaz.functions import geometry as geo
+from terrahaz.session import written
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 GEOMETRY_COLUMNS = ("geom_type", "parts", *ENVELOPE)
@@ -165,69 +167,111 @@ def counts_within(left: DataFrame, right: DataFrame, miles: Sequence[float], id_
     return left.select(id_col).join(counts, id_col, "left").na.fill(0, list(names.values()))
 
 
-# Nested tile sides in degrees; the finest ones keep dense places cheap.
+# Nested tile sides in degrees; crowded tiles of the finest one go on below it.
 NEAREST_LEVELS = (1 / 64, 1 / 16, 0.25, 1.0, 4.0, 16.0, 64.0, 512.0)
+CROWD = 256
+"""Distinct places of a tile beyond which it is split into sixteen."""
+_FINEST = 1e-9
+
+
+def _quadtree(left: DataFrame, right: DataFrame, side: float, crowd: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Both sides with the leaf (_lv, _tx, _ty) of each place, and the tile sides below ``side`` in use, finest first.
+
+    A leaf holds at most ``crowd`` places of the right side. Each round counts the tiles of what is still crowded, with
+    map-side combine, and places of crowded tiles go on, written down, to the next; without any that is one round.
+    """
+    done: list[list[DataFrame]] = [[], []]
+    finer: list[float] = []
+    rest = [left, right]
+    while True:
+        keyed = [df.withColumns({"_lv": F.lit(side), "_tx": _cell(F.col("lon"), side), "_ty": _cell(F.col("lat"), side)}) for df in rest]
+        crowded = keyed[1].groupBy("_tx", "_ty").count().filter(F.col("count") > crowd).select("_tx", "_ty")
+        last = side < _FINEST or crowded.isEmpty()
+        for out, df in zip(done, keyed):
+            out.append(df if last else df.join(crowded, ["_tx", "_ty"], "left_anti"))
+        if last:
+            found = [reduce(DataFrame.unionByName, out) for out in done]
+            return *([written(df) for df in found] if finer else found), finer
+        rest = [written(df.join(crowded, ["_tx", "_ty"], "left_semi").drop("_lv", "_tx", "_ty")) for df in keyed]
+        side /= 4
+        finer.insert(0, side)
+
+
+def _span_miles(apart: dict[str, Column], lat: dict[str, Column]) -> Column:
+    """Great circle over differences ``apart`` (x, y in degrees) between latitudes ``lat`` (a, b)."""
+    h = F.pow(F.sin(F.radians(apart["y"]) / 2), geo.d(2)) + F.cos(F.radians(lat["a"])) * F.cos(F.radians(lat["b"])) * F.pow(
+        F.sin(F.radians(apart["x"]) / 2), geo.d(2))
+    return geo.d(2 * geo.HAVERSINE_KM * 1000 * geo.MILES_PER_METRE) * F.asin(F.sqrt(F.least(h, geo.d(1))))
 
 
 def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
-            levels: Sequence[float] = NEAREST_LEVELS) -> DataFrame:
+            levels: Sequence[float] = NEAREST_LEVELS, crowd: int = CROWD) -> DataFrame:
     """Nearest right point (lowest id on ties) and its distance for every left row.
 
-    Step 1 works on occupied tiles only: for each left tile, the finest level at
-    which its 3 x 3 neighbourhood holds a right point. Some point is then at most
-    two tile diagonals away, so step 2 searches only the occupied tiles within that
-    bound. Identical places are collapsed on both sides. Distances are great
+    Identical places are collapsed on both sides, and places lie in tiles that are split while they
+    are crowded, so no tile is quadratic, however many places one spot holds. Then, on occupied
+    tiles only: the finest level at which the 3 x 3 neighbourhood of a left tile holds a right one bounds
+    the distance; of the right tiles within that bound only those stay whose near edge is no farther
+    than the far corner of the best one; and places meet in what is left. Distances are great
     circles; the window widens with latitude and goes round the antimeridian.
     """
-    places_l = left.select("lon", "lat").distinct()
-    places_r = right.groupBy("lon", "lat").agg(F.min(right_id).alias(right_id))
+    places_l, places_r, finer = _quadtree(
+        left.select("lon", "lat").distinct(), right.groupBy("lon", "lat").agg(F.min(right_id).alias(right_id)), levels[0], crowd)
+    sides = [*finer, *levels]
 
-    def key(level: float) -> list[Column]:
-        return [F.lit(level).alias("_lv"), _cell(F.col("lon"), level).alias("_tx"),
-                _cell(F.col("lat"), level).alias("_ty")]
+    def at(lon: Column, lat: Column, side: Column | float) -> list[Column]:
+        return [_cell(lon, side).alias("_kx"), _cell(lat, side).alias("_ky")]
 
-    level_keys = F.array(*[F.struct(*key(v)) for v in levels])
-    # A right place is keyed once more on either side of the antimeridian; its coordinates stay.
-    wrapped = places_r.withColumn("_true", F.col("lon")).withColumn(
-        "lon", F.explode(F.array(*[F.col("lon") + geo.d(t) for t in (0, -360, 360)]))).select(
-            right_id, F.col("_true").alias("lon"), "lat", F.explode(level_keys).alias("_k"))
-    occupied = wrapped.select("_k.*").distinct()
+    def centred(df: DataFrame, prefix: str) -> DataFrame:
+        lv = F.col(f"_{prefix}lv")
+        return df.withColumns({f"_{prefix}lon": (F.col(f"_{prefix}tx") + geo.d(0.5)) * lv, f"_{prefix}lat": (F.col(f"_{prefix}ty") + geo.d(0.5)) * lv})
 
     def window(df: DataFrame, x_reach: Column, y_reach: Column) -> DataFrame:
         return (
-            df.withColumn("_tx", F.explode(F.sequence(F.col("_tx") - x_reach, F.col("_tx") + x_reach)))
-            .withColumn("_ty", F.explode(F.sequence(F.col("_ty") - y_reach, F.col("_ty") + y_reach)))
+            df.withColumn("_kx", F.explode(F.sequence(F.col("_kx") - x_reach, F.col("_kx") + x_reach)))
+            .withColumn("_ky", F.explode(F.sequence(F.col("_ky") - y_reach, F.col("_ky") + y_reach)))
         )
 
+    own, leaf = ["_blv", "_btx", "_bty"], ["_rlv", "_rtx", "_rty"]
+    tiles_l = centred(places_l.select(*[F.col(f"_{c}").alias(f"_b{c}") for c in ("lv", "tx", "ty")]).distinct(), "b")
+    tiles_r = centred(places_r.select(*[F.col(f"_{c}").alias(f"_r{c}") for c in ("lv", "tx", "ty")]).distinct(), "r")
+    every = F.array(*[F.lit(v) for v in sides])
+    # A right tile stands once more on either side of the antimeridian, at its own and all coarser levels.
+    keys = tiles_r.withColumn("_rlon", F.explode(F.array(*[F.col("_rlon") + geo.d(t) for t in (0, -360, 360)]))).withColumn(
+        "_k", F.explode(F.filter(every, lambda v: v >= F.col("_rlv"))))
+    keys = keys.select("*", *at(F.col("_rlon"), F.col("_rlat"), F.col("_k")))
+    occupied = keys.select("_k", "_kx", "_ky").distinct()
     one = F.lit(1).cast("long")
-    base = [_cell(F.col("lon"), levels[0]).alias("_bx"), _cell(F.col("lat"), levels[0]).alias("_by")]
-    tiles_l = places_l.select(*base).distinct()
-    centre = {"lon": (F.col("_bx") + geo.d(0.5)) * geo.d(levels[0]),
-              "lat": (F.col("_by") + geo.d(0.5)) * geo.d(levels[0])}
-    probes = window(
-        tiles_l.withColumns(centre).select("_bx", "_by", F.explode(level_keys).alias("_k"))
-        .select("_bx", "_by", "_k.*"), one, one,
-    )
-    level_of = (
-        probes.join(occupied, ["_lv", "_tx", "_ty"]).groupBy("_bx", "_by").agg(F.min("_lv").alias("_lv"))
-    )
+    probes = tiles_l.withColumn("_k", F.explode(F.filter(every, lambda v: v >= F.col("_blv"))))
+    probes = window(probes.select(*own, "_blon", "_blat", "_k", *at(F.col("_blon"), F.col("_blat"), F.col("_k"))), one, one)
+    found = probes.join(occupied, ["_k", "_kx", "_ky"], "left_semi").groupBy(*own, "_blon", "_blat").agg(F.min("_k").alias("_k"))
     # A point of the 3 x 3 window is at most 2*sqrt(2) tile sides away; further
     # from the equator that distance spans more tiles in longitude.
-    far_lat = F.least(F.abs(centre["lat"]) + F.col("_lv") * 3, geo.d(89.9))
-    x_reach = F.least(F.ceil(geo.d(2.83) / F.cos(F.radians(far_lat))), F.ceil(geo.d(360) / F.col("_lv")) + 1)
-    candidates = window(
-        level_of.withColumns({
-            "_tx": _cell(centre["lon"], F.col("_lv")), "_ty": _cell(centre["lat"], F.col("_lv")),
-            "_xr": x_reach.cast("long"),
-        }), F.col("_xr"), F.lit(3).cast("long"),
-    ).join(occupied, ["_lv", "_tx", "_ty"], "left_semi").select("_bx", "_by", "_lv", "_tx", "_ty")
-    keyed_l = places_l.select(
-        F.col("lon").alias("_llon"), F.col("lat").alias("_llat"), *base
-    ).join(candidates, ["_bx", "_by"])
-    keyed_r = wrapped.select(right_id, "lon", "lat", "_k.*")
+    far_lat = F.least(F.abs("_blat") + F.col("_k") * 3, geo.d(89.9))
+    x_reach = F.least(F.ceil(geo.d(2.83) / F.cos(F.radians(far_lat))), F.ceil(geo.d(360) / F.col("_k")) + 1).cast("long")
+    near = window(found.select("*", *at(F.col("_blon"), F.col("_blat"), F.col("_k")), x_reach.alias("_xr")), F.col("_xr"), F.lit(3).cast("long"))
+    met = near.join(keys, ["_k", "_kx", "_ky"])
+    columns = [*own, *leaf, "_blon", "_blat", "_rlon", "_rlat"]
+    met = met.select(*columns)
+    if finer:  # leaves coarser than the level of the bound, of which it spans less than one tile
+        wide = found.withColumn("_f", F.col("_k")).withColumn("_k", F.explode(F.filter(every, lambda v: (v > F.col("_f")) & (v <= levels[0]))))
+        wide = window(wide.select("*", *at(F.col("_blon"), F.col("_blat"), F.col("_k"))), F.ceil(geo.d(1) / F.cos(
+            F.radians(F.least(F.abs("_blat") + F.col("_k"), geo.d(89.9))))).cast("long"), one)
+        met = met.unionByName(wide.join(keys.filter("_k = _rlv"), ["_k", "_kx", "_ky"]).select(*columns))
+    half = {"b": F.col("_blv") / 2, "r": F.col("_rlv") / 2}
+    gap = {"x": F.abs(F.col("_blon") - F.col("_rlon")), "y": F.abs(F.col("_blat") - F.col("_rlat"))}
+    low = {k: F.greatest(g - half["b"] - half["r"], geo.d(0)) for k, g in gap.items()}
+    high = {"x": F.least(gap["x"] + half["b"] + half["r"], geo.d(180)), "y": F.least(gap["y"] + half["b"] + half["r"], geo.d(180))}
+    outer = {k: F.least(F.abs(F.col(f"_{p}lat")) + half[p], geo.d(90)) for k, p in (("a", "b"), ("b", "r"))}
+    inner = {k: F.greatest(F.abs(F.col(f"_{p}lat")) - half[p], geo.d(0)) for k, p in (("a", "b"), ("b", "r"))}
+    bounds = met.withColumns({"_low": _span_miles(low, outer), "_high": _span_miles(high, inner)})
+    best_high = F.min("_high").over(Window.partitionBy(*own))
+    kept = bounds.withColumn("_best", best_high).filter(F.col("_low") <= F.col("_best") * 1.000001 + 1e-6).select(*own, *leaf).distinct()
+    pairs = (
+        places_l.select(F.col("lon").alias("_llon"), F.col("lat").alias("_llat"), *[F.col(f"_{c}").alias(f"_b{c}") for c in ("lv", "tx", "ty")])
+        .join(kept, own).join(places_r.select(right_id, "lon", "lat", *[F.col(f"_{c}").alias(f"_r{c}") for c in ("lv", "tx", "ty")]), leaf))
     best = (
-        keyed_l.join(keyed_r, ["_lv", "_tx", "_ty"])
-        .withColumn("_d", geo.haversine_miles(F.col("_llon"), F.col("_llat"), F.col("lon"), F.col("lat")))
+        pairs.withColumn("_d", geo.haversine_miles(F.col("_llon"), F.col("_llat"), F.col("lon"), F.col("lat")))
         .groupBy(F.col("_llon").alias("lon"), F.col("_llat").alias("lat"))
         .agg(F.min(F.struct("_d", right_id)).alias("_b"))
         .select("lon", "lat", F.col("_b")[right_id].alias(f"nearest_{right_id}"),

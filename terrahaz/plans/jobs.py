@@ -130,14 +130,18 @@ RADII_MILES = (5, 10, 25)
 
 def max_within(points: DataFrame, cells: DataFrame, miles: Sequence[float], value: str, id_col: str,
                keys: Sequence[str] = ()) -> DataFrame:
-    """Maximum cell value inside each radius per point (and key), 0 where a radius holds none."""
-    pairs = spatial.within_radius(
-        points.select(id_col, "lon", "lat"),
-        cells.groupBy("lon", "lat", *keys).agg(F.max(value).alias(value)), max(miles))
-    out = pairs.groupBy(id_col, *keys).agg(*[
+    """Maximum cell value inside each radius per point (and key), 0 where a radius holds none.
+
+    The values of a place, one per key, ride along as one array, so a pair of a point and a place is
+    found and measured once, not once per key.
+    """
+    series = cells.groupBy("lon", "lat", *keys).agg(F.max(value).alias(value)).groupBy("lon", "lat").agg(
+        F.collect_list(F.struct(*keys, value)).alias("_series"))
+    pairs = spatial.within_radius(points.select(id_col, "lon", "lat"), series, max(miles))
+    each = pairs.select(id_col, "distance_miles", F.explode("_series").alias("_v")).select(id_col, "distance_miles", "_v.*")
+    return each.groupBy(id_col, *keys).agg(*[
         F.coalesce(F.max(F.when(F.col("distance_miles") <= m, F.col(value))), lit(0)).alias(f"{value}_max_{m:g}mi")
         for m in miles])
-    return out
 
 
 def facility_exposure(
@@ -166,13 +170,15 @@ def facility_exposure(
 
 def line_asset_report(
     lines: DataFrame, center: tuple[float, float], miles: float, burn: DataFrame, burn_spec: GridSpec,
-    weather: DataFrame, weather_spec: GridSpec, fires: DataFrame,
+    weather: DataFrame, weather_spec: GridSpec, fires: DataFrame, before: str | None = None,
 ) -> DataFrame:
     """Lines near a place: burn probability, fire weather by decade and month, nearest past fire.
 
     ``weather`` is the union of historical and future rows (lon, lat, decade, month, ensemble_mean);
-    ``fires``: fire_id, lon, lat.
+    ``fires``: fire_id, lon, lat and, where given, ignition_date: fires from ``before`` on are none of the past.
     """
+    if before is not None and "ignition_date" in fires.columns:
+        fires = fires.filter(F.col("ignition_date") < F.lit(before).cast("date"))
     reach = spatial.within_radius(
         spatial.line_vertices(lines, dedup=True),
         lines.sparkSession.createDataFrame([center], "lon double, lat double"), miles)

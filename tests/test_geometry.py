@@ -371,3 +371,26 @@ def test_joins_through_pieces_find_the_same_pairs(spark):
     assert cut.agg(F.max(F.size(geo.vertices(F.col("parts"))))).first()[0] <= 16
     found = [{(r["osm_id"], r["r_osm_id"]) for r in S.intersecting(assets, z, 1.0).select("osm_id", "r_osm_id").collect()} for z in (zones, cut)]
     assert found[0] == found[1] and 0 < len({a for a, z in found[0] if z == 1}) < 400
+
+
+def test_nearest_in_a_crowded_spot(spark):
+    """20,000 places in one tile of 1/64 degree, left points in it, beside it and far from it, small leaves."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    spot = np.column_stack([10 + rng.beta(0.3, 3, 20_000) / 64, 50 + rng.beta(0.3, 3, 20_000) / 64])
+    other = np.column_stack([rng.uniform(9, 11, 60), rng.uniform(49, 51, 60)])
+    right = np.concatenate([spot, other])
+    left = np.concatenate([np.column_stack([10 + rng.beta(0.4, 2, 400) / 64, 50 + rng.beta(0.4, 2, 400) / 64]),
+                           np.column_stack([rng.uniform(9.9, 10.1, 150), rng.uniform(49.9, 50.1, 150)]),
+                           np.column_stack([rng.uniform(-20, 30, 50), rng.uniform(30, 60, 50)])])
+    ldf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(left)], "osm_id bigint, lon double, lat double")
+    rdf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(right)], "sid bigint, lon double, lat double")
+    got = {r["osm_id"]: (r["nearest_sid"], r["distance_miles"]) for r in S.nearest(ldf, rdf, "osm_id", "sid", crowd=64).collect()}
+    la, lo = np.radians(right[:, 1]), np.radians(right[:, 0])
+    for i, (x, y) in enumerate(left):
+        h = np.sin((la - math.radians(y)) / 2) ** 2 + np.cos(la) * math.cos(math.radians(y)) * np.sin((lo - math.radians(x)) / 2) ** 2
+        d = 2 * 6371008.8 * np.arcsin(np.sqrt(h)) * 0.000621371
+        assert got[i][1] == pytest.approx(d.min(), abs=1e-9) and d[got[i][0]] == pytest.approx(d.min(), abs=1e-9)
+    leaves = S._quadtree(ldf, rdf, 1 / 64, 64)[1].groupBy("_lv", "_tx", "_ty").count()
+    assert leaves.agg(F.max("count")).first()[0] <= 64
