@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.functions import geometry as geo
 from terrahaz.functions.values import ENSEMBLE_COLUMNS
 from terrahaz.operators.relational import assert_unique, insert_new
 from terrahaz.plans.asset_query import features
+from terrahaz.sources import versions
 
 CSV_VALUE_ORDER = ("ensemble_mean", "ensemble_median", "ensemble_min", "ensemble_max", "ensemble_stddev",
                    "ensemble_q1", "ensemble_q3")
@@ -23,19 +23,17 @@ def write_keyed(df: DataFrame, path: str, keys: Sequence[str], partition_by: Seq
     """Parquet table with a unique key.
 
     Rows are clustered by key range, so files carry tight min/max statistics and
-    a hot partition value spreads over many files. ``df`` is computed once, into a staging
-    folder beside the table; the key is checked on the staged rows, then the partitions present in
-    them are replaced. A batch with a repeated key changes nothing.
+    a hot partition value spreads over many files. The batch is written to a folder of its own and its key
+    checked there; then a new version of the table takes it in place of the partitions it holds (see
+    ``sources.versions``). A batch with a repeated key or a job that fails changes nothing. Read it with ``read_keyed``.
     """
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    batch = spark.read.schema(df.schema).parquet(staging)
-    assert_unique(batch, keys)
-    staged = batch.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
-    writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
-    spark.catalog.refreshByPath(path)
+    staged = df.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
+    versions.commit(staged, path, partition_by, lambda batch: assert_unique(batch, keys))
+
+
+def read_keyed(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A table of ``write_keyed``, as it is now or was at a version."""
+    return versions.read(spark, path, version)
 
 
 def append_new(batch: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
