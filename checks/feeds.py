@@ -8,9 +8,12 @@ from checks.groups import SQL_GROUPS, pick
 from checks.harness import Tables, check
 from checks.recurrence import codes_sql
 from checks.rounding import r6
-from checks.requests import features, tags
+from checks.requests import EXPOSURE, features, tags
+from checks.shapes import asset_geometry
+from checks.shapes_ops import spec_for
 from terrahaz.functions.values import STATISTICS
 from terrahaz.operators import climate as C
+from terrahaz.operators import exposure as E
 from terrahaz.operators import indicators as I
 from terrahaz.plans import asset_groups, asset_query as Q
 from terrahaz.streaming import feeds
@@ -21,14 +24,15 @@ def _lineitem_stream(t: Tables):
 
 
 @check("stream_monthly_mean", """
-WITH m AS (SELECT l_suppkey AS cell, cast(date_trunc('month', l_shipdate) AS date) AS month_start, round(avg(l_quantity), 6) AS pr
-           FROM {lineitem} GROUP BY 1, 2)
-SELECT * FROM m WHERE month_start <= (SELECT max(month_start) FROM m) - INTERVAL 40 DAY
+SELECT l_suppkey AS cell, cast(date_trunc('month', l_shipdate) AS date) AS month_start, round(avg(l_quantity), 6) AS pr FROM {lineitem} GROUP BY 1, 2
 """)
 def stream_monthly_mean(t: Tables):
-    feed = _lineitem_stream(t).select(F.col("l_suppkey").alias("cell"), F.col("l_shipdate").alias("date"),
-                                      F.col("l_quantity").alias("pr"))
-    out = feeds.drain_to_table(feeds.monthly_stream(feed, ["cell"], "pr"), feeds.shared_folder(t.spark, "monthly"))
+    """The months the stream closed by its watermark, and those open when the feed ended."""
+    def readings(rows):
+        return rows.select(F.col("l_suppkey").alias("cell"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("pr"))
+
+    closed = feeds.drain_to_table(feeds.monthly_stream(readings(_lineitem_stream(t)), ["cell"], "pr"), feeds.shared_folder(t.spark, "monthly"))
+    out = closed.unionByName(feeds.closing_months(readings(t.lineitem), closed, ["cell"], "pr"))
     return r6(out.withColumn("month_start", F.col("month_start").cast("date")), ["pr"])
 
 
@@ -56,22 +60,24 @@ def stream_fire_weather(t: Tables):
     return r6(out.select("model", "lat", "lon", "date", "ffmc", "dmc", "dc"), ["ffmc", "dmc", "dc"], 5)
 
 
-@check("stream_asset_exposure", """
-SELECT osm_id, round(x0 + y0, 6) AS value FROM {fx_assets}
+@check("stream_asset_exposure", EXPOSURE + """
+SELECT osm_id, month, decade AS decade, cast(245 AS int) AS ssp, round_even(ensemble_min, 2) AS ensemble_min, round_even(ensemble_max, 2) AS ensemble_max
+FROM e
 """)
 def stream_asset_exposure(t: Tables):
+    """Customers arrive as a stream; each batch of new assets runs the whole exposure plan."""
     stream = t.spark.readStream.schema(t.customer.schema).option("pathGlobFilter", "customer.parquet").parquet(t.sf_dir)
     folder = feeds.shared_folder(t.spark, "exposure")
+    spec = E.ExposureSpec("pr", "ssp245", spec_for(t), method="max", attrs={"title": "ensemble"})
+    keys = ["osm_id", "month", "decade", "ssp"]
 
     def expose(batch):
-        k = F.col("osm_id")
-        x0 = F.lit(-125.0) + F.pmod(k * 37, F.lit(1000)) / 100.0
-        y0 = F.lit(20.0) + F.floor(k / 100) * 0.064 + F.pmod(k * 53, F.lit(45)) / 1000.0
-        return batch.select("osm_id", (x0 + y0).alias("value"))
+        assets = asset_geometry(t.fx_assets.join(batch.select("osm_id"), "osm_id", "left_semi"))
+        return E.exposure(t.fx_ensemble, assets, spec).select(*keys, "ensemble_min", "ensemble_max")
 
-    query = feeds.exposure_stream(stream.select(F.col("c_custkey").alias("osm_id")), f"{folder}/table", expose, ["osm_id"])
+    query = feeds.exposure_stream(stream.select(F.col("c_custkey").alias("osm_id")), f"{folder}/table", expose, keys)
     query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return r6(t.spark.read.schema("osm_id bigint, value double").parquet(f"{folder}/table"), ["value"])
+    return t.spark.read.schema("osm_id bigint, month int, decade int, ssp int, ensemble_min double, ensemble_max double").parquet(f"{folder}/table")
 
 
 @check("indicator_job", """

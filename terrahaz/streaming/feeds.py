@@ -30,6 +30,17 @@ def monthly_stream(feed: DataFrame, keys: Sequence[str], value: str, date: str =
     )
 
 
+def closing_months(feed: DataFrame, closed: DataFrame, keys: Sequence[str], value: str, date: str = "date") -> DataFrame:
+    """Months of a feed that has ended which its stream still held open, with the columns of ``closed``.
+
+    ``feed`` is the same feed as a table, ``closed`` what :func:`monthly_stream` has written; a month
+    there is final, so running this again after an append adds nothing.
+    """
+    stamped = feed.withColumn("month_start", F.date_trunc("month", F.col(date).cast("timestamp")))
+    left = stamped.join(closed.select(*keys, "month_start"), [*keys, "month_start"], "left_anti")
+    return left.groupBy(*keys, "month_start").agg(F.avg(value).alias(value)).select(*closed.columns)
+
+
 class BlockCodes(StatefulProcessor):
     """Fire weather of one block of cells: its state is one row of arrays, its cells advance as one vector a day.
 
