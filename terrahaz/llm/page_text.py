@@ -22,7 +22,7 @@ BLOCK = frozenset(
     "tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr dt dd li option optgroup legend".split()) | {"li", "dd", "dt"}
 DROPPED = frozenset(
-    "aside button canvas dialog footer form head iframe input map math menu nav noembed noframes noscript object script select "
+    "aside button canvas dialog footer head iframe input map menu nav noembed noframes noscript object script select "
     "style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 PARTS = frozenset(
@@ -32,7 +32,15 @@ PARTS = frozenset(
 # what such names are put together with; another word makes a name that may come from a heading
 JOINED = PARTS | frozenset(
     "area bar block bottom box button buttons container content element form global icons inner item items left links list main media "
-    "mobile outer page panel post posts primary right secondary section site slot top unit widgets wrap wrapper".split())
+    "mobile outer page panel post posts primary reader readers right secondary section site slot thread top unit user users widgets wrap "
+    "wrapper".split())
+# names that mean a part which is never the article, alone or joined; "comment" only joined, for one alone may be a remark
+CERTAIN = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments consent cookie cookies disqus gdpr menu modal nav navbar "
+    "navigation newsletter notice notices overlay popup promo promos responses sidebar signup sponsor sponsored subscribe toolbar".split())
+JOINED_COMMENT = frozenset("area form list section thread item items box block container wrap wrapper content".split())
+IDS = frozenset("comments disqus newsletter responses sidebar advert advertisement".split())  # of sections, whose ids else come from headings
+HEADINGS = frozenset("h1 h2 h3 header hgroup".split())
 NAMELESS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre dt dd td th tr tbody thead tfoot caption figcaption".split())
 HALF = 0.5
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -49,10 +57,11 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "certain", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, False
+        self.certain = False
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -74,20 +83,27 @@ def _dropped(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether class or id is the name of a page part: a known word, alone or joined with words that say nothing else.
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether class or id is the name of a page part (a known word, alone or joined with words that say nothing else), and of a certain one.
 
-    Headings, paragraphs and parts of tables have no such names, nor have sections by their id, which is often made from a heading.
+    Headings, paragraphs and parts of tables have no such names, and sections few by their id, which is often made from a heading.
     """
     if not attributes or tag in NAMELESS:
-        return False
+        return False, False
+    named = certain = False
     for name, a, b, c in NAMED.findall(attributes):
-        if name.lower() == "class" or name.lower() == "id" and tag != "section":
-            for token in (a or b or c).lower().split():
-                parts = [x.rstrip("0123456789") for x in re.split("[_-]+", token)]
-                if not PARTS.isdisjoint(parts) and all(x in JOINED or not x for x in parts):
-                    return True
-    return False
+        name = name.lower()
+        if name not in ("class", "id"):
+            continue
+        for token in (a or b or c).lower().split():
+            parts = [x.rstrip("0123456789") for x in re.split("[_-]+", token)]
+            if name == "id" and tag == "section":
+                if len(parts) == 1 and parts[0] in IDS:
+                    named = certain = True
+            elif not PARTS.isdisjoint(parts) and all(x in JOINED or not x for x in parts):
+                named = True
+                certain |= not CERTAIN.isdisjoint(parts) or "comment" in parts and not JOINED_COMMENT.isdisjoint(parts)
+    return named, certain
 
 
 def parse(html: str) -> Node:
@@ -135,7 +151,8 @@ def parse(html: str) -> Node:
                 node.children.append(" ")
             continue
         child = Node(tag, node, node.dropped or _dropped(tag, token[3], node.inside))
-        child.named = not child.dropped and _named(tag, token[3])
+        if not child.dropped:
+            child.named, child.certain = (True, False) if tag == "form" else _named(tag, token[3])
         node.children.append(child)
         if tag in VOID or token[3].endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
@@ -178,27 +195,54 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+REST = 25
+"""Characters beside certain page parts that make a page of their own."""
+
+
 def _drop_named(order: list[Node], body: Node) -> bool:
-    """Drop measured elements with the name of a page part; the name alone does not decide.
+    """Drop measured elements that are page parts by their name; where names can mislead, place and text decide.
 
-    In an article or main element more than half of the text must be links. Elsewhere the element stays when it
-    holds the main element or the longest article or, on pages without these, more than half of the text of the body and few links.
+    Certain parts go, unless they hold most of their article or main element or, elsewhere, nearly all text of the
+    page. A form goes unless it holds more than half of the text, as forms around whole pages do. Other names need, in an
+    article or main element, more than half of the text to be links; elsewhere the element stays when it holds the main
+    element or the longest article or, on pages without these, more than half of the text of the body and few links.
     """
     named = [n for n in order if n.named and n.chars]
     if not named:
         return False
     around = set()
-    longest = max((n for n in order if n.tag == "article"), key=lambda n: n.chars, default=None)
+    longest = max((n for n in order if n.tag == "article" and not _under_certain(n)), key=lambda n: n.chars, default=None)
     for node in [longest, *(n for n in order if n.tag == "main")]:
         while node is not None:
             around.add(id(node))
             node = node.parent
+    outside = sum(n.chars for n in named if n.certain and not n.inside and not _under_certain(n) and id(n) not in around)
+    alone = not around and body.chars - outside < REST
     for node in named:
         linked = node.link_chars > HALF * node.chars
-        node.dropped = linked if node.inside else id(node) not in around and (bool(around) or linked or node.chars <= HALF * body.chars)
+        if node.tag == "form":
+            node.dropped = node.chars <= HALF * body.chars
+        elif node.certain and node.inside:
+            home = node.parent
+            while home.tag not in ("article", "main"):
+                home = home.parent
+            node.dropped = linked or node.chars <= HALF * home.chars or home.chars - node.chars >= REST
+        elif node.certain:
+            node.dropped = id(node) not in around and not alone
+        else:
+            node.dropped = linked if node.inside else id(node) not in around and (bool(around) or linked or node.chars <= HALF * body.chars)
     return any(n.dropped for n in named)
 
 
+def _under_certain(node: Node) -> bool:
+    node = node.parent
+    while node is not None:
+        if node.certain:
+            return True
+        node = node.parent
+    return False
+
+
 def _densities(order: list[Node], body: Node) -> None:
     """Characters per tag, lowered by the share of links, and its sum over the children.
 
@@ -262,15 +306,28 @@ def main_text(html: str) -> str:
         path.append(up)
         up = up.parent
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    article = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
+    article = next((n for n in reversed(path) if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
     top = article or best
     if article is None:
         while top.parent is not None and top is not body and any(
                 isinstance(c, Node) and not c.dropped and c is not top and c.density >= threshold and c.chars for c in top.parent.children):
             top = top.parent
+    else:
+        main = next((n for n in path if n.tag == "main"), None)
+        while main is not None and top is not main and main in path[path.index(top):]:
+            top = _widened(top, threshold)
     return "\n".join(_blocks(top))
 
 
+def _widened(node: Node, threshold: float) -> Node:
+    """The parent of a node on the way to the main element, without the siblings that are neither headings nor as dense as the path."""
+    for other in node.parent.children:
+        if isinstance(other, Node) and other is not node and not (
+                other.tag in HEADINGS or other.density >= threshold and other.link_chars <= HALF * other.chars):
+            other.dropped = True
+    return node.parent
+
+
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` without ``html`` and with the main text of each page as ``out``.
 

@@ -182,6 +182,31 @@ def test_names_alone_do_not_drop_text(page, text):
     assert page_text.main_text(page) == text
 
 
+POST = "<p>the first part of the post is here</p><p>the second part of the post follows it</p>"
+TEXT = "the first part of the post is here\nthe second part of the post follows it"
+REMARKS = "".join(f"<p>reader {i} writes a remark of some length about the post, quite a long one</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article>{POST}<div class='comments'><p>one remark here</p><p>two</p></div></article>", TEXT),
+    (f"<article>{POST}<section id=comments><p>one remark here</p></section><div class='comment-list'><p>other</p></div></article>", TEXT),
+    (f"<body><article>{POST}<div class='comments'>{REMARKS}</div></article></body>", TEXT),
+    (f"<article>{POST}<div class='advert'><p>buy this now</p></div><div class=ad>and this</div></article>", TEXT),
+    (f"<main>{POST}<div class='newsletter'><p>get our news</p></div><div id='cookie-notice'>we use cookies</div></main>", TEXT),
+    (f"<body><div class='post'>{POST}</div><div class='comments'>{REMARKS}</div></body>", TEXT),
+    (f"<body><div class='post'>{POST}</div><section id='comments'>{REMARKS}</section></body>", TEXT),
+    (f"<body><form action='x'><div class='page'>{POST}</div><input name=a></form></body>", TEXT),
+    (f"<body><div>{POST}</div><form><p>your name</p><input></form></body>", TEXT),
+    (f"<body><main><article>{POST}</article><article><p>another article stands beside it in full</p></article></main></body>",
+     TEXT + "\nanother article stands beside it in full"),
+    (f"<body><main><h1>Title</h1><article>{POST}</article><ul><li><a href=x>more of this</a></ul></main></body>", "Title\n" + TEXT),
+    ("<article><p>with <math><mi>x</mi><mo>+</mo><mn>1</mn></math> inside the line of text</p></article>", "with x+1 inside the line of text"),
+    (f"<body><div class='comments'>{POST}</div></body>", TEXT),
+])
+def test_pages_without_comments_adverts_notices_and_forms(page, text):
+    assert page_text.main_text(page) == text
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (None, "<p>x</p>", None)], "page_id long, html string, text string")
     assert sorted(r["text"] for r in page_text.extract(df).collect()) == ["", "", "x"]
