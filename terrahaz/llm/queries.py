@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrahaz.llm import (
-    byte_bpe, conversations, cover_tree, decontamination, group_join, language_model, licenses, merkle, packing, page_text,
+    byte_bpe, conversations, cover_tree, decontamination, group_join, language_model, licenses, merkle, oracles, packing, page_text,
     substring_dedup, token_shards, toxicity,
 )
 from terrahaz.llm.frames import bounded_batches, checkpointed, crc_mod, new_folder
@@ -98,7 +98,7 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
 
 
-@query("op11_merkle_manifest")
+@query("op11_merkle_manifest", oracles.MERKLE)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "manifest")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -112,7 +112,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", oracles.CONVERSATIONS)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damage(table(spark, sf_dir, "conversations"))
     found = checkpointed(conversations.reports(rows))
