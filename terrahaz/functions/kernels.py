@@ -97,15 +97,6 @@ def next_dc(code, temp, rain, drying):
     return base + 0.5 * demand
 
 
-def carry_codes(lat, months, temp, rain, humid, wind, start):
-    """Daily codes for a block: arrays are (days, cells); a day with a gap keeps the state."""
-    state = np.stack(start)
-    out = np.full((3, *temp.shape), np.nan)
-    for day, month in enumerate(months):
-        state, out[:, day] = next_codes(state, lat, month, temp[day], rain[day], humid[day], wind[day])
-    return out
-
-
 def next_codes(state: np.ndarray, lat: np.ndarray, month: int, t: np.ndarray, r: np.ndarray, h: np.ndarray, w: np.ndarray):
     """State after one day of many cells, and the day's codes (NaN, and no change of state, where an input is missing)."""
     ok = ~(np.isnan(t) | np.isnan(r) | np.isnan(h) | np.isnan(w))
@@ -327,33 +318,6 @@ def standardise(x, p_zero, loc, scale, skew):
     return np.clip(normal_quantile(prob), -3.09, 3.09)
 
 
-def gamma_cdf(x, alpha, beta):
-    with np.errstate(all="ignore"):
-        return lower_gamma_ratio(alpha, np.asarray(x, float) / beta)
-
-
-def spei_score_udf():
-    @F.pandas_udf("double")
-    def score(x: pd.Series, p_zero: pd.Series, loc: pd.Series, scale: pd.Series,
-              skew: pd.Series) -> pd.Series:
-        cols = [s.to_numpy(dtype=float) for s in (x, p_zero, loc, scale, skew)]
-        out = pd.Series(standardise(*cols))
-        return out.where(out.notna(), None)
-
-    return score
-
-
-def gamma_score_udf():
-    @F.pandas_udf("double")
-    def score(x: pd.Series, p_zero: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        v, p, a, b = (s.to_numpy(dtype=float) for s in (x, p_zero, alpha, beta))
-        prob = np.clip(p + (1.0 - p) * gamma_cdf(v, a, b), 0.0, 1.0)
-        out = pd.Series(np.clip(normal_quantile(prob), -3.09, 3.09))
-        return out.where(out.notna(), None)
-
-    return score
-
-
 # ------------------------------------------------------------- simplification
 
 def kept_vertices(xy: np.ndarray, offsets: np.ndarray, tolerance: float) -> np.ndarray:

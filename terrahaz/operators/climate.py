@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrahaz.functions import kernels
+from terrahaz.functions.distributions import pearson3_score
 from terrahaz.functions.values import gamma, lit, log_gamma
 from terrahaz.operators.grid import monthly_sum_strict
 from terrahaz.operators.relational import first_per
@@ -346,10 +347,9 @@ def spei(daily: DataFrame, keys: Sequence[str], scale: int, first: int, last: in
         Window.partitionBy(*keys))
     scaled = sliding_sum(monthly.withColumn("_months", counted), keys, "balance", scale)
     fitted = _with_drought_parameters(scaled, keys, first, last, "scaled")
-    score = kernels.spei_score_udf()
-    value = F.when(F.col("_months") >= min_months, F.col("scaled"))
-    return fitted.withColumn("spei", score(value, "p_zero", "loc", "scale", "skew")).select(
-        *keys, "month_start", "scaled", "spei")
+    score = pearson3_score("scaled", "p_zero", "loc", "scale", "skew")
+    known = (F.col("_months") >= min_months) & F.col("scaled").isNotNull() & F.col("scale").isNotNull()
+    return fitted.withColumn("spei", F.when(known, score)).select(*keys, "month_start", "scaled", "spei")
 
 
 def monthly_onto_days(monthly: DataFrame, days: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -218,3 +218,30 @@ def test_targets_beside_the_source_are_null(spark):
     for method in ("nearest", "linear"):
         got = {r["lon"]: r["v"] for r in grid.align(cells, source, target, "v", method, ["k"]).collect()}
         assert len(got) == 7 and [got[x] for x in (0.0, 1.0, 2.0)] == [0.0, 1.0, 2.0] and got[-2.0] is None and got[4.0] is None
+
+
+def test_column_distributions_equal_the_kernels(spark):
+    from terrahaz.functions import distributions as D
+
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.uniform(0.02, 100, 300), 10 ** rng.uniform(2, 6, 100)])
+    y = np.maximum(a + rng.uniform(-3, 4, 400) * np.sqrt(a), 1e-6)
+    df = spark.createDataFrame([(i, float(u), float(v)) for i, (u, v) in enumerate(zip(a, y))], "i int, a double, y double")
+    got = df.select("i", F.when(F.col("a") > 100, D._large_gamma_ratio(F.col("a"), F.col("y"))).otherwise(
+        D.lower_gamma_ratio(F.col("a"), F.col("y"))).alias("p")).orderBy("i").toPandas()["p"].to_numpy()
+    assert got == pytest.approx(K.lower_gamma_ratio(a, y), abs=1e-8)
+    p = np.concatenate([np.linspace(1e-4, 1 - 1e-4, 200), [0.075, 0.925]])
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double").select("i", D.normal_quantile(F.col("p")).alias("z")).orderBy("i")
+    assert got.toPandas()["z"].to_numpy() == pytest.approx(K.normal_quantile(p), abs=1e-9)
+
+
+def test_pearson_scores_equal_the_kernels(spark):
+    from terrahaz.functions import distributions as D
+
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.normal(900, 400)), float(rng.choice([0, 0.2])), 900.0, float(rng.uniform(50, 300)), float(rng.choice([0, 1e-3, -0.5, 0.7, 2.5, -4])))
+            for i in range(400)] + [(400, 0.0, 0.1, 5.0, 2.0, 1.0), (401, 0.0, 0.0, 5.0, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "i int, x double, p0 double, loc double, scale double, skew double")
+    got = df.select("i", D.pearson3_score("x", "p0", "loc", "scale", "skew").alias("s")).orderBy("i").toPandas()["s"].to_numpy()
+    x, p0, loc, scale, skew = (np.array([r[k] for r in rows]) for k in range(1, 6))
+    assert got == pytest.approx(K.standardise(x, p0, loc, scale, skew), abs=1e-7)
