@@ -123,12 +123,8 @@ def _miles_to_lat(miles: float) -> float:
     return miles / geo.MILES_PER_METRE / 1000.0 / 111.0
 
 
-def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: float | None = None) -> DataFrame:
-    """Point pairs at most ``miles`` apart, with ``distance_miles``.
-
-    Both sides need ``lon`` and ``lat``; clashing right columns get ``r_``.
-    The left envelope grows by the radius and meets right points by tile.
-    """
+def _reach(left: DataFrame, miles: float) -> tuple[DataFrame, Column, float]:
+    """``left`` with the envelope of everything within ``miles``, how far east such an envelope may stand, and the radius in degrees."""
     reach = _miles_to_lat(miles)
     grow = geo.d(reach)
     shrink = F.greatest(F.cos(F.radians(F.least(F.abs("lat") + grow, geo.d(89.9)))), geo.d(0.0017))
@@ -136,8 +132,18 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: flo
         "xmin": F.col("lon") - grow / shrink, "xmax": F.col("lon") + grow / shrink,
         "ymin": F.col("lat") - grow, "ymax": F.col("lat") + grow,
     })
-    # Points near the antimeridian stand on both sides of it, as far as an envelope of their latitude reaches.
     far = grow / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + grow * 2, geo.d(89.9)))), geo.d(0.0017)) + geo.d(180)
+    return env, far, reach
+
+
+def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: float | None = None) -> DataFrame:
+    """Point pairs at most ``miles`` apart, with ``distance_miles``.
+
+    Both sides need ``lon`` and ``lat``; clashing right columns get ``r_``.
+    The left envelope grows by the radius and meets right points by tile.
+    """
+    env, far, reach = _reach(left, miles)
+    # Points near the antimeridian stand on both sides of it, as far as an envelope of their latitude reaches.
     places = F.filter(F.array(*[F.col("lon") + geo.d(t) for t in (0, -360, 360)]), lambda x: (F.abs(x) <= far) | (x == F.col("lon")))
     points = right.withColumn("_x", F.explode(places)).withColumns({
         "xmin": F.col("_x"), "xmax": F.col("_x"), "ymin": F.col("lat"), "ymax": F.col("lat"),
@@ -154,16 +160,49 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: flo
 def counts_within(left: DataFrame, right: DataFrame, miles: Sequence[float], id_col: str) -> DataFrame:
     """Number of right points inside each radius per left row, 0 when none.
 
-    Right points at one place are counted once before the join, so copies do
-    not multiply pairs; the widest radius serves all narrower ones.
+    Right points are counted per place and per small tile (an eighth of the widest radius) beforehand. A tile
+    that lies wholly inside a circle adds its count, one wholly outside nothing, by the near and far
+    edge of the places it holds; only tiles on the rim meet their places. So work follows the tiles of a
+    circle and the places on its rim, not all places within it. A tile of one place is never opened.
     """
-    places = right.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = within_radius(left.select(id_col, "lon", "lat"), places, max(miles))
     names = {m: f"count_{m:g}mi" for m in miles}
-    counts = pairs.groupBy(id_col).agg(*[
-        F.sum(F.when(F.col("distance_miles") <= m, F.col("_n")).otherwise(0)).alias(n)
-        for m, n in names.items()
-    ])
+    base, _, reach = _reach(left.select(id_col, "lon", "lat"), max(miles))
+    side = max(reach, 0.05) / 8
+    places = right.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {"_fx": _cell(F.col("lon"), side), "_fy": _cell(F.col("lat"), side)})
+    sizes = places.groupBy("_fx", "_fy").agg(
+        F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_places"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"),
+        F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
+
+    def shifted(tiles: DataFrame) -> DataFrame:
+        """Tiles near the antimeridian stand on both sides of it."""
+        wide = geo.d(180 + 2 * reach) + geo.d(reach) / F.greatest(
+            F.cos(F.radians(F.least(F.greatest(F.abs("ymin"), F.abs("ymax")) + 2 * reach, geo.d(89.9)))), geo.d(0.0017))
+        shifts = F.filter(F.array(*[geo.d(t) for t in (0, -360, 360)]), lambda t: (t == 0) | (F.abs(F.col("xmin") + t) <= wide) | (F.abs(F.col("xmax") + t) <= wide))
+        return tiles.withColumn("_t", F.explode(shifts)).withColumns({"xmin": F.col("xmin") + F.col("_t"), "xmax": F.col("xmax") + F.col("_t")}).drop("_t")
+
+    def bounds(pairs: DataFrame) -> DataFrame:
+        """Least and greatest distance of a point to the places of a tile; the exact one where there is one place."""
+        x, y = F.col("lon"), F.col("lat")
+        near = {"x": F.greatest(F.col("r_xmin") - x, x - F.col("r_xmax"), geo.d(0)), "y": F.greatest(F.col("r_ymin") - y, y - F.col("r_ymax"), geo.d(0))}
+        edge = {"x": F.greatest(F.abs(F.col("r_xmin") - x), F.abs(F.col("r_xmax") - x)), "y": F.greatest(F.abs(F.col("r_ymin") - y), F.abs(F.col("r_ymax") - y))}
+        most = F.greatest(F.abs("r_ymin"), F.abs("r_ymax"))
+        least = F.when(F.col("r_ymin") * F.col("r_ymax") <= 0, geo.d(0)).otherwise(F.least(F.abs("r_ymin"), F.abs("r_ymax")))
+        exact = geo.haversine_miles(x, y, F.col("r_xmin"), F.col("r_ymin"))
+        one = F.col("_places") == 1
+        return pairs.withColumns({
+            "_low": F.when(one, exact).otherwise(_span_miles(near, {"a": y, "b": most}) * (1 - 1e-12)),
+            "_high": F.when(one, exact).otherwise(_span_miles(edge, {"a": y, "b": least}) * (1 + 1e-12))})
+
+    pairs = bounds(tile_candidates(base, shifted(sizes), max(reach, 0.05)))
+    rim = reduce(lambda a, b: a | b, [(F.col("_low") <= m) & (F.col("_high") > m) for m in miles])
+    # Pairs that need no places get keys of no tile, many different ones, so that they stay spread.
+    nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(id_col), F.lit(1 << 20))
+    opened = pairs.select(id_col, "lon", "lat", "_high", "_total", F.when(rim, F.col("_fx")).otherwise(nowhere).alias("_fx"), "_fy").join(
+        places.select("_fx", "_fy", F.col("lon").alias("_x"), F.col("lat").alias("_y"), "_n"), ["_fx", "_fy"], "left")
+    distance = geo.haversine_miles(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
+    counts = opened.withColumn("_d", F.when(F.col("_n").isNull(), F.col("_high")).otherwise(distance)).groupBy(id_col).agg(*[
+        F.sum(F.when(F.col("_d") <= m, F.coalesce("_n", "_total")).otherwise(F.lit(0).cast("long"))).alias(n) for m, n in names.items()])
     return left.select(id_col).join(counts, id_col, "left").na.fill(0, list(names.values()))
 
 

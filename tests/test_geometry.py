@@ -394,3 +394,25 @@ def test_nearest_in_a_crowded_spot(spark):
         assert got[i][1] == pytest.approx(d.min(), abs=1e-9) and d[got[i][0]] == pytest.approx(d.min(), abs=1e-9)
     leaves = S._quadtree(ldf, rdf, 1 / 64, 64)[1].groupBy("_lv", "_tx", "_ty").count()
     assert leaves.agg(F.max("count")).first()[0] <= 64
+
+
+@pytest.mark.parametrize("lat", [0.2, 64.0])
+def test_counts_by_tiles_equal_counting_all(spark, lat):
+    """Clusters of thousands of places, copies, small tiles and points across the antimeridian, three radii."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    cluster = np.column_stack([179.9 + rng.normal(0, 0.04, 3000), lat + rng.normal(0, 0.04, 3000)])
+    loose = np.column_stack([179.9 + rng.uniform(-1, 1, 400), lat + rng.uniform(-1, 1, 400)])
+    right = np.concatenate([cluster, loose, np.repeat(loose[:3], 50, axis=0)])
+    right[:, 0] = (right[:, 0] + 180) % 360 - 180
+    left = np.column_stack([179.9 + rng.uniform(-0.8, 0.8, 150), lat + rng.uniform(-0.8, 0.8, 150)])
+    left[:, 0] = (left[:, 0] + 180) % 360 - 180
+    ldf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(left)], "osm_id bigint, lon double, lat double")
+    rdf = spark.createDataFrame([(float(x), float(y)) for x, y in right], "lon double, lat double")
+    got = {r["osm_id"]: (r["count_2mi"], r["count_10mi"], r["count_25mi"]) for r in S.counts_within(ldf, rdf, [2, 10, 25], "osm_id").collect()}
+    la, lo = np.radians(right[:, 1]), np.radians(right[:, 0])
+    for i, (x, y) in enumerate(left):
+        h = np.sin((la - math.radians(y)) / 2) ** 2 + np.cos(la) * math.cos(math.radians(y)) * np.sin((lo - math.radians(x)) / 2) ** 2
+        d = 2 * 6371008.8 * np.arcsin(np.sqrt(h)) * 0.000621371
+        assert got[i] == tuple(int((d <= m).sum()) for m in (2, 10, 25))
