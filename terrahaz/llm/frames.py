@@ -61,6 +61,17 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def clear(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints that nothing refers to any more, before the next large step.
+
+    It does so by itself when the driver's memory is collected, which may be long after they are of no use.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 FILTER_BITS = 23
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from terrahaz.llm import words
 from terrahaz.llm.components import components
-from terrahaz.llm.frames import FILTER_BITS, bitmap, checkpointed, flat, in_bitmap, slot, text_slices, total_bytes
+from terrahaz.llm.frames import FILTER_BITS, bitmap, checkpointed, clear, flat, in_bitmap, slot, text_slices, total_bytes
 
 SHINGLE = 3
 PERCENT = 90
@@ -428,6 +428,7 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The columns of ``docs`` but text, n_shingles, node and root (the node that stands for the component)."""
     profiles = checkpointed(_profiles(docs, shingle))
     grouped = checkpointed(_grouped(docs.select("text"), shingle, percent, _cells(profiles)))
+    clear(docs.sparkSession)
     profiles = profiles.where("slab IS NULL").drop("slab", "cells")
     texts = docs.select("text")
     sketches = checkpointed(_wanted(texts, grouped.select("node").distinct(), shingle, sketch=True))
@@ -435,6 +436,8 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     likely = checkpointed(_likely(pairs, sketches, percent))
     ends = likely.select("node").union(likely.select("leader")).distinct()
     led = checkpointed(_led(likely, checkpointed(_wanted(texts, ends, shingle, sketch=False)), percent))
+    del pairs, likely, ends
+    clear(docs.sparkSession)
     roots = checkpointed(components(led))
     placed = grouped.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("signature").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("signature")
@@ -443,6 +446,8 @@ def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     main = sizes.groupBy("signature").agg(F.max(F.struct("n", "root")).alias("m")).select("signature", F.col("m.root").alias("family"))
     families = checkpointed(loose.join(main, "signature").select("family", "node", "root", (F.col("root") != F.col("family")).alias("asks")).distinct())
     families = checkpointed(_grouped_likely(families, sketches, percent))
+    del grouped, sketches, roots, placed, open_, loose, sizes, main
+    clear(docs.sparkSession)
     links = led.union(_opened(families, _wanted(texts, families.select("node").distinct(), shingle, sketch=False), percent))
     final = components(links)
     return profiles.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
