@@ -103,6 +103,12 @@ GROUPS: dict[str, AssetGroup] = {
 ACTIVE_GROUPS = ("power_grid", "data_center", "administrative", "agriculture", "commercial_real_estate")
 
 
+def tag_maps(tags: DataFrame) -> DataFrame:
+    """Ids and tags for a join that sorts both sides. Tags come from a text of some bytes a row and are maps of
+    hundreds, which no estimate by file size knows: left to the planner they pass whole through the driver as a broadcast."""
+    return tags.select("osm_id", "tags").hint("merge")
+
+
 def asset_groups(names: Sequence[str], features: DataFrame, tags: DataFrame) -> DataFrame:
     """Several asset groups in one pass over the layers and tags (column ``asset_group``).
 
@@ -112,7 +118,7 @@ def asset_groups(names: Sequence[str], features: DataFrame, tags: DataFrame) ->
     branches = [(g, rank, b) for g in names for rank, b in enumerate(GROUPS[g].branches)]
     layers = sorted({layer for _, _, b in branches for layer in b.layers})
     how = "inner" if all(b.needs_tags for _, _, b in branches) else "left"
-    joined = features.filter(F.col("layer").isin(*layers)).join(tags.select("osm_id", "tags"), "osm_id", how)
+    joined = features.filter(F.col("layer").isin(*layers)).join(tag_maps(tags), "osm_id", how)
     t = F.col("tags")
     choices = []
     for g, rank, b in branches:

@@ -12,6 +12,7 @@ from terrahaz.functions import geometry as geo
 from terrahaz.functions.values import ENSEMBLE_COLUMNS, check_lon_lat
 from terrahaz.operators import spatial
 from terrahaz.operators.relational import union_all
+from terrahaz.plans.asset_groups import tag_maps
 
 # Queryable categories and whether they carry subtypes.
 CATEGORIES = {
@@ -124,7 +125,7 @@ def asset_query(q: AssetQuery, assets: DataFrame, tags: DataFrame, places: DataF
     """
     keep = ["osm_id", "osm_type", *(["osm_subtype"] if q.osm_subtypes else [])]
     rows = filter_assets(assets, q).select(*keep, *spatial.GEOMETRY_COLUMNS).join(
-        tags.select("osm_id", "tags"), "osm_id")
+        tag_maps(tags), "osm_id")
     chosen = None
     if q.wants_hazard:
         chosen = filter_hazard(hazard, q).select(

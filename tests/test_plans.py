@@ -42,3 +42,21 @@ def test_columns_are_pruned_at_the_scan(spark):
 def test_filters_reach_the_scan(spark):
     text = plan(entry.queries()["hazard_extreme_precip"](spark, SF))
     assert "EqualTo(l_linestatus,O)" in text
+
+
+def test_tags_are_joined_without_a_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from terrahaz.functions import geometry as geo
+    from terrahaz.plans import asset_groups, asset_query as Q
+
+    layers = geo.with_point(spark.range(4).select(
+        F.col("id").alias("osm_id"), F.lit("building_point").alias("layer"), F.lit("building").alias("osm_type"),
+        F.lit("sub").alias("osm_subtype"), F.lit("ST_Point").alias("geom_type")), F.lit(1.0), F.lit(2.0))
+    tags = spark.range(3).select(F.col("id").alias("osm_id"), F.create_map(
+        F.lit("building"), F.when(F.col("id") < 2, "office").otherwise("house")).alias("tags"))
+    group = asset_groups.asset_group("commercial_real_estate", layers, tags).drop("tags")
+    found = Q.asset_query(Q.AssetQuery("commercial_real_estate", ["building"], admin=()), group, tags, layers)
+    for df, joins in ((group, 1), (found, 2)):
+        assert "BroadcastHashJoin" not in plan(df) and plan(df).count("SortMergeJoin") == joins
+        assert sorted(r["osm_id"] for r in df.select("osm_id").collect()) == [0, 1]
