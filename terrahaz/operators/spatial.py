@@ -62,6 +62,28 @@ def _dealt(df: DataFrame, crowded: DataFrame, own: str, other: str, columns: Seq
         f"_s{other[-1]}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_kl", "_kr")
 
 
+def _meet(lt: DataFrame, rt: DataFrame, left: Sequence[str], right: Sequence[str], split_hot: bool = True, lot: int = LOT) -> DataFrame:
+    """Rows of both sides that share a tile; those of a crowded tile meet in lots, dealt by the columns named."""
+    keys = ["_tx", "_ty"]
+    if split_hot:
+        crowded = crowded_tiles(lt, rt, lot)
+        lt, rt = _dealt(lt, crowded, "_kl", "_kr", left), _dealt(rt, crowded, "_kr", "_kl", right)
+        keys += ["_sl", "_sr"]
+    # Testing pairs costs far more than moving rows: both sides are dealt by tile and lot to as many tasks
+    # as the session shuffles with, whatever the files or a broadcast of one side would give.
+    tasks = int(lt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lt.repartition(tasks, *keys).join(rt.repartition(tasks, *keys), keys)
+
+
+def _scalars(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+
+
+def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``right`` with an ``r_`` before the names that ``left`` has too."""
+    return right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c in left.columns})
+
+
 def tile_candidates(
     left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True, lot: int = LOT,
 ) -> DataFrame:
@@ -70,25 +92,14 @@ def tile_candidates(
     Rows of a crowded tile are dealt into lots on both sides: each pair of lots is a group of
     its own, with at most about ``lot`` rows a side however many rows lie in one spot.
     """
-    right = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c in left.columns})
+    right = _apart(left, right)
     renv = [f"r_{c}" for c in ENVELOPE]
-    lt, rt = _tiled(left, ENVELOPE, tile_deg), _tiled(right, renv, tile_deg)
-    keys = ["_tx", "_ty"]
-    if split_hot:
-        crowded = crowded_tiles(lt, rt, lot)
-        scalar = lambda df: [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-        lt = _dealt(lt, crowded, "_kl", "_kr", scalar(left))
-        rt = _dealt(rt, crowded, "_kr", "_kl", scalar(right))
-        keys += ["_sl", "_sr"]
-    # Testing pairs costs far more than moving rows: both sides are dealt by tile and lot to as many tasks
-    # as the session shuffles with, whatever the files or a broadcast of one side would give.
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lt, rt = lt.repartition(tasks, *keys), rt.repartition(tasks, *keys)
+    met = _meet(_tiled(left, ENVELOPE, tile_deg), _tiled(right, renv, tile_deg), _scalars(left), _scalars(right), split_hot, lot)
     corner = {"x": "greatest(xmin, r_xmin)", "y": "greatest(ymin, r_ymin)"}
     owner = " AND ".join(
         f"cast(floor({corner[c]} / {float(tile_deg)!r}D) AS bigint) = _t{c}" for c in "xy")
     overlap = "xmin <= r_xmax AND r_xmin <= xmax AND ymin <= r_ymax AND r_ymin <= ymax"
-    return lt.join(rt, keys).filter(f"{overlap} AND {owner}").drop(*_TILE)
+    return met.filter(f"{overlap} AND {owner}").drop(*_TILE)
 
 
 def intersecting(left: DataFrame, right: DataFrame, tile_deg: float, split_hot: bool = True) -> DataFrame:
@@ -123,38 +134,53 @@ def _miles_to_lat(miles: float) -> float:
     return miles / geo.MILES_PER_METRE / 1000.0 / 111.0
 
 
-def _reach(left: DataFrame, miles: float) -> tuple[DataFrame, Column, float]:
-    """``left`` with the envelope of everything within ``miles``, how far east such an envelope may stand, and the radius in degrees."""
-    reach = _miles_to_lat(miles)
-    grow = geo.d(reach)
-    shrink = F.greatest(F.cos(F.radians(F.least(F.abs("lat") + grow, geo.d(89.9)))), geo.d(0.0017))
-    env = left.withColumns({
-        "xmin": F.col("lon") - grow / shrink, "xmax": F.col("lon") + grow / shrink,
-        "ymin": F.col("lat") - grow, "ymax": F.col("lat") + grow,
-    })
-    far = grow / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + grow * 2, geo.d(89.9)))), geo.d(0.0017)) + geo.d(180)
-    return env, far, reach
+def _least_cos(low: Column, high: Column) -> Column:
+    """Least size of the cosine between two latitudes less than 180 degrees apart: zero over a pole."""
+    pole = F.floor((low + geo.d(90)) / geo.d(180)) != F.floor((high + geo.d(90)) / geo.d(180))
+    return F.when(pole, geo.d(0)).otherwise(F.least(F.abs(F.cos(F.radians(low))), F.abs(F.cos(F.radians(high)))))
+
+
+def _in_band(band: Column, side: float) -> Column:
+    """Tiles of a band of latitude: each about ``side`` degrees of a great circle wide, so towards the poles there are fewer."""
+    low = band.cast("double") * geo.d(side)
+    return F.greatest(F.floor(_least_cos(low, low + geo.d(side)) * geo.d(360 / side)), F.lit(1).cast("long"))
+
+
+def _banded(df: DataFrame, lon: str, lat: str, side: float) -> DataFrame:
+    """Each point in its tile (_tx, _ty) of its band."""
+    tiles = _in_band(F.col("_ty"), side)
+    return df.withColumn("_ty", _cell(F.col(lat), side)).withColumn(
+        "_tx", F.least(F.floor(F.pmod(F.col(lon), geo.d(360)) / geo.d(360) * tiles), tiles - 1))
+
+
+def _circled(df: DataFrame, reach: float, side: float, slack: float = 0.0) -> DataFrame:
+    """Each point (lon, lat) in all tiles that may hold a point within ``reach`` degrees, or the lower left corner of a box of ``slack``
+    degrees that holds one. The turn of longitude is the greatest at which the great circle is not longer, so tiles per
+    point are as many at the poles as elsewhere."""
+    lat, lon = F.col("lat"), F.col("lon")
+    least = _least_cos(lat - geo.d(reach + slack), lat + geo.d(reach + slack))
+    far = F.sin(F.radians(geo.d(min(reach, 180.0))) / 2)
+    turn = F.when(least <= far, geo.d(180)).otherwise(F.degrees(F.asin(far / least)) * 2) + geo.d(1e-9)
+    bands = F.sequence(_cell(lat - geo.d(reach + slack), side), _cell(lat + geo.d(reach), side))
+    out = df.withColumn("_turn", turn).withColumn("_ty", F.explode(bands)).withColumn("_n", _in_band(F.col("_ty"), side))
+    first = F.floor((lon - F.col("_turn") - geo.d(slack)) / geo.d(360) * F.col("_n"))
+    last = F.floor((lon + F.col("_turn")) / geo.d(360) * F.col("_n"))
+    return out.withColumns({"_a": first, "_z": F.least(last, first + F.col("_n") - 1)}).withColumn(
+        "_tx", F.explode(F.sequence("_a", "_z"))).withColumn("_tx", F.pmod("_tx", "_n")).drop("_turn", "_n", "_a", "_z")
 
 
 def within_radius(left: DataFrame, right: DataFrame, miles: float, tile_deg: float | None = None) -> DataFrame:
     """Point pairs at most ``miles`` apart, with ``distance_miles``.
 
-    Both sides need ``lon`` and ``lat``; clashing right columns get ``r_``.
-    The left envelope grows by the radius and meets right points by tile.
+    Both sides need ``lon`` and ``lat``; clashing right columns get ``r_``. Right points stand in one tile of
+    their band of latitude, left points in those their circle meets, on either side of the antimeridian and of the poles.
     """
-    env, far, reach = _reach(left, miles)
-    # Points near the antimeridian stand on both sides of it, as far as an envelope of their latitude reaches.
-    places = F.filter(F.array(*[F.col("lon") + geo.d(t) for t in (0, -360, 360)]), lambda x: (F.abs(x) <= far) | (x == F.col("lon")))
-    points = right.withColumn("_x", F.explode(places)).withColumns({
-        "xmin": F.col("_x"), "xmax": F.col("_x"), "ymin": F.col("lat"), "ymax": F.col("lat"),
-    }).drop("_x")
-    pairs = tile_candidates(env, points, tile_deg or max(reach, 0.05))
-    return (
-        pairs.withColumn("distance_miles", geo.haversine_miles(
-            F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
-        .filter(F.col("distance_miles") <= miles)
-        .drop(*ENVELOPE, *[f"r_{c}" for c in ENVELOPE])
-    )
+    right = _apart(left, right)
+    reach = _miles_to_lat(miles)
+    side = tile_deg or max(reach, 0.05)
+    pairs = _meet(_circled(left, reach, side), _banded(right, "r_lon", "r_lat", side), _scalars(left), _scalars(right)).drop(*_TILE)
+    return pairs.filter(F.abs(F.col("lat") - F.col("r_lat")) <= reach).withColumn("distance_miles", geo.haversine_miles(
+        F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).filter(F.col("distance_miles") <= miles)
 
 
 def counts_within(left: DataFrame, right: DataFrame, miles: Sequence[float], id_col: str) -> DataFrame:
@@ -166,43 +192,43 @@ def counts_within(left: DataFrame, right: DataFrame, miles: Sequence[float], id_
     circle and the places on its rim, not all places within it. A tile of one place is never opened.
     """
     names = {m: f"count_{m:g}mi" for m in miles}
-    base, _, reach = _reach(left.select(id_col, "lon", "lat"), max(miles))
+    base = left.select(id_col, "lon", "lat")
+    reach = _miles_to_lat(max(miles))
     side = max(reach, 0.05) / 8
     places = right.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n")).withColumns(
         {"_fx": _cell(F.col("lon"), side), "_fy": _cell(F.col("lat"), side)})
     sizes = places.groupBy("_fx", "_fy").agg(
-        F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_places"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"),
-        F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
-
-    def shifted(tiles: DataFrame) -> DataFrame:
-        """Tiles near the antimeridian stand on both sides of it."""
-        wide = geo.d(180 + 2 * reach) + geo.d(reach) / F.greatest(
-            F.cos(F.radians(F.least(F.greatest(F.abs("ymin"), F.abs("ymax")) + 2 * reach, geo.d(89.9)))), geo.d(0.0017))
-        shifts = F.filter(F.array(*[geo.d(t) for t in (0, -360, 360)]), lambda t: (t == 0) | (F.abs(F.col("xmin") + t) <= wide) | (F.abs(F.col("xmax") + t) <= wide))
-        return tiles.withColumn("_t", F.explode(shifts)).withColumns({"xmin": F.col("xmin") + F.col("_t"), "xmax": F.col("xmax") + F.col("_t")}).drop("_t")
+        F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_places"), F.min("lon").alias("r_xmin"), F.min("lat").alias("r_ymin"),
+        F.max("lon").alias("r_xmax"), F.max("lat").alias("r_ymax"))
 
     def bounds(pairs: DataFrame) -> DataFrame:
         """Least and greatest distance of a point to the places of a tile; the exact one where there is one place."""
         x, y = F.col("lon"), F.col("lat")
         near = {"x": F.greatest(F.col("r_xmin") - x, x - F.col("r_xmax"), geo.d(0)), "y": F.greatest(F.col("r_ymin") - y, y - F.col("r_ymax"), geo.d(0))}
-        edge = {"x": F.greatest(F.abs(F.col("r_xmin") - x), F.abs(F.col("r_xmax") - x)), "y": F.greatest(F.abs(F.col("r_ymin") - y), F.abs(F.col("r_ymax") - y))}
+        edge = {"x": F.least(F.greatest(F.abs(F.col("r_xmin") - x), F.abs(F.col("r_xmax") - x)), geo.d(180)),
+                "y": F.greatest(F.abs(F.col("r_ymin") - y), F.abs(F.col("r_ymax") - y))}
         most = F.greatest(F.abs("r_ymin"), F.abs("r_ymax"))
         least = F.when(F.col("r_ymin") * F.col("r_ymax") <= 0, geo.d(0)).otherwise(F.least(F.abs("r_ymin"), F.abs("r_ymax")))
         exact = geo.haversine_miles(x, y, F.col("r_xmin"), F.col("r_ymin"))
-        one = F.col("_places") == 1
+        one, beyond = F.col("_places") == 1, F.greatest(most, F.abs(y)) > 90  # no bound holds beyond a pole
         return pairs.withColumns({
-            "_low": F.when(one, exact).otherwise(_span_miles(near, {"a": y, "b": most}) * (1 - 1e-12)),
-            "_high": F.when(one, exact).otherwise(_span_miles(edge, {"a": y, "b": least}) * (1 + 1e-12))})
-
-    pairs = bounds(tile_candidates(base, shifted(sizes), max(reach, 0.05)))
+            "_low": F.when(one, exact).when(beyond, geo.d(0)).otherwise(_span_miles(near, {"a": y, "b": most}) * (1 - 1e-12)),
+            "_high": F.when(one, exact).when(beyond, geo.d(float("inf"))).otherwise(_span_miles(edge, {"a": y, "b": least}) * (1 + 1e-12))})
+
+    met = _meet(_circled(base, reach, max(reach, 0.05), side), _banded(sizes, "r_xmin", "r_ymin", max(reach, 0.05)),
+                _scalars(base), _scalars(sizes)).drop(*_TILE)
+    met = met.filter((F.col("r_ymin") <= F.col("lat") + reach) & (F.col("r_ymax") >= F.col("lat") - reach))
+    turn = F.round((F.col("lon") - F.col("r_xmin")) / geo.d(360)) * geo.d(360)  # the side of the antimeridian on which the tile is near
+    pairs = bounds(met.withColumn("_t", turn).withColumns({c: F.col(c) + F.col("_t") for c in ("r_xmin", "r_xmax")}))
     rim = reduce(lambda a, b: a | b, [(F.col("_low") <= m) & (F.col("_high") > m) for m in miles])
-    # Pairs that need no places get keys of no tile, many different ones, so that they stay spread.
-    nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(id_col), F.lit(1 << 20))
-    opened = pairs.select(id_col, "lon", "lat", "_high", "_total", F.when(rim, F.col("_fx")).otherwise(nowhere).alias("_fx"), "_fy").join(
-        places.select("_fx", "_fy", F.col("lon").alias("_x"), F.col("lat").alias("_y"), "_n"), ["_fx", "_fy"], "left")
+    # Tiles that need no places are added up where they are; only those on the rim travel to theirs.
+    whole = pairs.filter(~rim & (F.col("_high") <= max(miles))).select(id_col, F.col("_high").alias("_d"), F.col("_total").alias("_n"))
+    opened = pairs.filter(rim).select(id_col, "lon", "lat", "_fx", "_fy").join(
+        places.select("_fx", "_fy", F.col("lon").alias("_x"), F.col("lat").alias("_y"), "_n"), ["_fx", "_fy"])
     distance = geo.haversine_miles(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
-    counts = opened.withColumn("_d", F.when(F.col("_n").isNull(), F.col("_high")).otherwise(distance)).groupBy(id_col).agg(*[
-        F.sum(F.when(F.col("_d") <= m, F.coalesce("_n", "_total")).otherwise(F.lit(0).cast("long"))).alias(n) for m, n in names.items()])
+    found = whole.unionByName(opened.select(id_col, distance.alias("_d"), "_n"))
+    counts = found.groupBy(id_col).agg(*[
+        F.sum(F.when(F.col("_d") <= m, F.col("_n")).otherwise(F.lit(0).cast("long"))).alias(n) for m, n in names.items()])
     return left.select(id_col).join(counts, id_col, "left").na.fill(0, list(names.values()))
 
 
@@ -243,69 +269,84 @@ def _span_miles(apart: dict[str, Column], lat: dict[str, Column]) -> Column:
     return geo.d(2 * geo.HAVERSINE_KM * 1000 * geo.MILES_PER_METRE) * F.asin(F.sqrt(F.least(h, geo.d(1))))
 
 
+def _on_globe(df: DataFrame) -> DataFrame:
+    """Points with latitudes within 90 degrees; one beyond a pole is the same point seen from the other side."""
+    around = F.pmod(F.col("lat") + geo.d(90), geo.d(360))
+    beyond, over = F.abs("lat") > 90, around > 180
+    lat = F.when(over, geo.d(270) - around).otherwise(around - geo.d(90))
+    return df.withColumns({"lat": F.when(beyond, lat).otherwise(F.col("lat")),
+                           "lon": F.when(beyond & over, F.col("lon") + geo.d(180)).otherwise(F.col("lon"))})
+
+
+_CUBE, _AXES = ("_kx", "_ky", "_kz"), "xyz"
+
+
+def _balls(places: DataFrame, prefix: str) -> DataFrame:
+    """Leaves with a ball (centre on the unit sphere, radius) around their places."""
+    leaf = [f"_{c}" for c in ("lv", "tx", "ty")]
+    ends = places.groupBy(*leaf).agg(*[f(c).alias(f"_{n}{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
+    lon, lat = [F.radians((F.col(f"_min{c}") + F.col(f"_max{c}")) / 2) for c in ("lon", "lat")]
+    wide, high = [F.radians((F.col(f"_max{c}") - F.col(f"_min{c}")) / 2) for c in ("lon", "lat")]
+    return ends.select(
+        *[F.col(c).alias(f"_{prefix}{c[1:]}") for c in leaf], (F.cos(lat) * F.cos(lon)).alias(f"_{prefix}x"), (F.cos(lat) * F.sin(lon)).alias(f"_{prefix}y"),
+        F.sin(lat).alias(f"_{prefix}z"), F.sqrt(wide * wide + high * high).alias(f"_{prefix}q"))
+
+
+def _cubes(prefix: str, level: Column) -> list[Column]:
+    """The cube of a ball's centre, of the side of a level."""
+    return [_cell(F.col(f"_{prefix}{a}"), F.radians(level)).alias(k) for a, k in zip(_AXES, _CUBE)]
+
+
+def _spread(df: DataFrame, spans: Sequence[tuple[Column, Column]], level: Column) -> DataFrame:
+    """One row per cube of the spans that the unit sphere may pass through."""
+    for k, (first, last) in zip(_CUBE, spans):
+        df = df.withColumn(k, F.explode(F.sequence(first, last)))
+    side = F.radians(level)
+    centre = F.sqrt(sum(((F.col(k) + geo.d(0.5)) * side * ((F.col(k) + geo.d(0.5)) * side) for k in _CUBE), geo.d(0)))
+    return df.filter(F.abs(centre - geo.d(1)) <= side * geo.d(0.8661))
+
+
 def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
             levels: Sequence[float] = NEAREST_LEVELS, crowd: int = CROWD) -> DataFrame:
     """Nearest right point (lowest id on ties) and its distance for every left row.
 
     Identical places are collapsed on both sides, and places lie in tiles that are split while they
-    are crowded, so no tile is quadratic, however many places one spot holds. Then, on occupied
-    tiles only: the finest level at which the 3 x 3 neighbourhood of a left tile holds a right one bounds
-    the distance; of the right tiles within that bound only those stay whose near edge is no farther
-    than the far corner of the best one; and places meet in what is left. Distances are great
-    circles; the window widens with latitude and goes round the antimeridian.
+    are crowded, so no tile is quadratic, however many places one spot holds. Tiles are balls on the unit
+    sphere and meet in nested cubes of space, which know neither poles nor an antimeridian: the finest level at which
+    the cubes around that of a left ball hold a right one gives a bound of the distance; the cubes within that bound
+    give the right balls that may be as near; and places meet in what is left. Distances are great circles.
     """
+    left, right = _on_globe(left.select(id_col, "lon", "lat")), _on_globe(right)
     places_l, places_r, finer = _quadtree(
         left.select("lon", "lat").distinct(), right.groupBy("lon", "lat").agg(F.min(right_id).alias(right_id)), levels[0], crowd)
-    sides = [*finer, *levels]
-
-    def at(lon: Column, lat: Column, side: Column | float) -> list[Column]:
-        return [_cell(lon, side).alias("_kx"), _cell(lat, side).alias("_ky")]
-
-    def centred(df: DataFrame, prefix: str) -> DataFrame:
-        lv = F.col(f"_{prefix}lv")
-        return df.withColumns({f"_{prefix}lon": (F.col(f"_{prefix}tx") + geo.d(0.5)) * lv, f"_{prefix}lat": (F.col(f"_{prefix}ty") + geo.d(0.5)) * lv})
-
-    def window(df: DataFrame, x_reach: Column, y_reach: Column) -> DataFrame:
-        return (
-            df.withColumn("_kx", F.explode(F.sequence(F.col("_kx") - x_reach, F.col("_kx") + x_reach)))
-            .withColumn("_ky", F.explode(F.sequence(F.col("_ky") - y_reach, F.col("_ky") + y_reach)))
-        )
-
-    own, leaf = ["_blv", "_btx", "_bty"], ["_rlv", "_rtx", "_rty"]
-    tiles_l = centred(places_l.select(*[F.col(f"_{c}").alias(f"_b{c}") for c in ("lv", "tx", "ty")]).distinct(), "b")
-    tiles_r = centred(places_r.select(*[F.col(f"_{c}").alias(f"_r{c}") for c in ("lv", "tx", "ty")]).distinct(), "r")
-    every = F.array(*[F.lit(v) for v in sides])
-    # A right tile stands once more on either side of the antimeridian, at its own and all coarser levels.
-    keys = tiles_r.withColumn("_rlon", F.explode(F.array(*[F.col("_rlon") + geo.d(t) for t in (0, -360, 360)]))).withColumn(
-        "_k", F.explode(F.filter(every, lambda v: v >= F.col("_rlv"))))
-    keys = keys.select("*", *at(F.col("_rlon"), F.col("_rlat"), F.col("_k")))
-    occupied = keys.select("_k", "_kx", "_ky").distinct()
-    one = F.lit(1).cast("long")
-    probes = tiles_l.withColumn("_k", F.explode(F.filter(every, lambda v: v >= F.col("_blv"))))
-    probes = window(probes.select(*own, "_blon", "_blat", "_k", *at(F.col("_blon"), F.col("_blat"), F.col("_k"))), one, one)
-    found = probes.join(occupied, ["_k", "_kx", "_ky"], "left_semi").groupBy(*own, "_blon", "_blat").agg(F.min("_k").alias("_k"))
-    # A point of the 3 x 3 window is at most 2*sqrt(2) tile sides away; further
-    # from the equator that distance spans more tiles in longitude.
-    far_lat = F.least(F.abs("_blat") + F.col("_k") * 3, geo.d(89.9))
-    x_reach = F.least(F.ceil(geo.d(2.83) / F.cos(F.radians(far_lat))), F.ceil(geo.d(360) / F.col("_k")) + 1).cast("long")
-    near = window(found.select("*", *at(F.col("_blon"), F.col("_blat"), F.col("_k")), x_reach.alias("_xr")), F.col("_xr"), F.lit(3).cast("long"))
-    met = near.join(keys, ["_k", "_kx", "_ky"])
-    columns = [*own, *leaf, "_blon", "_blat", "_rlon", "_rlat"]
-    met = met.select(*columns)
-    if finer:  # leaves coarser than the level of the bound, of which it spans less than one tile
-        wide = found.withColumn("_f", F.col("_k")).withColumn("_k", F.explode(F.filter(every, lambda v: (v > F.col("_f")) & (v <= levels[0]))))
-        wide = window(wide.select("*", *at(F.col("_blon"), F.col("_blat"), F.col("_k"))), F.ceil(geo.d(1) / F.cos(
-            F.radians(F.least(F.abs("_blat") + F.col("_k"), geo.d(89.9))))).cast("long"), one)
-        met = met.unionByName(wide.join(keys.filter("_k = _rlv"), ["_k", "_kx", "_ky"]).select(*columns))
-    half = {"b": F.col("_blv") / 2, "r": F.col("_rlv") / 2}
-    gap = {"x": F.abs(F.col("_blon") - F.col("_rlon")), "y": F.abs(F.col("_blat") - F.col("_rlat"))}
-    low = {k: F.greatest(g - half["b"] - half["r"], geo.d(0)) for k, g in gap.items()}
-    high = {"x": F.least(gap["x"] + half["b"] + half["r"], geo.d(180)), "y": F.least(gap["y"] + half["b"] + half["r"], geo.d(180))}
-    outer = {k: F.least(F.abs(F.col(f"_{p}lat")) + half[p], geo.d(90)) for k, p in (("a", "b"), ("b", "r"))}
-    inner = {k: F.greatest(F.abs(F.col(f"_{p}lat")) - half[p], geo.d(0)) for k, p in (("a", "b"), ("b", "r"))}
-    bounds = met.withColumns({"_low": _span_miles(low, outer), "_high": _span_miles(high, inner)})
-    best_high = F.min("_high").over(Window.partitionBy(*own))
-    kept = bounds.withColumn("_best", best_high).filter(F.col("_low") <= F.col("_best") * 1.000001 + 1e-6).select(*own, *leaf).distinct()
+    every = F.array(*[F.lit(v) for v in (*finer, *levels)])
+    k, cube = F.col("_k"), ["_k", *_CUBE]
+    own, leaf, ball = ["_blv", "_btx", "_bty"], ["_rlv", "_rtx", "_rty"], [f"_b{c}" for c in "xyzq"]
+    tiles_l, tiles_r = _balls(places_l, "b"), _balls(places_r, "r")
+
+    def at_levels(tiles: DataFrame, prefix: str) -> DataFrame:
+        return tiles.withColumn("_k", F.explode(F.filter(every, lambda v: v >= F.col(f"_{prefix}lv")))).select("*", *_cubes(prefix, k))
+
+    def around(df: DataFrame) -> DataFrame:
+        return _spread(df, [(F.col(c) - 1, F.col(c) + 1) for c in _CUBE], k)
+
+    keys = at_levels(tiles_r, "r")
+    found = at_levels(tiles_l, "b").join(around(keys.select(*cube).distinct()), cube, "left_semi").groupBy(*own, *ball).agg(F.min("_k").alias("_k"))
+    apart = F.sqrt(sum(((F.col(f"_b{a}") - F.col(f"_r{a}")) * (F.col(f"_b{a}") - F.col(f"_r{a}")) for a in _AXES), geo.d(0)))
+    met = around(found.select(*own, *ball, "_k", *_cubes("b", k))).join(keys.select(*cube, *[f"_r{c}" for c in "xyzq"]), cube)
+    bound = met.groupBy(*own, *ball).agg(F.min(apart + F.col("_bq") + F.col("_rq")).alias("_most"))
+    # A leaf that may hold a nearer place has its centre within the bound and both radii, of which its own is
+    # below the side of its level. Leaves coarser than the first level wide enough stand at their own.
+    first = F.array_min(F.filter(every, lambda v: (F.radians(v) >= F.col("_most") + F.col("_bq")) | (v == geo.d(max(levels)))))
+    wide = bound.withColumn("_first", first).withColumn("_k", F.explode(
+        F.filter(every, lambda v: (v == F.col("_first")) | ((v > F.col("_first")) & (v <= geo.d(levels[0])))))).withColumn(
+        "_far", F.col("_most") + F.col("_bq") + F.radians(k) * geo.d(0.7072))
+    side = F.radians(k)
+    wide = _spread(wide, [(_cell(F.col(f"_b{a}") - F.col("_far"), side), _cell(F.col(f"_b{a}") + F.col("_far"), side)) for a in _AXES], k)
+    gaps = [F.greatest(F.col(c) * side - F.col(f"_b{a}"), F.col(f"_b{a}") - (F.col(c) + 1) * side, geo.d(0)) for a, c in zip(_AXES, _CUBE)]
+    wide = wide.filter(sum((g * g for g in gaps), geo.d(0)) <= F.col("_far") * F.col("_far") * 1.000001)
+    kept = wide.join(keys, cube).filter(
+        ((k == F.col("_first")) | (k == F.col("_rlv"))) & (apart - F.col("_bq") - F.col("_rq") <= F.col("_most") * 1.000001 + 1e-13)).select(*own, *leaf)
     pairs = (
         places_l.select(F.col("lon").alias("_llon"), F.col("lat").alias("_llat"), *[F.col(f"_{c}").alias(f"_b{c}") for c in ("lv", "tx", "ty")])
         .join(kept, own).join(places_r.select(right_id, "lon", "lat", *[F.col(f"_{c}").alias(f"_r{c}") for c in ("lv", "tx", "ty")]), leaf))
@@ -316,7 +357,7 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
         .select("lon", "lat", F.col("_b")[right_id].alias(f"nearest_{right_id}"),
                 F.col("_b")["_d"].alias("distance_miles"))
     )
-    return left.select(id_col, "lon", "lat").join(best, ["lon", "lat"], "left").drop("lon", "lat")
+    return left.join(best, ["lon", "lat"], "left").drop("lon", "lat")
 
 
 LEAST_SHARE = 1e-9

@@ -179,9 +179,8 @@ def line_asset_report(
     """
     if before is not None and "ignition_date" in fires.columns:
         fires = fires.filter(F.col("ignition_date") < F.lit(before).cast("date"))
-    reach = spatial.within_radius(
-        spatial.line_vertices(lines, dedup=True),
-        lines.sparkSession.createDataFrame([center], "lon double, lat double"), miles)
+    lon, lat = (lit(float(v)) for v in center)
+    reach = spatial.line_vertices(lines).filter(geo.haversine_miles(F.col("lon"), F.col("lat"), lon, lat) <= miles)
     near = lines.join(reach.select("osm_id"), "osm_id", "left_semi")
     vertices = spatial.line_vertices(near.select("osm_id", *spatial.GEOMETRY_COLUMNS), dedup=True)
     p_max = sample_points(burn, vertices, burn_spec).groupBy("osm_id").agg(

@@ -416,3 +416,36 @@ def test_counts_by_tiles_equal_counting_all(spark, lat):
         h = np.sin((la - math.radians(y)) / 2) ** 2 + np.cos(la) * math.cos(math.radians(y)) * np.sin((lo - math.radians(x)) / 2) ** 2
         d = 2 * 6371008.8 * np.arcsin(np.sqrt(h)) * 0.000621371
         assert got[i] == tuple(int((d <= m).sum()) for m in (2, 10, 25))
+
+
+def _polar(seed, n):
+    """Points around both poles, and some whose latitude runs on beyond one."""
+    rng = random.Random(seed)
+    return [(i, rng.uniform(-180, 180), rng.choice([90 - abs(rng.gauss(0, 0.4)), -90 + abs(rng.gauss(0, 0.4)), 90 + abs(rng.gauss(0, 0.5)), rng.uniform(200, 204)]))
+            for i in range(n)]
+
+
+def test_neighbours_at_and_beyond_the_poles(spark):
+    left, right = _polar(1, 120), _polar(2, 300)
+    ldf = spark.createDataFrame(left, "osm_id bigint, lon double, lat double")
+    rdf = spark.createDataFrame(right, "sid bigint, lon double, lat double")
+    apart = {(i, j): haversine((x, y), (u, v)) for i, x, y in left for j, u, v in right}
+    got = {r["osm_id"]: (r["nearest_sid"], r["distance_miles"]) for r in S.nearest(ldf, rdf, "osm_id", "sid", crowd=16).collect()}
+    for i, _, _ in left:
+        assert got[i][1] == pytest.approx(min(apart[i, j] for j, _, _ in right), abs=1e-6)
+        assert apart[i, got[i][0]] == pytest.approx(got[i][1], abs=1e-6)
+    # Pairs over a pole that the latitudes tell apart by more than the radius never were pairs.
+    reach = S._miles_to_lat(25)
+    want = {(i, j) for i, _, y in left for j, _, v in right if apart[i, j] <= 25 and abs(y - v) <= reach}
+    pairs = [(r["osm_id"], r["sid"]) for r in S.within_radius(ldf, rdf, 25).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 100
+    counts = {r["osm_id"]: r["count_25mi"] for r in S.counts_within(ldf, rdf, [5, 25], "osm_id").collect()}
+    assert counts == {i: sum((i, j) in want for j, _, _ in right) for i, _, _ in left}
+
+
+def test_tiles_per_circle_do_not_grow_towards_the_poles(spark):
+    reach = S._miles_to_lat(25)
+    for lat in (0.0, 60.0, 89.0, 89.99, 120.0, 400.0):
+        one = spark.createDataFrame([(1, 5.0, lat)], "osm_id bigint, lon double, lat double")
+        tiles = S._circled(one, reach, reach)
+        assert tiles.count() == tiles.select("_tx", "_ty").distinct().count() <= 40
