@@ -330,10 +330,11 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
     def around(df: DataFrame) -> DataFrame:
         return _spread(df, [(F.col(c) - 1, F.col(c) + 1) for c in _CUBE], k)
 
+    # Sizes are measured before rows are exploded: the sides that grow by it are sorted, not broadcast.
     keys = at_levels(tiles_r, "r")
-    found = at_levels(tiles_l, "b").join(around(keys.select(*cube).distinct()), cube, "left_semi").groupBy(*own, *ball).agg(F.min("_k").alias("_k"))
+    found = at_levels(tiles_l, "b").join(around(keys.select(*cube).distinct()).hint("merge"), cube, "left_semi").groupBy(*own, *ball).agg(F.min("_k").alias("_k"))
     apart = F.sqrt(sum(((F.col(f"_b{a}") - F.col(f"_r{a}")) * (F.col(f"_b{a}") - F.col(f"_r{a}")) for a in _AXES), geo.d(0)))
-    met = around(found.select(*own, *ball, "_k", *_cubes("b", k))).join(keys.select(*cube, *[f"_r{c}" for c in "xyzq"]), cube)
+    met = around(found.select(*own, *ball, "_k", *_cubes("b", k))).join(keys.select(*cube, *[f"_r{c}" for c in "xyzq"]).hint("merge"), cube)
     bound = met.groupBy(*own, *ball).agg(F.min(apart + F.col("_bq") + F.col("_rq")).alias("_most"))
     # A leaf that may hold a nearer place has its centre within the bound and both radii, of which its own is
     # below the side of its level. Leaves coarser than the first level wide enough stand at their own.
@@ -345,7 +346,7 @@ def nearest(left: DataFrame, right: DataFrame, id_col: str, right_id: str,
     wide = _spread(wide, [(_cell(F.col(f"_b{a}") - F.col("_far"), side), _cell(F.col(f"_b{a}") + F.col("_far"), side)) for a in _AXES], k)
     gaps = [F.greatest(F.col(c) * side - F.col(f"_b{a}"), F.col(f"_b{a}") - (F.col(c) + 1) * side, geo.d(0)) for a, c in zip(_AXES, _CUBE)]
     wide = wide.filter(sum((g * g for g in gaps), geo.d(0)) <= F.col("_far") * F.col("_far") * 1.000001)
-    kept = wide.join(keys, cube).filter(
+    kept = wide.join(keys.hint("merge"), cube).filter(
         ((k == F.col("_first")) | (k == F.col("_rlv"))) & (apart - F.col("_bq") - F.col("_rq") <= F.col("_most") * 1.000001 + 1e-13)).select(*own, *leaf)
     pairs = (
         places_l.select(F.col("lon").alias("_llon"), F.col("lat").alias("_llat"), *[F.col(f"_{c}").alias(f"_b{c}") for c in ("lv", "tx", "ty")])
