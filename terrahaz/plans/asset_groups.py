@@ -163,7 +163,7 @@ def all_groups(groups: dict[str, DataFrame], named_commercial_only: bool = True)
 
 def unexposed(assets: DataFrame, exposure: DataFrame) -> DataFrame:
     """Distinct (id, geometry) of assets without any exposure row."""
-    return assets.join(exposure.select("osm_id"), "osm_id", "left_anti").distinct()
+    return assets.join(exposure.select("osm_id").hint("merge"), "osm_id", "left_anti").distinct()
 
 
 # Mapped assets as (category, type, subtype); None takes every subtype.

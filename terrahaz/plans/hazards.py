@@ -23,11 +23,12 @@ def wildfire(fwi: DataFrame, burn: DataFrame) -> DataFrame:
     """Fire weather with its historical baseline and burn probability.
 
     Both joins share the ``osm_id`` prefix of the key; the baseline is at most
-    twelve rows per asset and is aggregated before it is shuffled.
+    twelve rows per asset and is aggregated before it is shuffled. A row of the
+    burn probabilities is a few bytes of their file, so they are sorted, not broadcast.
     """
     return (
         fwi.select("osm_id", "month", "decade", "ssp", "ensemble_mean")
-        .join(burn.select("osm_id", "burn_probability"), "osm_id", "left")
+        .join(burn.select("osm_id", "burn_probability").hint("merge"), "osm_id", "left")
         .join(historical_baseline(fwi), ["osm_id", "month"], "left")
         .select(
             "osm_id", "month", "decade",

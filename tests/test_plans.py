@@ -60,3 +60,20 @@ def test_tags_are_joined_without_a_broadcast(spark):
     for df, joins in ((group, 1), (found, 2)):
         assert "BroadcastHashJoin" not in plan(df) and plan(df).count("SortMergeJoin") == joins
         assert sorted(r["osm_id"] for r in df.select("osm_id").collect()) == [0, 1]
+
+
+def test_keyed_tables_are_joined_without_a_broadcast(spark):
+    from checks.harness import Tables
+    from terrahaz.plans import asset_groups, hazards
+
+    fwi = spark.createDataFrame([(1, 1, 2020, 585, 2.0), (1, 1, 2020, -999, 4.0), (2, 1, 2020, 585, 3.0), (None, 1, 2020, 585, 1.0)],
+                                "osm_id long, month int, decade int, ssp int, ensemble_mean double")
+    burn = spark.createDataFrame([(1, 0.5), (3, 0.25)], "osm_id long, burn_probability double")
+    fire = hazards.wildfire(fwi, burn)
+    assert sorted((r["osm_id"] or 0, r["ssp"], r["burn_probability"]) for r in fire.collect()) == [
+        (0, 585, None), (1, -999, 0.5), (1, 585, 0.5), (2, 585, None)]
+    bare = asset_groups.unexposed(spark.range(4).withColumnRenamed("id", "osm_id"), burn)
+    assert sorted(r["osm_id"] for r in bare.collect()) == [0, 2]
+    for df in (bare, fire.drop("ensemble_mean_historical_baseline"), Tables(spark, SF).fx_layers):
+        assert "SortMergeJoin" in plan(df)
+    assert "BroadcastHashJoin" not in plan(bare) + plan(Tables(spark, SF).fx_layers)
