@@ -111,5 +111,5 @@ SELECT a.osm_id, flood_zone, flood_zone_subtype, is_sfha, flood_depth
 FROM {fx_assets} a LEFT JOIN hit ON a.osm_id = hit.osm_id
 """)
 def flood_zone_pieces(t: Tables):
-    pieces = hazards.latest_zones_subdivided(_outlined(t.fx_zones), 64)
+    pieces = hazards.latest_zones_subdivided(t.fx_zones, 64, _outlined)
     return hazards.asset_latest_zone(_assets(t), pieces)

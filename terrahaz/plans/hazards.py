@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,15 @@ def latest_zones(zones: DataFrame) -> DataFrame:
     return top_per(zones, ["fld_ar_id"], [F.col("lomr_effective_date").desc_nulls_last(), *ties])
 
 
-def latest_zones_subdivided(zones: DataFrame, max_vertices: int = 64) -> DataFrame:
-    """Newest zones in pieces of at most ``max_vertices`` vertices, one row per piece: a table for joins and drawing."""
-    return spatial.subdivide(latest_zones(zones), max_vertices)
+def latest_zones_subdivided(zones: DataFrame, max_vertices: int = 64,
+                            outline: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Newest zones in pieces of at most ``max_vertices`` vertices, one row per piece: a table for joins and drawing.
+
+    ``outline`` adds the geometry to zones that come without it. It is called on the newest ones, so
+    the outlines of older records are neither made nor sorted and shuffled.
+    """
+    newest = latest_zones(zones)
+    return spatial.subdivide(outline(newest) if outline else newest, max_vertices)
 
 
 ZONE_COLUMNS = ("flood_zone", "flood_zone_subtype", "is_sfha", "flood_depth")

@@ -77,3 +77,25 @@ def test_keyed_tables_are_joined_without_a_broadcast(spark):
     for df in (bare, fire.drop("ensemble_mean_historical_baseline"), Tables(spark, SF).fx_layers):
         assert "SortMergeJoin" in plan(df)
     assert "BroadcastHashJoin" not in plan(bare) + plan(Tables(spark, SF).fx_layers)
+
+
+def test_outlines_are_made_for_the_newest_zones_only(spark):
+    from pyspark.sql import functions as F
+
+    from terrahaz.functions import geometry as geo
+    from terrahaz.plans import hazards
+
+    zones = spark.createDataFrame(
+        [("a", "2001-01-01", 1, 0.0), ("a", "2002-01-01", 2, 5.0), ("b", None, 1, 1.0), ("b", None, 2, 2.0), (None, None, 1, 7.0)],
+        "fld_ar_id string, lomr string, zone_rank long, x double").withColumn("lomr_effective_date", F.to_date("lomr"))
+    met = []
+
+    def outline(df):
+        met.append(df.count())
+        return geo.with_box(df, F.col("x"), F.lit(0.0), F.col("x") + 1, F.lit(1.0))
+
+    late = hazards.latest_zones_subdivided(zones, 64, outline)
+    early = hazards.latest_zones_subdivided(outline(zones), 64)
+    assert met == [3, 5]
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.select(*late.columns).collect()))
+    assert sorted(r["x"] for r in late.collect()) == [1.0, 5.0, 7.0]
