@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,36 @@ def test_repeated_rows_null_dates_and_empty_input(spark):
     assert C.moisture_codes(df.limit(0)).collect() == []
 
 
+def test_fire_weather_work_follows_the_days_of_a_cell(monkeypatch):
+    """Cells that never share a date advance together; each gets what it gets alone, with repeats, gaps of years and stored codes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for cell in range(40):
+        days = 40 * rng.permutation(120)[:5] + cell
+        days = np.append(np.append(days, days[0]), days.max() + 1100)
+        rows += [(int(d), 0, cell, *rng.uniform(5, 30, 2), *rng.uniform(10, 60, 2)) for d in days]
+        rows += [(int(days.max()) - 400, 1, cell, 80.0 + cell / 9, 20.0, 200.0 + cell)]
+    rows = sorted(rows)
+
+    def walked(rows):
+        columns = list(zip(*rows))
+        known = [k == 1 for k in columns[1]]
+        numbers = np.array([r[3:] if r[1] == 0 else (None,) * 4 for r in rows], float).T
+        codes = np.array([r[3:] if r[1] else (None,) * 3 for r in rows], float).T
+        cells = np.array(columns[2], np.int64)
+        table = pa.table({"date": pa.array(columns[0], pa.int32()).cast(pa.date32()), "_kind": pa.array(columns[1], pa.int8()), "_key": cells,
+                          "lat": 2.0 * cells - 40, **dict(zip(K.WEATHER, numbers)), **dict(zip(K.START, codes))})
+        out = pa.Table.from_batches(K.walk_days(iter(table.to_batches(max_chunksize=97)), K.DayWalk(), ["date", "_key"]))
+        return sorted((r["_key"], r["date"], *(round(r[c], 9) for c in K.START)) for r in out.to_pylist()), sum(not k for k in known)
+
+    alone = [r for cell in range(40) for r in walked([row for row in rows if row[2] == cell])[0]]
+    calls, real = [], K.next_codes
+    monkeypatch.setattr(K, "next_codes", lambda *a: calls.append(1) or real(*a))
+    together, days = walked(rows)
+    assert together == alone and len(together) == days
+    assert len(calls) < days / 10  # a step a date made 240 of them
+
+
 def test_fire_weather_gap_keeps_state(spark):
     df = daily(spark).withColumn("hurs", F.when(F.col("date") != "2001-04-14", F.col("hurs")))
     rows = C.moisture_codes(df).orderBy("date").collect()
