@@ -53,6 +53,30 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def _before(mask: np.ndarray) -> np.ndarray:
+    """How many bytes before each place are marked, in four bytes a place wherever that is enough."""
+    total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, dtype=total.dtype, out=total[1:])
+    return total
+
+
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Begin and end of words without the bytes around them that are no letters or digits; begin >= end where none are.
+
+    Looks only at the places where such bytes begin and end, which are about as many as the words.
+    """
+    core = np.zeros(len(data) + 2, bool)
+    core[1:-1] = _CORE[data]
+    begins, stops = np.flatnonzero(core[1:] & ~core[:-1]), np.flatnonzero(core[:-1] & ~core[1:])
+    if not len(begins) or not len(starts):
+        return starts, starts
+    at = np.searchsorted(begins, starts)
+    a = np.where(core[starts + 1], starts, np.append(begins, len(data))[at])
+    last = np.searchsorted(stops, ends, "right") - 1
+    b = np.where(core[ends], ends, np.where(last >= 0, stops[last], 0))
+    return a, np.where(a < ends, b, a)
+
+
 def canonical(texts: pa.Array):
     """First word of each text (total last), the value of each word, and two forms of (template, whether a word is a slot).
 
@@ -64,17 +88,15 @@ def canonical(texts: pa.Array):
     """
     data, offsets = flat(texts)
     starts, ends, _ = words.bounds(data, offsets)
-    core = np.flatnonzero(_CORE[data])
-    low, high = np.searchsorted(core, starts), np.searchsorted(core, ends)
-    some = high > low
+    a, b = _trimmed(data, starts, ends)
+    some = b > a
     gap_end = np.append(0, ends)[:-1]  # end of the word before
-    starts, ends, low, high, gap = starts[some], ends[some], low[some], high[some], gap_end[some]
-    a, b = core[low], core[high - 1] + 1
+    starts, ends, a, b, gap = starts[some], ends[some], a[some], b[some], gap_end[some]
     first = np.searchsorted(starts, offsets)
     value = words.hashes(words.LOWER[data], a, b)
 
     def counted(mask):
-        total = np.concatenate([[0], np.cumsum(mask)])
+        total = _before(mask)
         return total[b] - total[a]
 
     digits = counted((data >= 48) & (data <= 57))
@@ -84,8 +106,9 @@ def canonical(texts: pa.Array):
     capital = (head >= 65) & (head <= 90) | (head == 0xC3) & (following >= 0x80) & (following <= 0x9E)
     opening = np.zeros(len(a), bool)
     opening[first[:-1][first[:-1] < len(a)]] = True
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    breaks = _before(data == 10)
     opening |= breaks[a] > breaks[np.minimum(gap, a)]
+    del breaks
     if len(a) > 1:
         opening[1:] |= _STOP[data[ends[:-1] - 1]]
     opening |= a > starts  # behind a quotation mark or bracket

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -271,6 +272,24 @@ def test_leaks_of_empty_tables(spark):
     assert decontamination.leaks(docs, benchmark.limit(0)).collect() == []
 
 
+def test_canonical_words_without_a_number_per_byte():
+    """Words lose the signs around them as by a regular expression, and a slice is worked on in few bytes per byte of text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aZ9 .,\n-é(\"") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "...", ".. a", "a"]
+    first, value, _ = decontamination.canonical(pa.array(texts, pa.large_string()))
+    cores = [[m for w in WORD.findall(t) for m in re.findall(r"[a-zA-Z0-9é](?:.*[a-zA-Z0-9é])?", w)] for t in texts]
+    assert np.diff(first).tolist() == [len(c) for c in cores]
+    plain = decontamination.canonical(pa.array([" ".join(c) for c in cores], pa.large_string()))[1]
+    assert value.tolist() == plain.tolist()
+
+    text = pa.array([("Some words of seven 7 letters, and a Name. " * 12_000)], pa.large_string())
+    tracemalloc.start()
+    decontamination.canonical(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * len(text[0].as_py())
+
+
 def test_op9_equals_its_sql(spark, small):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
