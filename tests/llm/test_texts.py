@@ -137,6 +137,49 @@ def test_restaurants_are_proper():
         assert p2[context == c].sum() + rest == pytest.approx(1)
 
 
+def _one_by_one(customers, weight, discount, rng):
+    """Tables of one dish by the definition, with the draws of ``_seat``."""
+    tables, seated = 1, 1
+    while seated < customers:
+        drawn = rng.random(max(1, min(seated, language_model.LOT)))
+        for k, u in enumerate(drawn[:customers - seated], seated):
+            free = weight(tables)
+            tables += u * (free + k - discount * tables) < free
+        seated += len(drawn)
+    return tables
+
+
+@pytest.mark.parametrize("lot", [1 << 18, 37])
+def test_every_customer_meets_the_tables_of_those_before(monkeypatch, lot):
+    monkeypatch.setattr(language_model, "LOT", lot)
+    for seed, (customers, a, b, discount) in enumerate([(5000, 40.0, 0.3, 0.7), (3000, 1e9, 0, 0.5), (2000, 0.02, 0.9, 0.9), (65, 5.0, 2.0, 0.1), (1, 1.0, 0, 0.5)]):
+        found = language_model._seat(np.array([customers]), lambda dishes, now: a + b * now, discount, np.random.default_rng(seed))
+        assert found.tolist() == [_one_by_one(customers, lambda t: a + b * t, discount, np.random.default_rng(seed))]
+    many = language_model._seat(np.array([900, 0, 3, 1, 70]), lambda dishes, now: np.full(now.shape, 1e12), 0.5, np.random.default_rng(1))
+    assert many.tolist() == [900, 0, 3, 1, 70]  # nobody shares a table that is so unlikely to be chosen
+
+
+def test_customers_leave_before_they_are_seated():
+    # one word in one context: nothing but its own customers is in the three restaurants
+    bucket, discounts, uniform, s = language_model.Bucket(np.array([0]), np.array([0x6162]), np.array([400])), (0.6, 0.5, 0.4), 1 / 3, language_model.STRENGTH
+    totals, seats = np.zeros(language_model._SIZE), None
+    for seed in range(4):
+        t2, _, t1, _, t0 = (0, 0, 0, 0, 0) if seats is None else (int(x[0]) for x in seats)
+        p0 = uniform if seats is None else (t1 - 0.4 * t0 + (s + 0.4 * t0) * uniform) / (s + t1)
+
+        def parent(now, tables, discount, beyond):
+            tables = min(max(tables, 1), now)
+            return (now - discount * tables + (s + discount * tables) * beyond) / (s + now)
+
+        rng = np.random.default_rng(seed)
+        n2 = _one_by_one(400, lambda t: (s + 0.6 * t) * parent(t, t1, 0.5, p0), 0.6, rng)
+        n1 = _one_by_one(n2, lambda t: (s + 0.5 * t) * parent(t, t0, 0.4, uniform), 0.5, rng)
+        n0 = _one_by_one(n1, lambda t: (s + 0.4 * t) * uniform, 0.4, rng)
+        seats = bucket.sweep(seats, totals, discounts, uniform, np.random.default_rng(seed))
+        totals = bucket.totals(seats)
+        assert [int(x[0]) for x in seats] == [n2, n2, n1, n1, n0]
+
+
 def test_language_model_without_training_or_rows(spark):
     df = spark.createDataFrame([(4, "b c"), (None, None), (4, "b c")], "doc_id long, text string")
     assert sorted(r["score"] for r in language_model.score(df, F.lit(False)).collect()) == [0.0] * 3
