@@ -426,17 +426,22 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
 def _named(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The columns of ``docs`` but text, n_shingles, node and root (the node that stands for the component)."""
-    profiles = checkpointed(_profiles(docs, shingle))
-    grouped = checkpointed(_grouped(docs.select("text"), shingle, percent, _cells(profiles)))
+    counted = checkpointed(_profiles(docs, shingle))
+    cells = _cells(counted)
+    profiles = checkpointed(counted.where("slab IS NULL").drop("slab", "cells"))
+    del counted  # the counters of all tasks go before the next steps
     clear(docs.sparkSession)
-    profiles = profiles.where("slab IS NULL").drop("slab", "cells")
     texts = docs.select("text")
+    grouped = checkpointed(_grouped(texts, shingle, percent, cells))
+    clear(docs.sparkSession)
     sketches = checkpointed(_wanted(texts, grouped.select("node").distinct(), shingle, sketch=True))
     pairs = grouped.where("node <> leader AND comparable").select("node", "leader").distinct()
     likely = checkpointed(_likely(pairs, sketches, percent))
     ends = likely.select("node").union(likely.select("leader")).distinct()
-    led = checkpointed(_led(likely, checkpointed(_wanted(texts, ends, shingle, sketch=False)), percent))
-    del pairs, likely, ends
+    tokens = checkpointed(_wanted(texts, ends, shingle, sketch=False))
+    clear(docs.sparkSession)  # the sets were sent to be written; next they are sent to their leaders
+    led = checkpointed(_led(likely, tokens, percent))
+    del pairs, likely, ends, tokens
     clear(docs.sparkSession)
     roots = checkpointed(components(led))
     placed = grouped.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

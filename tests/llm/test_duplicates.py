@@ -1,9 +1,11 @@
 """Cover tree, n-gram join and passage removal against brute force."""
 
 import collections
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -123,6 +125,41 @@ def test_group_join_on_families_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, group_join.similar_documents(df).collect())) == linked_texts(rows)
 
 
+def test_what_is_of_no_more_use_goes_before_the_large_steps(spark, monkeypatch):
+    alive, steps = [], []
+    checkpointed, clear, led, grouped = group_join.checkpointed, group_join.clear, group_join._led, group_join._grouped
+
+    def written(df):
+        out = checkpointed(df)
+        alive.append((weakref.ref(out), out.columns))
+        steps.append("written")
+        return out
+
+    def cleared(session):
+        clear(session)
+        steps.append("cleared")
+
+    def before(step, name):
+        def call(*given):
+            gc.collect()
+            counters = [c for r, c in alive if r() is not None and "cells" in c]
+            assert not counters and steps[-1] == "cleared", name
+            steps.append(name)
+            return step(*given)
+
+        return call
+
+    monkeypatch.setattr(group_join, "checkpointed", written)
+    monkeypatch.setattr(group_join, "clear", cleared)
+    monkeypatch.setattr(group_join, "_grouped", before(grouped, "grouped"))
+    monkeypatch.setattr(group_join, "_led", before(led, "led"))
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words[i % 2:58 + i % 2])) for i in range(6)] + [(9, "other words of nobody else")]
+    rows = group_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {**{i: 0 for i in range(6)}, 9: 9}
+    assert [s for s in steps if s in ("grouped", "led")] == ["grouped", "led"]
+
+
 def test_every_similar_pair_shares_a_signature():
     import pyarrow as pa
 
