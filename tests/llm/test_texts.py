@@ -187,6 +187,79 @@ def test_language_model_without_training_or_rows(spark):
     assert len(language_model.score(df, F.lit(True)).collect()) == 3
 
 
+def test_words_before_that_end_alike_are_told_apart(spark):
+    docs = [(i, "walked home") for i in range(20)] + [(20 + i, "talked loud") for i in range(20)]
+    docs += [(100, "walked home"), (101, "walked loud"), (102, "talked loud"), (103, "talked home")]
+    rows = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    assert rows[100] > rows[101] + 0.5 and rows[102] > rows[103] + 0.5
+
+
+def _words(rng):
+    # contexts 0, 1 end in the same two bytes, 2 in the same last byte, 3 in others
+    before = np.array([0x6162 << 48 | 5, 0x6162 << 48 | 9, 0x6362 << 48 | 7, 0x6163 << 48 | 1], np.uint64)
+    counts = rng.integers(0, 30, 24)
+    return language_model.Words(np.full(6, 4, np.uint32), np.sort(before), np.tile(np.arange(4), 6), counts), counts
+
+
+def test_restaurants_of_words_before_are_proper():
+    rng = np.random.default_rng(5)
+    own, counts = _words(rng)
+    discounts, uniform, s = (0.7, 0.6, 0.5, 0.4), 1 / 7, language_model.STRENGTH
+    totals, opened, seats = np.zeros(language_model._SIZE), np.zeros(4), None
+    for k in range(3):
+        seats = own.sweep(seats, totals, opened, discounts, uniform, np.random.default_rng(k))
+        totals, opened, customers = own.totals(seats)
+        tables = own.tables(seats)
+        assert (tables <= counts).all() and ((tables > 0) == (counts > 0)).all()
+        assert totals[:65536].sum() <= totals[65536:131072].sum() == opened.sum() == tables.sum() and customers.sum() == counts.sum()
+    p = own.predict(seats, totals, opened, customers, discounts, uniform)
+    beyond = (s + discounts[3] * totals[-2]) * uniform / (s + totals[-1])  # of the word that stands for all others
+    for c in range(4):
+        two = int(own.bytes.context[own.up[c]])
+        p1 = (s + discounts[2] * totals[131072 + (two & 0xFF)]) * beyond / (s + totals[131072 + 256 + (two & 0xFF)])
+        p2 = (s + discounts[1] * totals[two]) * p1 / (s + totals[65536 + two])
+        rest = (s + discounts[0] * opened[c]) * p2 / (s + customers[c])
+        assert p[own.where == c].sum() + rest == pytest.approx(1)
+
+
+def test_customers_of_a_word_before_are_seated_one_by_one():
+    # one word after one other: nothing but its own customers is in the four restaurants
+    own = language_model.Words(np.array([1]), np.array([0x6162 << 48 | 5], np.uint64), np.array([0]), np.array([300]))
+    discounts, uniform, s = (0.7, 0.6, 0.5, 0.4), 1 / 3, language_model.STRENGTH
+    totals, opened, seats = np.zeros(language_model._SIZE), np.zeros(1), None
+    for seed in range(4):
+        t3, t2, _, t1, _, t0 = (0,) * 6 if seats is None else (int(x[0]) for x in seats)
+        p0 = uniform if seats is None else (t1 - 0.4 * t0 + (s + 0.4 * t0) * uniform) / (s + t1)
+        p1 = uniform if seats is None else (t2 - 0.5 * t1 + (s + 0.5 * t1) * p0) / (s + t2)
+
+        def parent(now, tables, discount, beyond):
+            tables = min(max(tables, 1), now)
+            return (now - discount * tables + (s + discount * tables) * beyond) / (s + now)
+
+        rng = np.random.default_rng(seed)
+        n3 = _one_by_one(300, lambda t: (s + 0.7 * t) * parent(t, t2, 0.6, p1), 0.7, rng)
+        n2 = _one_by_one(n3, lambda t: (s + 0.6 * t) * parent(t, t1, 0.5, p0), 0.6, rng)
+        n1 = _one_by_one(n2, lambda t: (s + 0.5 * t) * parent(t, t0, 0.4, uniform), 0.5, rng)
+        n0 = _one_by_one(n1, lambda t: (s + 0.4 * t) * uniform, 0.4, rng)
+        seats = own.sweep(seats, totals, opened, discounts, uniform, np.random.default_rng(seed))
+        totals, opened, _ = own.totals(seats)
+        assert [int(x[0]) for x in seats] == [n3, n2, n2, n1, n1, n0]
+
+
+def test_buckets_and_shards_exchange_the_words_before(spark, monkeypatch):
+    # what a word before has served is spread over many buckets; the scores of one bucket differ by draws only
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["ab", "cb", "de", "f", "gh", "ib"]) for _ in range(30))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r["doc_id"]: r for r in language_model.score(frame, F.col("doc_id") < 30).collect()}
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 500)
+    for r in language_model.score(frame, F.col("doc_id") < 30).collect():
+        one = whole[r["doc_id"]]
+        assert r[:4] == one[:4] and r["base_score"] == pytest.approx(one["base_score"], rel=1e-9)
+        assert r["score"] == pytest.approx(one["score"], rel=0.02)
+
+
 def test_op7_on_all_pages(spark, small):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     rows = queries.QUERIES["op7_page_text"](spark, small).collect()
