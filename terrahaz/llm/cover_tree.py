@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrahaz.llm import words
 from terrahaz.llm.components import components
-from terrahaz.llm.frames import checkpointed
+from terrahaz.llm.frames import by_number, checkpointed, clear
 
 BLOCK = 4096
 """Vectors of one tree, and so of one side of a task."""
@@ -22,26 +24,52 @@ MAX_PIVOTS = 1024
 RADII = (math.pi, math.pi / 4, math.pi / 8, math.pi / 16)
 """Covering radii of the levels (angles); each level's nodes are nodes of the next one, too."""
 SLACK = 1e-9
+GROUP = 32
+"""Blocks of a partition, about, in a large table: a task compares those of two partitions, and has one partition in memory."""
+SPANS = 1 << 20
+"""Spanning links a task holds before it reduces them."""
 
 
-def _units(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, unit): vectors of length one as doubles; unit is null for a vector that links with nothing."""
+def _single(df: DataFrame, embedding: str) -> bool:
+    return df.select(F.col(embedding).alias("e")).schema["e"].dataType.simpleString() == "array<float>"
+
+
+def _vectors(df: DataFrame, vec_id: str, embedding: str, raw: bool = True) -> DataFrame:
+    """(vec_id, digest, raw): a digest of the vector of length one and components as given; null for a vector that links with nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
-            for row in batch.column(1):
-                x = None
-                if row.is_valid and len(row) and row.values.null_count == 0:
-                    x = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    top = np.abs(x).max() if np.isfinite(x).all() else 0.0
-                    x = x / top if top > 0 else None
-                    x = None if x is None else (x / math.sqrt(float(x @ x))).tobytes()
-                units.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], names=["vec_id", "unit"])
+            column = batch.column(1)
+            given = column.values.to_numpy(zero_copy_only=False)  # a null component is NaN
+            begin = column.offsets.to_numpy()[:-1]
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            digests, bodies = [None] * batch.num_rows, [None] * batch.num_rows
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == size)
+                x = given[begin[rows][:, None] + np.arange(size)]
+                keep = np.isfinite(x).all(1) & (x != 0).any(1)
+                x = np.ascontiguousarray(x[keep])
+                for i, unit, body in zip(rows[keep].tolist(), _scaled(x.astype(np.float64)), x):
+                    digests[i] = hashlib.blake2b(unit, digest_size=16).digest()
+                    bodies[i] = body.tobytes() if raw else None
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), *([pa.array(bodies, pa.binary())] if raw else [])],
+                names=["vec_id", "digest", "raw"][:2 + raw])
 
     kind = df.schema[vec_id].dataType.simpleString()
-    return df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(
-        run, f"vec_id {kind}, unit binary")
+    components_ = F.col(embedding) if _single(df, embedding) else F.col(embedding).cast("array<double>")
+    return df.select(F.col(vec_id).alias("vec_id"), components_.alias("e")).mapInArrow(
+        run, f"vec_id {kind}, digest binary" + ", raw binary" * raw)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _unit(raw: bytes, n: int, kind: type) -> np.ndarray:
+    """Vectors of length one as doubles, from the components of ``n`` as given."""
+    return _scaled(np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64))
 
 
 class Tree:
@@ -79,6 +107,9 @@ class Tree:
         self.radius = np.zeros(len(self.centres[-1]))
         np.maximum.at(self.radius, leaves, np.arccos(own))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "x"}
+
     def rows(self, leaf: int) -> np.ndarray:
         return self.order[self.cut[leaf]:self.cut[leaf + 1]]
 
@@ -175,11 +206,11 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     Equal vectors are one weighted row first. Pivots (top nodes of a cover tree
     over a sample of at most ``MAX_PIVOTS`` rows) deal the rest into blocks of
     about ``BLOCK`` rows; a crowded pivot has several blocks. Each block gets a
-    cover tree, and each pair of blocks whose pivots and covering radii allow a
-    link is one task that walks both trees at once: node pairs too far apart are
+    cover tree, and pairs of blocks whose pivots and covering radii allow a
+    link are walked, both trees at once: node pairs too far apart are
     dropped whole, leaf pairs close enough are counted whole, only the rest is
-    compared row by row, in double precision. A task returns counts and spanning
-    links, at most a few rows per vector it touches.
+    compared row by row, in double precision. A task walks the pairs of two partitions, which it reads where the
+    blocks were written, so blocks are not sent to their pairs; it returns one count and one spanning link per vector at most.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     have 0 links and are their own component; vectors of different lengths never
@@ -188,12 +219,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    units = checkpointed(_units(df, vec_id, embedding))
+    spark = df.sparkSession
     nodes = checkpointed(
-        units.where("unit IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-        .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("unit")))
+        _vectors(df, vec_id, embedding).where("digest IS NOT NULL").groupBy("digest").agg(
+            F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+        .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("raw")))
+    clear(spark)
+    kind = np.float32 if _single(df, embedding) else np.float64
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    parts = [_linked(nodes.where(F.col("dim") == dim), n, threshold) for dim, n in sizes.items()]
+    parts = [_linked(nodes.where(F.col("dim") == dim).drop("dim"), n, threshold, kind) for dim, n in sizes.items()]
     if parts:
         found = parts[0]
         for part in parts[1:]:
@@ -202,22 +236,40 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
         stars = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
         placed = nodes.join(links, "node", "left").join(stars, "node", "left").withColumn(
-            "root", F.coalesce("root", "node")).select("unit", "first_id", "copies", "root", "links")
+            "root", F.coalesce("root", "node")).select("digest", "first_id", "copies", "root", "links")
         least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
         placed = placed.join(least, "root").select(
-            "unit", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+            "digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     else:
-        placed = nodes.select("unit", F.col("first_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
-    return units.join(placed, "unit", "left").select(
+        placed = nodes.select("digest", F.col("first_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    return _vectors(df, vec_id, embedding, raw=False).join(placed, "digest", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same nodes, one a node at most."""
+    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    u, v = at[:len(left)], at[len(left):]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[u], root[v])
+        if (root[u] == root[v]).all():
+            break
+        np.minimum.at(root, root[u], least)
+        np.minimum.at(root, root[v], least)
+        while (root != root[root]).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _linked(nodes: DataFrame, n: int, threshold: float, kind: type) -> DataFrame:
     """(node, other, links): spanning links have other, link counts have links."""
     spark, theta = nodes.sparkSession, math.acos(threshold)
     wanted = min(MAX_PIVOTS, max(1, n // BLOCK))
-    sample = np.array([np.frombuffer(r["unit"]) for r in nodes.select("unit").orderBy(F.xxhash64("unit")).limit(2 * wanted).collect()])
+    rows = nodes.select("digest", "raw").orderBy("digest").limit(2 * wanted).collect()
+    sample = _unit(b"".join(r["raw"] for r in rows), len(rows), kind)
     chosen = [0]
     far = sample @ sample[0]
     while len(chosen) < min(wanted, len(sample)):  # the next pivot is the row furthest from those before
@@ -228,59 +280,80 @@ def _linked(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
         far = np.maximum(far, sample @ sample[k])
     pivots = sample[chosen]
 
+    def nearest(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cosine = _unit(b"".join(raw.to_pylist()), len(raw), kind) @ pivots.T
+        best = cosine.argmax(1)
+        return best, np.arccos(cosine[np.arange(len(best)), best].clip(-1, 1))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best, angle = nearest(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), pa.array(angle)], names=["pivot", "angle"])
+
+    tops = {r["pivot"]: (r["n"], r["r"]) for r in nodes.select("raw").mapInArrow(measure, "pivot int, angle double").groupBy("pivot").agg(
+        F.count("*").alias("n"), F.max("angle").alias("r")).collect()}
+    shares = np.array([-(-tops[p][0] // BLOCK) if p in tops else 0 for p in range(len(pivots))])
+    radius = np.array([tops[p][1] if p in tops else 0.0 for p in range(len(pivots))])
+    begin, blocks = np.cumsum(shares) - shares, int(shares.sum())
+    close = np.arccos((pivots @ pivots.T).clip(-1, 1)) <= radius[:, None] + radius + theta + SLACK
+    groups = max(-(-blocks // GROUP), min(blocks, math.isqrt(8 * spark.sparkContext.defaultParallelism) + 1))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1)
-                cosine = x @ pivots.T
-                best = cosine.argmax(1)
-                angle = np.arccos(cosine[np.arange(len(x)), best].clip(-1, 1))
+                best, _ = nearest(batch.column(2))
+                lot = words.mix(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1)) % shares[best].astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(best.astype(np.int32)), pa.array(angle)],
-                    names=["node", "copies", "unit", "pivot", "angle"])
-
-    dealt = nodes.select("node", "copies", "unit").mapInArrow(deal, "node long, copies long, unit binary, pivot int, angle double")
-    dealt = checkpointed(dealt)
-    tops = {r["pivot"]: (r["n"], r["r"]) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()}
-    shares = {p: -(-count // BLOCK) for p, (count, _) in tops.items()}
-    cosine = pivots @ pivots.T
-    pairs = [((p, s), (q, t)) for p in sorted(tops) for q in sorted(tops) if p <= q
-             if math.acos(min(1.0, max(-1.0, cosine[p, q]))) <= tops[p][1] + tops[q][1] + theta + SLACK
-             for s in range(shares[p]) for t in range(s if p == q else 0, shares[q])]
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("pivot"))
-    blocks = dealt.withColumn("part", F.pmod(F.xxhash64("node"), share).cast("int"))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pivot": [frame["pivot"].iat[0]], "part": [frame["part"].iat[0]],
-                             "ids": [frame["node"].to_numpy(np.int64).tobytes()],
-                             "weights": [frame["copies"].to_numpy(np.int64).tobytes()],
-                             "tree": [pickle.dumps(Tree(np.frombuffer(b"".join(frame["unit"])).reshape(len(frame), -1)))]})
-
-    packed = checkpointed(blocks.select("pivot", "part", "node", "copies", "unit").groupBy("pivot", "part").applyInPandas(
-        pack, "pivot int, part int, ids binary, weights binary, tree binary"))
-    plan = spark.createDataFrame([(*a, *b) for a, b in pairs], "pivot int, part int, pivot_b int, part_b int")
-    sides = plan.join(packed, ["pivot", "part"]).join(
-        packed.toDF("pivot_b", "part_b", "ids_b", "weights_b", "tree_b"), ["pivot_b", "part_b"]).select(
-            (F.expr("pivot = pivot_b AND part = part_b")).alias("same"), "ids", "weights", "tree", "ids_b", "weights_b", "tree_b")
-    lots = max(1, min(len(pairs), 2000))
+                    [pa.array((begin[best] + lot.astype(np.int64)).astype(np.int32)), pa.array(best.astype(np.int32)), *batch.columns],
+                    names=["block", "pivot", "node", "copies", "raw"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in by_number(batches):
+            pivot, node, copies, raw = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (1, 2, 3, 4))
+            raw = b"".join(raw)
+            tree = pickle.dumps(Tree(_unit(raw, len(node), kind)))
+            body = pickle.dumps((node, copies, raw, len(tree), pa.compress(tree, "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([pivot[0]], pa.int32()), pa.array([close[pivot[0]].tolist()], pa.list_(pa.bool_())),
+                 pa.array([body], pa.binary())], names=["block", "pivot", "close", "body"])
+
+    dealt = nodes.select("node", "copies", "raw").mapInArrow(deal, "block int, pivot int, node long, copies long, raw binary")
+    packed = checkpointed(dealt.repartitionById(groups, F.col("block") % groups).sortWithinPartitions("block").mapInArrow(
+        pack, "block int, pivot int, close array<boolean>, body binary"))
+    clear(spark)
+    pairs = packed.hint("shuffle_replicate_nl").join(
+        packed.select(F.col("block").alias("block_b"), F.col("pivot").alias("pivot_b"), F.col("body").alias("body_b")),
+        # either order of two blocks, in turn, so that tasks on both sides of the diagonal have their half
+        F.expr("close[pivot_b] AND (block = block_b OR (block < block_b) = ((block + block_b) % 2 = 0))"))
+
+    def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, Tree]:
+        node, copies, raw, size, tree = pickle.loads(body)
+        tree = pickle.loads(pa.decompress(tree, size, "zstd", asbytes=True))
+        tree.x = _unit(raw, len(node), kind)
+        return node, copies, tree
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, spans, left, a, held = {}, [], None, None, {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                same, *raw = [column[k].as_py() for column in batch.columns]
-                ia, wa, ib, wb = (np.frombuffer(raw[i], np.int64) for i in (0, 1, 3, 4))
-                a = pickle.loads(raw[2])
-                b = a if same else pickle.loads(raw[5])
-                na, nb, spans = _traverse(a, b, wa, wb, threshold)
-                left = np.concatenate([ia[p] for p, _ in spans] or [np.zeros(0, np.int64)])
-                right = np.concatenate([ib[q] for _, q in spans] or [np.zeros(0, np.int64)])
-                both = np.unique(np.stack([left, right], 1), axis=0)
-                both = both[both[:, 0] != both[:, 1]]
-                ids, counts = np.concatenate([ia, ib]), np.concatenate([na, nb])
-                ids, counts = ids[counts > 0], counts[counts > 0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([both[:, 0], ids])),
-                     pa.array(np.concatenate([both[:, 1], ids]), mask=np.arange(len(both) + len(ids)) >= len(both)),
-                     pa.array(np.concatenate([np.zeros(len(both), np.int64), counts]))], names=["node", "other", "links"])
+            for i, body, j, body_b in zip(*batch.columns):
+                i, j = i.as_py(), j.as_py()
+                if i != left:
+                    left, a = i, opened(body.as_py())
+                if i != j and j not in held:  # of one partition, which comes again for each block of the other
+                    held[j] = opened(body_b.as_py())
+                b = a if i == j else held[j]
+                na, nb, found = _traverse(a[2], b[2], a[1], b[1], threshold)
+                for block, ids, more in ((i, a[0], na), (j, b[0], nb)):
+                    counts[block] = (ids, counts[block][1] + more if block in counts else more)
+                spans += [(a[0][p], b[0][q]) for p, q in found]
+                if sum(len(p) for p, _ in spans) > SPANS:
+                    spans = [_forest(*map(np.concatenate, zip(*spans)))]
+        if spans:
+            p, q = _forest(*map(np.concatenate, zip(*spans)))
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(np.zeros(len(p), np.int64))], names=["node", "other", "links"])
+        for ids, links in counts.values():
+            ids, links = ids[links > 0], links[links > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(links)], names=["node", "other", "links"])
 
-    return sides.repartition(lots, F.xxhash64("ids", "ids_b")).mapInArrow(walk, "node long, other long, links long")
+    return pairs.select("block", "body", "block_b", "body_b").mapInArrow(walk, "node long, other long, links long")

@@ -84,6 +84,43 @@ def test_cover_tree_on_an_empty_table(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_cover_tree_blocks_are_written_once_and_not_sent_to_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 32)
+    monkeypatch.setattr(cover_tree, "GROUP", 4)
+    monkeypatch.setattr(cover_tree, "SPANS", 50)
+    written, plans, checkpointed = [], [], cover_tree.checkpointed
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        df = checkpointed(df)
+        kinds = [c for c, kind in df.dtypes if kind == "binary"]
+        written.append(sum(df.agg(*[F.sum(F.octet_length(c)) for c in kinds]).first()) if kinds else 0)
+        return df
+
+    monkeypatch.setattr(cover_tree, "checkpointed", counted)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(90, 64))
+    x = (base[rng.integers(0, 90, 1200)] + 0.1 * rng.normal(size=(1200, 64))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == linked_vectors(rows)
+    assert sum(written) < 3.5 * x.nbytes
+    walked = [p for p in plans if "Cartesian" in p]
+    assert len(walked) == 1 and "Repartition" not in walked[0] and "Exchange" not in walked[0]
+
+
+def test_forests_connect_the_same():
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 1), (50, 30), (200, 180), (300, 900)):
+        a, b = rng.integers(0, n, k) * 7, rng.integers(0, n, k) * 7
+        p, q = cover_tree._forest(a, b)
+        one, two = Union(7 * n), Union(7 * n)
+        for union, pairs in ((one, zip(a, b)), (two, zip(p, q))):
+            for i, j in pairs:
+                union.join(int(i), int(j))
+        assert len(set(p)) == len(p) <= n and least(list(range(7 * n)), one) == least(list(range(7 * n)), two)
+
+
 def shingles(text, k):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
